@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import line_dedup, quality
 from .common import table
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
 
 
@@ -10,5 +12,17 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_page_lines(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op7_line_dedup, op8_quality_rules, op10_mixing)}
+ORACLES = {"op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality.ORACLE}

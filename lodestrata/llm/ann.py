@@ -118,7 +118,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, prob
     sizes = index.groupBy("table", "bucket").agg(F.count("*").alias("held"))
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("held") / block).cast("int")).drop("held"), "sizes")
     left = index.join(sizes, ["table", "bucket"]).withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks"))).drop("blocks")
-    right = asked.join(sizes, ["table", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long")).drop("blocks")
+    right = asked.join(sizes, ["table", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
     best = _compare(left, right, ["table", "bucket", "block"], k).distinct()
     found = _ranked(best, k)
     enough = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
@@ -127,7 +127,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, prob
         return found
     blocks = max(1, entries.count() // block)
     all_left = entries.withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks)))
-    all_right = short.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    all_right = short.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     rest = _ranked(_compare(all_left, all_right, ["block"], k), k)
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
 

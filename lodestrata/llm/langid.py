@@ -57,7 +57,7 @@ def codewords(languages: int, seed: int = 11) -> np.ndarray:
         return np.ones((languages, 1), np.int8)
     if languages <= 6:
         n = 2 ** (languages - 1) - 1
-        return np.array([[1] * n] + [[(j + 1) >> (languages - 2 - i) & 1 for j in range(n)] for i in range(languages - 1)], np.int8) ^ np.int8(1)
+        return np.array([[1] * n] + [[j >> i & 1 for j in range(n)] for i in range(languages - 1)], np.int8)
     bits = max(15, 6 * math.ceil(math.log2(languages)))
     rng, best, apart = np.random.default_rng(seed), None, -1
     for _ in range(300):

@@ -19,12 +19,12 @@ def host_of(url: Column) -> Column:
 def html_lines(html: Column) -> Column:
     """Text of a page, a line for each block: scripts, styles, comments and tags are taken out."""
     x = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", " ")
-    x = F.regexp_replace(x, r"[\s\x0B]+", " ")
+    x = F.regexp_replace(x, r"[\s\x0B]{2,}|[\t\n\r\f\x0B]", " ")
     x = F.regexp_replace(x, r"(?i)<(?:/?(?:p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|table|tr|title|head|body|html|blockquote|pre)|br)\b[^>]*>", "\n")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", "")
     for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         x = F.replace(x, F.lit(entity), F.lit(mark))
-    return F.trim(F.regexp_replace(F.regexp_replace(x, r" +", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r" {2,}", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def boilerplate(pages: DataFrame, host: str, lines: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -68,21 +68,21 @@ def drop_boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio:
 
 def dedup_page_lines(pages: DataFrame) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, clean_chars, clean_md5) of raw web pages."""
-    p = pages.select("page_id", "url", html_lines(F.col("html")).alias("page_text"))
+    p = cut(pages.select("page_id", "url", html_lines(F.col("html")).alias("page_text")), "texts")  # read twice
     out = drop_boilerplate_lines(p, host_of(F.col("url")), F.col("page_text"))
     return out.select("page_id", F.col("site").alias("host"), "n_lines", "n_dropped", F.length("clean_text").cast("long").alias("clean_chars"), F.md5("clean_text").alias("clean_md5"))
 
 
-ORACLE = rf"""
+ORACLE = r"""
 with a as (select page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') host,
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '[\s\x0B]+', ' ', 'g'),
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '[\s\x0B]{2,}|[\t\n\r\f\x0B]', ' ', 'g'),
  '(?i)<(?:/?(?:p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|table|tr|title|head|body|html|blockquote|pre)|br)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') x from pages),
 b as (select page_id, host, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') x from a),
-c as (select page_id, host, string_split(trim(regexp_replace(regexp_replace(x, ' +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)), chr(10)) l from b),
+c as (select page_id, host, string_split(trim(regexp_replace(regexp_replace(x, ' {2,}', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)), chr(10)) l from b),
 n as (select host, count(*) pages from c where host is not null group by host),
 e as (select host, line, count(*) k from (select host, unnest(list_distinct(list_transform(list_filter(l, lambda x: trim(x) <> ''), lambda x: trim(x)))) line from c where host is not null) group by all),
-o as (select e.host, list(line) o from e join n on e.host = n.host where k > 1 and pages >= {MIN_PAGES} and k > pages * cast({RATIO} as double) group by e.host),
+o as (select e.host, list(line) o from e join n on e.host = n.host where k > 1 and pages >= %d and k > pages * cast(%s as double) group by e.host),
 k as (select page_id, c.host, l, list_filter(l, lambda x: o.o is null or trim(x) = '' or not list_contains(o.o, trim(x))) q from c left join o on c.host = o.host)
 select page_id, host, cast(coalesce(len(list_filter(l, lambda x: trim(x) <> '')), 0) as bigint) n_lines, cast(coalesce(len(l) - len(q), 0) as bigint) n_dropped,
  cast(length(array_to_string(q, chr(10))) as bigint) clean_chars, md5(array_to_string(q, chr(10))) clean_md5 from k
-"""
+""" % (MIN_PAGES, RATIO)

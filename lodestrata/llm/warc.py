@@ -130,10 +130,10 @@ def _sql_uuid(seed: str) -> str:
 ORACLE = rf"""
 with r as (select page_id, url target_uri, {_sql_uuid("'response|' || coalesce(cast(page_id as varchar), '') || '|' || coalesce(url, '')")} refers_to, coalesce(html, '') html from pages),
 a as (select *, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) title, regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1) links,
- regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '[\s\x0B]+', ' ', 'g'),
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '[\s\x0B]{{2,}}|[\t\n\r\f\x0B]', ' ', 'g'),
  '(?i)<(?:/?(?:p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|table|tr|title|head|body|html|blockquote|pre)|br)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') x from r),
 b as (select *, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') y from a),
-c as (select *, trim(regexp_replace(regexp_replace(y, ' +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) plain from b),
+c as (select *, trim(regexp_replace(regexp_replace(y, ' {{2,}}', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) plain from b),
 d as (select *, unnest(['metadata', 'conversion']) warc_type from c),
 e as (select *, case when warc_type = 'metadata' then array_to_string(list_concat(['title: ' || title], list_transform(links, lambda l: 'outlink: ' || l)), chr(10)) else plain end block,
  case when warc_type = 'metadata' then 'conversion' else 'metadata' end other from d)

@@ -7,7 +7,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +47,7 @@ def checked_uploads(uploads: DataFrame) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): a row for each text, JSON or CSV file."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def csv_lines(files: DataFrame, text: str = "text") -> DataFrame:
@@ -60,20 +60,23 @@ def binaries(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", "length", "content")
 
 
-def _per_file(files: DataFrame, one, schema: str) -> DataFrame:
+def _per_file(files: DataFrame, one, schema: str, types: pa.Schema) -> DataFrame:
     """Rows of each file, or one row with the error that it gave."""
-    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
-                    rows = [{"path": path, **r, "error": None} for r in one(bytes(content))]
+                    rows = [{"path": path, **r, "error": None} for r in one(content)]
                 except (zipfile.BadZipFile, KeyError, ValueError, SyntaxError) as e:
                     rows = [{"path": path, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows, columns=names)
+                yield pa.RecordBatch.from_pylist(rows, schema=types)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def _types(**kinds: pa.DataType) -> pa.Schema:
+    return pa.schema([("path", pa.string()), *kinds.items(), ("error", pa.string())])
 
 
 _BREAK = re.compile(r"<[^>]*(?:lastRenderedPageBreak|w:br\b[^>]*type=\"page\")[^>]*>")
@@ -92,7 +95,7 @@ def docx_pages(content: bytes) -> list[dict]:
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    return _per_file(binaries(spark, path, "*.docx"), docx_pages, "path string, page int, text string, error string")
+    return _per_file(binaries(spark, path, "*.docx"), docx_pages, "path string, page int, text string, error string", _types(page=pa.int32(), text=pa.string()))
 
 
 def _column_number(ref: str) -> int:
@@ -131,7 +134,7 @@ def xlsx_sheets(content: bytes) -> list[dict]:
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    return _per_file(binaries(spark, path, "*.xlsx"), xlsx_sheets, "path string, sheet string, sheet_no int, row int, text string, error string")
+    return _per_file(binaries(spark, path, "*.xlsx"), xlsx_sheets, "path string, sheet string, sheet_no int, row int, text string, error string", _types(sheet=pa.string(), sheet_no=pa.int32(), row=pa.int32(), text=pa.string()))
 
 
 def image_text(answer: Column) -> Column:

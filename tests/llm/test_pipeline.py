@@ -68,7 +68,8 @@ def test_packing(stages):
 
 
 def test_run_and_edges(spark, sf, tmp_path):
-    odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "word " * 80, "en", "s", 400), (2, " ".join(f"w{i}" for i in range(80)), "en", None, 0), (2, " ".join(f"w{i}" for i in range(80)), "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    text = " ".join(chr(97 + i // 26) + chr(97 + i % 26) + "q" for i in range(80))
+    odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "word " * 80, "en", "s", 400), (2, text, "en", None, 0), (2, text, "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
     for rows in (odd, odd.limit(0)):
         docs = rows
         for i, (_, stage) in enumerate(pipeline.STAGES):

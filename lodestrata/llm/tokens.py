@@ -1,27 +1,30 @@
-"""Token ids of many texts inside tasks, each distinct word encoded once.
+"""Token ids of many texts inside tasks, each distinct piece encoded once.
 
 The vocabulary's normalizer and pre-tokenizer never look across ASCII white space, so a text's ids are
-those of its words one after another. Words of common letters are cut into runs first, as the
-vocabulary's own pattern does, and only runs not met before go through the byte-pair merges, many in one
-call. Anything else (special tokens in the text, other scripts) is encoded word by word by the library.
+those of its words one after another. Texts of common letters are cut into pieces by the vocabulary's
+own pattern, and only pieces not met before go through the byte-pair merges, many in one call. In other
+texts (special tokens, other scripts) the words that need it are encoded one by one by the library.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 VOCABULARY = "word_bpe_49k.json"
-#: The vocabulary's own pattern for pieces (fixed value).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[\x21-\x7e¡-ɏ]+")
-#: Bytes of text cut into words at once, and words or runs remembered at most.
-SLICE, MEMORY = 4 << 20, 300_000
+_LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
+#: The vocabulary's own pattern for pieces (fixed value), for lower-case text of plain letters: runs of letters,
+#: single digits, English endings, runs of marks. No two of these can begin alike but endings and marks, in that order.
+PIECES = re.compile(rf"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_DIGITS}]+")
+#: Texts and words whose lower case and pieces are the same for Python as for the vocabulary's own rules.
+_PLAIN = re.compile(r"[\x21-\x7e\x20\x09-\x0D¡-ſ]*")
+#: Bytes of text cut into pieces at once, and pieces remembered at most in each of two generations.
+SLICE, MEMORY = 4 << 20, 250_000
 
 
 def vocabulary_path(path: str | None = None) -> str:
@@ -43,58 +46,50 @@ class WordTokenizer:
         self.ends = np.zeros(size, bool)
         for token, i in self.library.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _learn_runs(self, runs: list[str]) -> None:
+    def _learn(self, runs: list[str]) -> None:
+        """Ids of runs, each a piece of its own: many in one call, cut where a word ends."""
         for at in range(0, len(runs), 400):
             some = runs[at : at + 400]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.dtype)
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some):
-                self.runs.update((r, ids[i:j].tobytes()) for r, i, j in zip(some, [0, *last[:-1]], last))
+                self.known.update((r, ids[i:j].tobytes()) for r, i, j in zip(some, [0, *last[:-1]], last))
             else:
-                self.runs.update((r, np.array(self.library.encode(r, add_special_tokens=False).ids, self.dtype).tobytes()) for r in some)
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) > MEMORY:
-            self.words = {}
-        if len(self.runs) > MEMORY:
-            self.runs = {}
-        cut = {}
-        for w in new:
+                self.known.update((r, self._alone(r)) for r in some)
+
+    def _alone(self, word: str) -> bytes:
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces to look up; of words with other letters or marks the word itself, behind a blank."""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return PIECES.findall(text.lower())
+        out: list[str] = []
+        for word in text.encode("utf-8", "surrogatepass").split():
+            w = word.decode("utf-8", "surrogatepass")
             if _PLAIN.fullmatch(w) and "<|" not in w:
-                cut[w] = PIECES.findall(w.lower())
+                out += PIECES.findall(w.lower())
             else:
-                self.words[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, self.dtype).tobytes()
-        known = self.runs
-        self._learn_runs(list({r for x in cut.values() for r in x if r not in known}))
-        for w, x in cut.items():
-            self.words[w] = known[x[0]] if len(x) == 1 else b"".join([known[r] for r in x])
+                out.append(" " + w)
+        return out
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        coded = pc.list_flatten(split).dictionary_encode()
-        if not len(coded):
-            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
-        distinct = coded.dictionary.to_pylist()
-        if new := [w for w in distinct if w and w not in self.words]:
-            self._learn(new)
-            if len(new) < len(distinct) and any(w and w not in self.words for w in distinct):  # forgotten meanwhile
-                self._learn([w for w in distinct if w and w not in self.words])
-        known = self.words
-        codes = [known[w] if w else b"" for w in distinct]
-        width = np.dtype(self.dtype).itemsize
-        length = np.array([len(x) for x in codes], np.int64) // width
-        flat = np.frombuffer(b"".join(codes), self.dtype)
-        begin = np.cumsum(length) - length
-        index = coded.indices.to_numpy()
-        n = length[index]
-        total = np.cumsum(n)
-        out = flat[np.repeat(begin[index] - (total - n), n) + np.arange(total[-1])]
-        per_text = np.asarray(pc.list_value_length(split))
-        edge = np.concatenate(([0], total))[np.concatenate(([0], np.cumsum(per_text)))]
-        return out, np.diff(edge)
+        if len(self.known) > MEMORY:
+            self.known, self.older = {}, self.known
+        pieces = [self._pieces(t) if t else [] for t in texts.to_pylist()]
+        new = set().union(*pieces).difference(self.known)
+        if self.older:
+            again = {p: self.older[p] for p in new if p in self.older}
+            self.known |= again
+            new -= again.keys()
+        self._learn([p for p in new if p[0] != " "])
+        self.known.update((p, self._alone(p[1:])) for p in new if p[0] == " ")
+        at = self.known.__getitem__
+        coded = [b"".join(map(at, x)) for x in pieces]
+        return np.frombuffer(b"".join(coded), self.dtype), np.array([len(x) for x in coded], np.int64) // np.dtype(self.dtype).itemsize
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each). A null text has none."""

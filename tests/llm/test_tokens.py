@@ -18,7 +18,7 @@ def library_ids(texts):
 
 
 def test_ids(spark, sf):
-    texts = ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts = ODD + [f"{chr(c)} {chr(c)}{chr(c)}a 1{chr(c)}'{chr(c)}'s ({chr(c)})" for c in range(0x251)] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     ids, counts = tokenizer(vocabulary_path()).encode(pa.array(texts, pa.string()))
     edge = np.cumsum(counts)
     for t, e, n, want in zip(texts, edge, counts, library_ids(texts)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, small
+from .common import cut, free
 
 #: A line is dropped if more than RATIO of its host's pages have it, where the host has MIN_PAGES pages or more.
 RATIO, MIN_PAGES = 0.3, 5

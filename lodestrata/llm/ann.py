@@ -120,7 +120,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, prob
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("held") / block).cast("int")).drop("held"), "sizes")
     left = index.join(sizes, ["table", "bucket"]).withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks"))).drop("blocks")
     right = asked.join(sizes, ["table", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
-    best = _compare(left, right, ["table", "bucket", "block"], k).distinct()
+    best = cut(_compare(left, right, ["table", "bucket", "block"], k).distinct(), "best")  # read twice
     found = _ranked(best, k)
     enough = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = cut(queries.join(enough, queries["id"] == enough["query_id"], "left_anti"), "short")

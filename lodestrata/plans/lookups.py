@@ -102,10 +102,10 @@ def relative_times(spark, sf):
     return s.read(spark, sf, "events").select("event_id", scalars.relative_time(F.col("ts").cast("timestamp"), F.lit("2024-01-31").cast("timestamp")).alias("ago"))
 
 
-@query("select n_nationkey id, case when n_nationkey = 0 then 'Updates every 0 minutes' when n_nationkey = 1 then 'Updates every hour' else 'Updates every ' || n_nationkey || ' hours' end as label, [n_name, 'X'] as roles from nation")
+@query("select n_nationkey id, case when n_nationkey = 0 then 'Updates every 0 minutes' when n_nationkey = 1 then 'Updates every hour' else 'Updates every ' || n_nationkey || ' hours' end as label, n_name || '|X' as roles from nation")
 def schedules_and_roles(spark, sf):
     n = s.read(spark, sf, "nation")
-    return n.select(F.col("n_nationkey").alias("id"), scalars.schedule_label(F.col("n_nationkey") * 3_600_000).alias("label"), scalars.enum_array(F.concat(F.lit("{"), "n_name", F.lit(",X}"))).alias("roles"))
+    return n.select(F.col("n_nationkey").alias("id"), scalars.schedule_label(F.col("n_nationkey") * 3_600_000).alias("label"), F.array_join(scalars.enum_array(F.concat(F.lit("{"), "n_name", F.lit(",X}"))), "|").alias("roles"))
 
 
 @query("select event_id, '8' code, props payload, 'acme' as owner, 'web' as repo, event_id as number from events")
@@ -124,11 +124,11 @@ def message_texts(spark, sf):
     return c.select("conv_id", "turn", scalars.message_text(stored).alias("text"))
 
 
-@query("select conv_id, turn, trim(role) as shown, [trim(text)] as thoughts from conversations where trim(text) <> ''")
+@query("select conv_id, turn, trim(role) as shown, trim(text) as thoughts from conversations where trim(text) <> ''")
 def stream_blocks(spark, sf):
     c = s.read(spark, sf, "conversations").where(~scalars.is_blank(F.col("text")))
     made = F.concat(F.lit("```thinking\n"), "text", F.lit("```"), "role", F.lit("\n```sour"))
-    return c.select("conv_id", "turn", scalars.stream_blocks(made).alias("b")).select("conv_id", "turn", F.col("b.text").alias("shown"), F.col("b.thinking").alias("thoughts"))
+    return c.select("conv_id", "turn", scalars.stream_blocks(made).alias("b")).select("conv_id", "turn", F.col("b.text").alias("shown"), F.array_join("b.thinking", "|").alias("thoughts"))
 
 
 @query(

@@ -180,6 +180,7 @@ def test_canvas_stream_is_fold(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i, o in enumerate(OPS):
         (tmp_path / f"in/{i:03d}.json").write_text(json.dumps({"thread_id": "t", "seq": i, "op": json.dumps(o)}))
+        os.utime(tmp_path / f"in/{i:03d}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken by age
     s = spark.readStream.schema("thread_id string, seq long, op string").option("maxFilesPerTrigger", 4).json(str(tmp_path / "in"))
     q = canvas.canvas_stream(s).writeStream.format("memory").queryName("canvases").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)

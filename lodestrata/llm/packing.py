@@ -1,8 +1,11 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
-Documents are dealt by hash into shards of bounded size, each with an inverted index of its own. In a
-shard, a seed's heaviest terms look up postings; unused neighbours follow in order of score until the
-window is full. The last one is cut there and what is left of it is the next seed, so only a shard's
+Document counts of all terms and the mean length are taken over all documents in one pass. Documents lie
+in the order of their heaviest term that a window's worth of documents has, and within it of the second
+one; this order is cut into shards of bounded size, so documents on one topic meet whatever the number of
+shards. Only documents of one pair of terms that alone exceed a shard are dealt by hash. A shard has an
+inverted index of its own, weighted by the whole corpus: a seed's heaviest terms look up postings; unused
+neighbours follow in order of score until the window is full. The last one is cut there and what is left of it is the next seed, so only a shard's
 last window has padding, up to the next power of two.
 """
 
@@ -13,31 +16,52 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut, small
 from .tokens import tokenizer
 
 WINDOW, END_ID = 4096, 2
-#: Bytes of text in a shard on average; a seed's terms that are looked up; BM25's constants.
-SHARD, TERMS, K1, B = 4 << 20, 24, 1.2, 0.75
+#: Bytes of text in a shard on average, and documents at most; a seed's terms that are looked up; BM25's constants.
+SHARD, DOCUMENTS, TERMS, K1, B = 4 << 20, 50_000, 24, 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long, seed_id long"
 
 
+class Corpus:
+    """What BM25 needs of all documents: how many have each term, how many there are, their mean length."""
+
+    def __init__(self, df: np.ndarray, n: int, tokens: int):
+        self.df, self.n, self.mean = df, n, max(tokens / max(n, 1), 1.0)
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
+
+    def places(self, ids: np.ndarray, window: int) -> tuple[int, int]:
+        """A document's two heaviest terms of those that fill a window, or else of those that it shares; -1 for none."""
+        term, tf = np.unique(ids, return_counts=True)
+        df = self.df[term]
+        weight = self.weights(term, tf, len(ids)) + np.where(df * self.mean >= window, 1e6, 0)
+        weight[df < 2] = 0
+        best = np.argsort(-weight, kind="stable")[:2]
+        return tuple([int(term[i]) if weight[i] > 0 else -1 for i in best] + [-1] * (2 - len(best)))
+
+
 class ShardIndex:
-    """BM25 over the token ids of one shard's documents, in arrays by term."""
+    """BM25 over the token ids of one shard's documents (without their end ids), in arrays by term."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
         n = len(docs)
-        pairs = [np.unique(d, return_counts=True) for d in docs]
+        pairs = [np.unique(d[:-1], return_counts=True) for d in docs]
         size = np.array([len(p[0]) for p in pairs])
         owner = np.repeat(np.arange(n), size)
         term = np.concatenate([p[0] for p in pairs]).astype(np.int64)
         tf = np.concatenate([p[1] for p in pairs]).astype(np.float64)
-        length = np.array([len(d) for d in docs], np.float64)
+        length = np.array([len(d) - 1 for d in docs], np.float64)
         df = np.bincount(term)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[owner] / length.mean()))
+        weight = corpus.weights(term, tf, length[owner])
         self.n, self.first = n, np.concatenate(([0], np.cumsum(size)))
         self.terms, self.weights = term, weight
         order = np.argsort(term, kind="stable")
@@ -52,14 +76,16 @@ class ShardIndex:
             top = np.argpartition(-weights, TERMS)[:TERMS]
             terms = terms[top]
         at = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
+        if not at:
+            return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def _windows(docs: list[np.ndarray], window: int):
+def _windows(docs: list[np.ndarray], window: int, corpus: Corpus):
     """(document, start, length, sequence, offset, seed) of every piece, windows full but for the last."""
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, corpus)
     unused = np.ones(index.n, bool)
     sequence = offset = next_free = 0
     queue: list[int] = []
@@ -89,6 +115,67 @@ def _windows(docs: list[np.ndarray], window: int):
     return out, (sequence, offset)
 
 
+def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
+    """(id, salt, size, ids) of every row, and a row (df, n, tokens) of every task with its counts."""
+
+    def run(batches):
+        df, n, tokens = None, 0, 0
+        for batch in batches:
+            t = tokenizer(path)
+            df = np.zeros(len(t.ends), np.int64) if df is None else df
+            ids, counts = t.encode(batch.column("text"))
+            edge = np.cumsum(counts)
+            packed = [ids[e - k : e] for e, k in zip(edge, counts)]
+            for x in packed:
+                x = np.sort(x, kind="stable")
+                df[x[np.concatenate((x[:1] == x[:1], x[1:] != x[:-1]))]] += 1
+            n, tokens = n + len(packed), tokens + len(ids)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "salt", "size")), pa.array([x.tobytes() for x in packed], pa.binary()), pa.nulls(batch.num_rows, pa.binary()), none, none], names=names)
+        if n:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([n]), pa.array([tokens])], names=names)
+
+    names = ["id", "salt", "size", "ids", "df", "n", "tokens"]
+    return cut(docs.mapInArrow(run, "id long, salt long, size long, ids binary, df binary, n long, tokens long"), "encoded")
+
+
+def _corpus(encoded: DataFrame) -> Corpus:
+    def run(batches):
+        df, n, tokens = 0, 0, 0
+        for batch in batches:
+            for x in batch.column("df"):
+                df = df + np.frombuffer(x.as_buffer(), np.int64)
+            n, tokens = n + sum(batch.column("n").to_pylist()), tokens + sum(batch.column("tokens").to_pylist())
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n]), pa.array([tokens])], names=["df", "n", "tokens"])
+
+    counts = encoded.where("n is not null").select("df", "n", "tokens")
+    row = counts.coalesce(1).mapInArrow(run, "df binary, n long, tokens long").first()
+    return Corpus(np.frombuffer(row.df, np.int64), row.n, row.tokens) if row else Corpus(np.zeros(1, np.int64), 0, 0)
+
+
+def _sharded(encoded: DataFrame, corpus: Corpus, window: int, shard_bytes: int, dtype) -> DataFrame:
+    """(id, salt, ids, shard): cut where the sizes of the documents before, by their terms, fill a shard."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.array([corpus.places(np.frombuffer(x.as_buffer(), dtype), window) for x in batch.column("ids")], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=["id", "salt", "size", "ids", "t1", "t2"])
+
+    placed = cut(encoded.where("n is null").select("id", "salt", "size", "ids").mapInArrow(run, "id long, salt long, size long, ids binary, t1 long, t2 long"), "placed")
+    pairs = cut(placed.groupBy("t1", "t2").agg(F.sum("size").alias("pair")), "pairs")
+    # one row a term of the vocabulary
+    tops = sorted(map(tuple, pairs.groupBy("t1").agg(F.sum("pair")).collect()))
+    starts = np.cumsum([0, *(x[1] for x in tops)]).tolist()
+    tops = F.broadcast(placed.sparkSession.createDataFrame([(t, x, n) for (t, n), x in zip(tops, starts)], "t1 long, start long, whole long"))
+    order = W.partitionBy("t1").orderBy("t2").rowsBetween(W.unboundedPreceding, -1)
+    hot = cut(pairs.join(tops.where(F.col("whole") > shard_bytes), "t1").select("t1", "t2", "pair", F.coalesce(F.sum("pair").over(order), F.lit(0)).alias("before")), "hot")
+    lo, size = F.col("start") + F.coalesce("before", F.lit(0)), F.coalesce("pair", "whole")
+    share = F.when(size > shard_bytes, F.pmod("salt", F.lit(1 << 20)) / F.lit(1 << 20)).otherwise(0.5)
+    return placed.join(tops, "t1").join(small(hot), ["t1", "t2"], "left").select("id", "salt", "ids", F.floor((lo + share * size) / shard_bytes).alias("shard"))
+
+
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD) -> DataFrame:
     """One row for each piece of a document; see PIECES.
 
@@ -96,21 +183,16 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     null id stays null. Each id lies in exactly one piece, and a sequence's offsets have no gaps.
     sequence_id holds the shard in its upper half. An empty table gives an empty one.
     """
-    size = docs.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    shards = max(1, -(-(size[0] or 0) // shard_bytes), -(-size[1] // 50_000))
-
-    def encode(batches):
-        for batch in batches:
-            ids, counts = tokenizer(path).encode(batch.column("text"))
-            edge = np.cumsum(counts)
-            packed = [ids[e - n : e].tobytes() for e, n in zip(edge, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("shard"), pa.array(packed, pa.binary())], names=["id", "shard", "ids"])
+    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    each = -(-shard_bytes // DOCUMENTS)
+    encoded = _encoded(docs.select(id_.alias("id"), F.xxhash64(F.lit(5), id_, text).alias("salt"), (F.coalesce(F.octet_length(text), F.lit(0)) + each).cast("long").alias("size"), text.alias("text")), path)
+    corpus = _corpus(encoded)
 
     def fill(table: pa.Table) -> pa.Table:
         dtype = tokenizer(path).dtype
-        table = table.sort_by("id")
+        table = table.sort_by([("id", "ascending"), ("salt", "ascending")])
         docs = [np.append(np.frombuffer(x.as_buffer(), dtype), dtype(end_id)) for x in table.column("ids")]
-        pieces, (last, tail) = _windows(docs, window)
+        pieces, (last, tail) = _windows(docs, window, corpus)
         doc, start, length, sequence, offset, seed = (np.array(x, np.int64) for x in zip(*pieces))
         base = table.column("shard")[0].as_py() << 32
         crc = [zlib.crc32(docs[d][s : s + n].astype("<u4").tobytes()) for d, s, n in zip(doc, start, length)]
@@ -119,5 +201,4 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
         padded = np.where(tokens == window, window, 1 << np.ceil(np.log2(np.maximum(tokens, 1))).astype(np.int64))
         return pa.table([ids.take(pa.array(doc)), start, length, crc, [len(docs[d]) for d in doc], base + sequence, offset, tokens, np.minimum(padded, window), ids.take(pa.array(seed))], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.lit(5), F.col(id_col).cast("long"), F.col(text_col)), F.lit(shards)).cast("long").alias("shard"), F.col(text_col).alias("text"))
-    return dealt.mapInArrow(encode, "id long, shard long, ids binary").groupBy("shard").applyInArrow(fill, PIECES)
+    return _sharded(encoded, corpus, window, shard_bytes, tokenizer(path).dtype).groupBy("shard").applyInArrow(fill, PIECES)

@@ -1,5 +1,6 @@
 """Token ids against the library itself; packing as an exact round trip; limits against brute force."""
 
+import random
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from lodestrata.llm.packing import pack
 from lodestrata.llm.token_counts import quantile_length, token_counts, truncated_total
 from lodestrata.llm.tokens import tokenizer, vocabulary_path
 
+TOPICS = "apple banana bridge camera castle church coffee cotton desert doctor dragon engine forest garden guitar hammer harbor island jacket jungle kitchen ladder lemon marble mirror monkey ocean orange palace pencil pepper planet pocket rabbit river rocket silver temple tiger violin".split()
 ODD = [None, "", " \n\t ", "Don't 'S 123 a1b2 x--y!?", "<|endoftext|> a<|startoftext|>b <|", "ΑΣ ΟΔΟΣ. ß İstanbul", "é ́x a\xa0b x\x1cy\x85z", "日本語 text 😀😀", "ﬁ ª²³ ǅ ɐ", "a" * 5000, "word\n" * 20000]
 
 
@@ -72,6 +74,15 @@ def test_neighbours_share_words(spark):
     assert sum(r.seed_id % 5 == r.doc_id % 5 for r in got) > 0.7 * len(got)
 
 
+def test_topics_meet_over_many_shards(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join([f"w{rng.randrange(90)}" for _ in range(60)] + [f"{TOPICS[i * 7919 % 40]} " * 4])) for i in range(2000)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), window=512, shard_bytes=20_000).collect()
+    assert len({r.sequence_id >> 32 for r in got}) > 10
+    topic = lambda i: i * 7919 % 40
+    assert sum(topic(r.seed_id) == topic(r.doc_id) for r in got) > 0.8 * len(got)
+
+
 def test_limits(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     lengths = [len(x) for x in library_ids([r.text for r in docs.collect()])]

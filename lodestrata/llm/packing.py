@@ -4,7 +4,7 @@ Document counts of all terms and the mean length are taken over all documents in
 in the order of their heaviest term that a window's worth of documents has, and within it of the second
 one; this order is cut into shards of bounded size, so documents on one topic meet whatever the number of
 shards. Only documents of one pair of terms that alone exceed a shard are dealt by hash. A shard has an
-inverted index of its own, weighted by the whole corpus: a seed's heaviest terms look up postings; unused
+inverted index of its own, weighted by the whole corpus: all terms of a seed look up postings; unused
 neighbours follow in order of score until the window is full. The last one is cut there and what is left of it is the next seed, so only a shard's
 last window has padding, up to the next power of two.
 """
@@ -23,8 +23,8 @@ from .common import cut, small
 from .tokens import tokenizer
 
 WINDOW, END_ID = 4096, 2
-#: Bytes of text in a shard on average, and documents at most; a seed's terms that are looked up; BM25's constants.
-SHARD, DOCUMENTS, TERMS, K1, B = 4 << 20, 50_000, 24, 1.2, 0.75
+#: Bytes of text in a shard on average, and documents at most; BM25's constants.
+SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long, seed_id long"
 
@@ -63,19 +63,14 @@ class ShardIndex:
         df = np.bincount(term)
         weight = corpus.weights(term, tf, length[owner])
         self.n, self.first = n, np.concatenate(([0], np.cumsum(size)))
-        self.terms, self.weights = term, weight
+        self.terms = term
         order = np.argsort(term, kind="stable")
         self.postings, self.posted = owner[order], weight[order]
         self.begin = np.concatenate(([0], np.cumsum(df)))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's heaviest terms, best first, ties in order."""
-        own = slice(self.first[seed], self.first[seed + 1])
-        terms, weights = self.terms[own], self.weights[own]
-        if len(terms) > TERMS:
-            top = np.argpartition(-weights, TERMS)[:TERMS]
-            terms = terms[top]
-        at = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
+        """Unused documents that share a term with the seed, by BM25 over all its distinct terms, best first, ties in order."""
+        at = [slice(self.begin[t], self.begin[t + 1]) for t in self.terms[self.first[seed] : self.first[seed + 1]]]
         if not at:
             return np.zeros(0, np.int64)
         score = np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)

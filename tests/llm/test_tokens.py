@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestrata.llm.packing import pack
+from lodestrata.llm.packing import B, K1, Corpus, ShardIndex, pack
 from lodestrata.llm.token_counts import quantile_length, token_counts, truncated_total
 from lodestrata.llm.tokens import tokenizer, vocabulary_path
 
@@ -83,6 +83,24 @@ def test_topics_meet_over_many_shards(spark):
     assert sum(topic(r.seed_id) == topic(r.doc_id) for r in got) > 0.8 * len(got)
 
 
+def test_neighbours_by_all_terms():
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(3, 400, rng.integers(100, 300)), 2) for _ in range(60)]
+    sets = [set(d[:-1].tolist()) for d in docs]
+    df = np.bincount(np.concatenate([list(x) for x in sets]), minlength=400)
+    mean = sum(len(d) - 1 for d in docs) / 60
+    index = ShardIndex(docs, Corpus(df, 60, sum(len(d) - 1 for d in docs)))
+    for seed in range(5):
+        unused = np.arange(60) != seed
+        score = np.zeros(60)
+        for j in range(60):
+            for t in sets[seed] & sets[j]:
+                tf = (docs[j] == t).sum()
+                score[j] += np.log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(docs[j]) - 1) / mean))
+        want = sorted(np.flatnonzero((score > 0) & unused), key=lambda j: -score[j])
+        assert index.neighbours(seed, unused).tolist() == want
+
+
 def test_limits(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     lengths = [len(x) for x in library_ids([r.text for r in docs.collect()])]

@@ -13,6 +13,9 @@ licence, a menu) is hardly ever kept. Within a kept symbol every set is first he
 and links found so far join sets into components; then only pairs across components are compared, once
 for all symbols around a component and in blocks, by a second sketch with one bit a shingle, whose Hamming distance again bounds the difference
 from below. All that passes is verified on the sets. Equal sets count as one from the start.
+
+Links lie within components, so their numbers are then counted there: components of which not every pair
+is a verified link are cut into blocks, two blocks of member sets meet in one task, and only counts leave it.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ from .shingles import U, mix, shingle_sets
 
 #: Symbols that a task gathers before it sorts and sends them, and that one group gets on average.
 GATHER, GROUP = 1 << 19, 1 << 20
-#: Sets held against each other at once in one task.
-BLOCK = 1024
+#: Sets held against each other at once in one task, and shingles of those that are counted.
+BLOCK, MEMBERS = 1024, 1 << 20
 
 
 class Bands:
@@ -273,14 +276,67 @@ def _across(bands: Bands):
     return run
 
 
+def _counts(bands: Bands):
+    """(sig, links) of each set of two blocks of a component, pairs within one block counted where it meets itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, once = np.unique(table.column("sig").to_numpy(), return_index=True)  # a repeated id may give a set twice
+        block, n = (table.column(c).to_numpy()[once] for c in ("block", "n"))
+        members = table.column("members")
+        shingles = np.concatenate([np.frombuffer(members[int(i)].as_buffer(), U) for i in once])
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        names, term = np.unique(shingles, return_inverse=True)
+        end = np.cumsum(n)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.argsort(term, kind="stable")
+        posted = owner[order]
+        begin = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(names)))))
+        links = np.zeros(len(n), np.int64)
+        for i in np.flatnonzero(block == lo):
+            own = term[end[i] - n[i] : end[i]]
+            shared = np.bincount(np.concatenate([posted[begin[t] : begin[t + 1]] for t in own]), minlength=len(n))
+            ok = shared * bands.den >= bands.num * (n + n[i] - shared)
+            ok &= (block == hi) & ((lo != hi) | (np.arange(len(n)) > i))
+            links[i] += ok.sum()
+            links += ok
+        some = links > 0
+        return pa.table({"sig": pa.array(sig[some]), "links": pa.array(links[some])})
+
+    return run
+
+
+def _blocks(clusters: DataFrame, key: str, blocks: F.Column) -> DataFrame:
+    """Each row of clusters (key, sig) once for each pair of blocks (lo, hi) of its key that its block is one of."""
+    spread = clusters.groupBy(key).agg(F.greatest(F.lit(1), blocks).cast("int").alias("blocks"))
+    return (
+        clusters.join(spread, key)
+        .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("lo", F.least("block", "with"))
+        .withColumn("hi", F.greatest("block", "with"))
+        .drop("with", "blocks")
+    )
+
+
+def _degrees(links: DataFrame, comps: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """(sig, links): how many sets each one is linked with, of all pairs of its component."""
+    verified = cut(links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links")).join(comps.withColumnRenamed("node", "sig"), "sig"), "verified")
+    sizes = verified.groupBy("component").agg((F.sum("links") == F.count("*") * (F.count("*") - 1)).alias("whole"))
+    verified = verified.join(sizes, "component")
+    open_ = verified.where("not whole").select("component", "sig").join(sets.select("sig", "n").distinct(), "sig")
+    blocks = _blocks(cut(open_, "open"), "component", F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / MEMBERS)))
+    counted = blocks.drop("n").join(sets.select("sig", "n", "members"), "sig").groupBy("component", "lo", "hi").applyInArrow(_counts(bands), "sig long, links long")
+    return verified.where("whole").select("sig", "links").unionByName(counted.groupBy("sig").agg(F.sum("links").alias("links")))
+
+
 def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, links) for every row of docs: exact connected components.
 
     Two documents link when 1000 * shared >= round(1000 * similarity) * united, over distinct five-word
     shingles (the whole sequence with fewer words). A null or wordless text has an empty set and links
     with nothing; a null id has null as its component and takes no part. Repeated rows give repeated
-    rows. links counts the verified links between different sets that a document's set has (those
-    that were needed for the components: pairs within a component found earlier aren't compared).
+    rows. links counts the different sets that a document's set links with, exactly; equal sets count
+    as one.
     """
     bands = Bands(similarity)
     rows = cut(shingle_classes(docs, bands, id_col, text_col), "rows")
@@ -322,20 +378,12 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     # but is compared once
     open_keys = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "c0")
     clusters = cut(left.join(open_keys, "key").select("c0", "sig", "n", "comp").distinct(), "clusters")
-    spread = clusters.groupBy("c0").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = (
-        clusters.join(spread, "c0")
-        .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("lo", F.least("block", "with"))
-        .withColumn("hi", F.greatest("block", "with"))
-        .drop("with", "blocks")
-    )
+    blocks = _blocks(clusters, "c0", F.ceil(F.count("*") / BLOCK))
     more = blocks.join(sets.select("sig", "sketch"), "sig").groupBy("c0", "lo", "hi").applyInArrow(_across(bands), "a long, b long").distinct()
     more = _linked(more, sets, bands)
-    links = links.unionByName(more).distinct()
-    comps = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("links"))
+    links = cut(links.unionByName(more).distinct(), "all_links")
+    comps = cut(components(links), "all_comps")
+    degree = _degrees(links, comps, sets, bands)
     of = classes.select("sig", "first_id").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     lowest = of.groupBy("component").agg(F.min("first_id").alias("component_id"))
     of = of.join(lowest, "component").join(degree, "sig", "left").select("sig", "component_id", F.coalesce("links", F.lit(0)).alias("links"))

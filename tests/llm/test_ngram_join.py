@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from lodestrata.llm import ngram_join
 from lodestrata.llm.ngram_join import ngram_jaccard_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,6 +69,25 @@ def test_small_table(spark, sf):
     assert found(spark, rows) == brute(rows)
 
 
+def test_links_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(6)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for size in (60, 200):
+        base = rng.choices(vocab, k=size)
+        for _ in range(60):
+            text = list(base)
+            for _ in range(rng.randint(0, size // 40)):
+                text[rng.randrange(size)] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, "alone"), (5, rows[5][1]), (None, rows[6][1])]
+    sets = {shingles(t) for i, t in rows if i is not None}
+    want = {i: sum(100 * len(s & x) >= 75 * len(s | x) for x in sets if x != s) for i, t in rows for s in [shingles(t)] if i is not None}
+    assert {r.doc_id: r.links for r in ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None} == want
+    assert max(want.values()) > 40
+
+
 def test_edges(spark):
     long = " ".join(f"x{i % 997}y{i % 1009}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (None, "one"), (7, "É é"), (8, "é é"), (9, long), (10, long + " tail"), (9, long), (11, "a b c d e"), (12, "a b c d e")]

@@ -154,6 +154,13 @@ def webhook_fan_out(spark, sf):
     return webhooks.fanned_out(e, c).select("event_id", "connection_id")
 
 
+@query("select e.event_id, c.c_custkey connection_id from events e join customer c on c.c_custkey = e.user_id where c.c_custkey % 4 <> 0")
+def webhook_fan_out_whole(spark, sf):
+    e = s.read(spark, sf, "events").select("event_id", F.lit("GITHUB").alias("provider"), F.col("user_id").alias("installation_id"))
+    c = s.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lit("GITHUB").alias("provider"), F.when(F.col("c_custkey") % 4 == 0, "ERROR").otherwise("ACTIVE").alias("status"), F.col("c_custkey").alias("installation_id"))
+    return webhooks.fanned_out(e, c).select("event_id", "connection_id")
+
+
 @query("select c_custkey id from customer where c_custkey % 4 in (0, 1) and (c_custkey % 7 = 0 or c_custkey % 7 > 3)")
 def syncs_due(spark, sf):
     provider = F.get(F.array(F.lit("SLACK"), F.lit("NOTION"), F.lit("LINEAR"), F.lit("GITHUB")), (F.col("c_custkey") % 4).cast("int"))

@@ -52,8 +52,11 @@ def normalised(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 def fanned_out(events: DataFrame, connections: DataFrame) -> DataFrame:
     """Events with the active connections that they concern: all of the provider, of GitHub those of the event's installation."""
-    live = connections.where(F.col("status") == "ACTIVE").select(F.col("id").alias("connection_id"), F.col("provider"), F.col("installation_id").alias("own_installation"))
-    return events.join(live, "provider").where((F.col("provider") != "GITHUB") | F.col("installation_id").isNull() | (F.col("installation_id") == F.col("own_installation"))).drop("own_installation")
+    live = connections.where(F.col("status") == "ACTIVE").select(F.col("id").alias("connection_id"), "provider", "installation_id")
+    named = F.coalesce((F.col("provider") == "GITHUB") & F.col("installation_id").isNotNull(), F.lit(False))
+    columns = ["provider", *(c for c in events.columns if c != "provider"), "connection_id"]
+    own = events.where(named).join(live, ["provider", "installation_id"]).select(columns)
+    return own.unionByName(events.where(~named).join(live.drop("installation_id"), "provider").select(columns))
 
 
 def signed(secret: str, prefix: str = "sha256="):

@@ -6,6 +6,7 @@ import io
 import json
 import os
 import random
+import re
 import zipfile
 
 import pytest
@@ -112,6 +113,15 @@ EVENTS = [
 ]
 
 
+def test_fan_out_joins_on_installations(spark):
+    conns = spark.createDataFrame([("k1", "GITHUB", "ACTIVE", 7), ("k2", "GITHUB", "ACTIVE", 8), ("k3", "GITHUB", "ACTIVE", None), ("k4", "LINEAR", "ACTIVE", 7), ("k5", "LINEAR", "ERROR", 7)], "id string, provider string, status string, installation_id long")
+    ev = spark.createDataFrame([(1, "GITHUB", 7), (2, "GITHUB", None), (3, "LINEAR", 9), (4, None, 7)], "e int, provider string, installation_id long")
+    out = webhooks.fanned_out(ev, conns)
+    assert out.columns == ["provider", "e", "installation_id", "connection_id"]
+    assert sorted((r.e, r.connection_id) for r in out.collect()) == [(1, "k1"), (2, "k1"), (2, "k2"), (2, "k3"), (3, "k4")]
+    assert re.search(r"Join \[[^\]]*installation_id", out._jdf.queryExecution().sparkPlan().toString())
+
+
 def test_webhooks(spark):
     df = spark.createDataFrame([(i, p, json.dumps(b) if b else "no json") for i, (p, b, _) in enumerate(EVENTS)], "i int, provider string, body string")
     got = {r.i: (r.action, r.external_id) for r in webhooks.normalised(df).collect()}

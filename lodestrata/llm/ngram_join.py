@@ -109,7 +109,8 @@ def keys(sets: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, bands: Bands) ->
         symbols, at = _symbols(s, n, b, bands.parts(b), 7)
         filled[kind] = np.bincount(index[at], minlength=len(sizes))
         out.append((symbols, index[at], kind))
-    unsafe = (sizes > 0) & (filled[0] <= bands.own(sizes))  # too few parts are filled: all its shingles count
+    # too few parts are filled, in its own band or the one below: all its shingles count
+    unsafe = (sizes > 0) & ((filled[0] <= bands.own(sizes)) | (bands.reaches_down(sizes, band) & (filled[1] <= bands.lower(sizes, band))))
     index = np.flatnonzero(unsafe)
     s, n = _select(sets, sizes, unsafe)
     filled[2] = np.where(unsafe, sizes, 0)

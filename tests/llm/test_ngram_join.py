@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lodestrata.llm import ngram_join
@@ -88,6 +89,20 @@ def test_links_are_all_counted(spark, monkeypatch):
     assert max(want.values()) > 40
 
 
+def test_sets_of_two_bands_share_a_symbol():
+    bands, pairs = ngram_join.Bands(), 60_000
+    rng = np.random.default_rng(7)
+    for small, large in ((4, 5), (6, 8), (7, 9)):
+        big = np.sort(rng.integers(0, 1 << 64, (pairs, large), dtype=np.uint64), axis=1)
+        sets = np.concatenate([np.sort(big[:, :small], axis=1).ravel(), big.ravel()])
+        sizes = np.repeat([small, large], pairs)
+        keys = [(symbols, owner) for symbols, owner, _, _ in ngram_join.keys(sets, sizes, None, bands)]
+        symbols, owner = (np.concatenate(x) for x in zip(*keys))
+        seen = np.unique(np.stack([symbols, (owner % pairs).astype(np.uint64), (owner // pairs).astype(np.uint64)], 1), axis=0)
+        same = (seen[1:, 0] == seen[:-1, 0]) & (seen[1:, 1] == seen[:-1, 1])
+        assert len(np.unique(seen[1:, 1][same])) == pairs
+
+
 def test_edges(spark):
     long = " ".join(f"x{i % 997}y{i % 1009}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (None, "one"), (7, "É é"), (8, "é é"), (9, long), (10, long + " tail"), (9, long), (11, "a b c d e"), (12, "a b c d e")]

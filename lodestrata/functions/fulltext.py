@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -180,6 +181,19 @@ def matches(lexemes: Column, terms: Terms) -> Column:
     return ok
 
 
+def maybe(text: Column, terms: Terms) -> Column:
+    """A test of the text itself that every match passes: a word begins like its stem, but for the stem's last two letters."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    begins = lambda w: low.contains(w[: max(1, len(w) - 2)])
+    ok = F.lit(bool(terms.wanted()))
+    for w in {*Terms.lexemes(terms.all), *(x for p in terms.phrases for x in Terms.lexemes(p))}:
+        ok = ok & begins(w)
+    for group in terms.any:
+        if words := Terms.lexemes(group):
+            ok = ok & reduce(lambda a, b: a | b, map(begins, words))
+    return ok
+
+
 def _one_of(words: list[str]):
     return lambda x: x["lexeme"].isin(words)
 

@@ -158,3 +158,8 @@ def stream_blocks(content: Column) -> Column:
     open_thought = F.when(found & full & (name == "thinking") & (body != ""), F.array(body)).otherwise(F.array().cast("array<string>"))
     thoughts = F.filter(F.transform(thinking, trimmed), lambda x: x != "")
     return F.struct(trimmed(F.when(hidden, before).otherwise(rest)).alias("text"), F.concat(thoughts, open_thought).alias("thinking"), F.transform(sources, trimmed).alias("sources"))
+
+
+def once(df, name: str, value: Column):
+    """df with a column that is worked out once: a filter on it isn't pushed below a generator, which would repeat the work."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Protocol
 
 from pyspark.sql import Column
@@ -23,6 +24,10 @@ class PatternTokenizer:
     def encode(self, text: str) -> list[str]:
         return _TOKEN.findall(text)
 
+    def starts(self, text: str) -> list[int]:
+        """Where each token begins; it ends where the next one does."""
+        return list(accumulate(map(len, _TOKEN.findall(text)), initial=0))[:-1]
+
     def decode(self, tokens: list[str]) -> str:
         return "".join(tokens)
 

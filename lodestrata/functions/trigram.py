@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scalars import once
+
 #: Least similarity of a match (the usual server default).
 THRESHOLD = 0.6
 
@@ -77,18 +79,22 @@ def query_trigrams(query: str) -> list[str]:
     return sorted({p[i : i + 3] for p in (f"  {w} " for w in _words(query)) for i in range(len(p) - 2)})
 
 
-def trigram_matches(rows: DataFrame, query: str, text: str = "content", threshold: float = THRESHOLD) -> DataFrame:
+def trigram_matches(rows: DataFrame, query: str, text: str = "content", threshold: float = THRESHOLD, stored: str | None = None) -> DataFrame:
     """rows with word_similarity, those at or above the threshold.
 
     The share of the query's trigrams that a text has at all bounds the measure from above, so texts
-    below it are dropped by built-in functions and only the rest are searched for the best stretch.
+    below it are dropped by built-in functions and only the rest are searched for the best stretch. stored names a
+    column of a text's distinct trigrams, kept since ingest.
     """
     wanted = query_trigrams(query)
     if not wanted:
         return rows.limit(0).withColumn("word_similarity", F.lit(0.0))
     named = F.array(*map(F.lit, wanted))
-    low, least = F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(threshold * len(wanted) - 1e-9)
-    # cheaper still: a text that has a trigram has its letters; blanks stand for the edge of a word
-    seen = sum((F.when(low.contains(g.strip()), 1).otherwise(0) for g in wanted), F.lit(0))
-    near = rows.where(seen >= least).withColumn("grams", ordered_trigrams(F.col(text))).where(F.size(F.array_intersect("grams", named)) >= least)
+    least = F.lit(threshold * len(wanted) - 1e-9)
+    if stored:
+        rows = rows.where(F.size(F.array_intersect(stored, named)) >= least)
+    else:  # cheaper than trigrams: a text that has one has its letters; blanks stand for the edge of a word
+        low = F.lower(F.coalesce(F.col(text), F.lit("")))
+        rows = rows.where(sum((F.when(low.contains(g.strip()), 1).otherwise(0) for g in wanted), F.lit(0)) >= least)
+    near = once(rows, "grams", ordered_trigrams(F.col(text))).where(F.size(F.array_intersect("grams", named)) >= least)
     return with_similarity(near, query, "grams").where(F.col("word_similarity") >= threshold)

@@ -57,18 +57,25 @@ GAP, WIDTH, HEIGHT = 20, 400, 300
 def free_slots(cards: DataFrame, key: str = "thread_id", most: int = 3) -> DataFrame:
     """(thread_id, place, x, y): the first places, left to right and then down, where a new card overlaps none.
 
-    Places to try follow from the right and lower ends of a thread's cards. If none is free, one right of
-    everything and one below.
+    Places to try follow from the right and lower ends of a thread's cards. Below all cards every x has a free place,
+    so the first most of them are all that is looked at, and a thread's boxes stay one row. If none is free, one right
+    of everything and one below.
     """
-    right, low = F.col("x") + F.col("width"), F.col("y") + F.col("height")
-    boxes = cards.select(key, F.col("x").alias("x1"), F.col("y").alias("y1"), right.alias("x2"), low.alias("y2"))
-    t = boxes.groupBy(key).agg(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("double")), F.collect_list((F.col("x2") + GAP).cast("double"))))).alias("xs"), F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("double")), F.collect_list((F.col("y2") + GAP).cast("double"))))).alias("ys"), F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
-    tried = t.select(key, "ys", "boxes", F.explode("xs").alias("x")).select(key, "boxes", "x", F.explode("ys").alias("y"))
-    hit = F.exists("boxes", lambda o: (F.col("x") < o["x2"] + GAP) & (F.col("x") + WIDTH + GAP > o["x1"]) & (F.col("y") < o["y2"] + GAP) & (F.col("y") + HEIGHT + GAP > o["y1"]))
-    free = tried.where(~hit).withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("x", "y"))).where(F.col("place") <= most).select(key, "place", "x", "y")
-    beyond = boxes.groupBy(key).agg(F.max("x2").alias("mx"), F.max("y2").alias("my")).join(free.select(key).distinct(), key, "left_anti")
-    spare = beyond.select(key, F.explode(F.array(F.struct(F.lit(1).alias("place"), (F.col("mx") + GAP).cast("double").alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(2).alias("place"), F.lit(0.0).alias("x"), (F.col("my") + GAP).cast("double").alias("y")))).alias("s")).select(key, "s.*")
-    return free.unionByName(spare)
+    box = F.struct(F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), (F.col("x") + F.col("width")).cast("double").alias("x2"), (F.col("y") + F.col("height")).cast("double").alias("y2"))
+    t = cards.groupBy(key).agg(F.collect_list(box).alias("boxes"))
+    ends = lambda side: F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.transform("boxes", lambda o: o[side] + GAP))))
+    t = t.select(key, "boxes", F.slice(ends("x2"), 1, most).alias("xs"), ends("y2").alias("ys"))
+
+    def free_at(x):
+        near = F.filter("boxes", lambda o: (x < o["x2"] + GAP) & (x + WIDTH + GAP > o["x1"]))
+        clear = lambda boxes: F.filter("ys", lambda y: ~F.exists(boxes, lambda o: (y < o["y2"] + GAP) & (y + HEIGHT + GAP > o["y1"])))
+        return F.transform(F.slice(F.flatten(F.transform(F.array(near), clear)), 1, most), lambda y: F.struct(x.alias("x"), y.alias("y")))
+
+    free = F.slice(F.flatten(F.transform("xs", free_at)), 1, most)
+    right, low = (F.array_max(F.col(f"boxes.{side}")) + GAP for side in ("x2", "y2"))
+    spare = F.array(F.struct(right.alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(0.0).alias("x"), low.alias("y")))
+    places = t.select(key, F.posexplode(F.when(F.size(free) > 0, free).otherwise(spare)).alias("place", "at"))
+    return places.select(key, (F.col("place") + 1).alias("place"), "at.x", "at.y")
 
 
 def valid_edges(edges: DataFrame, cards: DataFrame, key: str = "thread_id") -> DataFrame:

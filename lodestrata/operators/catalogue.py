@@ -137,6 +137,23 @@ def page(ordered: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
     return ordered.offset((number - 1) * size).limit(size)
 
 
+def page_with_total(ordered: DataFrame, number: int = 1, size: int = 20) -> DataFrame:
+    """One row (items, total, page, limit): a page's rows in order, and how many rows there are on all pages.
+
+    Rows are numbered behind the sort and limit of the page only; the total is a count of its own that reads no column.
+    """
+    rows = page(ordered, number, size)
+    at = F.struct(F.monotonically_increasing_id().alias("at"), F.struct(*rows.columns).alias("item"))
+    items = rows.coalesce(1).select(at.alias("x")).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["item"]).alias("items"))
+    total = ordered.agg(F.count(F.lit(1)).alias("total"))
+    return items.join(total, how="cross").select("items", "total", F.lit(number).alias("page"), F.lit(size).alias("limit"))
+
+
+def found(df: DataFrame, org_id, key, id_col: str = "id", org_col: str = "org_id") -> DataFrame:
+    """The row of an id within its tenant; another tenant's row is as good as none."""
+    return df.where((F.col(org_col) == F.lit(org_id)) & (F.col(id_col) == F.lit(key))).limit(1)
+
+
 def newest_first(df: DataFrame, column: str = "created_at", key: str = "id") -> DataFrame:
     return df.orderBy(F.desc_nulls_last(column), F.asc_nulls_last(key))
 

@@ -6,6 +6,7 @@ relates chunks to pages is joins and windows. Rows are packed by a fold over the
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,50 +29,88 @@ class Size:
     least: int = 40
 
 
-def segments(text: str, most: int, tok: Tokenizer, level: int = 0) -> Iterator[str]:
-    """Stretches of at most most tokens that join to text, cut at the coarsest break that will do; the break stays at the left."""
-    if len(tok.encode(text)) <= most:
-        yield text
+class Ends:
+    """A text's tokens by their places: how many a stretch of it has, and where its last ones begin.
+
+    Tokens of the pattern follow each other without a gap, and what a break can cut is white space, both parts
+    of which are a token again; so a stretch has as many tokens as it touches, and the text is encoded once.
+    """
+
+    def __init__(self, text: str, tok: PatternTokenizer):
+        self.starts = tok.starts(text)
+
+    def count(self, a: int, b: int) -> int:
+        return bisect_left(self.starts, b) - bisect_right(self.starts, a) + 1 if a < b else 0
+
+    def last(self, a: int, b: int, n: int) -> int:
+        """Where the last n tokens of a stretch begin."""
+        return max(a, self.starts[max(0, bisect_left(self.starts, b) - n)])
+
+
+class Encoded:
+    """The same for a tokenizer whose tokens of a stretch aren't those of the whole: each stretch is encoded."""
+
+    def __init__(self, text: str, tok: Tokenizer):
+        self.text, self.tok = text, tok
+
+    def count(self, a: int, b: int) -> int:
+        return len(self.tok.encode(self.text[a:b]))
+
+
+def segments(text: str, a: int, b: int, most: int, tokens, level: int = 0) -> Iterator[tuple[int, int]]:
+    """Stretches of text[a:b] of at most most tokens, one after another, cut at the coarsest break that will do; the break stays at the left."""
+    if tokens.count(a, b) <= most:
+        yield a, b
     elif level == len(BREAKS):
-        ids = tok.encode(text)
-        yield from (tok.decode(ids[i : i + most]) for i in range(0, len(ids), most))
-    elif BREAKS[level] not in text:
-        yield from segments(text, most, tok, level + 1)
+        if isinstance(tokens, Ends):
+            first = bisect_right(tokens.starts, a) - 1
+            cuts = [a, *tokens.starts[first + most : bisect_left(tokens.starts, b) : most], b]
+        else:
+            ids = tokens.tok.encode(text[a:b])
+            lengths = [len(tokens.tok.decode(ids[i : i + most])) for i in range(0, len(ids), most)]
+            cuts = [a, *(a + sum(lengths[: i + 1]) for i in range(len(lengths)))]
+        yield from zip(cuts, cuts[1:])
     else:
-        *heads, tail = text.split(BREAKS[level])
-        for part in [h + BREAKS[level] for h in heads] + [tail]:
-            yield from segments(part, most, tok, level + 1)
+        mark = BREAKS[level]
+        at = a
+        while (found := text.find(mark, at, b)) >= 0:
+            yield from segments(text, at, found + len(mark), most, tokens, level + 1)
+            at = found + len(mark)
+        yield from segments(text, at, b, most, tokens, level + 1)
 
 
-def joined_up(parts: Iterator[str], size: Size, tok: Tokenizer) -> list[str]:
+def joined_up(parts: Iterator[tuple[int, int]], size: Size, tokens) -> list[tuple[int, int]]:
     """Neighbouring segments joined while they fit; one left too small goes to the chunk before if there is room."""
-    runs: list[list] = []  # text and sum of its segments' tokens
-    for part in parts:
-        n = len(tok.encode(part))
-        if runs and runs[-1][1] + n <= size.most:
-            runs[-1][0] += part
-            runs[-1][1] += n
+    runs: list[list[int]] = []  # begin, end and sum of its segments' tokens
+    for a, b in parts:
+        n = tokens.count(a, b)
+        if runs and runs[-1][2] + n <= size.most:
+            runs[-1][1] = b
+            runs[-1][2] += n
         else:
-            runs.append([part, n])
-    out: list[str] = []
-    for text, n in runs:
-        if n < size.least and out and len(tok.encode(out[-1])) + n <= size.most:
-            out[-1] += text
-        elif text:
-            out.append(text)
+            runs.append([a, b, n])
+    out: list[tuple[int, int]] = []
+    for a, b, n in runs:
+        if n < size.least and out and tokens.count(*out[-1]) + n <= size.most:
+            out[-1] = out[-1][0], b
+        elif a < b:
+            out.append((a, b))
     return out
 
 
 def split_text(text: str, size: Size = Size(), tok: Tokenizer | None = None) -> list[str]:
     """Chunks of a text, each led by the last tokens of the one before. A text that fits is one chunk, or none if it is blank or too small."""
     tok = tok or PatternTokenizer()
-    n = len(tok.encode(text))
+    tokens = Ends(text, tok) if isinstance(tok, PatternTokenizer) else Encoded(text, tok)
+    n = tokens.count(0, len(text))
     if n <= size.most:
         return [text] if text.strip() and n >= size.least else []
-    base = joined_up(segments(text, size.most, tok), size, tok)
+    base = joined_up(segments(text, 0, len(text), size.most, tokens), size, tokens)
     if size.overlap <= 0:
-        return base
-    return base[:1] + [tok.decode(tok.encode(a)[-size.overlap :]) + b for a, b in zip(base, base[1:])]
+        return [text[a:b] for a, b in base]
+    if isinstance(tokens, Ends):
+        return [text[base[0][0] : base[0][1]]] + [text[tokens.last(*x, size.overlap) : y[1]] for x, y in zip(base, base[1:])]
+    return [text[base[0][0] : base[0][1]]] + [tok.decode(tok.encode(text[a:b])[-size.overlap :]) + text[c:d] for (a, b), (c, d) in zip(base, base[1:])]
 
 
 def splitter(size: Size = Size(), tok: Tokenizer | None = None):

@@ -29,10 +29,15 @@ def numbered(new: DataFrame, existing: DataFrame | None = None, key: str = "data
     out = new.withColumn(at, F.row_number().over(w) - 1)
     if existing is None:
         return out
-    offset = existing.groupBy(key).agg((F.max(at) + 1).alias("offset"))
+    offset = last_index(existing, key, at).select(key, (F.col("last_index") + 1).alias("offset"))
     return out.join(offset, key, "left").withColumn(at, F.col(at) + F.coalesce("offset", F.lit(0))).drop("offset")
 
 
+def last_index(rows: DataFrame, key: str = "data_source_id", at: str = "chunk_index") -> DataFrame:
+    """(data_source_id, last_index): the largest number that a source's chunks have."""
+    return rows.groupBy(key).agg(F.max(at).alias("last_index"))
+
+
 def appended(existing: DataFrame, new: DataFrame, key: str = "data_source_id", order: str = "position", at: str = "chunk_index") -> DataFrame:
     return existing.unionByName(numbered(new, existing, key, order, at).select(existing.columns))
 

@@ -14,33 +14,50 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fulltext, trigram
+from ..functions.scalars import once
 from ..functions.vectors import cosine
+from ..store import cut
 from .filters import filtered
 
 K, WEIGHTS = 60, (0.5, 0.3, 0.2)
 DEFAULT_LIMIT, MOST = 10, 50
+#: Columns of what ingest stores for the text and trigram legs.
+LEXEMES, TRIGRAMS = "lexemes", "trigrams"
+
+
+def indexed(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """chunks with what search() finds stored, to be written at ingest: lexemes with positions, and distinct trigrams."""
+    return chunks.withColumns({LEXEMES: fulltext.analyzed(F.col(text)), TRIGRAMS: trigram.trigrams(F.col(text))})
+
+
+def _stored(chunks: DataFrame, column: str) -> str | None:
+    return column if column in chunks.columns else None
 
 
 def ranked(leg: DataFrame, score: str, k: int, at: int, key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, leg, rank) of the k best; the window sees k rows at most."""
-    best = leg.where(F.col(score).isNotNull()).select(key, score).orderBy(F.desc(score), key).limit(k)
+    """(chunk_id, leg, rank) of the k best of a score without nulls; the window sees k rows at most."""
+    best = leg.select(key, score).orderBy(F.desc(score), key).limit(k)
     return best.select(key, F.lit(at).alias("leg"), F.row_number().over(W.orderBy(F.desc(score), key)).alias("rank"))
 
 
 def vector_leg(chunks: DataFrame, query: list[float], k: int) -> DataFrame:
     q = F.array(*(F.lit(float(x)) for x in query))
-    return ranked(chunks.withColumn("score", cosine(F.col("embedding"), q)), "score", k, 0)
+    return ranked(once(chunks.select("chunk_id", "embedding"), "score", cosine(F.col("embedding"), q)).where("score is not null"), "score", k, 0)
 
 
 def text_leg(chunks: DataFrame, terms: fulltext.Terms, k: int, lexemes: str | None = None) -> DataFrame:
-    """Over the stored lexemes column if there is one, else over the content."""
-    x = chunks.withColumn("lex", F.col(lexemes) if lexemes else fulltext.analyzed(F.col("content")))
-    hit = x.where(fulltext.matches(F.col("lex"), terms))
-    return ranked(hit.withColumn("score", fulltext.rank(F.col("lex"), terms)), "score", k, 1)
+    """Over the stored lexemes column if there is one, else over the content, of which only texts that may match are analysed."""
+    if lexemes:
+        x = chunks.select("chunk_id", F.col(lexemes).alias("lex"))
+    else:
+        x = once(chunks.where(fulltext.maybe(F.col("content"), terms)).select("chunk_id", "content"), "lex", fulltext.analyzed(F.col("content"))).drop("content")
+    return ranked(x.where(fulltext.matches(F.col("lex"), terms)).select("chunk_id", fulltext.rank(F.col("lex"), terms).alias("score")), "score", k, 1)
 
 
-def trigram_leg(chunks: DataFrame, query: str, k: int, threshold: float = trigram.THRESHOLD) -> DataFrame:
-    return ranked(trigram.trigram_matches(chunks.select("chunk_id", "content"), query, "content", threshold), "word_similarity", k, 2)
+def trigram_leg(chunks: DataFrame, query: str, k: int, threshold: float = trigram.THRESHOLD, stored: str | None = None) -> DataFrame:
+    """Over the stored trigrams for a first choice if there are any; the best stretch is always looked for in the content."""
+    x = chunks.select("chunk_id", "content", *([stored] if stored else []))
+    return ranked(trigram.trigram_matches(x, query, "content", threshold, stored).select("chunk_id", "word_similarity"), "word_similarity", k, 2)
 
 
 def fused(legs: list[DataFrame], weights: tuple[float, ...] = WEIGHTS, key: str = "chunk_id") -> DataFrame:
@@ -88,14 +105,16 @@ def reranked(results: DataFrame, semantic: str = "semantic", key: str = "chunk_i
     return x.withColumn("score", F.when(use, blend).otherwise(F.col("rrf"))).drop("total", "scored")
 
 
-def with_context(results: DataFrame, chunks: DataFrame, key: str = "chunk_id", preview: int = 500) -> DataFrame:
+def with_context(results: DataFrame, chunks: DataFrame, key: str = "chunk_id", preview: int = 500, few: bool = False) -> DataFrame:
     """results with the beginnings of the chunks just before and after in the same source.
 
-    Only neighbours at exactly one place apart count. The few wanted places are joined, not the chunks
-    sorted; of several chunks at one place the one with the largest id counts.
+    Only neighbours at exactly one place apart count. The wanted places are joined, not the chunks
+    sorted; of several chunks at one place the one with the largest id counts. few says that results are known to be
+    few, as a search's are, so that their places may be sent to all tasks.
     """
     wanted = results.select(key, "data_source_id", F.explode(F.array(*(F.struct((F.col("chunk_index") + d).alias("chunk_index"), F.lit(d).alias("side")) for d in (-1, 1)))).alias("x")).select(key, "data_source_id", "x.*")
-    at = chunks.join(F.broadcast(wanted.select("data_source_id", "chunk_index").distinct()), ["data_source_id", "chunk_index"], "left_semi")
+    places = wanted.select("data_source_id", "chunk_index").distinct()
+    at = chunks.join(F.broadcast(places) if few else places, ["data_source_id", "chunk_index"], "left_semi")
     beside = at.groupBy("data_source_id", "chunk_index").agg(F.max_by(F.substring("content", 1, preview), key).alias("beside"))
     sides = wanted.join(beside, ["data_source_id", "chunk_index"]).groupBy(key).agg(F.max(F.when(F.col("side") == -1, F.col("beside"))).alias("context_before"), F.max(F.when(F.col("side") == 1, F.col("beside"))).alias("context_after"))
     return results.join(sides, key, "left")
@@ -131,13 +150,14 @@ def search(chunks: DataFrame, sources: DataFrame, request: Request, scorer=None)
     """Results in order, with name and link of their source.
 
     chunks: chunk_id, org_id, content, chunk_index, metadata, embedding, data_source_id, collection_id,
-    source_url. sources: id, title. Legs fetch twice the limit, three times with rerank, which sees all
-    that the legs found before the cut to the limit.
+    source_url, and what indexed() adds if it is stored. sources: id, title. Legs fetch twice the limit, three times
+    with rerank, which sees all that the legs found before the cut to the limit. The best rows are written once, before
+    their neighbours are looked up.
     """
     base = filtered(chunks, request.org_id, list(request.collections), list(request.filters))
     k = request.limit * (3 if request.rerank else 2)
     terms = request.terms or fulltext.Terms(all=tuple(trigram._words(request.query)))
-    legs = [vector_leg(base, request.vector, k), text_leg(base, terms, k), trigram_leg(base, request.query, k)]
+    legs = [vector_leg(base, request.vector, k), text_leg(base, terms, k, _stored(chunks, LEXEMES)), trigram_leg(base, request.query, k, stored=_stored(chunks, TRIGRAMS))]
     found = F.broadcast(fused(legs))  # 9 * limit rows at most
     payload = chunks.where(F.col("org_id") == F.lit(request.org_id)).select("chunk_id", "content", "metadata", "chunk_index", "data_source_id", "collection_id", "source_url")
     rows = payload.join(found, "chunk_id")
@@ -151,10 +171,41 @@ def search(chunks: DataFrame, sources: DataFrame, request: Request, scorer=None)
     names = sources.select(F.col("id").alias("data_source_id"), F.col("title").alias("data_source_name"))
     top = top.join(names, "data_source_id")
     if request.expand_context:
-        top = with_context(top, chunks.where(F.col("org_id") == F.lit(request.org_id)))
+        top = with_context(cut(top, "top"), chunks.where(F.col("org_id") == F.lit(request.org_id)), few=True)
     return top.orderBy(*order).drop("rrf", "first_leg", "first_rank")
 
 
+# names of the response's fields (fixed values)
+RESPONSE = {
+    "chunk_id": "chunkId", "content": "content", "score": "score", "metadata": "metadata", "data_source_name": "dataSourceName", "data_source_id": "dataSourceId",
+    "source_url": "sourceUrl", "collection_id": "collectionId", "context_before": "contextBefore", "context_after": "contextAfter",
+}
+
+
+def response(results: DataFrame) -> DataFrame:
+    """Results as a client gets them: the public fields under their names there, in their order; what isn't there is left out."""
+    return results.select(*(F.col(c).alias(n) for c, n in RESPONSE.items() if c in results.columns))
+
+
+def tool_request(org_id, query: str, vector: list[float], top: int = 5, types: tuple = (), author: str | None = None, collections: tuple = ()) -> Request:
+    """The search that an agent's tool call stands for: one type is an equality, several are a list; reranked, with context."""
+    chosen = [{"field": "type", "operator": "eq", "value": types[0]}] if len(types) == 1 else [{"field": "type", "operator": "in", "value": list(types)}] if types else []
+    if author:
+        chosen.append({"field": "slackAuthors", "operator": "eq", "value": author})
+    return Request(org_id, query, vector, collections, tuple(chosen), top, rerank=True, expand_context=True)
+
+
+# what an agent is told when nothing was found (fixed value)
+NOTHING_FOUND = "No results found. Consider searching with different terms or breaking the query into sub-queries."
+
+
+def tool_answer(results: DataFrame) -> DataFrame:
+    """One row (results, total_results, suggestion) of a search's rows in order, as its tool returns them."""
+    shown = response(results.coalesce(1)).select(F.struct(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("r")).alias("x"))
+    g = shown.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("results"))
+    return g.select("results", F.size("results").alias("total_results"), F.when(F.size("results") == 0, NOTHING_FOUND).alias("suggestion"))
+
+
 def tool_sources(results: DataFrame) -> DataFrame:
     """Of tool outputs (tool, result as JSON, seq), the sources of searches that are complete, in order."""
     schema = "array<struct<chunkId string, content string, score double, dataSourceId string, dataSourceName string>>"

@@ -62,6 +62,11 @@ def by_member(log: DataFrame, users: DataFrame) -> DataFrame:
     return named.select("user_id", member_name(F.col("first_name"), F.col("last_name")).alias("name"), "requests", *SUMS).orderBy(F.desc("total_tokens"), F.asc_nulls_last("user_id"))
 
 
+def cost_by_member(log: DataFrame) -> DataFrame:
+    """(user_id, cost) of a period, calls of no member under null."""
+    return log.groupBy("user_id").agg(F.sum("cost").alias("cost"))
+
+
 def report(log: DataFrame, users: DataFrame) -> dict[str, DataFrame]:
     """All six reports of one period. The window is a filter on the scan, so each reads only its own columns of it."""
     return {"summary": summary(log), "daily": daily(log), "by_model": by_model(log), "by_request_type": by_request_type(log), "by_source": by_source(log), "by_member": by_member(log, users)}
@@ -78,9 +83,12 @@ def report_in_one_scan(log: DataFrame) -> DataFrame:
 
 
 def throttle(requests: DataFrame, limits: tuple[tuple[str, int], ...] = (("1 second", 10), ("60 seconds", 100), ("3600 seconds", 1000)), key: str = "key", ts: str = "ts") -> DataFrame:
-    """(key, period, window_start, requests, blocked): fixed windows, and how many of each window were over the limit."""
-    parts = [requests.groupBy(F.col(key).alias("key"), F.window(ts, p).alias("w")).agg(F.count(F.lit(1)).alias("requests")).select("key", F.lit(p).alias("period"), F.col("w.start").alias("window_start"), "requests", F.greatest(F.lit(0), F.col("requests") - n).alias("blocked")) for p, n in limits]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    """(key, period, window_start, requests, blocked): fixed windows, and how many of each window were over the limit.
+
+    One scan: a request counts in its window of each period, and counts are added up before the shuffle.
+    """
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    window = lambda p, n: F.struct(F.lit(p).alias("period"), F.lit(n).alias("most"), F.timestamp_seconds(at - F.pmod(at, F.lit(int(p.split()[0])))).alias("window_start"))
+    each = requests.select(F.col(key).alias("key"), F.explode(F.array(*(window(p, n) for p, n in limits))).alias("w"))
+    counts = each.groupBy("key", "w.period", "w.most", "w.window_start").agg(F.count(F.lit(1)).alias("requests"))
+    return counts.select("key", "period", "window_start", "requests", F.greatest(F.lit(0), F.col("requests") - F.col("most")).alias("blocked"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import ids, scalars
-from ..operators import cards, catalogue, dml, filters
+from ..operators import cards, catalogue, dml, filters, search
 from ..operators.chunking import csv_rows
 from ..sources import connectors, files, formats, webhooks
+from ..store import folder
 from ..streaming import sync
 from . import stand_ins as s
 from .registry import query
@@ -19,13 +22,13 @@ def live_tokens(spark, sf):
     return catalogue.live_tokens(e, "click", F.lit("2024-01-20").cast("timestamp_ntz")).select("id")
 
 
-@query("select event_id id from events where event_id % 9 <> 0 and (event_id % 5 = 0 or user_id % 40 in (select user_id % 40 from events where event_id % 1000 = 7 and user_id % 3 = 1))")
+@query("select event_id id from events where event_id % 9 <> 0 and (event_id % 5 = 0 or user_id % 40 in (select user_id % 40 from events where user_id % 6 = 1))")
 def visible_shares(spark, sf):
     e = s.read(spark, sf, "events")
     packed = ids.pack_id(F.col("user_id") % 40, F.lit(1704067200123), F.lit(ids.ENTITY_BYTES["SharedChat"]), F.col("event_id"))
     shares = e.select(F.col("event_id"), packed.alias("id"), (F.col("event_id") % 5 == 0).alias("is_public"), (F.col("event_id") % 9 == 0).alias("revoked"))
-    mine = e.where("event_id % 1000 = 7").select(packed.alias("id"), (F.col("user_id") % 3).alias("user_id"))
-    return catalogue.visible_shares(shares, mine, 1).select(F.col("event_id").alias("id"))
+    members = e.select(packed.alias("id"), (F.col("user_id") % 6).alias("user_id"))
+    return catalogue.visible_shares(shares, members, 1).select(F.col("event_id").alias("id"))
 
 
 @query("select p_partkey id, p_partkey in (select l_partkey from lineitem where l_quantity >= 50) selected from part")
@@ -147,11 +150,17 @@ def document_lines(spark, sf):
     return d.select("doc_id", F.explode("csv.rows").alias("r")).select("doc_id", "r.row", F.col("r.text").alias("line"))
 
 
-@query("select e.event_id, c.c_custkey connection_id from events e join customer c on c.c_custkey <= 20 and c.c_custkey % 5 = e.event_id % 5 where e.event_id % 50 = 0 and c.c_custkey % 4 <> 0")
+@query(
+    """select e.event_id, c.c_custkey connection_id from events e join customer c on c.c_custkey = e.user_id where e.event_id % 2 = 0 and c.c_custkey % 4 <> 0
+    union all select e.event_id, -1 - r_regionkey from events e, region where e.event_id % 2 = 1 and r_regionkey <> 2"""
+)
 def webhook_fan_out(spark, sf):
-    e = s.read(spark, sf, "events").where("event_id % 50 = 0").select("event_id", F.lit("GITHUB").alias("provider"), (F.col("event_id") % 5).alias("installation_id"))
-    c = s.read(spark, sf, "customer").where("c_custkey <= 20").select(F.col("c_custkey").alias("id"), F.lit("GITHUB").alias("provider"), F.when(F.col("c_custkey") % 4 == 0, "ERROR").otherwise("ACTIVE").alias("status"), (F.col("c_custkey") % 5).alias("installation_id"))
-    return webhooks.fanned_out(e, c).select("event_id", "connection_id")
+    """Of each GitHub installation its customer, of Slack (odd events) a connection for each region."""
+    github, none = F.col("event_id") % 2 == 0, F.lit(None).cast("long")
+    e = s.read(spark, sf, "events").select("event_id", F.when(github, "GITHUB").otherwise("SLACK").alias("provider"), F.when(github, F.col("user_id")).alias("installation_id"))
+    c = s.read(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.lit("GITHUB").alias("provider"), F.when(F.col("c_custkey") % 4 == 0, "ERROR").otherwise("ACTIVE").alias("status"), F.col("c_custkey").alias("installation_id"))
+    r = s.read(spark, sf, "region").select((-1 - F.col("r_regionkey")).cast("long").alias("id"), F.lit("SLACK").alias("provider"), F.when(F.col("r_regionkey") == 2, "ERROR").otherwise("ACTIVE").alias("status"), none.alias("installation_id"))
+    return webhooks.fanned_out(e, c.unionByName(r)).select("event_id", "connection_id")
 
 
 @query("select e.event_id, c.c_custkey connection_id from events e join customer c on c.c_custkey = e.user_id where c.c_custkey % 4 <> 0")
@@ -180,11 +189,11 @@ def sync_merge(spark, sf):
     return sync.merged_batch(none, b)
 
 
-@query("select o_orderkey thread_id, cast(o_custkey as varchar) source, cast(o_custkey + 1 as varchar) target from orders where o_custkey % 2 = 0 and o_custkey % 6 <> 5")
+@query("select o_orderkey thread_id, cast(o_custkey as varchar) source, cast(o_custkey + 1 as varchar) target from orders where o_orderkey % 3 <> 0 and o_orderkey % 5 <> 0")
 def valid_edges(spark, sf):
-    o = s.read(spark, sf, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("thread_id"), F.col("o_custkey").cast("string").alias("source"), (F.col("o_custkey") + 1).cast("string").alias("target"))
-    c = o.select("thread_id", F.explode(F.array("source", "target")).alias("id"))
-    return cards.valid_edges(o, c)
+    o = s.read(spark, sf, "orders").select(F.col("o_orderkey").alias("thread_id"), F.col("o_custkey").cast("string").alias("source"), (F.col("o_custkey") + 1).cast("string").alias("target"))
+    first, second = F.when(F.col("thread_id") % 3 != 0, F.col("source")), F.when(F.col("thread_id") % 5 != 0, F.col("target"))
+    return cards.valid_edges(o, o.select("thread_id", F.explode(F.array(first, second)).alias("id")).where("id is not null"))
 
 
 @query("select event_id, 'Issue E-' || event_id || ': ' || event_type || chr(10) || 'Status: Open | Team: T' || chr(10) || 'Labels: a, b' header, 'Comment on E-' || event_id || ' (' || event_type || ') | Open' as context from events")
@@ -206,3 +215,135 @@ def block_texts(spark, sf):
 def checklist_and_best(spark, sf):
     o = s.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.struct(F.col("o_orderpriority").alias("text"), (F.col("o_orderstatus") == "F").alias("checked"))).alias("items"), F.collect_list(F.col("o_totalprice").cast("string")).alias("values"))
     return o.select("id", cards.completed(F.col("items")).alias("completed"), cards.best_value(F.concat("values", F.array(F.lit("n/a")))).alias("best"))
+
+
+@query("select event_id, cast(epoch_us(ts) // 1000 as bigint) millis, user_id % 3 = 0 or user_id % 2 = 0 as one_org from events")
+def id_times_and_orgs(spark, sf):
+    e = s.read(spark, sf, "events")
+    pack = lambda org: ids.pack_id(org, F.unix_millis(F.col("ts").cast("timestamp")), F.lit(ids.ENTITY_BYTES["Chunk"]), F.col("event_id"))
+    three = F.array(pack(F.lit(7)), pack(F.when(F.col("user_id") % 3 == 0, 0).otherwise(7)), pack(F.when((F.col("user_id") % 3 == 0) | (F.col("user_id") % 2 == 0), 7).otherwise(8)))
+    return e.select("event_id", F.unix_millis(ids.created_at(F.get(three, 0))).alias("millis"), ids.one_org(three).alias("one_org"))
+
+
+@query("select event_id, event_type || ', x' || user_id as labels, case when event_id % 2 = 0 then 'T' || user_id else 'Untitled' end as title, event_type as bare from events")
+def labels_and_titles(spark, sf):
+    e = s.read(spark, sf, "events")
+    labels = F.parse_json(F.format_string('[{"name":"%s"},"x%d",{"id":1}]', "event_type", "user_id"))
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("T"), F.col("user_id").cast("string"))).otherwise("")
+    titles = F.array(F.lit(None).cast("string"), F.lit(""), text)
+    return e.select("event_id", F.array_join(formats.label_names(labels), ", ").alias("labels"), formats.page_title(titles).alias("title"), scalars.without_quotes(F.concat(F.lit('"'), "event_type", F.lit('"'))).alias("bare"))
+
+
+@query("select doc_id chunk_id from documents where lang <> 'de' and doc_id % 4 = 3 and doc_id % 6 = 3")
+def filter_issue_of_tenant(spark, sf):
+    """One issue's chunks, of one tenant of several."""
+    d = s.read(spark, sf, "documents")
+    meta = F.struct(F.when(F.col("doc_id") % 4 == 3, "LINEAR").otherwise("TXT").alias("type"), F.when(F.col("doc_id") % 4 == 3, F.concat(F.lit("I"), (F.col("doc_id") % 6).cast("string"))).alias("linearIssueId"))
+    c = d.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("lang") == "de", 2).when(F.col("lang").isNotNull(), 1).alias("org_id"), meta.alias("metadata"))
+    return filters.filtered(c, 1, None, [{"field": "linearIssueId", "value": "I3"}]).select("chunk_id")
+
+
+@query("select o_orderkey id, 'live' as kind from orders where o_orderstatus <> 'F' union all select o_orderkey, 'all' from orders")
+def listed_keys(spark, sf):
+    o = s.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("revoked_at"))
+    return catalogue.live_keys(o).select("id", F.lit("live").alias("kind")).unionByName(catalogue.live_keys(o, True).select("id", F.lit("all").alias("kind")))
+
+
+@query("select p_partkey id from part where contains(lower(p_name), 'ar')")
+def names_containing(spark, sf):
+    p = s.read(spark, sf, "part")
+    return p.where(scalars.contains_ignoring_case(F.col("p_name"), "aR")).select(F.col("p_partkey").alias("id"))
+
+
+@query(
+    """select c_custkey id, case when c_custkey % 3 = 0 then c_name end team, case when c_custkey % 3 = 1 then c_nationkey end installation, cast(null as varchar) as bot from customer"""
+)
+def public_states(spark, sf):
+    provider = F.get(F.array(F.lit("SLACK"), F.lit("GITHUB"), F.lit("OTHER")), (F.col("c_custkey") % 3).cast("int"))
+    state = F.struct(F.col("c_name").alias("teamDomain"), F.col("c_nationkey").alias("installationId"), F.lit("B1").alias("botUserId"))
+    out = catalogue.public_state(s.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), provider.alias("provider"), state.alias("provider_data")))
+    kept = out.schema["provider_data"].dataType.fieldNames()
+    return out.select("id", F.col("provider_data.teamDomain").alias("team"), F.col("provider_data.installationId").alias("installation"), (F.col("provider_data.botUserId") if "botUserId" in kept else F.lit(None)).cast("string").alias("bot"))
+
+
+@query("select event_id, event_id % 3 <> 0 as genuine, event_id % 700 <= 300 as fresh from events")
+def signed_events(spark, sf):
+    """A third of the events carry the signature of another body; they came up to 699 seconds ago."""
+    e = s.read(spark, sf, "events").select("event_id", F.coalesce("props", F.lit("")).alias("body"))
+    mac = webhooks.hmac_sha256(F.lit("key"), F.when(F.col("event_id") % 3 == 0, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    now = F.lit("2024-01-31").cast("timestamp")
+    sent = now - F.make_interval(secs=(F.col("event_id") % 700).cast("decimal(18,6)"))
+    return e.select("event_id", webhooks.signed("key")(F.col("body"), F.concat(F.lit("sha256="), mac)).alias("genuine"), webhooks.fresh(sent, now).alias("fresh"))
+
+
+@query("select conv_id seq, cast(turn as integer) pos, 'c' || conv_id || '-' || turn as chunk, text as content from conversations where turn % 3 <> 1 and conv_id % 2 = 0")
+def sources_of_tools(spark, sf):
+    """Results of searches that lack a field are left out, other tools' results too."""
+    c = s.messages(spark, sf)
+    name = F.when(F.col("pos") % 3 != 1, F.lit("n"))
+    one = F.struct(F.concat(F.lit("c"), F.col("thread_id").cast("string"), F.lit("-"), F.col("pos").cast("string")).alias("chunkId"), F.col("text").alias("content"), F.lit(0.5).alias("score"), F.lit("d").alias("dataSourceId"), name.alias("dataSourceName"))
+    g = c.select("thread_id", F.struct("pos", one.alias("r")).alias("x")).groupBy("thread_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("results"), F.sort_array(F.collect_list("x.pos")).alias("places"))
+    tools = g.select(F.col("thread_id").alias("seq"), F.when(F.col("thread_id") % 2 == 0, "rag-search").otherwise("other").alias("tool"), F.to_json(F.struct("results")).alias("result"))
+    return search.tool_sources(tools).select("seq", "pos", F.col("chunkId").alias("chunk"), "content")
+
+
+@query(
+    """with x as (select o_orderkey id, o_totalprice requests from orders order by o_totalprice desc, o_orderkey limit 20 offset 20)
+    select (select string_agg(id, ',' order by requests desc, id) from x) ids, (select count(*) from orders) total, 2 as page, 20 as "limit" """
+)
+def page_of_orders(spark, sf):
+    o = s.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("requests"))
+    p = catalogue.page_with_total(catalogue.sorted_rows(o, "requests", descending=True), 2, 20)
+    return p.select(F.array_join(F.transform("items", lambda x: x["id"].cast("string")), ",").alias("ids"), "total", "page", "limit")
+
+
+@query("select o_orderkey id, o_custkey org_id, o_totalprice price from orders where o_orderkey = 7 union all select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey = 8 and false")
+def found_in_tenant(spark, sf):
+    """Its own tenant finds an order; the next tenant doesn't find another one."""
+    o = s.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("org_id"), F.col("o_totalprice").alias("price"))
+    org = lambda key: (o.where(F.col("id") == key).first() or {"org_id": 0})["org_id"]
+    return catalogue.found(o, org(7), 7).unionByName(catalogue.found(o, org(8) + 1, 8))
+
+
+@query(
+    """select vec_id as "chunkId", 'text ' || vec_id content, cast(label as double) score, 'd' || label as "dataSourceId", null::varchar as "sourceUrl" from embeddings"""
+)
+def search_response(spark, sf):
+    e = s.read(spark, sf, "embeddings")
+    rows = e.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("content"), F.col("label").cast("double").alias("score"), F.concat(F.lit("d"), F.col("label").cast("string")).alias("data_source_id"), F.lit(None).cast("string").alias("source_url"), F.lit(1).alias("chunk_index"))
+    return search.response(rows)
+
+
+@query("select doc_id chunk_id from documents where doc_id % 4 in (0, 2) and doc_id % 7 = 3 and doc_id % 4 = 2")
+def tool_filters(spark, sf):
+    """An agent's tool call for two types and an author, up to the filters of the search that it stands for."""
+    r = search.tool_request(1, "q", [0.0], types=("PDF", "SLACK"), author="user3")
+    return filters.filtered(s.chunks(spark, sf), r.org_id, list(r.collections), list(r.filters)).select("chunk_id")
+
+
+@query("select 'No results found. Consider searching with different terms or breaking the query into sub-queries.' suggestion, 0 total_results union all select null, 3")
+def tool_answers(spark, sf):
+    e = s.read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("x").alias("content")).orderBy("chunk_id")
+    return search.tool_answer(e.limit(0)).unionByName(search.tool_answer(e.limit(3))).select("suggestion", "total_results")
+
+
+@query(
+    """with d as (select doc_id, doc_id % 4 k, text from documents where text is not null), l as (select doc_id, unnest(string_split(text, chr(10))) t, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from d where k = 0)
+    select doc_id data_source_id, 'CSV' kind, cast(i as integer) part, md5(t) text_md5 from l where trim(t) <> '' union all select doc_id, 'TXT', 0, md5(text) from d where k = 1
+    union all select doc_id, 'PDF', p, md5(p || ' ' || text) from d, (select unnest([1, 2]) p) where k = 2"""
+)
+def extracted_files(spark, sf):
+    """A quarter each of tables, texts, documents with two pages, and files of no known kind."""
+    mime = F.get(F.array(F.lit("text/csv"), F.lit("text/plain"), F.lit("application/pdf"), F.lit("text/html")), (F.col("doc_id") % 4).cast("int"))
+    page = lambda n: F.struct(F.lit(n).alias("page"), F.concat(F.lit(f"{n} "), "text").alias("text"))
+    f = s.read(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("data_source_id"), mime.alias("mime"), "text", F.array(page(1), page(2)).alias("pages"), F.lit(None).cast("string").alias("answer"))
+    return files.extracted(f).select("data_source_id", "kind", "part", F.md5("text").alias("text_md5"))
+
+
+@query("select cast(event_id as varchar) external_id, strftime(ts, '%Y%m%d%H%M%S') updated_at from events where strftime(ts, '%Y%m%d%H%M%S') > '20240110'")
+def synced_items(spark, sf):
+    """All items after a cursor, in pages of a hundredth of them, which the loop carries on from by its own cursor."""
+    e = s.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("external_id"), F.date_format("ts", "yyyyMMddHHmmss").alias("updated_at"))
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    connectors.synced(e, "20240110", lambda page, n: page.write.mode("overwrite").parquet(f"{at}/page={n}"), size=max(50, e.count() // 5))
+    return spark.read.schema("external_id string, updated_at string").parquet(at).select("external_id", "updated_at")

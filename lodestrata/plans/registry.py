@@ -143,7 +143,7 @@ def paged_orders(spark, sf):
 
 @query("select source data_source_id, max(doc_id) last_index from documents group by 1")
 def last_index_of_sources(spark, sf):
-    return s.read(spark, sf, "documents").groupBy(F.col("source").alias("data_source_id")).agg(F.max("doc_id").alias("last_index"))
+    return dml.last_index(s.read(spark, sf, "documents").select(F.col("source").alias("data_source_id"), F.col("doc_id").alias("chunk_index")))
 
 
 def _numbered(spark, sf):
@@ -243,11 +243,12 @@ def vector_scores(spark, sf):
 
 
 @query(
-    r"""with w as (select item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) w from benchmark), g as (select item_id, unnest(list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))) g from w)
-    select distinct item_id, g trigram from g"""
+    r"""with w as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) w from documents),
+    g as (select doc_id, unnest(list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))) g from w)
+    select distinct doc_id, g trigram from g"""
 )
 def trigram_sets(spark, sf):
-    return s.read(spark, sf, "benchmark").select("item_id", F.explode(trigram.trigrams(F.col("text"))).alias("trigram"))
+    return s.read(spark, sf, "documents").select("doc_id", F.explode(trigram.trigrams(F.col("text"))).alias("trigram"))
 
 
 @query()
@@ -261,8 +262,9 @@ def trigram_topk(spark, sf):
     where regexp_matches(x, '(^|[^\\p{L}\\p{N}])worthless($|[^\\p{L}\\p{N}])') and not regexp_matches(x, '(^|[^\\p{L}\\p{N}])scum($|[^\\p{L}\\p{N}])')"""
 )
 def fulltext_match(spark, sf):
-    d = s.read(spark, sf, "documents")
-    return d.where(fulltext.matches(fulltext.analyzed(F.col("text")), fulltext.Terms(all=("worthless",), none=("scum",)))).select("doc_id")
+    terms = fulltext.Terms(all=("worthless",), none=("scum",))
+    d = s.read(spark, sf, "documents").where(fulltext.maybe(F.col("text"), terms))
+    return d.where(fulltext.matches(fulltext.analyzed(F.col("text")), terms)).select("doc_id")
 
 
 @query()
@@ -273,7 +275,7 @@ def fulltext_topk(spark, sf):
 
 @query()
 def fulltext_postings(spark, sf):
-    return fulltext.postings(s.read(spark, sf, "benchmark"), "item_id", "text")
+    return fulltext.postings(s.read(spark, sf, "documents"), "doc_id", "text")
 
 
 _LEGS = """v as (select vec_id chunk_id, row_number() over (order by label desc, vec_id) r from embeddings qualify r <= 30),
@@ -316,10 +318,19 @@ def neighbour_context(spark, sf):
     return search.with_context(x.drop("content"), x).select(F.col("data_source_id").alias("conv_id"), F.col("chunk_index").alias("turn"), "context_before", "context_after")
 
 
+def _request(spark, sf):
+    return search.Request(1, "worthless thing thanedble", s.query_vector(spark, sf), filters=({"field": "type", "operator": "in", "value": ["PDF", "SLACK", "LINEAR"]},), limit=10, rerank=True, expand_context=True)
+
+
 @query()
 def hybrid_search(spark, sf):
-    r = search.Request(1, "worthless thing thanedble", s.query_vector(spark, sf), filters=({"field": "type", "operator": "in", "value": ["PDF", "SLACK", "LINEAR"]},), limit=10, rerank=True, expand_context=True)
-    return search.search(s.chunks(spark, sf), s.data_sources(spark, sf), r).withColumn("metadata", F.to_json("metadata"))
+    return search.search(s.chunks(spark, sf), s.data_sources(spark, sf), _request(spark, sf)).withColumn("metadata", F.to_json("metadata"))
+
+
+@query()
+def hybrid_search_stored(spark, sf):
+    """The same search over chunks that were stored with their lexemes and trigrams."""
+    return search.search(s.stored_chunks(spark, sf), s.data_sources(spark, sf), _request(spark, sf)).withColumn("metadata", F.to_json("metadata"))
 
 
 @query()
@@ -333,11 +344,21 @@ def page_chunks(spark, sf):
     return chunking.chunk_pages(c.select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.concat("text", F.lit("\n")).alias("text")))
 
 
-@query()
+_TOKENS = r"""len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]|\s+'))"""
+
+
+@query(
+    f"""with recursive r as (select p_size as file, p_partkey || ',' || p_name || ',' || p_brand as line, row_number() over (partition by p_size order by p_partkey) i from part),
+    n as (select *, {_TOKENS.format("line")} n from r),
+    f as (select file, i, n held, 0 chunk from n where i = 1
+    union all select n.file, n.i, case when held + n.n > 60 then n.n else held + n.n + (case when held > 0 then 1 else 0 end) end, chunk + (case when held + n.n > 60 then 1 else 0 end)
+    from f join n on n.file = f.file and n.i = f.i + 1)
+    select f.file, cast(chunk as integer) chunk_index, cast(min(f.i) as integer) as row, string_agg(line, chr(10) order by f.i) as content from f join r on r.file = f.file and r.i = f.i group by f.file, chunk"""
+)
 def chunk_rows_packed(spark, sf):
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n")
     p = s.read(spark, sf, "part").withColumn("line", F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_brand"))
-    return chunking.chunk_csv(p.groupBy(F.col("p_size").alias("file")).agg(lines.alias("text")), most=60)
+    return chunking.chunk_csv(p.groupBy(F.col("p_size").alias("file")).agg(lines.alias("text")), most=60).drop("columns")
 
 
 @query()
@@ -425,12 +446,13 @@ def jobs_once(spark, sf):
 
 
 @query(
-    """with f as (select source pull, doc_id pos, length(case when length(text) > 100000 then substring(text, 1, 100000) || '....(truncated)' else text end) n from documents where text <> ''),
-    r as (select *, sum(n) over (partition by pull order by pos) t from f) select pull, pos from r where t <= 500000"""
+    """with f as (select source pull, doc_id pos, case when length(text) > 100000 then substring(text, 1, 100000) || chr(10) || '... (truncated)' else text end p from documents where text <> ''),
+    r as (select *, sum(length(p)) over (partition by pull order by pos) t from f)
+    select pull, pos, md5('File: x (new file, +1 -0)' || chr(10) || chr(10) || p) content_md5 from r where t <= 500000"""
 )
 def diff_budget(spark, sf):
     d = s.read(spark, sf, "documents").select(F.col("source").alias("pull"), F.col("doc_id").alias("pos"), F.col("text").alias("patch"), F.lit("added").alias("status"), F.lit("x").alias("filename"), F.lit(None).cast("string").alias("previous_filename"), F.lit(1).alias("additions"), F.lit(0).alias("deletions"))
-    return formats.diff_messages(d).select("pull", "pos")
+    return formats.diff_messages(d).select("pull", "pos", F.md5("content").alias("content_md5"))
 
 
 @query(
@@ -488,7 +510,7 @@ def _canvas_ops(spark, sf):
     e = s.read(spark, sf, "events")
     card = F.format_string('{"id":"c%d","position":{"x":%d,"y":0},"width":400,"height":300,"component":{"id":"k%d","type":"text","data":{"v":%d}},"sources":[]}', "event_id", F.col("event_id") % 1000, "event_id", "event_id")
     op = F.when(F.col("event_type") == "click", F.concat(F.lit('{"type":"add_card","cards":['), card, F.lit("]}"))).otherwise(F.format_string('{"type":"move_card","cardId":"c%d","width":%d}', F.col("event_id") - 1, F.col("event_id") % 97))
-    return e.select((F.col("user_id") % 50).cast("string").alias("thread_id"), F.col("event_id").alias("seq"), op.alias("op"))
+    return e.select(F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").alias("seq"), op.alias("op"))
 
 
 @query()
@@ -496,7 +518,13 @@ def canvas_fold(spark, sf):
     return canvas.fold(_canvas_ops(spark, sf))
 
 
-@query()
+@query(
+    """with b as (select l_orderkey thread_id, l_quantity * 20 x1, l_linenumber * 100.0 y1, l_quantity * 20 + 400 x2, l_linenumber * 100.0 + 300 y2 from lineitem),
+    xs as (select thread_id, x2 + 20 x from b union select thread_id, 0 from b), ys as (select thread_id, y2 + 20 y from b union select thread_id, 0 from b),
+    f as (select xs.thread_id, x, y, row_number() over (partition by xs.thread_id order by x, y) place from xs join ys on xs.thread_id = ys.thread_id
+    where not exists (select 1 from b where b.thread_id = xs.thread_id and x < x2 + 20 and x + 420 > x1 and y < y2 + 20 and y + 320 > y1))
+    select thread_id, cast(place as integer) place, cast(x as double) x, cast(y as double) y from f where place <= 3"""
+)
 def free_slots(spark, sf):
     x = s.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("thread_id"), (F.col("l_quantity") * 20).alias("x"), (F.col("l_linenumber") * 100.0).alias("y"), F.lit(400.0).alias("width"), F.lit(300.0).alias("height"))
     return cards.free_slots(x)
@@ -504,5 +532,5 @@ def free_slots(spark, sf):
 
 @query("select user_id, cast(sum(cost) as decimal(22, 8)) as cost from (with " + s.USAGE_SQL + " select user_id, cost from recent) group by 1")
 def cost_by_member(spark, sf):
-    return _recent(spark, sf).groupBy("user_id").agg(F.sum("cost").alias("cost"))
+    return usage.cost_by_member(_recent(spark, sf))
 

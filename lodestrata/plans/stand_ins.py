@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pricing import MODELS
+from ..operators.search import indexed
 from ..operators.usage import log_rows
+from ..session import scoped, write_scoped
+from ..store import folder, path_of
 
 NOW, DAYS = "2024-01-25 12:00:00", 14
 REQUEST_TYPES = ("CHAT", "EMBEDDING", "RERANK", "HYDE")
@@ -65,6 +70,15 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(e, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.lit(1).alias("org_id"), F.col("text").alias("content"), F.floor(F.col("doc_id") / 20).cast("int").alias("chunk_index"), meta.alias("metadata"), "embedding", F.col("source").alias("data_source_id"), F.col("lang").alias("collection_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_url"))
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ingest stores them: with lexemes and trigrams, by tenant; written once a session."""
+    at = f"{folder(spark)}/chunks-{zlib.crc32(sf_dir.encode()):08x}"
+    fs, path = path_of(spark, f"{at}/_SUCCESS")
+    if not fs.exists(path):
+        write_scoped(indexed(chunks(spark, sf_dir)), at, "overwrite")
+    return scoped(spark.read.parquet(at), 1)
+
+
 def data_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("source").alias("id")).distinct().select("id", F.concat(F.lit("Source "), "id").alias("title"))
 

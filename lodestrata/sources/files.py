@@ -147,3 +147,23 @@ def image_text(answer: Column) -> Column:
     seen = F.when((visible != "") & (visible != "None"), visible)
     content = F.concat_ws("\n\n", description, F.concat(F.lit("Visible text: "), seen), F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(tags, ", "))))
     return F.struct(description.alias("description"), tags.alias("tags"), seen.alias("visible_text"), content.alias("content"))
+
+
+def extracted(files: DataFrame) -> DataFrame:
+    """(data_source_id, kind, part, text, columns) of files (data_source_id, mime, text, pages, answer), each by its kind.
+
+    What comes from outside the engine comes as columns: pages (page, text) of PDF, DOCX and XLSX files, answer of a
+    vision model. A CSV file gives its lines by number with the head's columns, a text or JSON file itself as part 0, an
+    image its description. Other kinds give nothing. One pass: every row takes the branch of its kind.
+    """
+    f = files.join(F.broadcast(kinds(files.sparkSession).select("mime", "kind")), "mime")
+    none = F.array().cast("array<string>")
+    part = lambda number, text, columns=none: F.struct(number.cast("int").alias("part"), text.alias("text"), columns.alias("columns"))
+    csv = csv_rows(F.col("text"))
+    parts = (
+        F.when(F.col("kind") == "CSV", F.transform(csv["rows"], lambda r: part(r["row"], r["text"], csv["columns"])))
+        .when(F.col("kind").isin("TXT", "JSON"), F.array(part(F.lit(0), F.col("text"))))
+        .when(F.col("kind") == "IMAGE", F.array(part(F.lit(0), image_text(F.col("answer"))["content"])))
+        .otherwise(F.transform("pages", lambda p: part(p["page"], p["text"])))
+    )
+    return f.select("data_source_id", "kind", F.explode(parts).alias("p")).select("data_source_id", "kind", "p.*").where(F.col("text").isNotNull())

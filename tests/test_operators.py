@@ -120,6 +120,34 @@ def test_search(spark):
     assert search.expanded_query("q", "p" * 600) == "q\n\n" + "p" * 500 and search.expanded_query("q", None) == "q"
 
 
+def test_search_over_stored_columns(spark, tmp_path):
+    c, sources = corpus(spark), spark.createDataFrame([("ds", "Doc")], "id string, title string")
+    search.indexed(c).write.parquet(str(tmp_path / "c"))
+    kept = spark.read.parquet(str(tmp_path / "c"))
+    for terms in (None, search.fulltext.Terms(any=(("reports", "gammas"),), phrases=(("alpha", "beta"),)), search.fulltext.Terms(all=("summaries",), none=("delta",))):
+        r = search.Request(1, "alpha report", [1.0, 0.0], terms=terms)
+        plain, stored = (search.search(x, sources, r) for x in (c, kept))
+        assert plain.collect() == stored.collect()
+        assert "_stemmed" not in stored._jdf.queryExecution().toString() and "_stemmed" in plain._jdf.queryExecution().toString()
+
+
+def test_maybe_passes_every_match(spark, sf):
+    words = ["abilities", "hopping", "happiness", "skies", "dying", "gently", "nationalization", "tied", "sensibility", "running"]
+    rows = [(w, f"x {w} y") for w in words + ["hop", "happy", "sky", "die", "gentle", "national", "tie", "sense", "run", "able", "ability"]]
+    df = spark.createDataFrame(rows, "word string, content string")
+    lex = df.select("word", "content", search.fulltext.analyzed(F.col("content")).alias("lex")).cache()
+    for w in words:
+        t = search.fulltext.Terms(all=(w,))
+        assert lex.where(search.fulltext.matches(F.col("lex"), t) & ~search.fulltext.maybe(F.col("content"), t)).isEmpty()
+
+
+def test_tool_call():
+    r = search.tool_request(1, "q", [0.0], types=("PDF",), author="ann")
+    assert r.limit == 5 and r.rerank and r.expand_context
+    assert [f["operator"] for f in r.filters] == ["eq", "eq"] and search.tool_request(1, "q", [0.0]).filters == ()
+    assert search.tool_request(1, "q", [0.0], 7, ("PDF", "CSV")).filters[0]["operator"] == "in"
+
+
 def test_filter_commutes(spark):
     c = corpus(spark)
     f = [{"field": "type", "operator": "in", "value": ["PDF", "CSV"]}]

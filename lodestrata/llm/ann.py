@@ -1,12 +1,17 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A vector, scaled to length one, is rotated by three rounds of random signs and fast Hadamard transform
-and hashed to the signed axis nearest to it. Each table has rotations of its own. A query looks up its
-own axis and the next nearest ones (multiprobe) in every table; what it meets is ranked by exact
+and hashed to the signed axis nearest to it; a bucket is named by the axes of one or more such rotations, more
+with more rows, so that buckets keep their size. Each table has rotations of its own. A query looks up its
+own bucket and the next nearest ones (multiprobe) in every table; what it meets is ranked by exact
 distance inside the bucket, so a bucket sends on ten rows a query and not its members.
 
+How many buckets are looked up is fitted: for a bounded sample of queries the true neighbours are found by comparing
+them with all rows, and the least number of probes is taken that finds RECALL of these. Where MOST_PROBES don't,
+buckets are named by an axis less; with one axis the probes may go as far as all buckets, which is exact.
+
 Equal vectors are one entry with their smallest ids, so copies can't fill a bucket; buckets are cut
-into blocks of bounded size, each met by the bucket's queries.
+into blocks of bounded size, each met by the bucket's queries. Vectors of different widths never meet.
 """
 
 from __future__ import annotations
@@ -19,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Tables, probes in each, rows of a bucket compared in one task. Recall of ten neighbours among 10,256 near-random
-#: vectors of width 64, 49 % of which are looked at: 0.98; with 6 probes 0.96, with 12 probes 0.998.
-TABLES, PROBES, BLOCK = 12, 8, 8_192
+#: Tables, rows of a bucket on average from which buckets are named by another axis, rows compared in one task.
+TABLES, CROWD, BLOCK = 12, 4_096, 8_192
+#: Share of true neighbours that the probes must find among a sample of so many queries; probes of a table at most.
+RECALL, SAMPLE, MOST_PROBES = 0.97, 200, 1_024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -44,15 +50,54 @@ def rotated(x: np.ndarray, table: int, seed: int = 29) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, probes: int) -> np.ndarray:
-    """The probes nearest signed axes of each row, nearest first: axis i is i, its opposite i + width."""
-    both = np.concatenate([x, -x], 1)
-    probes = min(probes, both.shape[1])
-    top = np.argpartition(-both, probes - 1, 1)[:, :probes]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), 1, kind="stable"), 1)
+def axes_per_table(rows: int, width: int) -> int:
+    """Rotations that name a bucket, so that one holds at most CROWD of the rows on average."""
+    sides, n = 2 << max(1, int(width - 1).bit_length()), 1
+    while rows > CROWD * sides**n and sides ** (n + 1) < 1 << 62:
+        n += 1
+    return n
+
+
+def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
+    """The probes nearest buckets of each row of unit vectors, nearest first.
+
+    Axis i of a rotation is i, its opposite i + width. A bucket is as near as its axes together: the sum of
+    squares of how far each falls short of the row's best one.
+    """
+    best = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    for r in range(axes):
+        y = rotated(x, table * axes + r)
+        short = (np.abs(y).max(1, keepdims=True) - np.concatenate([y, -y], 1)) ** 2
+        cost = (best[0][:, :, None] + short[:, None]).reshape(len(x), -1)
+        name = (best[1][:, :, None] * short.shape[1] + np.arange(short.shape[1])).reshape(len(x), -1)
+        n = min(probes, cost.shape[1])
+        top = np.argpartition(cost, n - 1, 1)[:, :n] if n < cost.shape[1] else np.broadcast_to(np.arange(n), cost.shape)
+        top = np.take_along_axis(top, np.lexsort((np.take_along_axis(name, top, 1), np.take_along_axis(cost, top, 1)), 1), 1)
+        best = np.take_along_axis(cost, top, 1), np.take_along_axis(name, top, 1)
+    return best[1]
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, by their largest component first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance of rows, also where squares would over- or underflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        d = a - b
+        out = np.sqrt((d**2).sum(1))
+        odd = ~((out > 1e-140) & (out < 1e140))
+        if odd.any():
+            far = np.abs(d[odd]).max(1)
+            scale = np.where((far > 0) & np.isfinite(far), far, 1)[:, None]
+            out[odd] = np.where(np.isfinite(far), np.sqrt(((d[odd] / scale) ** 2).sum(1)) * scale[:, 0], np.inf)
+    return out
 
 
 def _matrix(column) -> np.ndarray:
+    """Vectors of one width as rows."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
@@ -63,26 +108,33 @@ def valid(vector: str) -> F.Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def hashed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
-    """(table, bucket) for each row and probe, behind its own columns; the last column is the vector."""
+def hashed(rows: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
+    """(table, bucket) for each row and probe, behind its own columns; the last two columns are width and vector."""
     names = rows.columns
 
     def run(batches):
         for batch in batches:
-            x = _matrix(batch.column(batch.num_columns - 1))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            for t in range(tables):
-                a = axes(rotated(x, t), probes)
-                again = pa.array(np.repeat(np.arange(len(x)), a.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(c.take(again) for c in batch.columns), pa.array(np.full(a.size, t, np.int32)), pa.array(a.ravel().astype(np.int32))], names=[*names, "table", "bucket"])
+            widths = batch.column(batch.num_columns - 2).to_numpy()
+            for width in np.unique(widths):
+                some = batch.filter(pa.array(widths == width))
+                step = max(1, (1 << 22) // (probes * 2 * 2 * int(width)))
+                for at in range(0, some.num_rows, step):
+                    part = some.slice(at, step)
+                    x = units(_matrix(part.column(part.num_columns - 1)))
+                    for t in range(tables):
+                        b = buckets(x, t, axes, probes)
+                        again = pa.array(np.repeat(np.arange(len(x)), b.shape[1]))
+                        yield pa.RecordBatch.from_arrays([*(c.take(again) for c in part.columns), pa.array(np.full(b.size, t, np.int32)), pa.array(b.ravel())], names=[*names, "table", "bucket"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{fields}, table int, bucket int")
+    return rows.mapInArrow(run, f"{fields}, table int, bucket long")
 
 
 def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) of the k nearest points of each query and of any tied with the last, in rows of bounded size."""
+    """(query, point) of the k nearest points of each query and of any that may tie with the last, in rows of bounded size."""
     q_out, p_out = [], []
+    top = max(np.abs(queries).max(), np.abs(points).max())
+    queries, points = queries / top, points / top
     norms = (points**2).sum(1)
     step = max(1, 4_000_000 // max(1, len(points)))
     for i in range(0, len(queries), step):
@@ -99,72 +151,134 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray
     return np.concatenate(q_out), np.concatenate(p_out)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def fitted_probes(sample: list, tables: int, axes: int, recall: float) -> int | None:
+    """Probes of a table that find recall of the sample's true neighbours, (query, neighbour) vectors; None if MOST_PROBES don't.
+
+    A neighbour is found if in any table its bucket is among the query's.
+    """
+    found = []
+    for width in {len(q) for q, _ in sample}:
+        q, v = (units(np.array([p[i] for p in sample if len(p[0]) == width], np.float64)) for i in (0, 1))
+        need = np.full(len(q), MOST_PROBES)
+        step = max(1, (1 << 22) // (MOST_PROBES * 4 * width))
+        for at in range(0, len(q), step):
+            for t in range(tables):
+                hit = buckets(q[at : at + step], t, axes, MOST_PROBES) == buckets(v[at : at + step], t, axes, 1)
+                need[at : at + step] = np.minimum(need[at : at + step], np.where(hit.any(1), hit.argmax(1), MOST_PROBES))
+        found.append(need)
+    need = np.sort(np.concatenate(found))
+    last = need[max(0, int(np.ceil(recall * len(need))) - 1)]
+    return int(last) + 1 if last < MOST_PROBES else None
+
+
+def _fit(entries: DataFrame, queries: DataFrame, axes: int, width: int, k: int, tables: int, recall: float) -> tuple[int, int, int]:
+    """(tables, axes, probes) for a recall, of at most SAMPLE queries and their neighbours among all rows."""
+    asked = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "width", "v").toArrow()
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for w in np.unique(batch.column("width").to_numpy()):
+                q, a = (x.filter(pa.array(x.column("width").to_numpy() == w)) for x in (asked, batch))
+                near, entry = _held(a, q, k)
+                out.append(near.append_column("v", a.column("v").take(pa.array(entry))))
+            yield from (b for t in out for b in t.to_batches())
+
+    near = _ranked(entries.mapInArrow(run, "query_id long, vec_id long, score double, v array<double>"), k, "v")
+    vector = dict(zip(asked.column("id").to_pylist(), asked.column("v").to_pylist()))
+    sample = [(vector[r.query_id], r.v) for r in near.collect()]  # SAMPLE * k rows at most
+    while True:
+        probes = fitted_probes(sample, tables, axes, recall) if sample else 1
+        if axes > 1 and probes is None:
+            axes -= 1
+            continue
+        sides = 2 << max(1, int(width - 1).bit_length())
+        return (1, 1, sides) if axes == 1 and (probes is None or tables * probes > sides) else (tables, axes, probes)
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found for each query row, by Euclidean distance.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
-    ids. Ties go to the smaller id; repeated ids count as one row each vector. Vectors must have one
-    width. If a query met fewer than k others in its buckets, it is held against all rows, in blocks.
+    ids. Ties go to the smaller id; repeated ids count as one row each vector. Vectors of different widths are no
+    candidates of each other. If a query met fewer than k others in its buckets, it is held against all rows, in
+    blocks. probes sets their number by hand. An empty table gives an empty one; other columns are left out, whatever
+    their names.
     """
     x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(valid("v") & F.col("id").isNotNull()).distinct()
-    x = cut(x.withColumn("is_query", is_query(F.col("id"))), "vectors")
+    x = cut(x.select("id", F.size("v").alias("width"), "v", is_query(F.col("id")).alias("is_query")), "vectors")
     per = W.partitionBy("v_hash", "v").orderBy("id")
     # a vector's smallest k + 1 ids are all that an answer can need of its copies; first by chunks, then of those
     chunk = W.partitionBy("v_hash", "v", F.pmod("id", F.lit(64))).orderBy("id")
     some = x.withColumn("v_hash", F.xxhash64("v")).withColumn("n", F.row_number().over(chunk)).where(F.col("n") <= k + 1)
     some = some.withColumn("n", F.row_number().over(per)).where(F.col("n") <= k + 1)
-    entries = cut(some.groupBy("v_hash", "v").agg(F.min("id").alias("first"), F.sort_array(F.collect_list("id")).alias("ids")).select("ids", "v"), "entries")
-    queries = cut(x.where("is_query").select("id", "v"), "queries")
-    index, asked = hashed(entries, tables, 1), hashed(queries, tables, probes)
-    sizes = index.groupBy("table", "bucket").agg(F.count("*").alias("held"))
+    entries = cut(some.groupBy("v_hash", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("width").alias("width")).select("ids", "width", "v"), "entries")
+    queries = x.where("is_query").select("id", "width", "v")
+    rows, width = entries.agg(F.count("*"), F.max("width")).first()
+    axes = axes_per_table(rows, width or 1)
+    if probes is None:
+        tables, axes, probes = _fit(entries, queries, axes, width or 1, k, tables, recall)
+    on = ["width", "table", "bucket"]
+    index, asked = hashed(entries, tables, axes, 1), hashed(queries, tables, axes, probes)
+    sizes = index.groupBy(on).agg(F.count("*").alias("held"))
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("held") / block).cast("int")).drop("held"), "sizes")
-    left = index.join(sizes, ["table", "bucket"]).withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks"))).drop("blocks")
-    right = asked.join(sizes, ["table", "bucket"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
-    best = cut(_compare(left, right, ["table", "bucket", "block"], k).distinct(), "best")  # read twice
+    left = index.join(sizes, on).withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks"))).drop("blocks")
+    right = asked.join(sizes, on).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
+    best = cut(_compare(left, right, [*on, "block"], k).distinct(), "best")  # read twice
     found = _ranked(best, k)
     enough = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = cut(queries.join(enough, queries["id"] == enough["query_id"], "left_anti"), "short")
     if short.isEmpty():
         return found
-    blocks = max(1, entries.count() // block)
-    all_left = entries.withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks)))
-    all_right = short.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    rest = _ranked(_compare(all_left, all_right, ["block"], k), k)
+    rest = _ranked(_everything(entries, short, rows, k, block), k)
     return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
 
 
+def _everything(entries: DataFrame, queries: DataFrame, rows: int, k: int, block: int) -> DataFrame:
+    """As _compare, each query against all rows of its width."""
+    blocks = max(1, rows // block)
+    left = entries.withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks)))
+    right = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return _compare(left, right, ["width", "block"], k)
+
+
+def _held(a, b, k: int) -> tuple[pa.Table, np.ndarray]:
+    """(query_id, vec_id, score) of the k nearest in entries a of each query of b, and which entry each one is."""
+    q_ids = v_ids = entry = np.zeros(0, np.int64)
+    score = np.zeros(0)
+    if a.num_rows and b.num_rows:
+        points, asked = _matrix(a.column("v")), _matrix(b.column("v"))
+        q, p = nearest(asked, points, k + 1)
+        d = distances(asked[q], points[p])
+        ids = a.column("ids")
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        n = ids.value_lengths().to_numpy()
+        begin = np.cumsum(n) - n
+        row = np.repeat(np.arange(len(q)), n[p])
+        at = np.repeat(begin[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(len(row))
+        v_ids, q_ids, score, entry = ids.flatten().to_numpy()[at], b.column("id").to_numpy()[q][row], d[row], p[row]
+        order = np.lexsort((v_ids, score, q_ids))
+        order = order[v_ids[order] != q_ids[order]]
+        named = q_ids[order]
+        new = np.flatnonzero(np.concatenate((named[:1] == named[:1], named[1:] != named[:-1])))
+        order = order[np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order)))) < k]
+        q_ids, v_ids, score, entry = q_ids[order], v_ids[order], score[order], entry[order]
+    return pa.table({"query_id": pa.array(q_ids, pa.int64()), "vec_id": pa.array(v_ids, pa.int64()), "score": pa.array(score, pa.float64())}), entry
+
+
 def _compare(left: DataFrame, right: DataFrame, on: list[str], k: int) -> DataFrame:
     """(query_id, vec_id, score) of the k nearest in each block, exact distances in double precision."""
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        q_ids = v_ids = np.zeros(0, np.int64)
-        score = np.zeros(0)
-        if a.num_rows and b.num_rows:
-            points, asked = _matrix(a.column("v")), _matrix(b.column("v"))
-            q, p = nearest(asked, points, k + 1)
-            d = np.sqrt(((asked[q] - points[p]) ** 2).sum(1))
-            ids = a.column("ids").combine_chunks()
-            n = ids.value_lengths().to_numpy()
-            begin = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(q)), n[p])
-            at = np.repeat(begin[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(len(row))
-            v_ids, q_ids, score = ids.flatten().to_numpy()[at], b.column("id").to_numpy()[q][row], d[row]
-            keep = v_ids != q_ids
-            q_ids, v_ids, score = q_ids[keep], v_ids[keep], score[keep]
-            order = np.lexsort((v_ids, score, q_ids))
-            q_ids, v_ids, score = q_ids[order], v_ids[order], score[order]
-            new = np.flatnonzero(np.concatenate(([True], q_ids[1:] != q_ids[:-1]))) if len(q_ids) else np.zeros(0, np.int64)
-            rank = np.arange(len(q_ids)) - np.repeat(new, np.diff(np.append(new, len(q_ids))))
-            q_ids, v_ids, score = q_ids[rank < k], v_ids[rank < k], score[rank < k]
-        return pa.table({"query_id": pa.array(q_ids, pa.int64()), "vec_id": pa.array(v_ids, pa.int64()), "score": pa.array(score, pa.float64())})
+        return _held(a, b, k)[0]
 
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, "query_id long, vec_id long, score double")
 
 
-def _ranked(best: DataFrame, k: int) -> DataFrame:
-    once = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+def _ranked(best: DataFrame, k: int, *more: str) -> DataFrame:
+    once = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), *(F.first(c).alias(c) for c in more))
     w = W.partitionBy("query_id").orderBy("score", "vec_id")
-    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return once.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", *more)
 
 
 def nearest_neighbours(vectors: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import cut, delete, folder, scratch, shared_dir  # noqa: F401
+
 #: ASCII white space splits words; everything else belongs to them (fixed value).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -16,25 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df once to the shared folder and read it back: later steps restart there, not at the input."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint when it is counted to have few rows of fixed width; otherwise as it is."""
     return F.broadcast(df) if df.count() <= most else df

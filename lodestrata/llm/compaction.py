@@ -1,27 +1,44 @@
 """Size-tiered compaction of a sharded table.
 
 Arrivals are written as runs of small immutable shards. Runs of similar size share a tier; when a tier
-has fanout of them they are merged into files of the target size. What the table holds is named by a
-numbered manifest, put in place by a rename that fails if the number is taken, so readers see all of a
-change or nothing and a writer that lost the race starts again from the newer one. Rows are only ever
+has fanout of them they are merged into files of the target size, and a run of such files is left alone. What the
+table holds is named by a numbered manifest, put in place by a step that fails if the number is taken, so readers
+see all of a change or nothing and a writer that lost the race starts again from the newer one. Rows are only ever
 moved by Spark's readers and writers; the driver handles names and sizes of runs.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import uuid
+from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import folder
 
 #: Bytes of a merged file; runs of a tier that start a merge, and ratio between tiers; bytes below which all runs share a tier.
 TARGET, FANOUT, SMALLEST = 64 << 20, 4, 1 << 20
 
 
+@contextlib.contextmanager
+def _reading(spark: SparkSession, piece: int) -> Iterator[None]:
+    """Scans planned inside read at most piece bytes of files together in one partition."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in zip(names, (piece, 0)):
+            spark.conf.set(n, value)
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 class Conflict(Exception):
     """Another writer committed this version first."""
 
@@ -64,19 +81,41 @@ class ShardTable:
         out = self._fs.create(draft, False)
         self._jvm.org.apache.commons.io.IOUtils.write(json.dumps(new), out, "UTF-8")
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        try:
+            self._place(draft, final)
+        except Py4JJavaError as e:
+            if self._fs.exists(final):
+                raise Conflict(new["version"]) from None
+            raise e
+        finally:
             self._fs.delete(draft, False)
-            raise Conflict(new["version"])
         return new
 
+    def _place(self, draft, final) -> None:
+        """Give draft the name final, in one step that fails if something has it.
+
+        On a local or mounted disk that is a hard link; elsewhere a rename without overwriting, which HDFS and stores
+        with its semantics carry out atomically. Other object stores need a committer of their own here.
+        """
+        jvm = self._jvm
+        if self._fs.getUri().getScheme() == "file":
+            name = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(name(final), name(draft))
+            return
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        flags = self.spark.sparkContext._gateway.new_array(rename, 1)
+        flags[0] = rename.NONE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsparkSession.sessionState().newHadoopConf())
+        context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), flags)
+
     # runs
 
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, 1) / self.smallest, self.fanout)) + 1) if size >= self.smallest else 0
 
     def _run(self, name: str) -> dict:
-        size = self._fs.getContentSummary(self._at(f"runs/{name}"))
-        return {"id": name, "bytes": size.getLength(), "files": size.getFileCount(), "tier": self.tier(size.getLength())}
+        files = [s.getLen() for s in self._fs.listStatus(self._at(f"runs/{name}")) if s.getPath().getName().endswith(".parquet")]
+        return {"id": name, "bytes": sum(files), "files": max(1, len(files)), "tier": self.tier(sum(files))}
 
     def _retry(self, change) -> dict:
         while True:
@@ -105,12 +144,18 @@ class ShardTable:
                 m = self.compact()
         return m
 
+    def settled(self, run: dict) -> bool:
+        """Whether a run's files are of the target size already, on average: merging it again gains nothing."""
+        return 2 * run["bytes"] >= self.target * run["files"]
+
     def compact(self) -> dict:
-        """Merge until no tier has fanout runs; the manifest then."""
+        """Merge until no tier has fanout runs that aren't settled; the manifest then."""
         while True:
             m = self.manifest()
             tiers: dict[int, list[dict]] = {}
             for r in m["runs"]:
+                if self.settled(r):
+                    continue
                 tiers.setdefault(r["tier"], []).append(r)
             full = [t for t, runs in tiers.items() if len(runs) >= self.fanout]
             if not full:
@@ -118,7 +163,8 @@ class ShardTable:
             old = tiers[min(full)]
             name = uuid.uuid4().hex
             files = max(1, math.ceil(sum(r["bytes"] for r in old) / self.target))
-            self._rows(old).coalesce(files).write.option("compression", "zstd").parquet(f"{self.path}/runs/{name}")
+            with _reading(self.spark, max(1, self.target // 8)):  # pieces much smaller than a file, so files come out even
+                self._rows(old).coalesce(files).write.option("compression", "zstd").parquet(f"{self.path}/runs/{name}")
             run = self._run(name)
             run["tier"] = max(run["tier"], old[0]["tier"] + 1)
             gone = {r["id"] for r in old}
@@ -162,10 +208,11 @@ def size_tiered_compaction(docs: DataFrame, arrivals: int = 16, path: str | None
     """(doc_id, source, n_chars, text_md5, shard, version) of every row of documents after arrivals runs came in and were merged.
 
     A row arrives by hash of its id and text. Rows come back exactly as they were, nulls, repeats and
-    extra columns included; shard names the file that holds the row. Of an empty table nothing is written.
+    extra columns included; shard names the file that holds the row. Texts of any length are moved as they are; a row
+    group of the readers and writers holds some 128 MB of them. Of an empty table nothing is written.
     """
     spark = docs.sparkSession
-    table = ShardTable(spark, path or f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}/shards")
+    table = ShardTable(spark, path or f"{folder(spark)}/{uuid.uuid4().hex}/shards")
     name = "arrival"
     while name in docs.columns:
         name += "_"

@@ -1,8 +1,9 @@
 """Language ID by error-correcting output codes.
 
 Each language has a codeword. For every bit, a binary classifier over hashed byte n-grams tells the
-languages with a one there from those with a zero; its weights are smoothed log odds from counts over
-all learning rows, so learning is one pass whose tasks send one count vector a language. A text's margin
+languages with a one there from those with a zero: smoothed log odds of the n-grams of its two sides, each side
+pooled over its learning rows, and a threshold half way between what the sides get on average. Learning is one pass
+over all learning rows, whose tasks send two count vectors a bit, however many languages there are. A text's margin
 for a bit is the mean weight of its n-grams. The codeword with the least loss over all bits wins, each bit
 weighted by how well it tells its sides apart; a close second marks the text as ambiguous.
 """
@@ -10,6 +11,7 @@ weighted by how well it tells its sides apart; a close second marks the text as
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ from .common import cut
 
 #: Features; bytes of text looked up at once; distance of the two best probabilities that is ambiguous.
 BINS, SLICE, CLOSE = 1 << 15, 1 << 20, 0.2
+#: Stretches of bins added up apart; languages whose counts a task holds at once; languages up to which codewords are drawn for distance.
+PARTS, HELD, PAIRS = 32, 64, 256
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -28,20 +32,31 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD = _FOLD.tobytes()
 
 
-def ngram_bins(text: str) -> np.ndarray:
-    """Bins of a text's byte 1- to 4-grams; ASCII letters in lower case, other ASCII as blanks, blanks in one."""
+def ngram_bins(text: str) -> Iterator[np.ndarray]:
+    """Bins of a text's byte 2- to 4-grams, SLICE bytes at a time; ASCII letters in lower case, other ASCII as blanks, blanks in one."""
     raw = (" " + text + " ").encode("utf-8", "surrogatepass").translate(_FOLD)
-    b = np.frombuffer(raw, np.uint8)
-    if len(b) > 1:
-        b = b[np.concatenate(([True], (b[1:] != 32) | (b[:-1] != 32)))]
-    b = b.astype(np.uint32)
-    out, g = [], b
-    for n in (2, 3, 4):
-        if len(b) < n:
-            break
-        g = g[:-1] * np.uint32(257) + b[n - 1 :]
-        out.append(((g * np.uint32(2654435761) + np.uint32(n)) >> np.uint32(17)) & np.uint32(BINS - 1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+    whole = np.frombuffer(raw, np.uint8)
+    if len(whole) > 1:
+        whole = whole[np.concatenate(([True], (whole[1:] != 32) | (whole[:-1] != 32)))]
+    for at in range(0, len(whole), SLICE):
+        b = whole[at : at + SLICE + 3].astype(np.uint32)
+        out, g = [], b
+        for n in (2, 3, 4):
+            if len(b) < n:
+                break
+            g = g[:-1] * np.uint32(257) + b[n - 1 :]
+            out.append(((g[:SLICE] * np.uint32(2654435761) + np.uint32(n)) >> np.uint32(17)) & np.uint32(BINS - 1))
+        if out:
+            yield np.concatenate(out)
+
+
+def ngram_vector(text: str) -> tuple[np.ndarray, int]:
+    """(times of each bin, n-grams) of a text."""
+    total, n = np.zeros(BINS), 0
+    for bins in ngram_bins(text):
+        total += np.bincount(bins, minlength=BINS)
+        n += len(bins)
+    return total, n
 
 
 def has_letter(text: str | None) -> bool:
@@ -60,64 +75,81 @@ def codewords(languages: int, seed: int = 11) -> np.ndarray:
         return np.array([[1] * n] + [[j >> i & 1 for j in range(n)] for i in range(languages - 1)], np.int8)
     bits = max(15, 6 * math.ceil(math.log2(languages)))
     rng, best, apart = np.random.default_rng(seed), None, -1
-    for _ in range(300):
-        m = np.stack([rng.permutation(np.arange(languages) % 2) for _ in range(bits)], 1).astype(np.int8)
+    for _ in range(300 if languages <= PAIRS else 1):
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            c = rng.permutation(np.arange(languages) % 2).astype(np.int8)
+            c ^= c[0]  # a column and its complement are one split
+            columns.setdefault(c.tobytes(), c)
+        m = np.stack(list(columns.values()), 1)
+        if languages > PAIRS:
+            return m
         d = (m[:, None] != m[None]).sum(2) + bits * np.eye(languages, dtype=int)
         if d.min() > apart:
             best, apart = m, d.min()
     return best
 
 
-def ngram_counts(rows: DataFrame) -> DataFrame:
-    """(lang, counts, texts) of (text, lang): counts of each bin, from whole texts, each n-gram weighing 1/sqrt of its text's."""
+def side_counts(rows: DataFrame, weight: dict[str, float], codes: dict[str, np.ndarray], bits: int) -> DataFrame:
+    """(part, packed): for a stretch of bins, counts of the sides with a one of all bits and then of everything.
+
+    Every whole text counts with its n-grams divided by their number's root and by weight of its language. A task
+    holds one vector for each of HELD languages and one a bit.
+    """
 
     def run(batches):
-        total: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                bins = ngram_bins(text)
-                if len(bins):
-                    at = total.setdefault(lang, np.zeros(BINS))
-                    np.add(at, np.bincount(bins, minlength=BINS) / math.sqrt(len(bins)), out=at)
-                    seen[lang] = seen.get(lang, 0) + 1
-        for lang, at in total.items():
-            step = BINS // 32
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * 32), pa.array(range(32), pa.int32()), pa.array([at[i * step : (i + 1) * step].tobytes() for i in range(32)], pa.binary()), pa.array([seen[lang]] + [0] * 31, pa.int64())], names=["lang", "part", "counts", "texts"])
+        sums = np.zeros((bits + 1, BINS))
+        held: dict[str, np.ndarray] = {}
 
-    def add(table: pa.Table) -> pa.Table:
-        at = sum(np.frombuffer(x.as_buffer(), np.float64) for x in table.column("counts"))
-        return pa.table({"lang": [table.column("lang")[0].as_py()], "part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([at.tobytes()], pa.binary()), "texts": [sum(table.column("texts").to_pylist())]})
+        def add():
+            if held:
+                signs = np.array([[*codes[x], 1] for x in held], np.float64)
+                np.add(sums, signs.T @ np.stack(list(held.values())), out=sums)
+                held.clear()
 
-    schema = "lang string, part int, counts binary, texts long"
-    return rows.mapInArrow(run, schema).groupBy("lang", "part").applyInArrow(add, schema)
+        for batch in batches:
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+                times, n = ngram_vector(text)
+                if n:
+                    if lang not in held and len(held) == HELD:
+                        add()
+                    at = held.setdefault(lang, np.zeros(BINS))
+                    np.add(at, times * (weight[lang] / math.sqrt(n)), out=at)
+        add()
+        parts = [np.ascontiguousarray(x).tobytes() for x in np.split(sums, PARTS, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "packed"])
+
+    def total(table: pa.Table) -> pa.Table:
+        at = 0
+        for x in table.column("packed"):
+            at = at + np.frombuffer(x.as_buffer(), np.float64)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "packed": pa.array([at.tobytes()], pa.binary())})
+
+    schema = "part int, packed binary"
+    return rows.mapInArrow(run, schema).groupBy("part").applyInArrow(total, schema)
 
 
 class Model:
-    """Weights (bins x bits), codewords and languages; a few MB whatever the corpus."""
-
-    def __init__(self, languages: list[str], counts: np.ndarray, smooth: float = 0.5):
-        self.languages, self.codes = languages, codewords(len(languages))
-        share = (counts + smooth) / (counts + smooth).sum(1, keepdims=True) if len(languages) else counts
-        bits = []
-        for code in self.codes.T if len(languages) else []:
-            one = share[code == 1].mean(0) if (code == 1).any() else np.full(BINS, 1 / BINS)
-            zero = share[code == 0].mean(0) if (code == 0).any() else np.full(BINS, 1 / BINS)
-            bits.append(np.log(one / zero))
-        self.weights = np.stack(bits, 1).astype(np.float32) if bits else np.zeros((BINS, 0), np.float32)
+    """Weights (bins x bits), thresholds, codewords and languages; a few MB whatever the corpus."""
+
+    def __init__(self, languages: list[str], codes: np.ndarray, ones: np.ndarray, everything: np.ndarray, smooth: float = 0.5):
+        """ones: bits x bins, counts of each bit's side with a one; everything: counts of all rows."""
+        self.languages, self.codes = languages, codes
+        one, zero = ones + smooth, everything - ones + smooth
+        one, zero = (np.maximum(x, smooth) / np.maximum(x, smooth).sum(1, keepdims=True) for x in (one, zero))
+        weights = np.log(one / zero)
+        high, low = (one * weights).sum(1), (zero * weights).sum(1)
+        self.weights, self.middle, self.scale = weights.T.astype(np.float32), (high + low) / 2, np.maximum((high - low) / 2, 1e-9)
         # a bit counts by the margin that its own two sides get on average
-        trust = np.abs(share @ self.weights).mean(0) if bits else np.zeros(0)
-        self.trust = trust / trust.sum() if trust.sum() else np.full(len(bits), 1 / max(1, len(bits)))
-        self.scale = trust
+        self.trust = self.scale / self.scale.sum() if len(self.scale) else self.scale
 
     def margins(self, text: str) -> np.ndarray | None:
-        bins = ngram_bins(text)
-        if not len(bins):
-            return None
-        total = np.zeros(self.weights.shape[1])
-        for i in range(0, len(bins), SLICE):
-            total += np.bincount(bins[i : i + SLICE], minlength=BINS) @ self.weights if len(bins) > 20_000 else self.weights[bins[i : i + SLICE]].sum(0)
-        return total / len(bins) / np.maximum(self.scale, 1e-9)
+        """How far above (or below) its threshold a text is for each bit; the sides get 1 and -1 on average."""
+        total, n = np.zeros(len(self.scale)), 0
+        for bins in ngram_bins(text):
+            total += np.bincount(bins, minlength=BINS) @ self.weights if len(bins) > 20_000 else self.weights[bins].sum(0)
+            n += len(bins)
+        return (total / n - self.middle) / self.scale if n else None
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """Logistic loss of each codeword, weighted over bits."""
@@ -139,17 +171,22 @@ class Model:
         return self.languages[order[0]], float(min(1.0, p[order[0]])), self.languages[order[1]] if len(p) > 1 else None, bool(p[order[0]] - second < CLOSE)
 
 
-def fit(rows: DataFrame, most_languages: int = 1_000) -> Model:
-    """Learn from all rows of (text, lang) that have both. The driver gets one vector a language."""
-    counted = cut(ngram_counts(rows.where("text is not null and lang is not null").select("text", "lang")), "ngrams")
-    names = [r.lang for r in counted.select("lang").distinct().orderBy("lang").limit(most_languages + 1).collect()]
-    if len(names) > most_languages:
-        raise ValueError(f"more than {most_languages} languages; pass a larger most_languages")
-    counts = np.zeros((len(names), BINS))
-    step = BINS // 32
+def fit(rows: DataFrame) -> Model:
+    """Learn from all rows of (text, lang) that have both; each language weighs the same in the sides it is on.
+
+    The driver gets the languages' names with their rows, and two vectors a bit.
+    """
+    learned = rows.where("text is not null and lang is not null").select("text", "lang")
+    held = sorted(tuple(r) for r in learned.groupBy("lang").count().collect())
+    names = [x for x, _ in held]
+    codes = codewords(len(names))
+    bits = codes.shape[1] if names else 0
+    most = max((n for _, n in held), default=1)
+    counted = cut(side_counts(learned, {x: most / n for x, n in held}, dict(zip(names, codes)), bits), "sides")
+    sums = np.zeros((bits + 1, BINS))
     for r in counted.toLocalIterator():
-        counts[names.index(r.lang), r.part * step : (r.part + 1) * step] = np.frombuffer(r.counts, np.float64)
-    return Model(names, counts)
+        sums[:, r.part * (BINS // PARTS) : (r.part + 1) * (BINS // PARTS)] = np.frombuffer(r.packed, np.float64).reshape(bits + 1, -1)
+    return Model(names, codes, sums[:-1], sums[-1])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple = ()) -> DataFrame:
@@ -172,7 +209,8 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     Rows whose crc32 of doc_id as text leaves 2 at a division by 4 are held out; the others with a
     non-null lang are learnt from. A null doc_id is learnt from as the empty string. Null or letterless
-    texts get und, 0. An empty table gives an empty one; without labels all is und.
+    texts get und, 0. Repeated rows are learnt from and predicted one by one. A text is one value in its task, some ten
+    times its size. An empty table gives an empty one; without labels all is und; other columns of docs are left out.
     """
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = fit(docs.where(~out))

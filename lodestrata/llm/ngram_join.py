@@ -337,7 +337,8 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     shingles (the whole sequence with fewer words). A null or wordless text has an empty set and links
     with nothing; a null id has null as its component and takes no part. Repeated rows give repeated
     rows. links counts the different sets that a document's set links with, exactly; equal sets count
-    as one.
+    as one. A text is one row and its set one value, so a task needs some 60 bytes for each word of the longest
+    text. An empty table gives an empty one; other columns of docs are left out, whatever their names.
     """
     bands = Bands(similarity)
     rows = cut(shingle_classes(docs, bands, id_col, text_col), "rows")
@@ -349,7 +350,7 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     shared = _packed_symbols(docs.where(F.col(id_col).isNotNull()), bands, groups, text_col).groupBy("group").applyInArrow(_shared, "key long, sig long, kind int, df long")
     below = F.lit(0)
     for j in range(1, len(bands.edges) - 1):
-        below = F.when(F.col("n") >= int(bands.edges[j]), F.lit(int(bands.edges[j]) - 1)).otherwise(below) if j < 44 else below
+        below = F.when(F.col("n") >= int(bands.edges[j]), F.lit(int(bands.edges[j]) - 1)).otherwise(below)
     differ = lambda a, b: F.floor((a + b) * (bands.den - bands.num) / F.lit(bands.den + bands.num))
     own = differ(F.col("n"), F.floor(F.col("n") * bands.den / F.lit(bands.num)))
     most = F.when(F.col("kind") == 1, differ(F.col("n"), below)).otherwise(own)

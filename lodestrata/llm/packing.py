@@ -3,18 +3,23 @@
 Document counts of all terms and the mean length are taken over all documents in one pass. Documents lie
 in the order of their heaviest term that a window's worth of documents has, and within it of the second
 one; this order is cut into shards of bounded size, so documents on one topic meet whatever the number of
-shards. Only documents of one pair of terms that alone exceed a shard are dealt by hash. A shard has an
-inverted index of its own, weighted by the whole corpus: all terms of a seed look up postings; unused
-neighbours follow in order of score until the window is full. The last one is cut there and what is left of it is the next seed, so only a shard's
-last window has padding, up to the next power of two.
+shards. Only documents of one pair of terms that alone exceed a shard are dealt by hash, equal rows too. A shard
+has an inverted index of its own, weighted by the whole corpus: all terms of a seed look up postings; unused
+neighbours follow in order of score until the window is full. The last one is cut there and what is left of
+it is the next seed. Equal texts are one entry of the index and are dealt to different windows while there is
+anything else; two copies of one document (same id and text) never share a window. So only a shard's last window,
+and one that just copies of what it holds are left for, has padding, up to the next power of two.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter, OrderedDict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,10 +30,25 @@ from .tokens import tokenizer
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a shard on average, and documents at most; BM25's constants.
 SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
+#: Ids whose terms are counted at once; terms that one in COMMON texts of a shard has are kept as whole rows.
+RUN, COMMON = 1 << 20, 8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long, seed_id long"
 
 
+def terms(ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of texts, ids given one after another: (first text, texts, owner, term, times), sorted by owner and term."""
+    edge = np.concatenate(([0], np.cumsum(counts)))
+    first = 0
+    while first < len(counts):
+        last = max(first + 1, int(np.searchsorted(edge, edge[first] + RUN, "right")) - 1)
+        key = np.repeat(np.arange(last - first, dtype=np.int64) << 32, counts[first:last]) | ids[edge[first] : edge[last]].astype(np.int64)
+        key.sort()
+        new = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+        yield first, last - first, key[new] >> 32, key[new] & 0xFFFFFFFF, np.diff(np.append(new, len(key)))
+        first = last
+
+
 class Corpus:
     """What BM25 needs of all documents: how many have each term, how many there are, their mean length."""
 
@@ -39,64 +59,97 @@ class Corpus:
     def weights(self, term: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
         return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))
 
-    def places(self, ids: np.ndarray, window: int) -> tuple[int, int]:
-        """A document's two heaviest terms of those that fill a window, or else of those that it shares; -1 for none."""
-        term, tf = np.unique(ids, return_counts=True)
-        df = self.df[term]
-        weight = self.weights(term, tf, len(ids)) + np.where(df * self.mean >= window, 1e6, 0)
-        weight[df < 2] = 0
-        best = np.argsort(-weight, kind="stable")[:2]
-        return tuple([int(term[i]) if weight[i] > 0 else -1 for i in best] + [-1] * (2 - len(best)))
+    def places(self, ids: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+        """Each document's two heaviest terms of those that fill a window, or else of those that it shares; -1 for none."""
+        out = np.full((len(counts), 2), -1, np.int64)
+        for first, n, owner, term, tf in terms(ids, counts):
+            if not len(owner):
+                continue
+            df = self.df[term]
+            weight = self.weights(term, tf, counts[first + owner]) + np.where(df * self.mean >= window, 1e6, 0)
+            weight[df < 2] = 0
+            begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            size, own = np.diff(np.append(begin, len(owner))), owner[begin]
+            for place in range(2):
+                best = np.maximum.reduceat(weight, begin)
+                at = np.flatnonzero(weight == np.repeat(best, size))
+                at = at[np.concatenate(([True], owner[at[1:]] != owner[at[:-1]]))]
+                some = best > 0
+                out[first + own[some], place] = term[at[some]]
+                weight[at] = 0
+        return out
 
 
 class ShardIndex:
-    """BM25 over the token ids of one shard's documents (without their end ids), in arrays by term."""
+    """BM25 over the token ids of a shard's texts (without their end ids): postings by term, rows for terms that many have."""
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus):
-        n = len(docs)
-        pairs = [np.unique(d[:-1], return_counts=True) for d in docs]
-        size = np.array([len(p[0]) for p in pairs])
-        owner = np.repeat(np.arange(n), size)
-        term = np.concatenate([p[0] for p in pairs]).astype(np.int64)
-        tf = np.concatenate([p[1] for p in pairs]).astype(np.float64)
-        length = np.array([len(d) - 1 for d in docs], np.float64)
+        n = self.n = len(docs)
+        counts = np.array([len(d) - 1 for d in docs], np.int64)
+        runs = [(first + owner, term, tf) for first, _, owner, term, tf in terms(np.concatenate([d[:-1] for d in docs]), counts)]
+        owner, term, tf = (np.concatenate(x) for x in zip(*runs))
         df = np.bincount(term)
-        weight = corpus.weights(term, tf, length[owner])
-        self.n, self.first = n, np.concatenate(([0], np.cumsum(size)))
-        self.terms = term
+        weight = corpus.weights(term, tf.astype(np.float64), counts[owner])
+        self.terms, self.first = term, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
         order = np.argsort(term, kind="stable")
         self.postings, self.posted = owner[order], weight[order]
         self.begin = np.concatenate(([0], np.cumsum(df)))
+        common = np.flatnonzero(df * COMMON > n)  # at most COMMON times as many cells as postings
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n))
+        inside = self.row[term] >= 0
+        self.rows[self.row[term[inside]], owner[inside]] = weight[inside]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, by BM25 over all its distinct terms, best first, ties in order."""
-        at = [slice(self.begin[t], self.begin[t + 1]) for t in self.terms[self.first[seed] : self.first[seed + 1]]]
-        if not at:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)
+        """Unused texts that share a term with the seed, by BM25 over all its distinct terms, best first, ties in order."""
+        own = self.terms[self.first[seed] : self.first[seed + 1]]
+        row = self.row[own]
+        at = [slice(self.begin[t], self.begin[t + 1]) for t in own[row < 0]]
+        score = self.rows[row[row >= 0]].sum(0)
+        if at:
+            score += np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def _windows(docs: list[np.ndarray], window: int, corpus: Corpus):
-    """(document, start, length, sequence, offset, seed) of every piece, windows full but for the last."""
-    index = ShardIndex(docs, corpus)
-    unused = np.ones(index.n, bool)
-    sequence = offset = next_free = 0
+def _windows(docs: list[np.ndarray], names: list, window: int, corpus: Corpus):
+    """(document, start, length, sequence, offset, seed) of every piece; see the top for what fills a window."""
+    known: dict[bytes, int] = {}
+    of = [known.setdefault(d.tobytes(), len(known)) for d in docs]
+    times: Counter = Counter()
+    turns = []
+    for c, name in zip(of, names):  # first copies of all documents come before second ones
+        times[c, name] += 1
+        turns.append(times[c, name])
+    waiting: list[list[int]] = [[] for _ in known]
+    for i in sorted(range(len(docs)), key=lambda i: (turns[i], i), reverse=True):
+        waiting[of[i]].append(i)
+    index = ShardIndex([docs[w[-1]] for w in waiting], corpus)
+    left = OrderedDict.fromkeys(range(len(waiting)))
+    unused = np.ones(len(waiting), bool)
+    held: dict[int, set] = {}
     queue: list[int] = []
-    out = []
-    while True:
-        doc = -1
-        while queue and doc < 0:
-            doc = queue.pop()
-            doc = doc if unused[doc] else -1
-        if doc < 0:
-            while next_free < index.n and not unused[next_free]:
-                next_free += 1
-            if next_free == index.n:
-                break
-            doc = seed = next_free
-        unused[doc] = False
+    sequence = offset = 0
+    seed, out = -1, []
+    while left:
+        text = -1
+        while queue and text < 0:
+            text = queue.pop()
+            text = text if unused[text] and text not in held else -1
+        if text < 0:
+            text = next((t for t in left if t not in held), -1)
+            if text < 0:  # copies of what the window holds are all that is left
+                text = next(iter(left))
+                if names[waiting[text][-1]] is not None and names[waiting[text][-1]] in held[text]:
+                    sequence, offset, queue, held = sequence + 1, 0, [], {}
+                    continue
+            seed = waiting[text][-1]
+        doc = waiting[text].pop()
+        if not waiting[text]:
+            del left[text]
+            unused[text] = False
+        held.setdefault(text, set()).add(names[doc])
         start, size = 0, len(docs[doc])
         while start < size:
             take = min(size - start, window - offset)
@@ -104,10 +157,11 @@ def _windows(docs: list[np.ndarray], window: int, corpus: Corpus):
             start, offset = start + take, offset + take
             if offset == window:
                 sequence, offset, queue, seed = sequence + 1, 0, [], doc
+                held = {text: {names[doc]}} if start < size else {}
         if offset and not queue:  # what has begun this window, or its last neighbour, is the seed of the rest
             seed = doc
-            queue = index.neighbours(seed, unused)[::-1].tolist()
-    return out, (sequence, offset)
+            queue = index.neighbours(text, unused)[::-1].tolist()
+    return out
 
 
 def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
@@ -119,14 +173,13 @@ def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
             t = tokenizer(path)
             df = np.zeros(len(t.ends), np.int64) if df is None else df
             ids, counts = t.encode(batch.column("text"))
+            for _, _, _, term, _ in terms(ids, counts):
+                df += np.bincount(term, minlength=len(df))
             edge = np.cumsum(counts)
-            packed = [ids[e - k : e] for e, k in zip(edge, counts)]
-            for x in packed:
-                x = np.sort(x, kind="stable")
-                df[x[np.concatenate((x[:1] == x[:1], x[1:] != x[:-1]))]] += 1
-            n, tokens = n + len(packed), tokens + len(ids)
+            n, tokens = n + len(counts), tokens + len(ids)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "salt", "size")), pa.array([x.tobytes() for x in packed], pa.binary()), pa.nulls(batch.num_rows, pa.binary()), none, none], names=names)
+            packed = pa.array([ids[e - k : e].tobytes() for e, k in zip(edge, counts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "salt", "size")), packed, pa.nulls(batch.num_rows, pa.binary()), none, none], names=names)
         if n:
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([n]), pa.array([tokens])], names=names)
@@ -151,47 +204,68 @@ def _corpus(encoded: DataFrame) -> Corpus:
 
 
 def _sharded(encoded: DataFrame, corpus: Corpus, window: int, shard_bytes: int, dtype) -> DataFrame:
-    """(id, salt, ids, shard): cut where the sizes of the documents before, by their terms, fill a shard."""
+    """(id, salt, ids, shard): cut where the sizes of the documents before, by their terms, fill a shard.
 
-    def run(batches):
+    The two terms are found twice, once for sizes and once to send documents on: cheaper than another copy of all ids.
+    """
+
+    def places(batch) -> np.ndarray:
+        column = batch.column("ids")
+        counts = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(dtype).itemsize
+        return corpus.places(np.frombuffer(b"".join(column.to_pylist()), dtype), counts, window)
+
+    def sizes(batches):
+        for batch in batches:
+            at = places(batch)
+            pair, where = np.unique((at[:, 0] + 1) << 32 | at[:, 1] + 1, return_inverse=True)
+            size = np.zeros(len(pair), np.int64)
+            np.add.at(size, where, batch.column("size").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array((pair >> 32) - 1), pa.array((pair & 0xFFFFFFFF) - 1), pa.array(size)], names=["t1", "t2", "pair"])
+
+    def placed(batches):
         for batch in batches:
-            at = np.array([corpus.places(np.frombuffer(x.as_buffer(), dtype), window) for x in batch.column("ids")], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=["id", "salt", "size", "ids", "t1", "t2"])
+            at = places(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=["id", "salt", "ids", "t1", "t2"])
 
-    placed = cut(encoded.where("n is null").select("id", "salt", "size", "ids").mapInArrow(run, "id long, salt long, size long, ids binary, t1 long, t2 long"), "placed")
-    pairs = cut(placed.groupBy("t1", "t2").agg(F.sum("size").alias("pair")), "pairs")
+    rows = encoded.where("n is null")
+    pairs = rows.select("size", "ids").mapInArrow(sizes, "t1 long, t2 long, pair long")
+    pairs = cut(pairs.groupBy("t1", "t2").agg(F.sum("pair").alias("pair")), "pairs")
     # one row a term of the vocabulary
     tops = sorted(map(tuple, pairs.groupBy("t1").agg(F.sum("pair")).collect()))
     starts = np.cumsum([0, *(x[1] for x in tops)]).tolist()
-    tops = F.broadcast(placed.sparkSession.createDataFrame([(t, x, n) for (t, n), x in zip(tops, starts)], "t1 long, start long, whole long"))
+    tops = F.broadcast(encoded.sparkSession.createDataFrame([(t, x, n) for (t, n), x in zip(tops, starts)], "t1 long, start long, whole long"))
     order = W.partitionBy("t1").orderBy("t2").rowsBetween(W.unboundedPreceding, -1)
     hot = cut(pairs.join(tops.where(F.col("whole") > shard_bytes), "t1").select("t1", "t2", "pair", F.coalesce(F.sum("pair").over(order), F.lit(0)).alias("before")), "hot")
     lo, size = F.col("start") + F.coalesce("before", F.lit(0)), F.coalesce("pair", "whole")
     share = F.when(size > shard_bytes, F.pmod("salt", F.lit(1 << 20)) / F.lit(1 << 20)).otherwise(0.5)
-    return placed.join(tops, "t1").join(small(hot), ["t1", "t2"], "left").select("id", "salt", "ids", F.floor((lo + share * size) / shard_bytes).alias("shard"))
+    sent = rows.select("id", "salt", "ids").mapInArrow(placed, "id long, salt long, ids binary, t1 long, t2 long")
+    return sent.join(tops, "t1").join(small(hot), ["t1", "t2"], "left").select("id", "salt", "ids", F.floor((lo + share * size) / shard_bytes).alias("shard"))
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD) -> DataFrame:
     """One row for each piece of a document; see PIECES.
 
-    Every row of docs is packed, repeated rows each for themselves, a null text as the end id alone; a
-    null id stays null. Each id lies in exactly one piece, and a sequence's offsets have no gaps.
-    sequence_id holds the shard in its upper half. An empty table gives an empty one.
+    Every row of docs is packed, repeated rows each for themselves and never two in one window, a null text as
+    the end id alone; a null id stays null, and rows with one may meet. Each id lies in exactly one piece, and a
+    sequence's offsets have no gaps. sequence_id holds the shard in its upper half. A text longer than a shard is a
+    shard of its own, so a task needs some ten times the size of the longest text. An empty table gives an empty
+    one; other columns of docs are left out, whatever their names.
     """
     id_, text = F.col(id_col).cast("long"), F.col(text_col)
     each = -(-shard_bytes // DOCUMENTS)
-    encoded = _encoded(docs.select(id_.alias("id"), F.xxhash64(F.lit(5), id_, text).alias("salt"), (F.coalesce(F.octet_length(text), F.lit(0)) + each).cast("long").alias("size"), text.alias("text")), path)
+    salt = F.xxhash64(F.lit(5), id_, text, F.monotonically_increasing_id())  # the place tells equal rows apart
+    encoded = _encoded(docs.select(id_.alias("id"), salt.alias("salt"), (F.coalesce(F.octet_length(text), F.lit(0)) + each).cast("long").alias("size"), text.alias("text")), path)
     corpus = _corpus(encoded)
 
     def fill(table: pa.Table) -> pa.Table:
         dtype = tokenizer(path).dtype
         table = table.sort_by([("id", "ascending"), ("salt", "ascending")])
         docs = [np.append(np.frombuffer(x.as_buffer(), dtype), dtype(end_id)) for x in table.column("ids")]
-        pieces, (last, tail) = _windows(docs, window, corpus)
+        pieces = _windows(docs, table.column("id").to_pylist(), window, corpus)
         doc, start, length, sequence, offset, seed = (np.array(x, np.int64) for x in zip(*pieces))
         base = table.column("shard")[0].as_py() << 32
         crc = [zlib.crc32(docs[d][s : s + n].astype("<u4").tobytes()) for d, s, n in zip(doc, start, length)]
-        tokens = np.where(sequence == last, tail, window)
+        tokens = np.bincount(sequence, length).astype(np.int64)[sequence]
         ids = table.column("id").combine_chunks()
         padded = np.where(tokens == window, window, 1 << np.ceil(np.log2(np.maximum(tokens, 1))).astype(np.int64))
         return pa.table([ids.take(pa.array(doc)), start, length, crc, [len(docs[d]) for d in doc], base + sequence, offset, tokens, np.minimum(padded, window), ids.take(pa.array(seed))], names=[x.split()[0] for x in PIECES.split(", ")])

@@ -40,6 +40,10 @@ def op8_quality_rules(spark, sf_dir):
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark, sf_dir):
+    return quality.quality_ablations(table(spark, sf_dir, "documents"))
+
+
 def op9_cross_polytope(spark, sf_dir):
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -48,5 +52,5 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_size_tiered_sharding, op3_language_id, op4_retrieval_packing, op5_warc_derivatives, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_cross_polytope, op10_mixing)}
-ORACLES = {"op5_warc_derivatives": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_size_tiered_sharding, op3_language_id, op4_retrieval_packing, op5_warc_derivatives, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_cross_polytope, op10_mixing, quality_ablations)}
+ORACLES = {"op5_warc_derivatives": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality.ORACLE, "quality_ablations": quality.ABLATIONS}

@@ -8,14 +8,12 @@ import numpy as np
 
 U = np.uint64
 _ODD = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_STEP = 0x5851F42D4C957F2D
-_INVERSE = pow(_STEP, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_POWERS = [np.ones(1, U), np.ones(1, U)]
-#: Bytes of text hashed at once; a longer text is hashed by itself.
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z as a-z
+_FOLD[9:14] = 32
+_FOLD = _FOLD.tobytes()
+_TAIL = np.array([0xFFFFFFFFFFFFFFFF >> 8 * (8 - n) for n in range(1, 9)], U)
+#: Bytes of text hashed at once, and about what is held of longer texts: eight bytes a word, and as much for its set.
 CHUNK = 1 << 20
 
 
@@ -27,15 +25,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, step in enumerate((_STEP, _INVERSE)):
-            p = np.full(n + n // 4, U(step))
-            p[0] = 1
-            _POWERS[i] = np.multiply.accumulate(p)
-    return _POWERS
-
-
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts as bytes) in runs of about CHUNK bytes."""
     first, size, run = 0, 0, []
@@ -51,15 +40,36 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 def word_hashes(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word in order, words before each text and in total)."""
-    b = np.frombuffer(b" " + b" ".join(run) + b" ", np.uint8)
-    space = _SPACE[b]
-    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    end = np.flatnonzero(~space[:-1] & space[1:])
-    power, inverse = _powers(len(b))
-    total = np.cumsum(_BYTE[b] * power[: len(b)], dtype=U)
-    hashed = mix((total[end] - total[start - 1]) * inverse[start] + (end - start).astype(U))
-    edge = np.cumsum([1, *(len(x) + 1 for x in run)])
-    return hashed, np.searchsorted(start, edge)
+    text = b" ".join(run).translate(_FOLD) + b" "
+    hashes, starts, at = [], [], 0
+    while at < len(text):
+        end = text.find(b" ", min(at + CHUNK, len(text) - 1)) + 1
+        h, s = _hashed(text[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    edge = np.cumsum([0, *(len(x) + 1 for x in run)])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), edge)
+
+
+def _hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of each word of a text in which only blanks divide words.
+
+    A word is read in steps of eight bytes; each step is mixed with its number before all are added up and
+    mixed with the word's length, so neither order nor repetition of letters makes two words alike.
+    """
+    b = np.frombuffer(b" " + text + b" " * 8, np.uint8)
+    blank = b == 32
+    start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    size = np.flatnonzero(~blank[:-1] & blank[1:]) + 1 - start
+    steps = (size + 7) >> 3
+    first = np.cumsum(steps) - steps
+    step = np.arange(steps.sum()) - np.repeat(first, steps)
+    lanes = np.ndarray(len(b) - 7, "<u8", b, strides=(1,))[np.repeat(start, steps) + 8 * step]
+    lanes &= _TAIL[np.minimum(np.repeat(size, steps) - 8 * step, 8) - 1]
+    lanes = mix(lanes + (step + 1).astype(U) * _ODD[2])
+    total = np.add.reduceat(lanes, first) if len(first) else lanes
+    return mix(total + size.astype(U) * _ODD[3]), start - 1
 
 
 def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

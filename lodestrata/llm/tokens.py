@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ _LETTERS, _DIGITS = "a-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼½¾"
 PIECES = re.compile(rf"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTERS}{_DIGITS}]+")
 #: Texts and words whose lower case and pieces are the same for Python as for the vocabulary's own rules.
 _PLAIN = re.compile(r"[\x21-\x7e\x20\x09-\x0D¡-ſ]*")
+_BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: Bytes of text cut into pieces at once, and pieces remembered at most in each of two generations.
 SLICE, MEMORY = 4 << 20, 250_000
 
@@ -76,10 +78,10 @@ class WordTokenizer:
                 out.append(" " + w)
         return out
 
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def _slice(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MEMORY:
             self.known, self.older = {}, self.known
-        pieces = [self._pieces(t) if t else [] for t in texts.to_pylist()]
+        pieces = [self._pieces(t) if t else [] for t in texts]
         new = set().union(*pieces).difference(self.known)
         if self.older:
             again = {p: self.older[p] for p in new if p in self.older}
@@ -100,13 +102,28 @@ class WordTokenizer:
         while first < len(texts):
             before = size[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(size, before + SLICE, "right")))
-            i, c = self._slice(texts.slice(first, last - first))
+            some = texts.slice(first, last - first).to_pylist()
+            if size[last - 1] - before > SLICE:  # one long text, in parts
+                parts = [self._slice([x])[0] for x in _parts(some[0])]
+                i, c = np.concatenate(parts), np.array([sum(map(len, parts))])
+            else:
+                i, c = self._slice(some)
             ids.append(i)
             counts.append(c)
             first = last
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
 
 
+def _parts(text: str) -> Iterator[str]:
+    """text cut at white space into parts of SLICE characters or, where a word goes on, up to its end."""
+    at = 0
+    while at < len(text):
+        end = _BLANK.search(text, at + SLICE)
+        end = end.start() if end else len(text)
+        yield text[at:end]
+        at = end
+
+
 @functools.lru_cache(maxsize=2)
 def tokenizer(path: str | None = None) -> WordTokenizer:
     """One for each Python worker and path."""

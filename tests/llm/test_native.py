@@ -1,5 +1,6 @@
 """Quality rules, mixing and line dedup against plain Python."""
 
+import html
 import random
 import re
 from collections import Counter
@@ -7,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm import line_dedup, quality
+from lodestrata.llm import line_dedup, mixing, quality
 from lodestrata.llm.mixing import mix_sources
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,6 +50,56 @@ def test_ablations(spark, sf):
     assert {r.kept for r in quality.ablations(book.limit(0)).collect()} == {0}
 
 
+def test_ledger_edges(spark):
+    df = spark.createDataFrame([(None, "a b", 1, 2), (None, "a b", 1, 2)], "doc_id long, text string, n_words int, failed int")
+    out = quality.ledger(df, keep=("n_words", "failed", "text"))
+    assert [c for c in out.columns if c in ("n_words_", "failed_", "text")] == ["n_words_", "failed_", "text"]
+    assert [(r.n_words, r.n_words_, r.failed_) for r in out.where(quality.passes(quality.Policy(9, ("shouting",)))).collect()] == [(2, 1, 2)] * 2
+    lines = ["- a", "* b", "• c", " - d", "x...", "y…"]
+    out = quality.ledger(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert (out.n_lines, out.n_bullet_lines, out.n_ellipsis_lines) == (6, 4, 2)
+
+
+def plain_mix(rows, goal, ranges, hot=frozenset()):
+    """What each row takes, with rows as (key, doc_id, source, size) in the order of the mix."""
+    out = Counter()
+    for s in {r[2] for r in rows}:
+        total = sum(r[3] for r in rows if r[2] == s)
+        budget = int(goal[s] + 1e-6)
+        whole = budget // total if total else 0
+        left = budget - whole * total
+        place = lambda k: (((k % 2**64) >> 33) * ranges >> 31, k in hot, k)
+        for k, i, _, n in sorted((r for r in rows if r[2] == s), key=lambda r: (*place(r[0]), r[1] is not None, r[1] or 0, r[3])):
+            last = max(0, min(n, left))
+            left -= last
+            out[i, s, n, whole * n + last] += 1
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 700])
+def test_taken_by_plain_python(spark, monkeypatch, copies):
+    monkeypatch.setattr(mixing, "RANGE", 50)
+    rng = random.Random(9)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 30))), rng.choice("aab")) for i in range(900)] + [(None, "x y z", "b")] * copies
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keyed = [tuple(r) for r in df.select(F.xxhash64(F.lit(17), "doc_id", "text"), "doc_id", "source", mixing.word_count(F.col("text"))).collect()]
+    sizes = Counter()
+    for r in keyed:
+        sizes[r[2]] += r[3]
+    hot = {k for k, n in Counter(r[0] for r in keyed).items() if n > 50}
+    want = plain_mix(keyed, water(dict(sizes)), len(rows) // 50, hot)
+    for parts in (2, 5):
+        assert Counter((r.doc_id, r.source, r.size, r.taken) for r in mix_sources(df.repartition(parts)).collect()) == want
+
+
+def test_equal_rows_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 50)
+    sized = spark.range(4000).select(F.lit("s").alias("source"), F.lit(0).cast("long").alias("bin"), F.lit(7).cast("long").alias("key"), F.col("id").alias("row"))
+    by_range = spark.createDataFrame([("s", 0, 1, 4000)], "source string, bin long, bin_size long, held long")
+    cells = [r["count"] for r in mixing._cells(sized, by_range).groupBy("cell").count().collect()]
+    assert len(cells) == 80 and max(cells) < 100
+
+
 def water(sizes, weights=(1, 2, 3), most=3):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: weights[i % 3] for i, s in enumerate(order)}
@@ -87,7 +138,7 @@ def test_mixing(spark, n):
 
 
 def test_line_dedup(spark):
-    rows = [(1, "h", "menu\nalpha\n menu \n\nfoot"), (2, "h", "menu\nbeta\nfoot"), (3, "h", "gamma\n\n"), (4, "h", None), (5, "h", "beta\nmenu"), (6, None, "menu\nfoot"), (7, "small", "menu"), (8, "h", "")]
+    rows = [(1, "h", "menu\nalpha\n menu \n\nfoot"), (2, "h", "menu\nbeta\nfoot"), (3, "h", "gamma\n\n"), (4, "h", None), (5, "h", "beta\nmenu"), (6, None, "menu\nfoot"), (7, "alone", "menu"), (8, "h", "")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, text string, site string")
     out = line_dedup.drop_boilerplate_lines(df, F.col("source"), F.col("text"), ratio=0.4)
     got = {r.doc_id: (r.clean_text, r.n_lines, r.n_dropped) for r in out.collect()}
@@ -97,6 +148,26 @@ def test_line_dedup(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("pages", [2, 3, 4])
+def test_small_hosts(spark, pages):
+    """What more than one page of a small host has, and more than the ratio, is boilerplate as on a large one."""
+    rows = [(i, "h", f"menu\nown {i}\n{'both' if i < 2 else 'x'}\nown {i}") for i in range(pages)] * 1
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.clean_text for r in line_dedup.drop_boilerplate_lines(df, F.col("source"), F.col("text")).collect()}
+    assert got == {i: f"own {i}" + ("\n" if i < 2 or pages == 4 else "\nx\n") + f"own {i}" for i in range(pages)}
+    again = line_dedup.drop_boilerplate_lines(df.limit(1).unionByName(df.limit(1)), F.col("source"), F.col("text"))
+    assert [r.clean_text for r in again.collect()] == [""] * 2  # repeated rows are two pages with all in common
+
+
+def test_entities(spark):
+    texts = ["&copy;&middot; &eacute;&Eacute;&hellip;", "&#233;&#xe9;&#XE9; &#128512;", "&amp;lt; &lt;b&gt; &quot;&#39;", "&nope; & &; &#; &#x; a&b;c &amp", "x&nbsp;y&#160;z", "plain", "", None, "&#0;&#55296;&#1114112;", "&#9999999; &#1;"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(line_dedup.unescaped(F.col("t"))).collect()]
+    for t, x in zip(texts[:4], got):
+        known = "&amp" if t.endswith("&amp") else ""
+        assert x == html.unescape(t.removesuffix("&amp")) + known
+    assert got[4:] == ["x y z", "plain", "", None, "\ufffd" * 3, "\ufffd \x01"]
+
+
 def test_hosts(spark):
     urls = ["http://A.b.com:80/x", "https://u:p@c.org?q", "ftp://d", "no host", None, "http:///x"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")

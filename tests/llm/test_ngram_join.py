@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from lodestrata.llm import ngram_join
+from lodestrata.llm import shingles as shingles_
 from lodestrata.llm.ngram_join import ngram_jaccard_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,6 +104,29 @@ def test_sets_of_two_bands_share_a_symbol():
         assert len(np.unique(seen[1:, 1][same])) == pairs
 
 
+def test_words_alike_in_letters_differ():
+    a, b = "a", "b"
+    for _ in range(10):  # such words have one sum of powers modulo 2^64
+        a, b = a + b, b + a
+    words = [a, b, "ab" * 4, "ab" * 8, "abcdefgh" + "ijklmnop", "ijklmnop" + "abcdefgh", "x", "xx", "x" * 8, "x" * 9, "x" * 16, "x\0", "\0"]
+    hashes = shingles_.word_hashes([w.encode() for w in words])[0]
+    assert len(set(hashes.tolist())) == len(words)
+    assert shingles_.word_hashes([a.upper().encode()])[0] == hashes[0]
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("w" * rng.randint(1, 30) + str(rng.randint(0, 99)) for _ in range(rng.randint(0, 80))) + rng.choice(["", "\n", " \t "]) for _ in range(30)]
+    whole = [(a, b.tolist(), c.tolist()) for a, b, c in shingles_.shingle_sets(texts)]
+    counts = shingles_.word_hashes([t.encode() for t in texts])[1].tolist()
+    assert counts == [sum(len(WORD.findall(t)) for t in texts[:i]) for i in range(31)]
+    monkeypatch.setattr(shingles_, "CHUNK", 50)
+    h, n = shingles_.word_hashes([t.encode() for t in texts])
+    assert n.tolist() == counts
+    parts = [(b.tolist(), c.tolist()) for _, b, c in shingles_.shingle_sets(texts)]
+    assert sum((b for b, _ in parts), []) == whole[0][1] and sum((c for _, c in parts), []) == whole[0][2]
+
+
 def test_edges(spark):
     long = " ".join(f"x{i % 997}y{i % 1009}" for i in range(30000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two"), (None, "one"), (7, "É é"), (8, "é é"), (9, long), (10, long + " tail"), (9, long), (11, "a b c d e"), (12, "a b c d e")]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from lodestrata import store
 from lodestrata.llm.mixing import mix_sources
 from tests.llm.test_native import WORD, measured
 from tests.llm.test_ngram_join import brute
@@ -77,3 +78,36 @@ def test_run_and_edges(spark, sf, tmp_path):
             stage(spark, docs, sf).write.parquet(path)
             docs = spark.read.parquet(path)
         assert {r.doc_id for r in docs.collect()} == ({2} if rows is odd else set())
+
+
+def text(seed, n=80, change=()):
+    return " ".join(("new" if i in change else "w") + str((i * 7919 + seed * 104729) % 99991) for i in range(n))
+
+
+def test_rows_of_one_id_that_are_no_copies_stay(spark, sf):
+    rows = [(5, text(1)), (5, text(2)), (1, text(1)), (None, text(3)), (None, text(3, change={70})), (7, text(3)), (None, text(4)), (9, None), (9, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 1, "more") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string")
+    got = pipeline.ngram_jaccard(spark, df, sf)
+    assert got.columns == list(pipeline.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, text(2)), (1, text(1)), (7, text(3)), (None, text(4)), (9, None), (9, "")], key=str)
+
+
+def test_mixing_keeps_rows_without_id(spark, sf):
+    rows = [(None, text(i), "en", s, 1) for i, s in enumerate("aabbbb")] + [(3, text(7), "en", "b", 1), (3, text(8), "en", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.mixing(spark, df, sf)
+    want = sum(r.epochs for r in mix_sources(df).collect())
+    assert got.count() == want and want == 8 and {r.source for r in got.collect()} == {"a", "b"}
+
+
+def test_copies_made_by_mixing_go_to_different_windows(stages):
+    begun = stages[5].where("start = 0").groupBy("doc_id", "sequence_id").count()
+    assert begun.where("count > 1").isEmpty()
+    assert stages[4].groupBy("doc_id").count().where("count > 1").count() > 5
+
+
+def test_run_leaves_its_result_only(spark, sf, tmp_path, monkeypatch):
+    for at in (store, pipeline):
+        monkeypatch.setattr(at, "shared_dir", lambda _: str(tmp_path))
+    assert pipeline.run(spark, sf).count() > 0
+    assert [sorted(p.name for p in x.iterdir()) for x in tmp_path.iterdir()] == [["4"]]

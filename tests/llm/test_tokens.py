@@ -2,12 +2,14 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from lodestrata.llm.packing import B, K1, Corpus, ShardIndex, pack
+from lodestrata.llm import tokens
+from lodestrata.llm.packing import B, K1, Corpus, ShardIndex, _windows, pack
 from lodestrata.llm.token_counts import quantile_length, token_counts, truncated_total
 from lodestrata.llm.tokens import tokenizer, vocabulary_path
 
@@ -101,6 +103,102 @@ def test_neighbours_by_all_terms():
         assert index.neighbours(seed, unused).tolist() == want
 
 
+def plain_windows(docs, names, window, df, n, mean):
+    """The windows of one shard in plain Python: BM25 by dictionaries, greedy choice by a scan."""
+    counts = [Counter(d[:-1].tolist()) for d in docs]
+    idf = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in set().union(*counts)}
+    texts = [d.tobytes() for d in docs]
+    turn = [sum((texts[j], names[j]) == (texts[i], names[i]) for j in range(i)) for i in range(len(docs))]
+    order = sorted(range(len(docs)), key=lambda i: (turn[i], i))
+    first = {}
+    for i in range(len(docs)):
+        first.setdefault(texts[i], len(first))
+
+    def score(a, b):
+        size = sum(counts[b].values())
+        return sum(idf[t] * counts[b][t] * (K1 + 1) / (counts[b][t] + K1 * (1 - B + B * size / mean)) for t in counts[a] if t in counts[b])
+
+    out, used, queue, held, at, sequence, offset = [], set(), [], [], None, 0, 0
+    while len(used) < len(docs):
+        open_ = [i for i in order if i not in used]
+        fresh = [i for i in open_ if texts[i] not in {texts[h] for h in held}]
+        doc = None
+        while queue and doc is None:
+            t = queue.pop(0)
+            doc = next((i for i in fresh if texts[i] == t), None)
+        if doc is None:
+            doc = min(fresh, key=lambda i: first[texts[i]], default=None)
+            doc = None if doc is None else next(i for i in fresh if texts[i] == texts[doc])
+            if doc is None:
+                t = min((first[texts[i]], texts[i]) for i in open_)[1]
+                doc = next(i for i in open_ if texts[i] == t)
+                if names[doc] is not None and any((names[h], texts[h]) == (names[doc], texts[doc]) for h in held):
+                    sequence, offset, queue, held = sequence + 1, 0, [], []
+                    continue
+            at = doc
+        used.add(doc)
+        held.append(doc)
+        start = 0
+        while start < len(docs[doc]):
+            take = min(len(docs[doc]) - start, window - offset)
+            out.append((doc, start, take, sequence, offset, at))
+            start, offset = start + take, offset + take
+            if offset == window:
+                sequence, offset, queue, at = sequence + 1, 0, [], doc
+                held = [doc] if start < len(docs[doc]) else []
+        if offset and not queue:
+            at = doc
+            left = {texts[i]: i for i in reversed(order) if i not in used}
+            scored = sorted(((-score(doc, i), first[t], t) for t, i in left.items() if score(doc, i) > 0))
+            queue = [t for _, _, t in scored]
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 1])
+def test_windows_by_plain_python(copies):
+    rng = np.random.default_rng(8 + copies)
+    docs = [np.append(np.minimum(rng.zipf(1.4, rng.integers(3, 60)) + 2, 400), 2) for _ in range(70)]
+    names = list(range(70))
+    if copies:
+        again = rng.integers(0, 30, 40)
+        docs, names = docs[:30] + [docs[i] for i in again], list(range(30)) + [int(i) if i % 3 else None if i % 2 else 100 + int(i) for i in again]
+    ids = np.concatenate([np.unique(d[:-1]) for d in docs])
+    df = np.bincount(ids, minlength=401)
+    tokens = sum(len(d) - 1 for d in docs)
+    want = plain_windows(docs, names, 128, df, len(docs), tokens / len(docs))
+    assert _windows(docs, names, 128, Corpus(df, len(docs), tokens)) == want
+
+
+def test_copies_never_share_a_window(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 0").limit(60)
+    got = pack(docs.crossJoin(spark.range(3).select("id")).select("doc_id", "text")).collect()
+    begun = Counter((r.doc_id, r.sequence_id) for r in got if r.start == 0)
+    assert set(begun.values()) == {1} and sum(begun.values()) == 180
+    assert sum(r.padded_to for r in {(x.sequence_id, x.padded_to): x for x in got}.values()) < 1.1 * sum(r.length for r in got)
+
+
+def test_equal_rows_are_dealt_over_shards(spark):
+    df = spark.createDataFrame([(None, "one two three four five " * 4)], "doc_id long, text string").crossJoin(spark.range(5000)).select("doc_id", "text").repartition(3)
+    got = pack(df, shard_bytes=40_000).collect()
+    sizes = Counter(r.sequence_id >> 32 for r in got if r.start == 0)
+    assert len(sizes) > 10 and sum(sizes.values()) == 5000
+    assert max(sizes.values()) < 2 * 5000 / len(sizes)
+
+
+def test_long_texts_in_parts(monkeypatch):
+    text = "Don't stop\n<|endoftext|> now, 12 ΑΣ İstanbul x--y!?\t" * 40 + "z" * 300 + " end"
+    whole = library_ids([text])[0]
+    monkeypatch.setattr(tokens, "SLICE", 100)
+    ids, counts = tokens.WordTokenizer().encode(pa.array([None, text, "", text, "a b"]))
+    assert counts.tolist() == [0, len(whole), 0, len(whole), 2]
+    assert ids[: len(whole)].tolist() == whole == ids[len(whole) : 2 * len(whole)].tolist()
+
+
+def test_limits_edges(spark):
+    df = spark.createDataFrame([("a b", 7, 1)] * 3 + [(None, 8, 1)], "text string, length long, docs long")
+    assert sorted((r.context_limit, r.docs, r.tokens_total) for r in token_counts(df).collect()) == [(0, 1, 6), (2, 3, 6)]
+
+
 def test_limits(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
     lengths = [len(x) for x in library_ids([r.text for r in docs.collect()])]

@@ -1,6 +1,7 @@
 """A training corpus from documents: five stages, each one of the numbered operators.
 
-Every stage works on all that its predecessor kept, and is written and read again before the next.
+Every stage works on all that its predecessor kept, and is written and read again before the next. All but the
+last return the columns of documents; other columns of a stage's input are left out.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import shared_dir
+from lodestrata.llm.common import cut, delete, scratch, shared_dir
 from lodestrata.llm.line_dedup import drop_boilerplate_lines
 from lodestrata.llm.mixing import mix_sources
 from lodestrata.llm.ngram_join import ngram_jaccard_join
@@ -34,26 +35,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.when(F.col("n_dropped") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
-def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Null ids all stay."""
-    gone = ngram_jaccard_join(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    once = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    kept = once.join(gone, "doc_id", "left_anti")
-    return (kept if once is docs else kept.unionByName(docs.where(F.col("doc_id").isNull()))).select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it stays: ids may be null or repeated."""
+    return cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed")
+
 
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest doc_id (the first, of several), null ids last.
 
-def _repeats(docs: DataFrame) -> bool:
-    return not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty()
+    Rows are told apart by themselves, not by doc_id: rows that share an id but aren't near copies all stay. Texts
+    without words are copies of nothing and stay.
+    """
+    keyed = _keyed(docs)
+    found = ngram_jaccard_join(keyed, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    best = found.join(keyed.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(order).alias("best")).select("best.row")
+    return keyed.join(best, "row", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it; the one cut at a source's budget counts if half of it is taken."""
-    times = mix_sources(docs).groupBy("doc_id").agg(F.max("epochs").alias("epochs")).where("epochs > 0 and doc_id is not null")
-    return docs.join(times, "doc_id").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*COLUMNS)
+    """Each row as many times as the mix takes it; the one cut at a source's budget counts if half of it is taken.
+
+    Null and repeated ids are rows like others. Rows without words have nothing to take and go.
+    """
+    keyed = _keyed(docs)
+    times = mix_sources(keyed, keep=("row",)).where("epochs > 0").select("row", "epochs")
+    return keyed.join(times, "row").withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 4096 token ids."""
+    """Pieces of documents in windows of 4096 token ids, copies made by mixing in different ones."""
     return pack(docs)
 
 
@@ -64,9 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage cut is deleted when its rows are written, those when the next has read them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/lodestrata-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
+        if i:
+            delete(spark, f"{base}/{i - 1}")
         docs = spark.read.parquet(f"{base}/{i}")
     return docs

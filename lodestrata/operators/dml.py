@@ -94,11 +94,23 @@ def titled(threads: DataFrame, messages: DataFrame) -> DataFrame:
 STEPS = {"UPLOADED": ("PROCESSING",), "PROCESSING": ("READY", "FAILED"), "READY": ("UPLOADED", "PROCESSING"), "FAILED": ("UPLOADED", "PROCESSING")}
 
 
+def may_step(status: Column, to: Column) -> Column:
+    """Whether a source may go from one status to another."""
+    steps = F.create_map(*(x for a, b in STEPS.items() for x in (F.lit(a), F.array(*map(F.lit, b)))))
+    return F.coalesce(F.array_contains(F.try_element_at(steps, status), to), F.lit(False))
+
+
 def processed(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """sources after their documents were worked on: READY with a page count, or FAILED with the error of that document."""
-    out = sources.join(outcomes.select(F.col("data_source_id").alias("id"), "error", F.col("page_count").alias("pages")), "id", "left")
-    done = F.col("pages").isNotNull() | F.col("error").isNotNull()
-    return out.withColumn("status", F.when(F.col("error").isNotNull(), "FAILED").when(done, "READY").otherwise(F.col("status"))).withColumn("page_count", F.coalesce("pages", "page_count")).select(*sources.columns, "error")
+    """sources after their documents were worked on: READY with a page count, or FAILED with the error of that document.
+
+    An outcome that comes for a source whose status doesn't lead there (it was replaced meanwhile, say) changes nothing.
+    """
+    out = sources.join(outcomes.select(F.col("data_source_id").alias("id"), F.col("error").alias("failure"), F.col("page_count").alias("pages")), "id", "left")
+    to = F.when(F.col("failure").isNotNull(), "FAILED").when(F.col("pages").isNotNull(), "READY")
+    out = out.withColumn("to", F.when(may_step(F.col("status"), to), to))
+    came = F.col("to").isNotNull()
+    changed = {"status": F.coalesce("to", "status"), "page_count": F.when(came, F.coalesce("pages", "page_count")).otherwise(F.col("page_count"))}
+    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in sources.columns), F.when(came, F.col("failure")).alias("error"))
 
 
 def sync_counters(outcomes: DataFrame) -> DataFrame:

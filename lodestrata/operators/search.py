@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fulltext, trigram
-from ..functions.scalars import once
+from ..functions.scalars import once, result_line
 from ..functions.vectors import cosine
 from ..store import cut
 from .filters import filtered
@@ -209,5 +209,34 @@ def tool_answer(results: DataFrame) -> DataFrame:
 def tool_sources(results: DataFrame) -> DataFrame:
     """Of tool outputs (tool, result as JSON, seq), the sources of searches that are complete, in order."""
     schema = "array<struct<chunkId string, content string, score double, dataSourceId string, dataSourceName string>>"
-    parsed = results.where(F.col("tool") == "rag-search").select("seq", F.posexplode(F.from_json(F.get_json_object("result", "$.results"), schema)).alias("pos", "r"))
-    return parsed.where("r.chunkId is not null and r.dataSourceId is not null and r.dataSourceName is not null").select("seq", "pos", "r.*").orderBy("seq", "pos")
+    rest = [c for c in results.columns if c not in ("tool", "result")]
+    parsed = results.where(F.col("tool") == "rag-search").select(*rest, F.posexplode(F.from_json(F.get_json_object("result", "$.results"), schema)).alias("pos", "r"))
+    return parsed.where("r.chunkId is not null and r.dataSourceId is not null and r.dataSourceName is not null").select(*rest, "pos", "r.*").orderBy("seq", "pos")
+
+
+def answered(answers: DataFrame, results: DataFrame, key: str = "request_id") -> DataFrame:
+    """(request_id, answer, model, sources, usage) of answers (request_id, text, model, input_tokens, output_tokens).
+
+    results are the tools' outputs of each request as tool_sources() takes them; sources keep their order, and a
+    request whose tools found nothing has none. Missing token counts are 0.
+    """
+    found = tool_sources(results)
+    source = F.struct("content", "score", F.struct(F.col("dataSourceId").alias("id"), F.col("dataSourceName").alias("name")).alias("dataSource"))
+    g = found.select(key, F.struct("seq", "pos", source.alias("s")).alias("x")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("sources"))
+    spent = [F.coalesce(c, F.lit(0)).cast("long") for c in ("input_tokens", "output_tokens")]
+    usage = F.struct(spent[0].alias("promptTokens"), spent[1].alias("completionTokens"), (spent[0] + spent[1]).alias("totalTokens"))
+    out = answers.join(g, key, "left")
+    none = F.array().cast(g.schema["sources"].dataType)
+    return out.select(key, F.col("text").alias("answer"), "model", F.coalesce("sources", none).alias("sources"), usage.alias("usage"))
+
+
+def result_texts(results: DataFrame) -> DataFrame:
+    """A search's rows as the lines that a tool server shows: name and score above the content."""
+    return results.select("chunk_id", result_line(F.col("data_source_name"), F.col("score"), F.col("content")).alias("text"))
+
+
+def collection_list(collections: DataFrame) -> DataFrame:
+    """One row: the collections (id, name, description, source_count, chunk_count) as the JSON list that a tool server shows, by name."""
+    item = F.struct("id", "name", "description", F.col("source_count").alias("sourceCount"), F.col("chunk_count").alias("chunkCount"))
+    g = collections.agg(F.array_sort(F.collect_list(F.struct("name", "id", item.alias("c")))).alias("x"))
+    return g.select(F.to_json(F.transform("x", lambda x: x["c"]), {"ignoreNullFields": "false"}).alias("text"))

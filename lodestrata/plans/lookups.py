@@ -54,7 +54,7 @@ def history_page(spark, sf):
     return catalogue.history_page(e, 11, 50).select("id", "created_at")
 
 
-_STATUS = "case when doc_id % 6 = 0 then 'FAILED' when doc_id % 2 = 0 then 'READY' else 'PROCESSING' end"
+_STATUS = "case when doc_id % 5 = 0 then 'UPLOADED' when doc_id % 6 = 0 then 'FAILED' when doc_id % 2 = 0 then 'READY' else 'PROCESSING' end"
 
 
 def _outcomes(spark, sf):
@@ -62,9 +62,10 @@ def _outcomes(spark, sf):
     return d.select(F.col("doc_id").alias("data_source_id"), F.when(F.col("doc_id") % 6 == 0, "broken").alias("error"), F.when(F.col("doc_id") % 6 != 0, F.col("n_chars")).alias("page_count"))
 
 
-@query(f"select doc_id id, {_STATUS} status, case when doc_id % 2 = 0 and doc_id % 6 <> 0 then n_chars end page_count, case when doc_id % 6 = 0 then 'broken' end as error from documents")
+@query(f"select doc_id id, {_STATUS} status, case when doc_id % 2 = 0 and doc_id % 6 <> 0 and doc_id % 5 <> 0 then n_chars end page_count, case when doc_id % 6 = 0 and doc_id % 5 <> 0 then 'broken' end as error from documents")
 def processing_outcomes(spark, sf):
-    d = s.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit("PROCESSING").alias("status"), F.lit(None).cast("long").alias("page_count"))
+    status = F.when(F.col("doc_id") % 5 == 0, "UPLOADED").otherwise("PROCESSING")  # outcomes come too late for a fifth
+    d = s.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), status.alias("status"), F.lit(None).cast("long").alias("page_count"))
     return dml.processed(d, _outcomes(spark, sf))
 
 
@@ -347,3 +348,33 @@ def synced_items(spark, sf):
     at = f"{folder(spark)}/{uuid.uuid4().hex}"
     connectors.synced(e, "20240110", lambda page, n: page.write.mode("overwrite").parquet(f"{at}/page={n}"), size=max(50, e.count() // 5))
     return spark.read.schema("external_id string, updated_at string").parquet(at).select("external_id", "updated_at")
+
+
+@query(
+    """with t as (select conv_id, list({'content': text, 'id': 'd' || turn} order by turn) s from conversations where turn % 2 = 0 and conv_id % 3 <> 0 group by 1)
+    select c.conv_id request_id, 'a' || c.conv_id answer, coalesce(array_to_string(list_transform(s, lambda x: x.id || ' ' || md5(x.content)), ','), '') sources, cast(c.conv_id * 2 + 7 as bigint) total
+    from (select distinct conv_id from conversations) c left join t on c.conv_id = t.conv_id"""
+)
+def answers_with_sources(spark, sf):
+    """Answers of requests, a third of which searched nothing, with the sources of their tools and the tokens spent."""
+    c = s.messages(spark, sf).withColumnRenamed("thread_id", "request_id")
+    one = F.struct(F.lit("c").alias("chunkId"), F.col("text").alias("content"), F.lit(0.5).alias("score"), F.concat(F.lit("d"), F.col("pos").cast("string")).alias("dataSourceId"), F.lit("n").alias("dataSourceName"))
+    tools = c.where("pos % 2 = 0 and request_id % 3 <> 0").select("request_id", F.lit("rag-search").alias("tool"), F.to_json(F.struct(F.array(one).alias("results"))).alias("result"), F.col("pos").alias("seq"))
+    a = c.select("request_id").distinct().select("request_id", F.concat(F.lit("a"), F.col("request_id").cast("string")).alias("text"), F.lit("m").alias("model"), (F.col("request_id") * 2).alias("input_tokens"), F.lit(7).alias("output_tokens"))
+    out = search.answered(a, tools)
+    return out.select("request_id", "answer", F.array_join(F.transform("sources", lambda x: F.concat(x["dataSource"]["id"], F.lit(" "), F.md5(x["content"]))), ",").alias("sources"), F.col("usage.totalTokens").alias("total"))
+
+
+@query("select vec_id chunk_id, printf('[s%d] (score: %.3f)', label, label / 8.0) || chr(10) || 'text ' || vec_id as text from embeddings")
+def result_texts(spark, sf):
+    e = s.read(spark, sf, "embeddings")
+    return search.result_texts(e.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("s"), F.col("label").cast("string")).alias("data_source_name"), (F.col("label") / 8).alias("score"), F.concat(F.lit("text "), F.col("vec_id").cast("string")).alias("content")))
+
+
+@query(
+    """with n as (select n_nationkey id, n_name as name, n_regionkey r, (select count(*) from customer where c_nationkey = n_nationkey) s, (select count(*) from supplier where s_nationkey = n_nationkey) k from nation)
+    select '[' || string_agg('{"id":' || id || ',"name":"' || name || '","description":' || case when r = 0 then 'null' else '"r' || r || '"' end || ',"sourceCount":' || s || ',"chunkCount":' || k || '}', ',' order by name) || ']' as text from n"""
+)
+def collection_list(spark, sf):
+    n = s.read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") != 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("description"))
+    return search.collection_list(catalogue.collection_rollup(n, s.read(spark, sf, "customer").select(F.col("c_nationkey").alias("collection_id")), s.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("collection_id"))))

@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pricing import MODELS
+from ..functions.pricing import MODELS, PRICES
 from ..operators.search import indexed
 from ..operators.usage import log_rows
 from ..session import scoped, write_scoped
@@ -46,13 +46,17 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last_name"), F.concat("c_name", F.lit("@example.org")).alias("email"))
 
 
-USAGE_SQL = """
+def _listed(values) -> str:
+    return "[" + ", ".join(repr(x) for x in values) + "][user_id % 5 + 1]"
+
+
+USAGE_SQL = f"""
 log as (select event_id id, user_id % 3 org_id, case when event_id % 7 <> 0 then user_id end user_id,
- ['openai/gpt-5-mini', 'openai/gpt-4o-mini', 'openai/text-embedding-3-small', 'bedrock/cohere.rerank-v3-5:0', 'amazon-bedrock/us.anthropic.claude-haiku-4-5-20251001-v1:0'][user_id % 5 + 1] model,
- ['OpenAI', 'OpenAI', 'OpenAI', 'Bedrock', 'Bedrock'][user_id % 5 + 1] provider,
+ {_listed(PRICES)} model,
+ {_listed(p for p, _, _ in PRICES.values())} provider,
  ['CHAT', 'EMBEDDING', 'RERANK', 'HYDE'][event_id % 4 + 1] request_type, event_type source,
  cast(trunc(value) as integer) input_tokens, cast(json_extract_string(props, '$.k') as integer) output_tokens, ts created_at,
- [0.3, 0.15, 0.02, 2.0, 0.8][user_id % 5 + 1] pi, [1.25, 0.6, 0.0, 0.0, 4.0][user_id % 5 + 1] po from events),
+ {_listed(i for _, i, _ in PRICES.values())} pi, {_listed(o for _, _, o in PRICES.values())} po from events),
 recent as (select *, input_tokens + output_tokens total_tokens,
  cast(cast(input_tokens as double) / 1000000 * cast(pi as double) + cast(output_tokens as double) / 1000000 * cast(po as double) as decimal(12, 8)) cost
  from log where created_at >= timestamp '2024-01-25 12:00:00' - interval 14 days)

@@ -137,12 +137,17 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return _per_file(binaries(spark, path, "*.xlsx"), xlsx_sheets, "path string, sheet string, sheet_no int, row int, text string, error string", _types(sheet=pa.string(), sheet_no=pa.int32(), row=pa.int32(), text=pa.string()))
 
 
+# fixed values: the labels that a model is asked to put before the parts of its answer
+LABELS = ("DESCRIPTION", "TAGS", "TEXT")
+
+
 def image_text(answer: Column) -> Column:
     """(description, tags, visible_text, content) from a vision model's labelled answer."""
     part = lambda pattern: trimmed(F.regexp_extract(answer, f"(?s){pattern}", 1))
-    labelled = r"DESCRIPTION:\s*(.+?)(?=\nTAGS:)"
+    first, second, third = LABELS
+    labelled = rf"{first}:\s*(.+?)(?=\n{second}:)"
     description = F.when(answer.rlike(f"(?s){labelled}"), part(labelled)).otherwise(trimmed(answer))
-    listed, visible = part(r"TAGS:\s*(.+?)(?=\nTEXT:)"), part(r"TEXT:\s*(.+)")
+    listed, visible = part(rf"{second}:\s*(.+?)(?=\n{third}:)"), part(rf"{third}:\s*(.+)")
     tags = F.filter(F.transform(F.split(listed, ","), trimmed), lambda x: x != "")
     seen = F.when((visible != "") & (visible != "None"), visible)
     content = F.concat_ws("\n\n", description, F.concat(F.lit("Visible text: "), seen), F.when(F.size(tags) > 0, F.concat(F.lit("Tags: "), F.array_join(tags, ", "))))

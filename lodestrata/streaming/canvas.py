@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.ids import UUID_PATTERN
+
 
 class Rejected(Exception):
     """An operation names a card, component or end of an edge that isn't there."""
@@ -80,33 +84,44 @@ INNER = {"add_card": _add_card, "remove_card": _remove_card, "move_card": _move_
 OUTER = {k: v for k, v in INNER.items() if k != "remove_edge"} | {"delete_edge": _drop_edge, "update_edges": _update_edges, "batch": _batch}
 
 
-def applied(state_json: str | None, op_json: str, lenient: bool = False) -> tuple[str, str | None]:
-    """(state after an operation, error): a rejected operation leaves all as it was, a batch as a whole."""
-    before = state_json or json.dumps(empty())
+def step(state: dict | None, op_json: str, lenient: bool = False) -> tuple[dict, str | None]:
+    """(state after an operation, error): a rejected operation leaves all as it was, a batch as a whole.
+
+    Single operations are refused before they change anything, so only a batch works on a copy.
+    """
+    state = empty() if state is None else state
     op = json.loads(op_json)
-    state = json.loads(before)
+    work = copy.deepcopy(state) if op["type"] == "batch" and not lenient else state
     try:
-        OUTER[op["type"]](state, op, lenient, False)
+        OUTER[op["type"]](work, op, lenient, False)
     except Rejected as e:
-        return before, str(e)
-    return json.dumps(state), None
+        return state, str(e)
+    return work, None
+
+
+def applied(state_json: str | None, op_json: str, lenient: bool = False) -> tuple[str, str | None]:
+    """The same for a state kept as text."""
+    state, error = step(json.loads(state_json) if state_json else None, op_json, lenient)
+    return json.dumps(state), error
+
+
+ID = re.compile(UUID_PATTERN)
 
 
 def resolved(operations: list[dict], fresh) -> list[dict]:
-    """Operations of a batch with placeholder ids ($name) replaced, each by an id that fresh() gives where a card or edge is added.
+    """Operations of a batch with placeholder ids replaced, each by an id that fresh() gives where a card or edge is added.
 
-    A later operation may name an earlier one's; the first that names none of them refuses the batch.
+    A later operation may name an earlier one's placeholder; otherwise it has to name an id of the service's own form.
+    The first name that is neither refuses the batch.
     """
     names: dict[str, str] = {}
 
     def of(value, new: bool = False):
-        if not (isinstance(value, str) and value.startswith("$")):
-            return value
         if new:
             names[value] = fresh()
-        if value not in names:
-            raise Rejected(f"unknown placeholder {value}")
-        return names[value]
+        if value not in names and not (isinstance(value, str) and ID.match(value)):
+            raise Rejected(f"{value} is neither a placeholder of this batch nor an id")
+        return names.get(value, value)
 
     out = []
     for x in operations:
@@ -140,13 +155,13 @@ def fold(ops: DataFrame, lenient: bool = False) -> DataFrame:
             for t, op in zip(batch["thread_id"], batch["op"]):
                 if t != thread:
                     if thread is not None:
-                        done.append((thread, state, json.dumps(errors)))
+                        done.append((thread, json.dumps(state), json.dumps(errors)))
                     thread, state, errors = t, None, []
-                state, error = applied(state, op, lenient)
+                state, error = step(state, op, lenient)
                 errors += [error] if error else []
             yield pd.DataFrame(done, columns=STATES.names)
         if thread is not None:
-            yield pd.DataFrame([(thread, state, json.dumps(errors))], columns=STATES.names)
+            yield pd.DataFrame([(thread, json.dumps(state), json.dumps(errors))], columns=STATES.names)
 
     ordered = ops.select("thread_id", "seq", "op").repartition("thread_id").sortWithinPartitions("thread_id", "seq")
     return ordered.mapInPandas(run, STATES)
@@ -159,12 +174,13 @@ class CanvasProcessor(StatefulProcessor):
         self.state = handle.getValueState("canvas", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get()[0] if self.state.exists() else None
+        state = json.loads(self.state.get()[0]) if self.state.exists() else None
         ops = pd.concat(list(rows)).sort_values("seq", kind="stable")["op"]
         errors = []
         for op in ops:
-            now, error = applied(now, op)
+            state, error = step(state, op)
             errors += [error] if error else []
+        now = json.dumps(state)
         self.state.update((now,))
         yield pd.DataFrame([(key[0], now, json.dumps(errors))], columns=STATES.names)
 

@@ -182,6 +182,10 @@ def test_canvas(spark):
     assert out[1]["cardId"] == "1" and out[0]["cards"][0]["component"]["id"] == "2"
     with pytest.raises(canvas.Rejected):
         canvas.resolved([{"op": "move_card", "cardId": "$z"}], lambda: "1")
+    with pytest.raises(canvas.Rejected):
+        canvas.resolved([{"op": "move_card", "cardId": "no id"}], lambda: "1")
+    packed = "00000001-0000-0000-0000-310000000000"
+    assert canvas.resolved([{"op": "move_card", "cardId": packed}], lambda: "1") == [{"op": "move_card", "cardId": packed}]
     assert canvas.applied(None, json.dumps(OPS[3]), lenient=True)[1] is None
 
 

@@ -23,33 +23,36 @@ def trigrams(text: Column) -> Column:
 
 
 def best_extent(query: set[str], grams: list[str]) -> float:
-    """Greatest |common| / |query or extent| over stretches of grams; each end grows and shrinks greedily."""
+    """Greatest |common| / |query or extent| over stretches of grams; each end grows and shrinks greedily.
+
+    A stretch is kept as its distinct grams in the order of their last places, of which there are less than
+    the square of the query's, so work is in proportion to the text's length, also where it repeats itself.
+    """
     last: dict[str, int] = {}
-    low, best = -1, 0.0
-    common = size = 0
+    low, best, common = -1, 0.0, 0
     for i, g in enumerate(grams):
         hit = g in query
         if low < 0 and not hit:
             continue
-        if g not in last:
-            size += 1
+        if last.pop(g, None) is None:
             common += hit
-        last[g] = i
+        last[g] = i  # behind all others
         if not hit:
             continue
         if low < 0:
             low = i
-        score, keep, c, s = common / (len(query) + size - common), (low, common, size), common, size
-        for j in range(low, i):
-            if last.get(grams[j]) == j:
-                s -= 1
-                c -= grams[j] in query
-                if (shorter := c / (len(query) + s - c)) > score:
-                    score, keep = shorter, (j + 1, c, s)
-        for j in range(low, keep[0]):
-            if last.get(grams[j]) == j:
-                del last[grams[j]]
-        low, common, size = keep
+        size = len(last)
+        score, keep, c, s = common / (len(query) + size - common), (low, common), common, size
+        for old, j in last.items():
+            if j == i:
+                break
+            s -= 1
+            c -= old in query
+            if (shorter := c / (len(query) + s - c)) > score:
+                score, keep = shorter, (j + 1, c)
+        for old in [x for x, j in last.items() if j < keep[0]]:
+            del last[old]
+        low, common = keep
         best = max(best, score)
         if best == 1:
             break

@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import ids, scalars
-from ..operators import cards, catalogue, dml, filters, search
+from ..operators import cards, catalogue, dml, filters, search, usage
 from ..operators.chunking import csv_rows
+from ..session import scoped, write_scoped
 from ..sources import connectors, files, formats, webhooks
 from ..store import folder
 from ..streaming import sync
@@ -378,3 +379,74 @@ def result_texts(spark, sf):
 def collection_list(spark, sf):
     n = s.read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") != 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("description"))
     return search.collection_list(catalogue.collection_rollup(n, s.read(spark, sf, "customer").select(F.col("c_nationkey").alias("collection_id")), s.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("collection_id"))))
+
+
+@query("select c_custkey id, c_nationkey org_id from customer where c_nationkey = 3")
+def tenant_rows(spark, sf):
+    """One tenant's rows of a table stored by tenant: other tenants' files aren't read."""
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    write_scoped(s.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("org_id")), at)
+    return scoped(spark.read.parquet(at), 3).select("id", F.col("org_id").cast("long").alias("org_id"))
+
+
+@query(f"with {s.USAGE_SQL} select model, count(*) requests, cast(sum(cast(input_tokens as bigint) + output_tokens) as bigint) total_tokens from log group by 1")
+def appended_log(spark, sf):
+    """The log as two batches of calls were appended to it, with what is derived at that."""
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    calls = s.usage_calls(spark, sf)
+    for half in (calls.where("id % 2 = 0"), calls.where("id % 2 = 1")):
+        usage.append_log(half, at)
+    return spark.read.parquet(at).groupBy("model").agg(F.count(F.lit(1)).alias("requests"), F.sum("total_tokens").cast("long").alias("total_tokens"))
+
+
+@query("select n_nationkey id, 'name ' || n_name || chr(10) || 'in ' || n_regionkey as text from nation")
+def read_texts(spark, sf):
+    """Text files, each read as one text."""
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    s.read(spark, sf, "nation").select("n_nationkey", F.concat_ws("\n", F.concat(F.lit("name "), "n_name"), F.concat(F.lit("in "), F.col("n_regionkey").cast("string"))).alias("value")).write.partitionBy("n_nationkey").text(at)
+    out = files.texts(spark, f"{at}/*/*.txt")
+    return out.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("long").alias("id"), F.rtrim(F.col("text"), F.lit("\n")).alias("text"))
+
+
+@query(
+    """select event_id, case when event_id % 3 = 0 then 'A ' || event_type else event_type || ' of u' || user_id || chr(10) || 'two' end || case when event_id % 3 = 1 then chr(10) || chr(10) || 'Visible text: v' || user_id else '' end
+    || case when event_id % 3 > 0 then chr(10) || chr(10) || 'Tags: ' || event_type || ', x' else '' end as content from events"""
+)
+def image_texts(spark, sf):
+    """Answers of a vision model: without labels, with visible text, and with none."""
+    e = s.read(spark, sf, "events")
+    labelled = F.format_string("DESCRIPTION: %s of u%d\ntwo\nTAGS: %s, , x\nTEXT: %s", "event_type", "user_id", "event_type", F.when(F.col("event_id") % 3 == 1, F.concat(F.lit("v"), F.col("user_id").cast("string"))).otherwise("None"))
+    answer = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" A "), "event_type")).otherwise(labelled)
+    return e.select("event_id", files.image_text(answer)["content"].alias("content"))
+
+
+@query("select event_id id, strftime(case when event_id % 3 = 0 then timestamp '2024-01-01 00:00:00' else ts end, '%Y-%m-%d %H:%M:%S') since from events")
+def sync_starts(spark, sf):
+    """Where syncs begin: after the last one, or 30 days back."""
+    e = s.read(spark, sf, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 != 0, F.col("ts").cast("timestamp")).alias("last_synced_at"))
+    return connectors.since_for(e, F.lit("2024-01-31").cast("timestamp")).select("id", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query(
+    """with l as (select user_id, event_type, max(event_id) seq from events group by 1, 2)
+    select cast(user_id as varchar) connection_id, event_type external_id, 'UPLOADED' status, 't' || seq as title from l where seq % 5 <> 0"""
+)
+def streamed_sync(spark, sf):
+    """As sync_merge, but the items come as a stream of files, merged into a stored table batch by batch."""
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    e = s.read(spark, sf, "events")
+    items = e.select(F.col("user_id").cast("string").alias("connection_id"), F.col("event_type").alias("external_id"), F.when(F.col("event_id") % 5 == 0, "deleted").otherwise("updated").alias("action"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"), F.lit(False).alias("append_only"), F.col("event_id").alias("seq"))
+    items.repartitionByRange(3, "seq").write.parquet(f"{at}/items")
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/items")
+    table = sync.VersionedTable(spark, f"{at}/table", "connection_id string, external_id string, status string, title string, seq long", buckets=8)
+
+    def newest(old, batch):
+        """Files of a stream come in no certain order, so an item only counts if nothing newer is stored, tombstones included."""
+        kept = old.select("connection_id", "external_id", "title", "seq", F.when(F.col("status") == "GONE", "deleted").otherwise("updated").alias("action"))
+        every = kept.unionByName(batch.select("connection_id", "external_id", "title", "seq", "action"))
+        last = every.groupBy("connection_id", "external_id").agg(F.max_by(F.struct("title", "action", "seq"), "seq").alias("i"))
+        return last.select("connection_id", "external_id", F.when(F.col("i.action") == "deleted", "GONE").otherwise("UPLOADED").alias("status"), "i.title", "i.seq")
+
+    query = sync.sync_stream(stream, table, f"{at}/checkpoint", newest)
+    query.awaitTermination()
+    return table.read().where("status <> 'GONE'").drop("seq")

@@ -322,6 +322,41 @@ def _request(spark, sf):
     return search.Request(1, "worthless thing thanedble", s.query_vector(spark, sf), filters=({"field": "type", "operator": "in", "value": ["PDF", "SLACK", "LINEAR"]},), limit=10, rerank=True, expand_context=True)
 
 
+#: A word that is the only one with its stem: lexeme, trigrams and word then find the same texts, which SQL can find too.
+WORD = "nicht"
+_HITS = f"n as (select doc_id chunk_id, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: x = '{WORD}')) n from documents)"
+
+
+@query(f"with {_HITS} select chunk_id, cast(1 as integer) leg, cast(row_number() over (order by n desc, chunk_id) as integer) as rank from n where n > 0 order by n desc, chunk_id limit 20")
+def fulltext_topk_word(spark, sf):
+    return search.text_leg(s.chunks(spark, sf), fulltext.Terms(all=(WORD,)), 20)
+
+
+@query(f"with {_HITS} select chunk_id, cast(2 as integer) leg, cast(row_number() over (order by chunk_id) as integer) as rank from n where n > 0 order by chunk_id limit 20")
+def trigram_topk_word(spark, sf):
+    return search.trigram_leg(s.chunks(spark, sf), WORD, 20)
+
+
+@query(
+    f"""with {_HITS},
+    v as (select d.doc_id chunk_id, 0 leg, row_number() over (order by {_COSINE} desc, d.doc_id) r from documents d join embeddings e on e.vec_id = d.doc_id, embeddings q where q.vec_id = 3 qualify r <= 20),
+    t as (select chunk_id, 1 leg, row_number() over (order by n desc, chunk_id) r from n where n > 0 qualify r <= 20),
+    g as (select chunk_id, 2 leg, row_number() over (order by chunk_id) r from n where n > 0 qualify r <= 20),
+    f as (select chunk_id, sum(case leg when 0 then 0.5::double when 1 then 0.3::double else 0.2::double end / (60 + r)) score, min(leg) first_leg, min(leg * 1000 + r) first from (from v union all from t union all from g) group by 1),
+    b as (select * from f order by round(score, 15) desc, first_leg, first, chunk_id limit 10),
+    c as (select doc_id, source, cast(floor(doc_id / 20) as bigint) i, substring(text, 1, 500) x from documents)
+    select b.chunk_id, round(b.score, 12) score, 'Source ' || d.source data_source_name,
+    (select md5(arg_max(x, doc_id)) from c where c.source = d.source and c.i = cast(floor(b.chunk_id / 20) as bigint) - 1) context_before,
+    (select md5(arg_max(x, doc_id)) from c where c.source = d.source and c.i = cast(floor(b.chunk_id / 20) as bigint) + 1) context_after
+    from b join documents d on d.doc_id = b.chunk_id"""
+)
+def hybrid_search_word(spark, sf):
+    """A whole search, three legs, fusion, limit, names and context, for a word that SQL can look for as well."""
+    r = search.Request(1, WORD, s.query_vector(spark, sf), expand_context=True)
+    out = search.search(s.chunks(spark, sf), s.data_sources(spark, sf), r)
+    return out.select("chunk_id", F.round("score", 12).alias("score"), "data_source_name", F.md5("context_before").alias("context_before"), F.md5("context_after").alias("context_after"))
+
+
 @query()
 def hybrid_search(spark, sf):
     return search.search(s.chunks(spark, sf), s.data_sources(spark, sf), _request(spark, sf)).withColumn("metadata", F.to_json("metadata"))

@@ -26,8 +26,13 @@ def _pick(values, index) -> F.Column:
 
 
 def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_rows(usage_calls(spark, sf_dir))
+
+
+def usage_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model calls as they come in, before anything is derived."""
     e = read(spark, sf_dir, "events")
-    calls = e.select(
+    return e.select(
         F.col("event_id").alias("id"),
         (F.col("user_id") % 3).alias("org_id"),
         F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("user_id"),
@@ -38,7 +43,6 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("output_tokens"),
         F.col("ts").cast("timestamp").alias("created_at"),
     )
-    return log_rows(calls)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,11 @@ def buckets(x: np.ndarray, table: int, axes: int, probes: int) -> np.ndarray:
     best = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
     for r in range(axes):
         y = rotated(x, table * axes + r)
+        if probes == 1:
+            at = np.abs(y).argmax(1)
+            side = np.where(np.take_along_axis(y, at[:, None], 1)[:, 0] < 0, at + y.shape[1], at)
+            best = best[0], best[1] * 2 * y.shape[1] + side[:, None]
+            continue
         short = (np.abs(y).max(1, keepdims=True) - np.concatenate([y, -y], 1)) ** 2
         cost = (best[0][:, :, None] + short[:, None]).reshape(len(x), -1)
         name = (best[1][:, :, None] * short.shape[1] + np.arange(short.shape[1])).reshape(len(x), -1)
@@ -108,26 +113,32 @@ def valid(vector: str) -> F.Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0)
 
 
-def hashed(rows: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
-    """(table, bucket) for each row and probe, behind its own columns; the last two columns are width and vector."""
-    names = rows.columns
+def named(rows: DataFrame, tables: int, axes: int, probes: int) -> DataFrame:
+    """rows, whose last two columns are width and vector, with names: the nearest buckets in each table, one table after another."""
+    columns = rows.columns
 
     def run(batches):
         for batch in batches:
             widths = batch.column(batch.num_columns - 2).to_numpy()
             for width in np.unique(widths):
                 some = batch.filter(pa.array(widths == width))
-                step = max(1, (1 << 22) // (probes * 2 * 2 * int(width)))
+                step = max(1, (1 << 22) // (probes * 4 * int(width)))
                 for at in range(0, some.num_rows, step):
                     part = some.slice(at, step)
                     x = units(_matrix(part.column(part.num_columns - 1)))
-                    for t in range(tables):
-                        b = buckets(x, t, axes, probes)
-                        again = pa.array(np.repeat(np.arange(len(x)), b.shape[1]))
-                        yield pa.RecordBatch.from_arrays([*(c.take(again) for c in part.columns), pa.array(np.full(b.size, t, np.int32)), pa.array(b.ravel())], names=[*names, "table", "bucket"])
+                    names = np.concatenate([buckets(x, t, axes, probes) for t in range(tables)], 1)
+                    ends = np.arange(len(x) + 1, dtype=np.int32) * names.shape[1]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(names.ravel()))], names=[*columns, "names"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{fields}, table int, bucket long")
+    return rows.mapInArrow(run, f"{fields}, names array<long>")
+
+
+def _by_bucket(rows: DataFrame, tables: int) -> DataFrame:
+    """A row for each of a row's names: (table, bucket) instead of them."""
+    rest = [c for c in rows.columns if c != "names"]
+    each = rows.select(*rest, (F.size("names") / tables).cast("int").alias("probes"), F.posexplode("names").alias("at", "bucket"))
+    return each.select(*rest, F.floor(F.col("at") / F.col("probes")).cast("int").alias("table"), "bucket")
 
 
 def nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,7 +230,9 @@ def search(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, prob
     if probes is None:
         tables, axes, probes = _fit(entries, queries, axes, width or 1, k, tables, recall)
     on = ["width", "table", "bucket"]
-    index, asked = hashed(entries, tables, axes, 1), hashed(queries, tables, axes, probes)
+    # vectors stay where they are while buckets are named, and are copied for each table as they are sent
+    index = _by_bucket(cut(named(entries, tables, axes, 1), "index"), tables)
+    asked = _by_bucket(named(queries, tables, axes, probes), tables)
     sizes = index.groupBy(on).agg(F.count("*").alias("held"))
     sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("held") / block).cast("int")).drop("held"), "sizes")
     left = index.join(sizes, on).withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks"))).drop("blocks")

@@ -91,7 +91,11 @@ def drop_boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio:
 
 
 def dedup_page_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, host, n_lines, n_dropped, clean_chars, clean_md5) of raw web pages."""
+    """(page_id, host, n_lines, n_dropped, clean_chars, clean_md5) of raw web pages, one row for each row.
+
+    A null page has no lines and null for its text's length and digest; a page without a host keeps all lines. Other
+    columns of pages are left out. An empty table gives an empty one.
+    """
     p = cut(pages.select("page_id", "url", html_lines(F.col("html")).alias("page_text")), "texts")  # read twice
     out = drop_boilerplate_lines(p, host_of(F.col("url")), F.col("page_text"))
     return out.select("page_id", F.col("site").alias("host"), "n_lines", "n_dropped", F.length("clean_text").cast("long").alias("clean_chars"), F.md5("clean_text").alias("clean_md5"))

@@ -71,4 +71,9 @@ def quantile_length(limits: DataFrame, q: float) -> Column:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """What every context limit means for docs; see context_limits().
+
+    A null or empty text has length 0; repeated rows count each. A long text is encoded in parts, and its ids are
+    held at once. An empty table gives an empty one; other columns of docs are left out, whatever their names.
+    """
     return context_limits(cut(length_histogram(docs, text_col, path), "histogram"))

@@ -148,6 +148,14 @@ def test_line_dedup(spark):
     assert empty.count() == 0
 
 
+def test_page_edges(spark):
+    rows = [(1, "http://h/1", "<p>menu</p><p>one &amp; all</p>", "x"), (2, "http://h/2", None, "x"), (3, "http://h/3", "<p>menu</p>", "x"), (None, None, "<p>menu</p>", "x"), (4, "http://h/4", "", "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.page_id: (r.host, r.n_lines, r.n_dropped, r.clean_chars) for r in line_dedup.dedup_page_lines(df).collect()}
+    assert got == {1: ("h", 2, 1, 9), 2: ("h", 0, 0, None), 3: ("h", 1, 1, 0), None: (None, 1, 0, 4), 4: ("h", 0, 0, 0)}
+    assert line_dedup.dedup_page_lines(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("pages", [2, 3, 4])
 def test_small_hosts(spark, pages):
     """What more than one page of a small host has, and more than the ratio, is boilerplate as on a large one."""

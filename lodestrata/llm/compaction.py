@@ -222,3 +222,11 @@ def size_tiered_compaction(docs: DataFrame, arrivals: int = 16, path: str | None
     rows = table.read() if m["runs"] else docs.limit(0)
     shard = F.col("_metadata.file_name") if m["runs"] else F.lit("")
     return rows.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), shard.alias("shard"), F.lit(m["version"]).cast("long").alias("version"))
+
+
+def sharded_rows(docs: DataFrame) -> DataFrame:
+    """What is read back after all arrivals and merges, without the names of files."""
+    return size_tiered_compaction(docs).drop("shard", "version")
+
+
+ORACLE = "select doc_id, source, cast(length(text) as bigint) n_chars, md5(text) text_md5 from documents"

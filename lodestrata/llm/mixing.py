@@ -115,3 +115,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epoch
     taken = (whole * F.col("size") + last).cast("long")
     epochs = (whole + F.when((F.col("size") > 0) & (2 * last >= F.col("size")), 1).otherwise(0)).cast("int")
     return j.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), epochs.alias("epochs"), *(F.col(k).alias(c) for c, k in zip(keep, kept)))
+
+
+def mixed_sources(docs: DataFrame) -> DataFrame:
+    """(source, source_size, target, taken) of the mix, by source."""
+    return mix_sources(docs).groupBy("source").agg(F.max("source_size").alias("source_size"), F.round(F.max("target"), 6).alias("target"), F.sum("taken").alias("taken"))
+
+
+ORACLE = r"""
+with z as (select source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) n from documents group by 1),
+w as (select source, cast(n as bigint) n, [1, 2, 3][(row_number() over (order by source nulls last) - 1) % 3 + 1] w from z),
+f as (select *, sum(n) over () - coalesce(sum(3 * n) over b, 0) open, sum(w) over () - coalesce(sum(w) over b, 0) heavy from w
+ window b as (order by n / w, source nulls last rows between unbounded preceding and 1 preceding)),
+o as (select *, open * w >= 3 * n * heavy as filled from f),
+x as (select open, heavy from o where not filled order by n / w, source nulls last limit 1),
+t as (select source, n, case when filled then 3.0 * n else cast((select open from x) as double) * w / (select heavy from x) end target from o)
+select source, n source_size, round(cast(target as double), 6) target, cast(floor(target + 1e-6) as bigint) taken from t
+"""

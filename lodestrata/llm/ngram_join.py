@@ -394,3 +394,19 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
         rows.join(of, "sig", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).alias("links"))
     )
+
+
+#: Pairs by shared shingles, and what they reach: for tables in which all pairs that share a shingle can be listed.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) i from w where len(w) > 0)),
+n as (select doc_id, count(*) n, md5(string_agg(g, '|' order by g)) sig from s group by 1),
+p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y, a.sig sx, b.sig sy from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)),
+e as (select x, y, sx, sy from l union all select y, x, sy, sx from l),
+r as (select x, y from e union select r.x, e.y from r join e on r.y = e.x),
+c as (select x, min(y) y from r group by 1),
+d as (select x, count(distinct sy) links from e where sx <> sy group by 1)
+select w.doc_id, coalesce(n.n, 0) n_shingles, least(w.doc_id, coalesce(c.y, w.doc_id)) component_id, coalesce(d.links, 0) links
+from w left join n on n.doc_id = w.doc_id left join c on c.x = w.doc_id left join d on d.x = w.doc_id
+"""

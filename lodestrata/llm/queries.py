@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, compaction, langid, line_dedup, packing, quality, token_counts, warc
+from . import ann, compaction, langid, line_dedup, mixing, ngram_join, packing, quality, token_counts, warc
 from .common import table
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
@@ -44,6 +44,14 @@ def quality_ablations(spark, sf_dir):
     return quality.quality_ablations(table(spark, sf_dir, "documents"))
 
 
+def mixed_sources(spark, sf_dir):
+    return mixing.mixed_sources(table(spark, sf_dir, "documents"))
+
+
+def sharded_rows(spark, sf_dir):
+    return compaction.sharded_rows(table(spark, sf_dir, "documents"))
+
+
 def op9_cross_polytope(spark, sf_dir):
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -52,5 +60,5 @@ def op10_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_size_tiered_sharding, op3_language_id, op4_retrieval_packing, op5_warc_derivatives, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_cross_polytope, op10_mixing, quality_ablations)}
-ORACLES = {"op5_warc_derivatives": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality.ORACLE, "quality_ablations": quality.ABLATIONS}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_size_tiered_sharding, op3_language_id, op4_retrieval_packing, op5_warc_derivatives, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_cross_polytope, op10_mixing, quality_ablations, mixed_sources, sharded_rows)}
+ORACLES = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "mixed_sources": mixing.ORACLE, "sharded_rows": compaction.ORACLE, "op5_warc_derivatives": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality.ORACLE, "quality_ablations": quality.ABLATIONS}

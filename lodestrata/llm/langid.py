@@ -94,28 +94,48 @@ def side_counts(rows: DataFrame, weight: dict[str, float], codes: dict[str, np.n
     """(part, packed): for a stretch of bins, counts of the sides with a one of all bits and then of everything.
 
     Every whole text counts with its n-grams divided by their number's root and by weight of its language. A task
-    holds one vector for each of HELD languages and one a bit.
+    holds one vector for each of HELD languages and one a bit; n-grams of short texts are counted together.
     """
 
     def run(batches):
         sums = np.zeros((bits + 1, BINS))
         held: dict[str, np.ndarray] = {}
+        short: dict[str, list[tuple[np.ndarray, float]]] = {}
 
-        def add():
+        def count():
+            for lang, some in short.items():
+                bins, weights = zip(*some)
+                add(lang, np.bincount(np.concatenate(bins), np.repeat(weights, [len(x) for x in bins]), BINS))
+            short.clear()
+
+        def add(lang, vector):
+            if lang not in held and len(held) == HELD:
+                send()
+            at = held.setdefault(lang, np.zeros(BINS))
+            np.add(at, vector, out=at)
+
+        def send():
             if held:
                 signs = np.array([[*codes[x], 1] for x in held], np.float64)
                 np.add(sums, signs.T @ np.stack(list(held.values())), out=sums)
                 held.clear()
 
+        size = 0
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                times, n = ngram_vector(text)
-                if n:
-                    if lang not in held and len(held) == HELD:
-                        add()
-                    at = held.setdefault(lang, np.zeros(BINS))
-                    np.add(at, times * (weight[lang] / math.sqrt(n)), out=at)
-        add()
+                if len(text) > SLICE // 8:
+                    times, n = ngram_vector(text)
+                    if n:
+                        add(lang, times * (weight[lang] / math.sqrt(n)))
+                    continue
+                for bins in ngram_bins(text):  # one at most
+                    short.setdefault(lang, []).append((bins, weight[lang] / math.sqrt(len(bins))))
+                    size += len(bins)
+                if size >= SLICE:
+                    count()
+                    size = 0
+        count()
+        send()
         parts = [np.ascontiguousarray(x).tobytes() for x in np.split(sums, PARTS, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "packed"])
 

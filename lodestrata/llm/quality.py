@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, cut, words
+from .common import WORD, cut, words
 
 #: Rule -> (bit, SQL over the measurements that is true for a failure). All comparisons are of whole numbers.
 RULES: dict[str, tuple[int, str]] = {
@@ -27,8 +27,9 @@ RULES: dict[str, tuple[int, str]] = {
     "ellipses": (8, "10 * n_ellipsis_lines > 3 * n_lines"),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_bullet_lines", "n_ellipsis_lines")
-#: Lines that begin like an item of a list, and that break off.
-BULLET, ELLIPSIS = r"^[\x20\x09-\x0D]*[-*•‣▪◦]", r"(\.\.\.|…)[\x20\x09-\x0D]*$"
+#: How lines begin that are items of a list, and how those end that break off, white space around them aside.
+BULLETS, ELLIPSES = ("-", "*", "•", "‣", "▪", "◦"), ("...", "…")
+BLANKS = " \t\n\x0b\f\r"
 
 
 @dataclass(frozen=True)
@@ -51,13 +52,15 @@ POLICIES = {p.version: p for p in (BASE, STANDARD)}
 def repeat_words(w: str) -> str:
     """SQL for the number of words of the array column w that lie in a 3-word window found twice or more.
 
-    Windows are sorted with their places, so equal ones are neighbours: n log n in the text's length.
-    Lambdas bind each intermediate array once.
+    Where all windows differ, as in most texts, that is all there is to it. Else they are sorted with their places, so
+    equal ones are neighbours: n log n in the text's length. Lambdas bind each intermediate array once.
     """
-    windows = f"sort_array(transform(sequence(0, size({w}) - 3), i -> struct(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]) as h, i as p)))"
+    hashes = f"transform(sequence(0, size({w}) - 3), i -> xxhash64({w}[i], {w}[i + 1], {w}[i + 2]))"
+    windows = "sort_array(transform(hs, (h, i) -> struct(h, i as p)))"
     twice = "transform(filter(transform(s, (x, j) -> struct(x.p as p, get(s, j - 1).h <=> x.h or get(s, j + 1).h <=> x.h as twice)), x -> x.twice), x -> x.p)"
     cover = "aggregate(transform(q, (x, j) -> least(3, coalesce(get(q, j + 1) - x, 3))), 0L, (a, x) -> a + x)"
-    return f"case when size({w}) < 3 then 0L else transform(array({windows}), s -> transform(array(sort_array({twice})), q -> {cover})[0])[0] end"
+    some = f"transform(array({windows}), s -> transform(array(sort_array({twice})), q -> {cover})[0])[0]"
+    return f"case when size({w}) < 3 then 0L else transform(array({hashes}), hs -> case when size(array_distinct(hs)) = size(hs) then 0L else {some} end)[0] end"
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -78,15 +81,15 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     )
     measures = (
         F.size("ledger_words").cast("long"),
-        F.length(F.regexp_replace(t, SPACES, "")).cast("long"),
+        F.length(F.array_join("ledger_words", "")).cast("long"),
         (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long"),
         (F.size("ledger_lines") - F.size(F.array_distinct("ledger_lines"))).cast("long"),
         F.expr(repeat_words("ledger_words")),
         F.size("ledger_lines").cast("long"),
         F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).cast("long"),
         F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).cast("long"),
-        F.size(F.filter("ledger_lines", lambda x: x.rlike(BULLET))).cast("long"),
-        F.size(F.filter("ledger_lines", lambda x: x.rlike(ELLIPSIS))).cast("long"),
+        F.size(F.filter("ledger_lines", lambda x: F.substring(F.ltrim(x, F.lit(BLANKS)), 1, 1).isin(*BULLETS))).cast("long"),
+        F.size(F.filter("ledger_lines", lambda x: _ends(F.rtrim(x, F.lit(BLANKS))))).cast("long"),
     )
     # measured once: a filter on the results can't be pushed below a generator and so never repeats the work
     once = F.explode(F.array(F.struct(*(m.alias(n) for n, m in zip(MEASURES, measures)))))
@@ -96,6 +99,10 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     return out.select("doc_id", *(F.col(f"kept_{c}").alias(name) for c, name in zip(keep, kept_names)), *MEASURES, "failed")
 
 
+def _ends(line: Column) -> Column:
+    return line.endswith(ELLIPSES[0]) | line.endswith(ELLIPSES[1])
+
+
 def _clear_of(keep: tuple[str, ...]) -> list[str]:
     taken, out = {"doc_id", "failed", *MEASURES}, []
     for name in keep:
@@ -149,7 +156,8 @@ x as (select doc_id, cast(len(w) as bigint) n_words, cast(length(regexp_replace(
   cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) n_symbols, cast(len(l) - len(list_distinct(l)) as bigint) n_dup_lines,
   cast(coalesce(n_repeat_words, 0) as bigint) n_repeat_words, cast(len(l) as bigint) n_lines,
   cast(length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) as bigint) n_letters, cast(length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) as bigint) n_upper,
-  cast(len(list_filter(l, lambda x: regexp_matches(x, '{BULLET}'))) as bigint) n_bullet_lines, cast(len(list_filter(l, lambda x: regexp_matches(x, '{ELLIPSIS}'))) as bigint) n_ellipsis_lines
+  cast(len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣▪◦]'))) as bigint) n_bullet_lines,
+  cast(len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as bigint) n_ellipsis_lines
   from m left join p using (doc_id)),
 f as (select *, {" + ".join(f"case when {sql} then cast({1 << bit} as bigint) else 0 end" for bit, sql in RULES.values())} failed from x)
 """

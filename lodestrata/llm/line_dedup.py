@@ -11,9 +11,13 @@ from .common import cut, free
 
 #: A line is dropped if more than RATIO of its host's pages have it, and more than one.
 RATIO = 0.3
-#: Names of entities (the standard library's table) and of numeric ones' digits.
-NAMES = {name: chr(code) for name, code in sorted(name2codepoint.items())}
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Names of entities (the standard library's table), the usual ones first, and what an entity looks like behind its mark.
+USUAL = ("lt", "gt", "quot", "nbsp", "copy", "middot")
+NAMES = {name: chr(name2codepoint[name]) for name in (*USUAL, *sorted(set(name2codepoint) - set(USUAL)))}
+INNER = "#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31}"
+ENTITY = f"^({INNER});"
+#: Stands for the mark of an entity while entities are replaced one after another; no character.
+MARK = "\uffff"
 
 
 def host_of(url: Column) -> Column:
@@ -24,20 +28,36 @@ def host_of(url: Column) -> Column:
 def unescaped(text: Column) -> Column:
     """text with named and numeric entities as characters, once over; what isn't one stays, nbsp is a blank.
 
-    A number that is no character (0, a surrogate, beyond the last one) is the replacement character.
+    A number that is no character (0, a surrogate, beyond the last one) is the replacement character. A text's
+    different entities are few, so each is looked up once and replaced everywhere; marks of entities are
+    told from other ampersands first, so nothing that a replacement brings is taken for one. A text with usual ones
+    alone needs no look-up: none of their characters can make an entity of what is around it, and amp comes last.
     """
     names = F.create_map(*(F.lit(x) for pair in NAMES.items() for x in pair))
 
-    def decoded(piece: Column) -> Column:
-        name = F.regexp_extract(piece, ENTITY, 1)
+    def character(name: Column) -> Column:
         digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 7), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 7)).try_cast("long")
         code = F.when((digits == 0) | digits.between(0xD800, 0xDFFF) | (digits > 0x10FFFF), 0xFFFD).when(digits == 160, 32).otherwise(digits)
-        mark = F.coalesce(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"), F.when(name == "nbsp", " "), F.when(name != "", F.try_element_at(names, name)))
-        return F.when(mark.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(mark, F.substring(piece, F.length(name) + 2, F.length(piece))))
+        number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(name.startswith("#"), number).when(name == "nbsp", " ").otherwise(F.coalesce(F.try_element_at(names, name), F.concat(F.lit("&"), name, F.lit(";"))))
 
-    pieces = F.split(text, "&")
-    rest = F.transform(F.slice(pieces, 2, F.greatest(F.lit(0), F.size(pieces) - 1)), decoded)
-    return F.when(F.contains(text, F.lit("&")), F.concat(F.get(pieces, 0), F.array_join(rest, ""))).otherwise(text)
+    def by_name(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(f"&({INNER});"), F.lit(1)))
+        marked = F.regexp_replace(t, f"&(?=(?:{INNER});)", MARK)
+        return F.aggregate(found, marked, lambda x, name: F.replace(x, F.concat(F.lit(MARK), name, F.lit(";")), character(name)))
+
+    def usual(t: Column) -> Column:
+        for name in USUAL:
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(" " if name == "nbsp" else NAMES[name]))
+        return F.replace(t, F.lit("&#39;"), F.lit("'"))
+
+    rest = lambda t: _bound(usual(t), lambda u: F.when(u.rlike(f"&(?!amp;)(?:{INNER});"), by_name(t)).otherwise(F.replace(u, F.lit("&amp;"), F.lit("&"))))
+    return _bound(text, rest)
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def html_lines(html: Column) -> Column:

@@ -35,3 +35,9 @@ def free(frame: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII text, which is null for null."""
+    step = "list_reduce(list_prepend(xor(crc, byte), [cast(0 as bigint) for i in range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, [cast(ascii(c) as bigint) for c in string_split({text}, '')]), lambda crc, byte: {step}), 4294967295)"

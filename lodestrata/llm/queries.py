@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, compaction, langid, licenses, line_dedup, mixing, ngram_join, packing, quality, runs, token_counts, warc
+from . import ann, compaction, conversations, langid, licenses, line_dedup, mixing, ngram_join, packing, quality, runs, token_counts, warc
 from .common import table
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_join
@@ -64,9 +64,13 @@ def op11_periodic_runs(spark, sf_dir):
     return runs.documents_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.conversation_repairs(table(spark, sf_dir, "conversations"))
+
+
 def op13_license_scan(spark, sf_dir):
     return licenses.documents_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_size_tiered_sharding, op3_language_id, op4_retrieval_packing, op5_warc_derivatives, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_cross_polytope, op10_mixing, op11_periodic_runs, op13_license_scan, quality_ablations, mixed_sources, sharded_rows)}
-ORACLES = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op11_periodic_runs": runs.ORACLE, "op13_license_scan": licenses.ORACLE, "mixed_sources": mixing.ORACLE, "sharded_rows": compaction.ORACLE, "op5_warc_derivatives": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality.ORACLE, "quality_ablations": quality.ABLATIONS}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_size_tiered_sharding, op3_language_id, op4_retrieval_packing, op5_warc_derivatives, op6_token_counts, op7_line_dedup, op8_quality_rules, op9_cross_polytope, op10_mixing, op11_periodic_runs, op12_conversation_repair, op13_license_scan, quality_ablations, mixed_sources, sharded_rows)}
+ORACLES = {"op1_ngram_jaccard_join": ngram_join.ORACLE, "op11_periodic_runs": runs.ORACLE, "op12_conversation_repair": conversations.ORACLE, "op13_license_scan": licenses.ORACLE, "mixed_sources": mixing.ORACLE, "sharded_rows": compaction.ORACLE, "op5_warc_derivatives": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op8_quality_rules": quality.ORACLE, "quality_ablations": quality.ABLATIONS}

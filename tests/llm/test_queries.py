@@ -14,7 +14,7 @@ def test_query(spark, sf, name):
     assert got
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("conversations", "documents", "pages"):
             con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         want = con.sql(ORACLES[name])
         assert sorted(want.columns) == columns

@@ -23,6 +23,8 @@ K, WEIGHTS = 60, (0.5, 0.3, 0.2)
 DEFAULT_LIMIT, MOST = 10, 50
 #: Columns of what ingest stores for the text and trigram legs.
 LEXEMES, TRIGRAMS = "lexemes", "trigrams"
+#: What a result has of its chunk.
+PAYLOAD = ("chunk_id", "content", "metadata", "chunk_index", "data_source_id", "collection_id", "source_url")
 
 
 def indexed(chunks: DataFrame, text: str = "content") -> DataFrame:
@@ -140,6 +142,13 @@ class Request:
         if not 1 <= self.limit <= MOST:
             raise ValueError(f"limit must lie between 1 and {MOST}")
 
+    def fetched(self) -> int:
+        """Rows that each leg fetches."""
+        return self.limit * (3 if self.rerank else 2)
+
+    def wanted(self) -> fulltext.Terms:
+        return self.terms or fulltext.Terms(all=tuple(trigram._words(self.query)))
+
 
 def expanded_query(query: str, passage: str | None) -> str:
     """What the vector leg embeds: the query and the first 500 characters of a made-up answer to it."""
@@ -155,12 +164,18 @@ def search(chunks: DataFrame, sources: DataFrame, request: Request, scorer=None)
     their neighbours are looked up.
     """
     base = filtered(chunks, request.org_id, list(request.collections), list(request.filters))
-    k = request.limit * (3 if request.rerank else 2)
-    terms = request.terms or fulltext.Terms(all=tuple(trigram._words(request.query)))
-    legs = [vector_leg(base, request.vector, k), text_leg(base, terms, k, _stored(chunks, LEXEMES)), trigram_leg(base, request.query, k, stored=_stored(chunks, TRIGRAMS))]
-    found = F.broadcast(fused(legs))  # 9 * limit rows at most
-    payload = chunks.where(F.col("org_id") == F.lit(request.org_id)).select("chunk_id", "content", "metadata", "chunk_index", "data_source_id", "collection_id", "source_url")
-    rows = payload.join(found, "chunk_id")
+    k = request.fetched()
+    legs = [vector_leg(base, request.vector, k), text_leg(base, request.wanted(), k, _stored(chunks, LEXEMES)), trigram_leg(base, request.query, k, stored=_stored(chunks, TRIGRAMS))]
+    own = chunks.where(F.col("org_id") == F.lit(request.org_id))
+    return assembled(fused(legs), own.select(*PAYLOAD), sources, request, scorer, lambda top: own)
+
+
+def assembled(found: DataFrame, payload: DataFrame, sources: DataFrame, request: Request, scorer, around: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of fused legs: contents joined, reranked if asked for, cut to the limit, named and with their neighbours.
+
+    payload has the chunks that were found, and may have others; around(results) those beside them.
+    """
+    rows = payload.join(F.broadcast(found), "chunk_id")  # 9 * limit rows at most
     if request.rerank:
         scorer = scorer or overlap_score(request.query)
         rows = reranked(rows.withColumn("semantic", scorer(F.substring("content", 1, 4000)))).drop("semantic", "place")
@@ -171,7 +186,8 @@ def search(chunks: DataFrame, sources: DataFrame, request: Request, scorer=None)
     names = sources.select(F.col("id").alias("data_source_id"), F.col("title").alias("data_source_name"))
     top = top.join(names, "data_source_id")
     if request.expand_context:
-        top = with_context(cut(top, "top"), chunks.where(F.col("org_id") == F.lit(request.org_id)), few=True)
+        top = cut(top, "top")
+        top = with_context(top, around(top), few=True)
     return top.orderBy(*order).drop("rrf", "first_leg", "first_rank")
 
 

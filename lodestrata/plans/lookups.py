@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -10,9 +11,9 @@ from ..functions import ids, scalars
 from ..operators import cards, catalogue, dml, filters, search, usage
 from ..operators.chunking import csv_rows
 from ..session import scoped, write_scoped
-from ..sources import connectors, files, formats, webhooks
+from ..sources import connectors, files, formats, provider_source, webhooks
 from ..store import folder
-from ..streaming import sync
+from ..streaming import jobs, sync, tables
 from . import stand_ins as s
 from .registry import query
 
@@ -303,8 +304,8 @@ def page_of_orders(spark, sf):
 def found_in_tenant(spark, sf):
     """Its own tenant finds an order; the next tenant doesn't find another one."""
     o = s.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("org_id"), F.col("o_totalprice").alias("price"))
-    org = lambda key: (o.where(F.col("id") == key).first() or {"org_id": 0})["org_id"]
-    return catalogue.found(o, org(7), 7).unionByName(catalogue.found(o, org(8) + 1, 8))
+    asked = o.where("id in (7, 8)").select("id", (F.col("org_id") + (F.col("id") - 7)).alias("org_id"))
+    return filters.keyed_rows(o, asked, ["id", "org_id"])
 
 
 @query(
@@ -344,11 +345,14 @@ def extracted_files(spark, sf):
 
 @query("select cast(event_id as varchar) external_id, strftime(ts, '%Y%m%d%H%M%S') updated_at from events where strftime(ts, '%Y%m%d%H%M%S') > '20240110'")
 def synced_items(spark, sf):
-    """All items after a cursor, in pages of a hundredth of them, which the loop carries on from by its own cursor."""
-    e = s.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("external_id"), F.date_format("ts", "yyyyMMddHHmmss").alias("updated_at"))
+    """Events of a kind as a channel's pages of 50, taken behind a cursor by a stream of the provider's source."""
+    e = s.read(spark, sf, "events")
+    stamp = F.date_format("ts", "yyyyMMddHHmmss")
+    payload = F.to_json(F.struct(F.lit("issue").alias("entity"), F.col("event_id").cast("string").alias("id"), stamp.alias("updated_at")))
     at = f"{folder(spark)}/{uuid.uuid4().hex}"
-    connectors.synced(e, "20240110", lambda page, n: page.write.mode("overwrite").parquet(f"{at}/page={n}"), size=max(50, e.count() // 5))
-    return spark.read.schema("external_id string, updated_at string").parquet(at).select("external_id", "updated_at")
+    provider_source.put_down(e.select(F.col("event_type").alias("channel"), stamp.alias("updated_at"), payload.alias("payload")), f"{at}/export")
+    provider_source.sync_items(spark, f"{at}/export", "github", f"{at}/items", f"{at}/checkpoint", after="20240110").awaitTermination()
+    return spark.read.parquet(f"{at}/items").select("external_id", "updated_at")
 
 
 @query(
@@ -438,7 +442,7 @@ def streamed_sync(spark, sf):
     items = e.select(F.col("user_id").cast("string").alias("connection_id"), F.col("event_type").alias("external_id"), F.when(F.col("event_id") % 5 == 0, "deleted").otherwise("updated").alias("action"), F.concat(F.lit("t"), F.col("event_id").cast("string")).alias("title"), F.lit(False).alias("append_only"), F.col("event_id").alias("seq"))
     items.repartitionByRange(3, "seq").write.parquet(f"{at}/items")
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/items")
-    table = sync.VersionedTable(spark, f"{at}/table", "connection_id string, external_id string, status string, title string, seq long", buckets=8)
+    table = sync.VersionedTable(spark, f"{at}/table", "connection_id string, external_id string, status string, title string, seq long", leaf_bytes=64 << 10)
 
     def newest(old, batch):
         """Files of a stream come in no certain order, so an item only counts if nothing newer is stored, tombstones included."""
@@ -450,3 +454,18 @@ def streamed_sync(spark, sf):
     query = sync.sync_stream(stream, table, f"{at}/checkpoint", newest)
     query.awaitTermination()
     return table.read().where("status <> 'GONE'").drop("seq")
+
+
+@query("select cast(event_id as varchar) job_id, case when event_id % 5 < 3 then 'DONE' else 'DEAD' end status, cast(least(event_id % 5 + 1, 3) as integer) attempts, event_id % 5 < 3 stored from events")
+def job_attempts(spark, sf):
+    """Events as jobs that fail as often as their id says, worked off as they arrive and whenever they are due."""
+    at = f"{folder(spark)}/{uuid.uuid4().hex}"
+    arrived = s.read(spark, sf, "events").select(F.col("event_id").cast("string").alias("job_id"), (F.col("event_id") % 5).cast("string").alias("payload"))
+    held, target = jobs.job_table(spark, f"{at}/jobs"), tables.VersionedTable(spark, f"{at}/done", "job_id string", ["job_id"])
+    handle = lambda todo: todo.select("job_id", F.when(F.col("attempts") < F.col("payload").cast("int"), "failed").alias("error"))
+    start = datetime(2024, 1, 1)
+    jobs.attempt(held, arrived, start, handle, target, jobs.replaced, "arrivals", 0)
+    for seconds in (1, 3):
+        jobs.work_due(held, start + timedelta(seconds=seconds), handle, target, jobs.replaced)
+    stored = target.read().withColumn("stored", F.lit(True))
+    return held.read().join(stored, "job_id", "left").select("job_id", "status", "attempts", F.coalesce("stored", F.lit(False)).alias("stored"))

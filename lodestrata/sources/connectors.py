@@ -6,9 +6,6 @@ store, in batch or as a file stream, and a sync takes the items after its cursor
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +33,6 @@ def provider_items(spark: SparkSession, path: str, provider: str, after: str = "
     return x.where(F.col("entity").isin(list(fields)) & (~F.col("entity").isin(timed) | (F.col("updated_at") > after)))
 
 
-def first_page(items: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
-    """The oldest size items: a provider that pages by time gives these first, and the next sync goes on from there."""
-    return items.orderBy("updated_at", "external_id").limit(size)
-
-
 def cursors(items: DataFrame, key: str, at: str, old: DataFrame | None = None) -> DataFrame:
     """(key, cursor): the largest time that each channel or sync has seen, as text; what was known stays where nothing is new."""
     new = items.groupBy(key).agg(F.max(at).alias("cursor"))
@@ -66,32 +58,3 @@ def due(connections: DataFrame, now) -> DataFrame:
 def since_for(connections: DataFrame, now) -> DataFrame:
     """connections with where their sync starts: after the last one, or LOOK_BACK_DAYS ago for a first."""
     return connections.withColumn("since", F.coalesce("last_synced_at", now - F.expr(f"interval {LOOK_BACK_DAYS} days")))
-
-
-@dataclass
-class Synced:
-    """What a sync leaves: its cursor, and how many items and pages it took."""
-
-    cursor: str
-    items: int = 0
-    pages: int = 0
-
-
-def synced(items: DataFrame, cursor: str, take: Callable[[DataFrame, int], None], size: int = PAGE_SIZE) -> Synced:
-    """Take all items after a cursor, a page at a time, and carry the cursor on until nothing is left.
-
-    items has (updated_at, external_id) and its own columns. A page is the oldest size items after the cursor and
-    whatever shares the last one's time, so that no item falls between two pages. take(page, number) has to stand
-    a repetition: a sync that failed starts again from the cursor it was given. The driver sees a time and a count a page.
-    """
-    state = Synced(cursor)
-    while True:
-        new = items.where(F.col("updated_at") > state.cursor)
-        last, n = first_page(new, size).agg(F.max("updated_at"), F.count(F.lit(1))).first()
-        if not n:
-            return state
-        page = new.where(F.col("updated_at") <= last)
-        take(page, state.pages)
-        state = Synced(last, state.items + page.count(), state.pages + 1)
-        if n < size:
-            return state

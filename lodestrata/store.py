@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,3 +71,39 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = path_of(spark, path)
+    return fs.exists(at)
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file under a name that nothing has yet, whole or not at all; False if something has the name.
+
+    On a local or mounted disk the draft gets its name by a hard link; elsewhere by a rename without overwriting, which HDFS and stores
+    with its semantics carry out atomically. Other object stores need a conditional write of their own here.
+    """
+    jvm = spark._jvm
+    fs, final = path_of(spark, path)
+    draft = path_of(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")[1]
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            name = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(name(final), name(draft))
+        else:
+            kind = jvm.org.apache.hadoop.fs.Options.Rename
+            flags = spark.sparkContext._gateway.new_array(kind, 1)
+            flags[0] = kind.NONE
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), spark._jsparkSession.sessionState().newHadoopConf())
+            context.rename(fs.makeQualified(draft), fs.makeQualified(final), flags)
+        return True
+    except Py4JJavaError:
+        if fs.exists(final):
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)

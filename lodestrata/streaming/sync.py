@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dml import upserted, without
-from ..store import delete, path_of
+from .tables import VersionedTable, stream_name
 
 
 def jobs_once(jobs: DataFrame, delay: str | None = None) -> DataFrame:
@@ -29,71 +27,14 @@ def merged_batch(existing: DataFrame, batch: DataFrame) -> DataFrame:
     return upserted(kept, last.where("action <> 'deleted'").drop("action"))
 
 
-class VersionedTable:
-    """A table in buckets of a key's hash, of which every batch writes anew those that it touches; readers see the last complete version.
+def sync_stream(items: DataFrame, table: VersionedTable, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = merged_batch, every: str | None = None) -> StreamingQuery:
+    """Merge a stream of items into a table; all that is there now, or every so often if every is given.
 
-    A version is a small file that names a folder for each bucket; it is written when the folders are complete. Its number
-    is its batch's, so a replayed batch writes its own folders again and starts from the version before it: replays
-    neither lose nor repeat rows. Folders that none of the last keep versions names are deleted.
+    The table remembers the last batch of each checkpoint: a replayed batch changes nothing, and streams with checkpoints of
+    their own, one after another or at once, all get their rows in.
     """
-
-    def __init__(self, spark, path: str, schema: str, key: Sequence[str] = ("connection_id", "external_id"), buckets: int = 64, keep: int = 2):
-        self.spark, self.path, self.schema, self.key, self.buckets, self.keep = spark, path.rstrip("/"), schema, list(key), buckets, keep
-
-    def _at(self, name: str):
-        return path_of(self.spark, f"{self.path}/{name}")
-
-    def versions(self) -> list[int]:
-        fs, at = self._at("versions")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()) if fs.exists(at) else []
-
-    def folders(self, before: int | None = None) -> dict[int, str]:
-        """Bucket -> folder of the last version, or the last before a number; a bucket without rows has none."""
-        done = [v for v in self.versions() if before is None or v < before]
-        return self._named(done[-1]) if done else {}
-
-    def _named(self, version: int) -> dict[int, str]:
-        row = self.spark.read.text(f"{self.path}/versions/{version:012d}").first()
-        return {int(k): v for k, v in json.loads(row.value).items()} if row else {}
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-
-    def read(self, before: int | None = None, only: Sequence[int] | None = None) -> DataFrame:
-        """Rows of the last version (or the last before a number), of all buckets or only some."""
-        named = [f for b, f in self.folders(before).items() if only is None or b in only]
-        return self.spark.read.schema(self.schema).parquet(*named) if named else self.spark.createDataFrame([], self.schema)
-
-    def merge(self, batch: DataFrame, version: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-        """The next version: merge is given the rows of the batch's buckets and the batch."""
-        touched = [r.b for r in batch.select(self.bucket().alias("b")).distinct().collect()]
-        rows = merge(self.read(version, touched), batch).withColumn("bucket", self.bucket())
-        data = f"{self.path}/data/{version:012d}"
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(data)
-        fs, at = path_of(self.spark, data)
-        new = {int(n.split("=")[1]): f"{data}/{n}" for n in (s.getPath().getName() for s in fs.listStatus(at)) if n.startswith("bucket=")}
-        named = {b: f for b, f in self.folders(version).items() if b not in touched} | new
-        draft, final = (self._at(f"versions/{x}")[1] for x in (f".{uuid.uuid4().hex}", f"{version:012d}"))
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(named).encode()))
-        out.close()
-        fs.delete(final, False)
-        if not fs.rename(draft, final):
-            raise OSError(f"version {version} of {self.path} could not be put in place")
-        self._forget()
-
-    def _forget(self) -> None:
-        kept = self.versions()[-self.keep :]
-        named = {f for v in kept for f in self._named(v).values()}
-        for v in self.versions()[: -self.keep]:
-            for folder in set(self._named(v).values()) - named:
-                delete(self.spark, folder)
-            delete(self.spark, f"{self.path}/versions/{v:012d}")
-
-
-def sync_stream(items: DataFrame, table: VersionedTable, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = merged_batch, every: str | None = None) -> StreamingQuery:
-    """Merge a stream of items into a table; all that is there now, or every so often if every is given."""
-    writer = items.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number, merge)).option("checkpointLocation", checkpoint)
+    name = stream_name(items.sparkSession, checkpoint)
+    writer = items.writeStream.foreachBatch(lambda batch, number: table.merge(batch, merge, name(), number)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -218,30 +218,18 @@ def test_sync_stream(spark, tmp_path):
     for _, x, action, title, _, _ in items:
         want.pop(x, None) if action == "deleted" else want.update({x: title})
     assert {r.external_id: r.title for r in table.read().collect()} == want
+    # a batch that is in changes nothing when it is replayed
     last = spark.read.schema(s.schema).json(str(tmp_path / "in/3.json"))
-    table.merge(last, 3, sync.merged_batch)
+    stream, number = next(iter(table.state()["batches"].items()))
+    assert number == 3 and table.versions() == [3, 4]
+    assert not table.merge(last, sync.merged_batch, stream, 3) and table.versions() == [3, 4]
     assert {r.external_id: r.title for r in table.read().collect()} == want
-    # only touched buckets are written anew, and no more than two versions are kept
-    assert table.versions() == [2, 3]
-    before, touched = table.folders(3), {r.b for r in last.select(table.bucket().alias("b")).collect()}
-    assert {b: f for b, f in table.folders().items() if b not in touched} == {b: f for b, f in before.items() if b not in touched}
-    stored = {os.path.basename(os.path.dirname(f)) + os.path.basename(f) for v in table.versions() for f in table._named(v).values()}
-    on_disk = {d + b for d in os.listdir(tmp_path / "t/data") for b in os.listdir(tmp_path / "t/data" / d) if b.startswith("bucket=")}
+    # no folder stays that no version names
+    stored = {f for v in table.versions() for f, *_ in table.state(v)["leaves"].values() if f}
+    on_disk = {str(tmp_path / "t/data" / d / b) for d in os.listdir(tmp_path / "t/data") for b in os.listdir(tmp_path / "t/data" / d) if b.startswith("leaf=")}
     assert on_disk == stored
 
 
-def test_sync_loop(spark):
-    from lodestrata.sources.connectors import synced
-
-    rows = [(f"t{i // 3:02d}", f"x{i}") for i in range(30)]
-    items = spark.createDataFrame(rows, "updated_at string, external_id string")
-    taken = []
-    end = synced(items, "t01", lambda page, n: taken.append(sorted(r.external_id for r in page.collect())), size=7)
-    assert sorted(x for page in taken for x in page) == sorted(x for t, x in rows if t > "t01")
-    assert (end.cursor, end.items, end.pages) == ("t09", 24, len(taken)) and len(taken) == 3
-    assert synced(items, "t09", lambda page, n: taken.append(None), size=7).items == 0
-
-
 def test_times_and_diffs(spark):
     m = spark.createDataFrame([("w", i, t) for i, t in enumerate([5, 5, 4, 20, 20, 1])], "writer_id string, seq int, millis long")
     assert [r.millis for r in sync.strictly_increasing(m).orderBy("seq").collect()] == [5, 6, 7, 20, 21, 22]

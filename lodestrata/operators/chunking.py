@@ -22,6 +22,10 @@ from ..functions.tokenize import PatternTokenizer, Tokenizer, last_tokens, token
 BREAKS = ("\n\n", "\n", ". ", "? ", "! ", "; ", " ")
 
 
+#: Characters of a bin in which pages and chunks meet.
+BIN = 4096
+
+
 @dataclass(frozen=True)
 class Size:
     most: int = 400
@@ -127,6 +131,21 @@ def chunk_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     return docs.select(*rest, F.posexplode(splitter(size, tok)(F.col(text))).alias("chunk_index", "content"))
 
 
+def pages_touched(ranges: DataFrame, spans: DataFrame, key: str = "doc_id", bin_size: int = BIN) -> DataFrame:
+    """(key, chunk_index, pages): pages (key, page, page_start, page_end) that ranges (key, chunk_index, start, end) of characters touch.
+
+    An interval join: both sides are sent to the bins of characters that they lie in, and a pair is taken in the first bin
+    that both have; so a document of many pages and chunks is many small joins, and not each chunk with each page. A page
+    without characters is touched by what goes on over its place.
+    """
+    at = lambda lo, hi: F.explode(F.sequence(F.floor(F.greatest(lo, F.lit(0)) / bin_size), F.floor(F.greatest(lo, hi, F.lit(0)) / bin_size)))
+    r = ranges.select(F.col(key).alias("r_key"), "chunk_index", "start", "end", at(F.col("start"), F.col("end") - 1).alias("r_bin"))
+    p = spans.select(key, "page", "page_start", "page_end", at(F.col("page_start"), F.col("page_end") - 1).alias("bin"))
+    first = F.greatest(F.floor(F.greatest("start", F.lit(0)) / bin_size), F.floor(F.greatest("page_start", F.lit(0)) / bin_size))
+    pairs = p.join(r, (F.col(key) == F.col("r_key")) & (F.col("bin") == F.col("r_bin"))).where((F.col("bin") == first) & (F.col("page_start") < F.col("end")) & (F.col("page_end") > F.col("start")))
+    return pairs.groupBy(key, "chunk_index").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+
+
 def chunk_pages(pages: DataFrame, key: str = "doc_id", size: Size = Size()) -> DataFrame:
     """(doc_id, chunk_index, content, pages) from (doc_id, page, text): chunks over page borders, with the pages each touches.
 
@@ -143,9 +162,7 @@ def chunk_pages(pages: DataFrame, key: str = "doc_id", size: Size = Size()) -> D
         .withColumn("end", F.col("start") + F.length("base"))
         .withColumn("lead", F.coalesce(last_tokens(F.lag("base").over(w), size.overlap), F.lit("")) if size.overlap > 0 else F.lit(""))
     )
-    p = spans.select(F.col(key).alias("page_key"), "page", "page_start", "page_end")
-    touch = (F.col(key) == F.col("page_key")) & (F.col("page_start") < F.col("end")) & (F.col("page_end") > F.col("start") - F.length("lead"))
-    found = placed.join(p, touch).groupBy(key, "chunk_index").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    found = pages_touched(placed.select(key, "chunk_index", (F.col("start") - F.length("lead")).alias("start"), "end"), spans.select(key, "page", "page_start", "page_end"), key)
     return placed.select(key, "chunk_index", F.concat("lead", "base").alias("content")).join(found, [key, "chunk_index"], "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<int>")))
 
 

@@ -58,24 +58,26 @@ def free_slots(cards: DataFrame, key: str = "thread_id", most: int = 3) -> DataF
     """(thread_id, place, x, y): the first places, left to right and then down, where a new card overlaps none.
 
     Places to try follow from the right and lower ends of a thread's cards. Below all cards every x has a free place,
-    so the first most of them are all that is looked at, and a thread's boxes stay one row. If none is free, one right
-    of everything and one below.
+    so the first most of them are all that is looked at. For each of these a sweep goes down over the stretches that cards block, in order of
+    their upper ends: a place is free if none that began above it still goes on. Cards and places are rows, so
+    a thread of many cards is sorted and not one row. If no place is free, one right of everything and one below.
     """
-    box = F.struct(F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), (F.col("x") + F.col("width")).cast("double").alias("x2"), (F.col("y") + F.col("height")).cast("double").alias("y2"))
-    t = cards.groupBy(key).agg(F.collect_list(box).alias("boxes"))
-    ends = lambda side: F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), F.transform("boxes", lambda o: o[side] + GAP))))
-    t = t.select(key, "boxes", F.slice(ends("x2"), 1, most).alias("xs"), ends("y2").alias("ys"))
-
-    def free_at(x):
-        near = F.filter("boxes", lambda o: (x < o["x2"] + GAP) & (x + WIDTH + GAP > o["x1"]))
-        clear = lambda boxes: F.filter("ys", lambda y: ~F.exists(boxes, lambda o: (y < o["y2"] + GAP) & (y + HEIGHT + GAP > o["y1"])))
-        return F.transform(F.slice(F.flatten(F.transform(F.array(near), clear)), 1, most), lambda y: F.struct(x.alias("x"), y.alias("y")))
-
-    free = F.slice(F.flatten(F.transform("xs", free_at)), 1, most)
-    right, low = (F.array_max(F.col(f"boxes.{side}")) + GAP for side in ("x2", "y2"))
-    spare = F.array(F.struct(right.alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(0.0).alias("x"), low.alias("y")))
-    places = t.select(key, F.posexplode(F.when(F.size(free) > 0, free).otherwise(spare)).alias("place", "at"))
-    return places.select(key, (F.col("place") + 1).alias("place"), "at.x", "at.y")
+    d = lambda c: F.col(c).cast("double")
+    box = cards.select(key, d("x").alias("x1"), d("y").alias("y1"), (F.col("x") + F.col("width")).cast("double").alias("x2"), (F.col("y") + F.col("height")).cast("double").alias("y2"))
+    origin = box.select(key).distinct()
+    ends = lambda side, name: box.select(key, (F.col(side) + GAP).alias(name)).unionByName(origin.withColumn(name, F.lit(0.0))).distinct()
+    first = ends("x2", "x").withColumn("n", F.row_number().over(W.partitionBy(key).orderBy("x"))).where(F.col("n") <= most).drop("n")
+    none = F.lit(None).cast("double")
+    tried = first.join(ends("y2", "y"), key).select(key, "x", F.col("y").alias("at"), F.lit(0).alias("kind"), none.alias("until"))
+    near = box.join(first, key).where((F.col("x") < F.col("x2") + GAP) & (F.col("x") + WIDTH + GAP > F.col("x1")))
+    blocks = near.select(key, "x", (F.col("y1") - HEIGHT - GAP).alias("at"), F.lit(1).alias("kind"), (F.col("y2") + GAP).alias("until"))
+    down = W.partitionBy(key, "x").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, -1)
+    swept = tried.unionByName(blocks).withColumn("until", F.max("until").over(down))
+    free = swept.where((F.col("kind") == 0) & (F.col("until").isNull() | (F.col("until") <= F.col("at")))).select(key, "x", F.col("at").alias("y"))
+    spare = box.groupBy(key).agg((F.max("x2") + GAP).alias("right"), (F.max("y2") + GAP).alias("low")).join(free.select(key).distinct(), key, "left_anti")
+    spare = spare.select(key, F.posexplode(F.array(F.struct(F.col("right").alias("x"), F.lit(0.0).alias("y")), F.struct(F.lit(0.0).alias("x"), F.col("low").alias("y")))).alias("place", "at"))
+    places = free.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("x", "y"))).where(F.col("place") <= most)
+    return places.select(key, "place", "x", "y").unionByName(spare.select(key, F.col("place") + 1, "at.x", "at.y").toDF(key, "place", "x", "y"))
 
 
 def valid_edges(edges: DataFrame, cards: DataFrame, key: str = "thread_id") -> DataFrame:

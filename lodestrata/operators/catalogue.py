@@ -112,6 +112,11 @@ def one_org_only(ids: Sequence[str], org: int) -> None:
         raise PermissionError(f"not in organisation {org}: {', '.join(wrong)}")
 
 
+def foreign_ids(ids: Column, org: Column) -> Column:
+    """Of an array of packed ids, those of other organisations: a request that names any is refused."""
+    return F.filter(ids, lambda x: org_number(x) != org.cast("long"))
+
+
 # sorted and paged lists
 
 SORTABLE = ("created_at", "updated_at", "title", "name", "total_tokens", "requests")

@@ -166,24 +166,37 @@ def chunk_pages(pages: DataFrame, key: str = "doc_id", size: Size = Size()) -> D
     return placed.select(key, "chunk_index", F.concat("lead", "base").alias("content")).join(found, [key, "chunk_index"], "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<int>")))
 
 
+def row_cuts(most: int = 400):
+    """Of the token counts of an ordered array of rows, where chunks end: rows are added until the next would pass most tokens."""
+
+    @F.pandas_udf("array<int>")
+    def cuts(sizes: pd.Series) -> pd.Series:
+        def one(ns):
+            out, held = [], 0
+            for i, n in enumerate(ns):
+                if i > (out[-1] if out else 0) and held + n > most:
+                    out.append(i)
+                    held = n
+                else:
+                    held += n + (held > 0)
+            return [*out, len(ns)]
+
+        return sizes.map(lambda ns: None if ns is None else one(ns))
+
+    return cuts
+
+
 def packed_rows(rows: Column, most: int = 400) -> Column:
     """Chunks (row, content) of an ordered array of (row, text): rows are added until the next would pass most tokens.
 
-    A row is never cut, a line break counts as a token once it is in, and no chunk is too small. The fold
-    keeps numbers only; contents are sliced from the rows afterwards.
+    A row is never cut, a line break counts as a token once it is in, and no chunk is too small. One walk over the rows' token counts gives
+    the places of cuts; contents are sliced from the rows afterwards, so work is in proportion to the file.
     """
-    sized = F.transform(rows, lambda r: F.struct(r["row"].alias("row"), token_count(r["text"]).alias("n")))
-    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("held"), F.lit(0).alias("at"))
-
-    def step(acc, r):
-        full = (acc["held"] + r["n"] > most) & (acc["at"] > F.coalesce(F.try_element_at(acc["cuts"], F.lit(-1)), F.lit(0)))
-        held = F.when(full, r["n"]).otherwise(acc["held"] + r["n"] + F.when(acc["held"] > 0, 1).otherwise(0))
-        return F.struct(F.when(full, F.concat(acc["cuts"], F.array(acc["at"]))).otherwise(acc["cuts"]).alias("cuts"), held.alias("held"), (acc["at"] + 1).alias("at"))
-
-    ends = F.aggregate(sized, start, step, lambda acc: F.concat(acc["cuts"], F.array(acc["at"])))
-    begins = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+    ends = row_cuts(most)(F.transform(rows, lambda r: token_count(r["text"]).cast("int")))
     chunk = lambda b, e: F.struct(F.get(rows, b)["row"].alias("row"), F.array_join(F.transform(F.slice(rows, b + 1, e - b), lambda r: r["text"]), "\n").alias("content"))
-    return F.when(F.size(rows) == 0, F.array().cast("array<struct<row int, content string>>")).otherwise(F.zip_with(begins, ends, chunk))
+    begins = lambda e: F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1))
+    cut_at = F.get(F.transform(F.array(ends), lambda e: F.zip_with(begins(e), e, chunk)), 0)
+    return F.when(F.size(rows) == 0, F.array().cast("array<struct<row int, content string>>")).otherwise(cut_at)
 
 
 def csv_rows(text: Column) -> Column:

@@ -155,6 +155,11 @@ def expanded_query(query: str, passage: str | None) -> str:
     return f"{query}\n\n{passage[:500]}" if passage else query
 
 
+def expanded_queries(query: Column, passage: Column) -> Column:
+    """expanded_query() for a table of queries and their passages."""
+    return F.when(F.length(passage) > 0, F.concat(query, F.lit("\n\n"), F.substring(passage, 1, 500))).otherwise(query)
+
+
 def search(chunks: DataFrame, sources: DataFrame, request: Request, scorer=None) -> DataFrame:
     """Results in order, with name and link of their source.
 

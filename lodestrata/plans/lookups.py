@@ -5,17 +5,18 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, scalars
 from ..operators import cards, catalogue, dml, filters, search, usage
-from ..operators.chunking import csv_rows
+from ..operators.chunking import Size, csv_rows, group_messages
 from ..session import scoped, write_scoped
 from ..sources import connectors, files, formats, provider_source, webhooks
 from ..store import folder
 from ..streaming import jobs, sync, tables
 from . import stand_ins as s
-from .registry import query
+from .registry import ORACLES, WORD, query
 
 
 @query("select event_id id from events where event_type = 'click' and event_id % 4 <> 0 and ts > timestamp '2024-01-20 00:00:00'")
@@ -324,10 +325,68 @@ def tool_filters(spark, sf):
     return filters.filtered(s.chunks(spark, sf), r.org_id, list(r.collections), list(r.filters)).select("chunk_id")
 
 
-@query("select 'No results found. Consider searching with different terms or breaking the query into sub-queries.' suggestion, 0 total_results union all select null, 3")
+@query(
+    f"""with b as ({ORACLES["hybrid_search_word"]})
+    select (select string_agg(chunk_id, ',' order by chunk_id) from b) ids, (select count(*) from b) total_results, null suggestion
+    union all select '', 0, 'No results found. Consider searching with different terms or breaking the query into sub-queries.' from (select count(*) n from documents where lang = 'none') where n = 0"""
+)
 def tool_answers(spark, sf):
-    e = s.read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("x").alias("content")).orderBy("chunk_id")
-    return search.tool_answer(e.limit(0)).unionByName(search.tool_answer(e.limit(3))).select("suggestion", "total_results")
+    """What a tool returns of a search that finds something, and of the same one in a collection without chunks."""
+    out = None
+    for collections in ((), ("none",)):
+        request = search.Request(1, WORD, s.query_vector(spark, sf), collections)
+        a = search.tool_answer(search.search(s.chunks(spark, sf), s.data_sources(spark, sf), request))
+        row = a.select(F.array_join(F.array_sort(F.transform("results", lambda x: x["chunkId"])).cast("array<string>"), ",").alias("ids"), "total_results", "suggestion")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("select doc_id, md5(case when doc_id % 3 = 0 or text is null or text = '' then 'query ' || doc_id else 'query ' || doc_id || chr(10) || chr(10) || substring(text, 1, 500) end) embedded_md5 from documents")
+def expanded_queries(spark, sf):
+    """What the vector leg embeds of queries to which a made-up passage was added, and of others."""
+    d = s.read(spark, sf, "documents")
+    query_text = F.concat(F.lit("query "), F.col("doc_id").cast("string"))
+    return d.select("doc_id", F.md5(search.expanded_queries(query_text, F.when(F.col("doc_id") % 3 != 0, F.col("text")))).alias("embedded_md5"))
+
+
+@query("select event_id, cast(case when event_id % 4 = 1 then 1 else 0 end + case when event_id % 5 = 2 then 1 else 0 end as integer) foreign_ids from events")
+def requests_of_one_org(spark, sf):
+    """How many ids of a request belong to another organisation; such requests are refused."""
+    e = s.read(spark, sf, "events")
+    packed = lambda org, seed: ids.pack_id(org, F.unix_millis(F.col("ts").cast("timestamp")), F.lit(ids.ENTITY_BYTES["Collection"]), seed)
+    other = lambda n, k: F.col("user_id") + F.when(F.col("event_id") % n == k, 1).otherwise(0)
+    asked = F.array(packed(F.col("user_id"), F.lit("a")), packed(other(4, 1), F.lit("b")), packed(other(5, 2), F.lit("c")))
+    return e.select("event_id", F.size(catalogue.foreign_ids(asked, F.col("user_id"))).alias("foreign_ids"))
+
+
+@query("select id, name, place from (select c_custkey id, c_name as name, cast(row_number() over (order by c_name desc, c_custkey) as integer) place from customer) where place <= 40")
+def clicked_twice(spark, sf):
+    """Two clicks on the head of a column of names: sorted from the last one, two pages."""
+    by, descending = catalogue.toggled(*catalogue.toggled("created_at", True, "name"), "name")
+    c = s.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows = catalogue.sorted_rows(c, by, descending)
+    out = catalogue.page(rows, 1).unionByName(catalogue.page(rows, 2))
+    return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("name"), "id")))  # 40 rows
+
+
+_WORDS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]|\s+'))"
+
+
+@query(
+    rf"""with recursive m as (select p_size source, p_brand || ' ' || p_name as x, row_number() over (partition by p_size order by p_partkey) i, p_partkey k from part),
+    n as (select *, {_WORDS.format("x")} n from m),
+    f as (select source, i, n held, 0 chunk from n where i = 1
+    union all select n.source, n.i, case when held + n.n + 1 > 60 then n.n + 1 else held + n.n + 1 end, chunk + (case when held + n.n + 1 > 60 then 1 else 0 end) from f join n on n.source = f.source and n.i = f.i + 1),
+    g as (select f.source, chunk, max(held) held, case when chunk > 0 then chr(10) else '' end || string_agg(x, chr(10) order by f.i) as content, min(k) k from f join m on m.source = f.source and m.i = f.i group by 1, 2),
+    e as (select *, max(chunk) over (partition by source) = chunk and chunk > 0 and held < 20 small from g),
+    j as (select a.source, a.chunk, a.content || coalesce(chr(10) || b.content, '') as content, a.k, a.small from e a left join e b on b.source = a.source and b.chunk = a.chunk + 1 and b.small)
+    select cast(source as varchar) data_source_id, cast(chunk as integer) chunk_index, md5(content) content_md5, 'p' || k source_url from j where not small"""
+)
+def grouped_messages(spark, sf):
+    """Short messages of one context and no merged authors, up to 60 tokens a chunk; a last chunk below 20 joins the one before."""
+    p = s.read(spark, sf, "part")
+    m = p.select(F.col("p_size").alias("data_source_id"), F.col("p_partkey").alias("position"), F.concat_ws(" ", "p_brand", "p_name").alias("content"), F.lit("c").alias("context"), F.array(F.lit("a")).alias("authors"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("source_url"), F.lit(False).alias("merges"))
+    return group_messages(m, Size(60, 0, 20)).select("data_source_id", "chunk_index", F.md5("content").alias("content_md5"), "source_url")
 
 
 @query(

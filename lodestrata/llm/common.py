@@ -25,6 +25,11 @@ def words(col) -> F.Column:
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def readable(text) -> F.Column:
+    """A text column with replacement characters for bytes that aren't UTF-8, which a crawl's files may hold and Python can't read."""
+    return F.make_valid_utf8(F.col(text) if isinstance(text, str) else text)
+
+
 def free(frame: DataFrame, *names: str) -> list[str]:
     """names, each with underscores added until no column of frame is called that."""
     taken = {c.lower() for c in frame.columns}

@@ -208,7 +208,7 @@ def size_tiered_compaction(docs: DataFrame, arrivals: int = 16, path: str | None
     """(doc_id, source, n_chars, text_md5, shard, version) of every row of documents after arrivals runs came in and were merged.
 
     A row arrives by hash of its id and text. Rows come back exactly as they were, nulls, repeats and
-    extra columns included; shard names the file that holds the row. Texts of any length are moved as they are; a row
+    extra columns included, whatever their names; shard names the file that holds the row. Texts of any length are moved as they are; a row
     group of the readers and writers holds some 128 MB of them. Of an empty table nothing is written.
     """
     spark = docs.sparkSession
@@ -220,7 +220,7 @@ def size_tiered_compaction(docs: DataFrame, arrivals: int = 16, path: str | None
     table.vacuum()
     m = table.manifest()
     rows = table.read() if m["runs"] else docs.limit(0)
-    shard = F.col("_metadata.file_name") if m["runs"] else F.lit("")
+    shard = F.substring_index(F.input_file_name(), "/", -1) if m["runs"] else F.lit("")
     return rows.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"), shard.alias("shard"), F.lit(m["version"]).cast("long").alias("version"))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, readable
 
 #: Features; bytes of text looked up at once; distance of the two best probabilities that is ambiguous.
 BINS, SLICE, CLOSE = 1 << 15, 1 << 20, 0.2
@@ -229,9 +229,10 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     Rows whose crc32 of doc_id as text leaves 2 at a division by 4 are held out; the others with a
     non-null lang are learnt from. A null doc_id is learnt from as the empty string. Null or letterless
-    texts get und, 0. Repeated rows are learnt from and predicted one by one. A text is one value in its task, some ten
+    texts get und, 0. Bytes that aren't UTF-8 are read as replacement characters. Repeated rows are learnt from and predicted one by one. A text is one value in its task, some ten
     times its size. An empty table gives an empty one; without labels all is und; other columns of docs are left out.
     """
+    docs = docs.withColumn("text", readable("text"))
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
     model = fit(docs.where(~out))
     return identify(docs, model, keep=(F.col("doc_id").cast("long").alias("doc_id"), out.alias("held_out")))

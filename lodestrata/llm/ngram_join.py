@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import readable, cut, small
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -336,11 +336,11 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     Two documents link when 1000 * shared >= round(1000 * similarity) * united, over distinct five-word
     shingles (the whole sequence with fewer words). A null or wordless text has an empty set and links
     with nothing; a null id has null as its component and takes no part. Repeated rows give repeated
-    rows. links counts the different sets that a document's set links with, exactly; equal sets count
+    rows. Bytes that aren't UTF-8 are replacement characters of their words. links counts the different sets that a document's set links with, exactly; equal sets count
     as one. A text is one row and its set one value, so a task needs some 60 bytes for each word of the longest
     text. An empty table gives an empty one; other columns of docs are left out, whatever their names.
     """
-    bands = Bands(similarity)
+    bands, docs = Bands(similarity), docs.withColumn(text_col, readable(text_col))
     rows = cut(shingle_classes(docs, bands, id_col, text_col), "rows")
     known = rows.where("doc_id is not null and n_shingles > 0")
     classes = cut(known.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), *(F.first(f"filled{i}").alias(f"filled{i}") for i in range(3))), "classes")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, readable, small
 from .tokens import tokenizer
 
 WINDOW, END_ID = 4096, 2
@@ -32,6 +32,8 @@ WINDOW, END_ID = 4096, 2
 SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
 #: Ids whose terms are counted at once; terms that one in COMMON texts of a shard has are kept as whole rows.
 RUN, COMMON = 1 << 20, 8
+#: Stretches of the vocabulary whose counts are added up apart, each in so many groups of tasks first.
+PARTS, SALTS = 32, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long, seed_id long"
 
@@ -189,6 +191,8 @@ def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
 
 
 def _corpus(encoded: DataFrame) -> Corpus:
+    """Counts of all tasks, added up by stretches of the vocabulary: the driver gets one number a term."""
+
     def run(batches):
         df, n, tokens = 0, 0, 0
         for batch in batches:
@@ -196,11 +200,20 @@ def _corpus(encoded: DataFrame) -> Corpus:
                 df = df + np.frombuffer(x.as_buffer(), np.int64)
             n, tokens = n + sum(batch.column("n").to_pylist()), tokens + sum(batch.column("tokens").to_pylist())
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n]), pa.array([tokens])], names=["df", "n", "tokens"])
+            parts = [x.tobytes() for x in np.array_split(df, PARTS)]
+            own = lambda x: pa.array([x, *[0] * (PARTS - 1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([0] * PARTS, pa.int32()), pa.array(parts, pa.binary()), own(n), own(tokens)], names=["part", "salt", "df", "n", "tokens"])
+
+    def total(table: pa.Table) -> pa.Table:
+        df = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("df")], 0)
+        sums = [pa.array([pc.sum(table.column(c)).as_py()], pa.int64()) for c in ("n", "tokens")]
+        return pa.table([table.column("part").slice(0, 1).combine_chunks(), table.column("salt").slice(0, 1).combine_chunks(), pa.array([df.tobytes()], pa.binary()), *sums], names=["part", "salt", "df", "n", "tokens"])
 
-    counts = encoded.where("n is not null").select("df", "n", "tokens")
-    row = counts.coalesce(1).mapInArrow(run, "df binary, n long, tokens long").first()
-    return Corpus(np.frombuffer(row.df, np.int64), row.n, row.tokens) if row else Corpus(np.zeros(1, np.int64), 0, 0)
+    schema = "part int, salt int, df binary, n long, tokens long"
+    counts = encoded.where("n is not null").select("df", "n", "tokens").mapInArrow(run, schema)
+    some = counts.withColumn("salt", F.spark_partition_id() % SALTS).groupBy("part", "salt").applyInArrow(total, schema)
+    rows = sorted(some.withColumn("salt", F.lit(0)).groupBy("part", "salt").applyInArrow(total, schema).collect())  # together a number a term
+    return Corpus(np.concatenate([np.frombuffer(r.df, np.int64) for r in rows]), rows[0].n, rows[0].tokens) if rows else Corpus(np.zeros(1, np.int64), 0, 0)
 
 
 def _sharded(encoded: DataFrame, corpus: Corpus, window: int, shard_bytes: int, dtype) -> DataFrame:
@@ -246,12 +259,12 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     """One row for each piece of a document; see PIECES.
 
     Every row of docs is packed, repeated rows each for themselves and never two in one window, a null text as
-    the end id alone; a null id stays null, and rows with one may meet. Each id lies in exactly one piece, and a
+    the end id alone; bytes that aren't UTF-8 are read as replacement characters; a null id stays null, and rows with one may meet. Each id lies in exactly one piece, and a
     sequence's offsets have no gaps. sequence_id holds the shard in its upper half. A text longer than a shard is a
     shard of its own, so a task needs some ten times the size of the longest text. An empty table gives an empty
     one; other columns of docs are left out, whatever their names.
     """
-    id_, text = F.col(id_col).cast("long"), F.col(text_col)
+    id_, text = F.col(id_col).cast("long"), readable(text_col)
     each = -(-shard_bytes // DOCUMENTS)
     salt = F.xxhash64(F.lit(5), id_, text, F.monotonically_increasing_id())  # the place tells equal rows apart
     encoded = _encoded(docs.select(id_.alias("id"), salt.alias("salt"), (F.coalesce(F.octet_length(text), F.lit(0)) + each).cast("long").alias("size"), text.alias("text")), path)

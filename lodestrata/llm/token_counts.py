@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, readable
 from .tokens import tokenizer
 
 #: Lengths summed together first, so that no window holds all of them.
@@ -33,7 +33,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None =
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["length", "docs"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
+    return docs.select(readable(text_col).alias(text_col)).mapInArrow(run, "length long, docs long").groupBy("length").agg(F.sum("docs").alias("docs"))
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def quantile_length(limits: DataFrame, q: float) -> Column:
 def token_counts(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """What every context limit means for docs; see context_limits().
 
-    A null or empty text has length 0; repeated rows count each. A long text is encoded in parts, and its ids are
+    A null or empty text has length 0; bytes that aren't UTF-8 count as replacement characters; repeated rows count each. A long text is encoded in parts, and its ids are
     held at once. An empty table gives an empty one; other columns of docs are left out, whatever their names.
     """
     return context_limits(cut(length_histogram(docs, text_col, path), "histogram"))

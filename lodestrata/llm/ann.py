@@ -10,8 +10,8 @@ How many buckets are looked up is fitted: for a bounded sample of queries the tr
 them with all rows, and the least number of probes is taken that finds RECALL of these. Where MOST_PROBES don't,
 buckets are named by an axis less; with one axis the probes may go as far as all buckets, which is exact.
 
-Equal vectors are one entry with their smallest ids, so copies can't fill a bucket; buckets are cut
-into blocks of bounded size, each met by the bucket's queries. Vectors of different widths never meet.
+Equal vectors are one entry with their smallest ids, so copies can't fill a bucket, and equal queries are one query; a bucket's
+rows and its queries are both cut into blocks of bounded size. Vectors of different widths never meet.
 """
 
 from __future__ import annotations
@@ -182,20 +182,20 @@ def fitted_probes(sample: list, tables: int, axes: int, recall: float) -> int |
     return int(last) + 1 if last < MOST_PROBES else None
 
 
-def _fit(entries: DataFrame, queries: DataFrame, axes: int, width: int, k: int, tables: int, recall: float) -> tuple[int, int, int]:
+def _fit(entries: DataFrame, axes: int, width: int, k: int, tables: int, recall: float) -> tuple[int, int, int]:
     """(tables, axes, probes) for a recall, of at most SAMPLE queries and their neighbours among all rows."""
-    asked = queries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "width", "v").toArrow()
+    asked = entries.where("asks").orderBy(F.xxhash64(F.element_at("ids", 1)), "h1", "h2").limit(SAMPLE).select(F.col("entry").alias("id"), "width", "v").toArrow()
 
     def run(batches):
         for batch in batches:
             out = []
             for w in np.unique(batch.column("width").to_numpy()):
                 q, a = (x.filter(pa.array(x.column("width").to_numpy() == w)) for x in (asked, batch))
-                near, entry = _held(a, q, k)
+                near, entry = _held(a, q, k, apart=True)
                 out.append(near.append_column("v", a.column("v").take(pa.array(entry))))
             yield from (b for t in out for b in t.to_batches())
 
-    near = _ranked(entries.mapInArrow(run, "query_id long, vec_id long, score double, v array<double>"), k, "v")
+    near = _ranked(entries.select("entry", "ids", "width", "v").mapInArrow(run, "query_id long, vec_id long, score double, v array<double>"), k, "v")
     vector = dict(zip(asked.column("id").to_pylist(), asked.column("v").to_pylist()))
     sample = [(vector[r.query_id], r.v) for r in near.collect()]  # SAMPLE * k rows at most
     while True:
@@ -207,61 +207,77 @@ def _fit(entries: DataFrame, queries: DataFrame, axes: int, width: int, k: int,
         return (1, 1, sides) if axes == 1 and (probes is None or tables * probes > sides) else (tables, axes, probes)
 
 
+def _entries(x: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """(entry, h1, h2, asks, ids, width, v): one row for equal vectors, its smallest ids, and whether a query is among them.
+
+    A vector is shuffled once; ids are chosen among hashes of 128 bits.
+    """
+    # the smallest k + 1 ids are all that an answer can need of a vector's copies; first by chunks, then of those
+    chunk, per = (W.partitionBy("h1", "h2", *more).orderBy("id") for more in ([F.pmod("id", F.lit(64))], []))
+    some = keys.withColumn("n", F.row_number().over(chunk)).where(F.col("n") <= k + 1)
+    some = some.withColumn("n", F.row_number().over(per)).where(F.col("n") <= k + 1)
+    ids = some.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    once = x.groupBy("h1", "h2").agg(F.max("is_query").alias("asks"), F.first("width").alias("width"), F.first("v").alias("v"))
+    return cut(once.join(ids, ["h1", "h2"]).select(F.monotonically_increasing_id().alias("entry"), "h1", "h2", "asks", "ids", "width", "v"), "entries")
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, tables: int = TABLES, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found for each query row, by Euclidean distance.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
     ids. Ties go to the smaller id; repeated ids count as one row each vector. Vectors of different widths are no
-    candidates of each other. If a query met fewer than k others in its buckets, it is held against all rows, in
-    blocks. probes sets their number by hand. An empty table gives an empty one; other columns are left out, whatever
-    their names.
+    candidates of each other. Equal query vectors are looked up once. If a query met fewer than k others in its buckets, it is
+    held against all rows, in blocks. probes sets their number by hand. An empty table gives an empty one; other columns are
+    left out, whatever their names.
     """
-    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(valid("v") & F.col("id").isNotNull()).distinct()
-    x = cut(x.select("id", F.size("v").alias("width"), "v", is_query(F.col("id")).alias("is_query")), "vectors")
-    per = W.partitionBy("v_hash", "v").orderBy("id")
-    # a vector's smallest k + 1 ids are all that an answer can need of its copies; first by chunks, then of those
-    chunk = W.partitionBy("v_hash", "v", F.pmod("id", F.lit(64))).orderBy("id")
-    some = x.withColumn("v_hash", F.xxhash64("v")).withColumn("n", F.row_number().over(chunk)).where(F.col("n") <= k + 1)
-    some = some.withColumn("n", F.row_number().over(per)).where(F.col("n") <= k + 1)
-    entries = cut(some.groupBy("v_hash", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("width").alias("width")).select("ids", "width", "v"), "entries")
-    queries = x.where("is_query").select("id", "width", "v")
+    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(valid("v") & F.col("id").isNotNull())
+    x = cut(x.select("id", F.size("v").alias("width"), "v", is_query(F.col("id")).alias("is_query"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")), "vectors")
+    keys = x.select("id", "h1", "h2", "is_query").distinct()
+    entries = _entries(x, keys, k)
+    queries = entries.where("asks").select(F.col("entry").alias("id"), "width", "v")
     rows, width = entries.agg(F.count("*"), F.max("width")).first()
     axes = axes_per_table(rows, width or 1)
     if probes is None:
-        tables, axes, probes = _fit(entries, queries, axes, width or 1, k, tables, recall)
+        tables, axes, probes = _fit(entries, axes, width or 1, k, tables, recall)
     on = ["width", "table", "bucket"]
     # vectors stay where they are while buckets are named, and are copied for each table as they are sent
-    index = _by_bucket(cut(named(entries, tables, axes, 1), "index"), tables)
-    asked = _by_bucket(named(queries, tables, axes, probes), tables)
-    sizes = index.groupBy(on).agg(F.count("*").alias("held"))
-    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("held") / block).cast("int")).drop("held"), "sizes")
-    left = index.join(sizes, on).withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("blocks"))).drop("blocks")
-    right = asked.join(sizes, on).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))).drop("blocks")
-    best = cut(_compare(left, right, [*on, "block"], k).distinct(), "best")  # read twice
-    found = _ranked(best, k)
-    enough = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-    short = cut(queries.join(enough, queries["id"] == enough["query_id"], "left_anti"), "short")
-    if short.isEmpty():
-        return found
-    rest = _ranked(_everything(entries, short, rows, k, block), k)
-    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
-
-
-def _everything(entries: DataFrame, queries: DataFrame, rows: int, k: int, block: int) -> DataFrame:
-    """As _compare, each query against all rows of its width."""
-    blocks = max(1, rows // block)
-    left = entries.withColumn("block", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(blocks)))
-    right = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return _compare(left, right, ["width", "block"], k)
-
-
-def _held(a, b, k: int) -> tuple[pa.Table, np.ndarray]:
-    """(query_id, vec_id, score) of the k nearest in entries a of each query of b, and which entry each one is."""
+    index = _by_bucket(cut(named(entries.select("ids", "width", "v"), tables, axes, 1), "index"), tables)
+    asked = _by_bucket(cut(named(queries, tables, axes, probes), "asked"), tables)
+    blocks = lambda df, name: df.groupBy(on).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = cut(blocks(index, "blocks").join(blocks(asked, "turns"), on), "sizes")  # buckets that nobody looks up are left out
+    # the k + 1 nearest of a query vector: one of them may be the row that asks
+    best = cut(_compare(_cut_up(index, sizes, F.element_at("ids", 1), "block", "turn"), _cut_up(asked, sizes, F.col("id"), "turn", "block"), [*on, "block", "turn"], k + 1).distinct(), "best")
+    enough = best.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > k).select(F.col("query_id").alias("id"))
+    short = cut(queries.join(enough, "id", "left_anti"), "short")
+    found, asking = best, short.count()
+    if asking:
+        whole = {"blocks": F.lit(max(1, rows // block)), "turns": F.lit(-(-asking // block))}
+        left, right = (_cut_up(side.withColumns(whole), None, F.col(name), *own) for side, name, own in ((entries.select("entry", "ids", "width", "v"), "entry", ("block", "turn")), (short, "id", ("turn", "block"))))
+        rest = _compare(left, right, ["width", "block", "turn"], k + 1)
+        found = best.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
+    near = _ranked(found, k + 1).groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))
+    near = near.join(entries.where("asks").select(F.col("entry").alias("query_id"), "h1", "h2"), "query_id").select("h1", "h2", "near")
+    answers = keys.where("is_query").join(near, ["h1", "h2"]).select(F.col("id").alias("query_id"), F.inline("near")).where("vec_id <> query_id")
+    return _ranked(answers, k)
+
+
+def _cut_up(side: DataFrame, sizes: DataFrame | None, key: F.Column, own: str, other: str) -> DataFrame:
+    """side in blocks of its own by hash of key, each row once for every block of the other side."""
+    joined = side if sizes is None else side.join(sizes, ["width", "table", "bucket"])
+    copies = F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))
+    return joined.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"{own}s")).cast("int")).withColumn(other, copies).drop("blocks", "turns")
+
+
+def _held(a, b, k: int, apart: bool = False) -> tuple[pa.Table, np.ndarray]:
+    """(query_id, vec_id, score) of the k nearest in entries a of each query of b, and which entry each one is; apart leaves out a query's own entry."""
     q_ids = v_ids = entry = np.zeros(0, np.int64)
     score = np.zeros(0)
     if a.num_rows and b.num_rows:
         points, asked = _matrix(a.column("v")), _matrix(b.column("v"))
         q, p = nearest(asked, points, k + 1)
+        if apart:
+            other = a.column("entry").to_numpy()[p] != b.column("id").to_numpy()[q]
+            q, p = q[other], p[other]
         d = distances(asked[q], points[p])
         ids = a.column("ids")
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
@@ -271,9 +287,8 @@ def _held(a, b, k: int) -> tuple[pa.Table, np.ndarray]:
         at = np.repeat(begin[p] - (np.cumsum(n[p]) - n[p]), n[p]) + np.arange(len(row))
         v_ids, q_ids, score, entry = ids.flatten().to_numpy()[at], b.column("id").to_numpy()[q][row], d[row], p[row]
         order = np.lexsort((v_ids, score, q_ids))
-        order = order[v_ids[order] != q_ids[order]]
-        named = q_ids[order]
-        new = np.flatnonzero(np.concatenate((named[:1] == named[:1], named[1:] != named[:-1])))
+        asks = q_ids[order]
+        new = np.flatnonzero(np.concatenate((asks[:1] == asks[:1], asks[1:] != asks[:-1])))
         order = order[np.arange(len(order)) - np.repeat(new, np.diff(np.append(new, len(order)))) < k]
         q_ids, v_ids, score, entry = q_ids[order], v_ids[order], score[order], entry[order]
     return pa.table({"query_id": pa.array(q_ids, pa.int64()), "vec_id": pa.array(v_ids, pa.int64()), "score": pa.array(score, pa.float64())}), entry

@@ -323,3 +323,17 @@ def test_neighbour_edges(spark):
     few = df.where("vec_id in (0, 1, 2)")
     assert len(ann.nearest_neighbours(few).collect()) == 2
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def test_queries_of_a_bucket_are_cut_and_merged(spark):
+    """Every row asks, many of one cluster and a third of them equal: with all buckets probed and small blocks the answer is exact."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (1 + 0.01 * rng.normal(size=8)).tolist()) for i in range(200)]
+    rows += [(200 + i, rows[7][1]) for i in range(100)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact(rows, is_query=lambda i: True)
+    got = {}
+    for r in ann.search(df, lambda i: i >= 0, tables=1, probes=16, block=16).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert {q: [(i, round(d, 9)) for _, i, d in found] for q, found in got.items()} == {q: [(i, round(d, 9)) for d, i in near] for q, near in want.items()}
+    assert all([rank for rank, _, _ in found] == list(range(1, 11)) for found in got.values())

@@ -12,7 +12,7 @@ two similar sets share is among those of both, so nothing is lost, while what ma
 licence, a menu) is hardly ever kept. Within a kept symbol every set is first held against one pivot,
 and links found so far join sets into components; then only pairs across components are compared, once
 for all symbols around a component and in blocks, by a second sketch with one bit a shingle, whose Hamming distance again bounds the difference
-from below. All that passes is verified on the sets. Equal sets count as one from the start.
+from below. What passes is verified on the sets in the same task, which sends on only links that join components. Equal sets count as one from the start.
 
 Links lie within components, so their numbers are then counted there: components of which not every pair
 is a verified link are cut into blocks, two blocks of member sets meet in one task, and only counts leave it.
@@ -34,8 +34,10 @@ from .shingles import U, mix, shingle_sets
 
 #: Symbols that a task gathers before it sorts and sends them, and that one group gets on average.
 GATHER, GROUP = 1 << 19, 1 << 20
-#: Sets held against each other at once in one task, and shingles of those that are counted.
+#: Sets held against each other at once in one task, and shingles of those.
 BLOCK, MEMBERS = 1024, 1 << 20
+#: Bits of a set's name; those that happen to share one are told apart by 64 further bits.
+NAME_BITS = 61
 
 
 class Bands:
@@ -75,12 +77,45 @@ class Bands:
         return (1.11 * self.own(last)).astype(np.int64) + 6
 
 
-def _sigs(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """62 bits for each set (0 for an empty one), two low bits free."""
-    total = np.concatenate(([U(0)], np.cumsum(mix(sets), dtype=U)))
-    end = np.cumsum(sizes)
-    sig = mix((total[end] - total[end - sizes]) + sizes.astype(U)) << U(2)
-    return np.where(sizes > 0, sig | U(4), U(0))
+class Names:
+    """A name for each set (0 for an empty one), two low bits free, and new names for sets that share a name with another.
+
+    Names come from one sum of hashes and are told apart by a second one, 125 bits together. taken is empty for all but
+    the largest tables: of 2 * 10^10 different sets some hundred pairs share a name.
+    """
+
+    def __init__(self, bits: int, taken: Iterator[tuple[int, int]] = ()):
+        self.mask = U(((1 << bits) - 1) << 3)
+        self.new = {(sig, second): self._renamed(second) for sig, second in taken}
+        self.old = np.array(sorted({sig for sig, _ in self.new}), np.int64)
+
+    @staticmethod
+    def _renamed(second: int) -> int:
+        return int(((mix(np.array([second], np.int64).view(U)) << U(3)) | U(4)).view(np.int64)[0])
+
+    @staticmethod
+    def _sum(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        total, end = np.concatenate(([U(0)], np.cumsum(hashes, dtype=U))), np.cumsum(sizes)
+        return mix((total[end] - total[end - sizes]) + sizes.astype(U))
+
+    def seconds(self, sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return self._sum(mix(sets ^ U(0x3C3C3C3C3C3C3C3C)), sizes).view(np.int64)
+
+    def of(self, sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        sig = np.where(sizes > 0, (self._sum(mix(sets), sizes) << U(3)) & self.mask | U(4), U(0))
+        if len(self.old):
+            twice = np.flatnonzero(np.isin(sig.view(np.int64), self.old))
+            second = self.seconds(sets, sizes)
+            for i in twice:
+                sig[i] = np.int64(self.new.get((int(sig.view(np.int64)[i]), int(second[i])), sig.view(np.int64)[i])).view(U)
+        return sig
+
+    def rows(self, rows: DataFrame) -> DataFrame:
+        """rows with the new names in place."""
+        if not self.new:
+            return rows
+        new = rows.sparkSession.createDataFrame([(*old, name) for old, name in self.new.items()], "sig long, second long, renamed long")
+        return rows.join(F.broadcast(new), ["sig", "second"], "left").withColumn("sig", F.coalesce("renamed", "sig")).drop("renamed")
 
 
 def _symbols(sets, sizes, band, k, salt) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +158,8 @@ def _texts(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 
 
-def shingle_classes(docs: DataFrame, bands: Bands, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, sig, filled0..2): one row a document, in one pass over the texts."""
+def shingle_classes(docs: DataFrame, bands: Bands, names: Names, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n_shingles, sig, second, filled0..2): one row a document, in one pass over the texts."""
 
     def run(batches):
         for batch in batches:
@@ -132,12 +167,13 @@ def shingle_classes(docs: DataFrame, bands: Bands, id_col: str, text_col: str) -
             for first, sets, sizes in shingle_sets(texts):
                 filled = next(iter(keys(sets, sizes, None, bands)))[3]
                 ids = batch.column("id").slice(first, len(sizes))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(_sigs(sets, sizes).view(np.int64)), *(pa.array(x) for x in filled)], names=["doc_id", "n_shingles", "sig", "filled0", "filled1", "filled2"])
+                sig = pa.array(names.of(sets, sizes).view(np.int64))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), sig, pa.array(names.seconds(sets, sizes)), *(pa.array(x) for x in filled)], names=["doc_id", "n_shingles", "sig", "second", "filled0", "filled1", "filled2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig long, filled0 long, filled1 long, filled2 long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, sig long, second long, filled0 long, filled1 long, filled2 long")
 
 
-def _packed_symbols(docs: DataFrame, bands: Bands, groups: int, text_col: str) -> DataFrame:
+def _packed_symbols(docs: DataFrame, bands: Bands, names: Names, groups: int, text_col: str) -> DataFrame:
     """(group, packed symbols with their owners): what the sets of a task hold, by range of the symbol."""
 
     def run(batches):
@@ -154,7 +190,7 @@ def _packed_symbols(docs: DataFrame, bands: Bands, groups: int, text_col: str) -
 
         for batch in batches:
             for _, sets, sizes in shingle_sets(_texts(batch, "text")):
-                sigs = _sigs(sets, sizes)
+                sigs = names.of(sets, sizes)
                 new = np.zeros(len(sizes), bool)
                 new[np.unique(sigs, return_index=True)[1]] = True  # copies within a run count once
                 sets, sizes = _select(sets, sizes, new & (sizes > 0))
@@ -212,7 +248,7 @@ def folded(sketches: list[bytes], size: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, names: Names, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(sig, n, set, sketch) of the wanted documents, from their texts."""
 
     def run(batches):
@@ -220,7 +256,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
             for _, sets, sizes in shingle_sets(_texts(batch, "text")):
                 end = np.cumsum(sizes)
                 parts = [sets[e - n : e] for e, n in zip(end, sizes) if n]
-                sig = _sigs(sets, sizes)
+                sig = names.of(sets, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(sig[sizes > 0].view(np.int64)), pa.array(sizes[sizes > 0]), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([bit_sketch(p) for p in parts], pa.binary())], names=["sig", "n", "members", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small(wanted), "id", "left_semi").select("text").mapInArrow(run, "sig long, n long, members binary, sketch binary")
@@ -254,25 +290,35 @@ def _linked(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def _across(bands: Bands):
-    """Compares two blocks of sets that share a symbol; only pairs across components."""
+    """Links between the components of two blocks of sets that share a symbol, as many as join them: a spanning forest.
+
+    Pairs across components are held against each other by sketches; those that pass are verified here, and no pair of
+    components once joined is looked at again.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
-        comp, sig, block = (table.column(c).to_numpy() for c in ("comp", "sig", "block"))
+        sig, block = (table.column(c).to_numpy() for c in ("sig", "block"))
+        comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)[1]
         sketches = [x.as_buffer() for x in table.column("sketch")]
         rows = folded(sketches, min(map(len, sketches)))
+        members = [np.frombuffer(x.as_buffer(), U) for x in table.column("members")]
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        a_out, b_out = [], []
+        found = []
         for i in left:
             other = right[(comp[right] != comp[i]) & ((sig[right] > sig[i]) | (lo != hi))]
             other = other[(np.minimum(n[other], n[i]) * bands.den >= bands.num * np.maximum(n[other], n[i]))]
-            if len(other):
-                ok = other[np.bitwise_count(rows[other] ^ rows[i]).sum(1) <= bands.most(n[other], n[i])]
-                a_out.append(np.minimum(sig[ok], sig[i]))
-                b_out.append(np.maximum(sig[ok], sig[i]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a_out or none)), "b": pa.array(np.concatenate(b_out or none))})
+            other = other[np.bitwise_count(rows[other] ^ rows[i]).sum(1) <= bands.most(n[other], n[i])]
+            while len(other):
+                j, other = other[0], other[1:]
+                shared = len(np.intersect1d(members[i], members[j], assume_unique=True))
+                if shared * bands.den >= bands.num * (n[i] + n[j] - shared):
+                    found.append((min(sig[i], sig[j]), max(sig[i], sig[j])))
+                    comp[comp == comp[j]] = comp[i]
+                    other = other[comp[other] != comp[i]]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
@@ -330,6 +376,13 @@ def _degrees(links: DataFrame, comps: DataFrame, sets: DataFrame, bands: Bands)
     return verified.where("whole").select("sig", "links").unionByName(counted.groupBy("sig").agg(F.sum("links").alias("links")))
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """(sig, first_id, n, filled0..2, second, last_second) of every set; the last two differ if two sets share a name."""
+    first = (F.first(c).alias(name) for c, name in (("n_shingles", "n"), *((f"filled{i}", f"filled{i}") for i in range(3))))
+    known = rows.where("doc_id is not null and n_shingles > 0").groupBy("sig")
+    return cut(known.agg(F.min("doc_id").alias("first_id"), *first, F.min("second").alias("second"), F.max("second").alias("last_second")), "classes")
+
+
 def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, links) for every row of docs: exact connected components.
 
@@ -341,13 +394,19 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     text. An empty table gives an empty one; other columns of docs are left out, whatever their names.
     """
     bands, docs = Bands(similarity), docs.withColumn(text_col, readable(text_col))
-    rows = cut(shingle_classes(docs, bands, id_col, text_col), "rows")
-    known = rows.where("doc_id is not null and n_shingles > 0")
-    classes = cut(known.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), *(F.first(f"filled{i}").alias(f"filled{i}") for i in range(3))), "classes")
+    names = Names(NAME_BITS)
+    rows = cut(shingle_classes(docs, bands, names, id_col, text_col), "rows")
+    classes = _classes(rows)
+    if not (shared_names := classes.where("second <> last_second")).isEmpty():
+        kept = shared_names.select("sig", F.col("second").alias("kept"))
+        taken = rows.join(F.broadcast(kept), "sig").where("doc_id is not null and second <> kept").select("sig", "second").distinct()
+        names = Names(NAME_BITS, map(tuple, taken.collect()))  # see Names for how many there can be
+        rows = cut(names.rows(rows), "rows")
+        classes = _classes(rows)
     symbols = classes.agg(F.sum(F.col("filled0") + F.col("filled1") + F.col("filled2"))).first()[0] or 0
     groups = max(8, symbols // GROUP)
 
-    shared = _packed_symbols(docs.where(F.col(id_col).isNotNull()), bands, groups, text_col).groupBy("group").applyInArrow(_shared, "key long, sig long, kind int, df long")
+    shared = _packed_symbols(docs.where(F.col(id_col).isNotNull()), bands, names, groups, text_col).groupBy("group").applyInArrow(_shared, "key long, sig long, kind int, df long")
     below = F.lit(0)
     for j in range(1, len(bands.edges) - 1):
         below = F.when(F.col("n") >= int(bands.edges[j]), F.lit(int(bands.edges[j]) - 1)).otherwise(below)
@@ -357,7 +416,7 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     filled = F.when(F.col("kind") == 0, F.col("filled0")).when(F.col("kind") == 1, F.col("filled1")).otherwise(F.col("filled2"))
     per = W.partitionBy("sig", "kind")
     kept = (
-        shared.join(classes.drop("first_id"), "sig")
+        shared.join(classes.drop("first_id", "second", "last_second"), "sig")
         .withColumn("alone", filled - F.count("*").over(per))  # symbols that no other set holds are its rarest
         .withColumn("at", F.row_number().over(per.orderBy("df", "key")))
         .where(F.col("at") <= most + 1 - F.col("alone"))
@@ -370,7 +429,7 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     fits = F.least("n", "pivot.n") * bands.den >= bands.num * F.greatest("n", "pivot.n")
     stars = met.where((F.col("sig") != F.col("pivot.sig")) & fits).select(F.col("pivot.sig").alias("a"), F.col("sig").alias("b")).distinct()
     wanted = met.select("sig").distinct().join(classes.select("sig", F.col("first_id").alias("id")), "sig").select("id")
-    sets = cut(_sets(docs, cut(wanted, "wanted"), id_col, text_col), "sets")
+    sets = cut(_sets(docs, names, cut(wanted, "wanted"), id_col, text_col), "sets")
     links = _linked(stars, sets, bands)
     comps = cut(components(links), "comps")
 
@@ -380,9 +439,8 @@ def ngram_jaccard_join(docs: DataFrame, similarity: float = 0.75, id_col: str =
     # but is compared once
     open_keys = left.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key", "c0")
     clusters = cut(left.join(open_keys, "key").select("c0", "sig", "n", "comp").distinct(), "clusters")
-    blocks = _blocks(clusters, "c0", F.ceil(F.count("*") / BLOCK))
-    more = blocks.join(sets.select("sig", "sketch"), "sig").groupBy("c0", "lo", "hi").applyInArrow(_across(bands), "a long, b long").distinct()
-    more = _linked(more, sets, bands)
+    blocks = _blocks(clusters, "c0", F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / MEMBERS)))
+    more = blocks.join(sets.select("sig", "sketch", "members"), "sig").groupBy("c0", "lo", "hi").applyInArrow(_across(bands), "a long, b long")
     links = cut(links.unionByName(more).distinct(), "all_links")
     comps = cut(components(links), "all_comps")
     degree = _degrees(links, comps, sets, bands)

@@ -143,3 +143,31 @@ def test_clashing_columns(spark):
 def test_bounds(spark, bad):
     with pytest.raises(ValueError):
         ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string"), bad)
+
+
+def test_sets_that_share_a_name_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "NAME_BITS", 5)
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(500)]
+    rows = []
+    for _ in range(40):
+        base = rng.choices(vocab, k=60)
+        for _ in range(3):
+            text = list(base)
+            text[rng.randrange(60)] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(text)))
+    rows += [(200, rows[3][1]), (None, rows[4][1]), (None, "in no other row"), (201, "")]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_components_of_a_family_are_joined_by_a_forest():
+    """Sets in a chain that all share one symbol: the links between them are as many as join them, whatever the pairs."""
+    import pyarrow as pa
+
+    base = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.sort(base[10 * i : 10 * i + 200]) for i in range(12)]
+    rows = pa.table({"sig": pa.array(range(12), pa.int64()), "n": [200] * 12, "comp": pa.array(range(12), pa.int64()), "block": [0] * 12, "lo": [0] * 12, "hi": [0] * 12})
+    rows = rows.append_column("members", pa.array([s.tobytes() for s in sets])).append_column("sketch", pa.array([ngram_join.bit_sketch(s) for s in sets]))
+    out = ngram_join._across(ngram_join.Bands())(rows)
+    assert out.num_rows == 11
+    assert all(abs(a - b) <= 2 for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist()))

@@ -1,18 +1,24 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
-Document counts of all terms and the mean length are taken over all documents in one pass. Documents lie
-in the order of their heaviest term that a window's worth of documents has, and within it of the second
-one; this order is cut into shards of bounded size, so documents on one topic meet whatever the number of
-shards. Only documents of one pair of terms that alone exceed a shard are dealt by hash, equal rows too. A shard
-has an inverted index of its own, weighted by the whole corpus: all terms of a seed look up postings; unused
-neighbours follow in order of score until the window is full. The last one is cut there and what is left of
-it is the next seed. Equal texts are one entry of the index and are dealt to different windows while there is
-anything else; two copies of one document (same id and text) never share a window. So only a shard's last window,
-and one that just copies of what it holds are left for, has padding, up to the next power of two.
+Document counts of all terms and the mean length are taken over all documents in one pass. Different texts are
+the entries of an inverted index in shards by hash, each with postings by term and weights of the whole corpus.
+As many entries as there are windows, chosen by hash, are seeds; every seed asks every shard, and the lists of
+the shards are merged to its nearest entries in the corpus. An entry on several lists goes to the seed that has it
+first; entries on none are asked again among themselves, and what no list holds then is a seed by itself.
+A shard finds a seed's candidates by its rarer terms and ranks them by all of them (see Index), so lists are
+nearly those of brute force: tests ask for nine tenths of the true ten nearest, whatever the shards' size.
+
+Seeds lie in the order of their heaviest term that a window's worth of documents has, and within it of the second
+one; this order, each seed with its documents by rank, is cut into stretches of bounded size, which are packed
+each by one task: a seed, its unused neighbours, the next seed, cut where a window is full. A seed whose documents
+(copies) exceed a stretch has them dealt by hash over several. Equal texts are dealt to different windows
+while there is anything else; two copies of one document (same id and text) never share a window. So only a stretch's
+last window, and one that just copies of what it holds are left for, has padding, up to the next power of two.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
@@ -28,10 +34,13 @@ from .common import cut, readable, small
 from .tokens import tokenizer
 
 WINDOW, END_ID = 4096, 2
-#: Bytes of text in a shard on average, and documents at most; BM25's constants.
+#: Bytes of text in a stretch on average, and documents at most; BM25's constants.
 SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
-#: Ids whose terms are counted at once; terms that one in COMMON texts of a shard has are kept as whole rows.
-RUN, COMMON = 1 << 20, 8
+#: Ids whose terms are counted at once; terms that one in COMMON texts of a shard has are kept as whole rows; ids in a shard of the index.
+RUN, COMMON, INDEX = 1 << 20, 8, 16 << 20
+#: Terms that at most this share of the documents has find candidates, of which a shard ranks so many; rounds of seeds, and
+#: windows' worth of neighbours a seed asks for.
+RARE, CANDIDATES, ROUNDS, LISTED = 0.2, 100, 2, 4
 #: Stretches of the vocabulary whose counts are added up apart, each in so many groups of tasks first.
 PARTS, SALTS = 32, 64
 
@@ -82,41 +91,65 @@ class Corpus:
         return out
 
 
-class ShardIndex:
-    """BM25 over the token ids of a shard's texts (without their end ids): postings by term, rows for terms that many have."""
+class Index:
+    """BM25 over the token ids of a shard's texts: postings by term, rows for terms that many have, terms by text."""
 
-    def __init__(self, docs: list[np.ndarray], corpus: Corpus):
-        n = self.n = len(docs)
-        counts = np.array([len(d) - 1 for d in docs], np.int64)
-        runs = [(first + owner, term, tf) for first, _, owner, term, tf in terms(np.concatenate([d[:-1] for d in docs]), counts)]
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, corpus: Corpus):
+        n = self.n = len(counts)
+        self.corpus = corpus
+        runs = [(first + owner, term, tf) for first, _, owner, term, tf in terms(ids, counts)]
         owner, term, tf = (np.concatenate(x) for x in zip(*runs))
-        df = np.bincount(term)
-        weight = corpus.weights(term, tf.astype(np.float64), counts[owner])
-        self.terms, self.first = term, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
+        df = np.bincount(term, minlength=len(corpus.df))
+        self.terms, self.weight = term, corpus.weights(term, tf.astype(np.float64), counts[owner])
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
         order = np.argsort(term, kind="stable")
-        self.postings, self.posted = owner[order], weight[order]
+        self.postings, self.posted = owner[order], self.weight[order]
         self.begin = np.concatenate(([0], np.cumsum(df)))
         common = np.flatnonzero(df * COMMON > n)  # at most COMMON times as many cells as postings
         self.row = np.full(len(df), -1)
         self.row[common] = np.arange(len(common))
         self.rows = np.zeros((len(common), n))
         inside = self.row[term] >= 0
-        self.rows[self.row[term[inside]], owner[inside]] = weight[inside]
+        self.rows[self.row[term[inside]], owner[inside]] = self.weight[inside]
+        self.asked = np.zeros(len(df))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused texts that share a term with the seed, by BM25 over all its distinct terms, best first, ties in order."""
-        own = self.terms[self.first[seed] : self.first[seed + 1]]
+    def _scores(self, own: np.ndarray) -> np.ndarray:
         row = self.row[own]
         at = [slice(self.begin[t], self.begin[t + 1]) for t in own[row < 0]]
         score = self.rows[row[row >= 0]].sum(0)
         if at:
             score += np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
-
-
-def _windows(docs: list[np.ndarray], names: list, window: int, corpus: Corpus):
-    """(document, start, length, sequence, offset, seed) of every piece; see the top for what fills a window."""
+        return score
+
+    def nearest(self, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, scores) of the k best by BM25 over all of own, distinct terms, best first, ties in order.
+
+        They are taken from the CANDIDATES best by the terms that at most RARE of the corpus has, or by all terms
+        where those find less than k texts.
+        """
+        rare = own[self.corpus.df[own] <= RARE * self.corpus.n]
+        score = self._scores(rare)
+        found = np.flatnonzero(score)
+        if len(found) < k and len(rare) < len(own):
+            score = self._scores(own)
+            found = np.flatnonzero(score)
+        most = max(CANDIDATES, k)
+        if len(found) > most:
+            found = np.sort(found[np.argpartition(-score[found], most)[:most]])
+        if not len(found):
+            return found, score[found]
+        size = self.first[found + 1] - self.first[found]
+        begin = np.cumsum(size) - size
+        at = np.repeat(self.first[found] - begin, size) + np.arange(size.sum())
+        self.asked[own] = 1
+        exact = np.add.reduceat(self.weight[at] * self.asked[self.terms[at]], begin)
+        self.asked[own] = 0
+        best = np.argsort(-exact, kind="stable")[:k]
+        return found[best], exact[best]
+
+
+def _windows(docs: list[np.ndarray], names: list, window: int):
+    """(document, start, length, sequence, offset) of every piece; documents are in the order that windows are filled in."""
     known: dict[bytes, int] = {}
     of = [known.setdefault(d.tobytes(), len(known)) for d in docs]
     times: Counter = Counter()
@@ -127,42 +160,37 @@ def _windows(docs: list[np.ndarray], names: list, window: int, corpus: Corpus):
     waiting: list[list[int]] = [[] for _ in known]
     for i in sorted(range(len(docs)), key=lambda i: (turns[i], i), reverse=True):
         waiting[of[i]].append(i)
-    index = ShardIndex([docs[w[-1]] for w in waiting], corpus)
     left = OrderedDict.fromkeys(range(len(waiting)))
-    unused = np.ones(len(waiting), bool)
     held: dict[int, set] = {}
-    queue: list[int] = []
     sequence = offset = 0
-    seed, out = -1, []
-    while left:
-        text = -1
-        while queue and text < 0:
-            text = queue.pop()
-            text = text if unused[text] and text not in held else -1
-        if text < 0:
-            text = next((t for t in left if t not in held), -1)
-            if text < 0:  # copies of what the window holds are all that is left
-                text = next(iter(left))
-                if names[waiting[text][-1]] is not None and names[waiting[text][-1]] in held[text]:
-                    sequence, offset, queue, held = sequence + 1, 0, [], {}
-                    continue
-            seed = waiting[text][-1]
+    out = []
+
+    def place(text: int) -> None:
+        nonlocal sequence, offset, held
         doc = waiting[text].pop()
         if not waiting[text]:
             del left[text]
-            unused[text] = False
         held.setdefault(text, set()).add(names[doc])
         start, size = 0, len(docs[doc])
         while start < size:
             take = min(size - start, window - offset)
-            out.append((doc, start, take, sequence, offset, seed))
+            out.append((doc, start, take, sequence, offset))
             start, offset = start + take, offset + take
             if offset == window:
-                sequence, offset, queue, seed = sequence + 1, 0, [], doc
+                sequence, offset = sequence + 1, 0
                 held = {text: {names[doc]}} if start < size else {}
-        if offset and not queue:  # what has begun this window, or its last neighbour, is the seed of the rest
-            seed = doc
-            queue = index.neighbours(text, unused)[::-1].tolist()
+
+    while left:
+        before = len(out)
+        for text in list(left):  # one copy of each text that the window doesn't hold
+            if text not in held:
+                place(text)
+        if len(out) == before:  # copies of what the window holds are all that is left
+            text = next(iter(left))
+            if names[waiting[text][-1]] is not None and names[waiting[text][-1]] in held[text]:
+                sequence, offset, held = sequence + 1, 0, {}
+            else:
+                place(text)
     return out
 
 
@@ -216,52 +244,127 @@ def _corpus(encoded: DataFrame) -> Corpus:
     return Corpus(np.concatenate([np.frombuffer(r.df, np.int64) for r in rows]), rows[0].n, rows[0].tokens) if rows else Corpus(np.zeros(1, np.int64), 0, 0)
 
 
-def _sharded(encoded: DataFrame, corpus: Corpus, window: int, shard_bytes: int, dtype) -> DataFrame:
-    """(id, salt, ids, shard): cut where the sizes of the documents before, by their terms, fill a shard.
+def _entries(rows: DataFrame, corpus: Corpus, window: int, dtype) -> DataFrame:
+    """(c, ids, id, size, times, t1, t2) of each different text: its hash, smallest id, bytes and number of all its rows, heaviest terms.
 
-    The two terms are found twice, once for sizes and once to send documents on: cheaper than another copy of all ids.
+    Texts of one hash of 64 bits would be one entry: they would be packed next to each other, and nothing else.
     """
 
-    def places(batch) -> np.ndarray:
-        column = batch.column("ids")
-        counts = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(dtype).itemsize
-        return corpus.places(np.frombuffer(b"".join(column.to_pylist()), dtype), counts, window)
-
-    def sizes(batches):
+    def places(batches):
         for batch in batches:
-            at = places(batch)
-            pair, where = np.unique((at[:, 0] + 1) << 32 | at[:, 1] + 1, return_inverse=True)
-            size = np.zeros(len(pair), np.int64)
-            np.add.at(size, where, batch.column("size").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array((pair >> 32) - 1), pa.array((pair & 0xFFFFFFFF) - 1), pa.array(size)], names=["t1", "t2", "pair"])
+            at = corpus.places(*_unpacked(batch.column("ids"), dtype), window)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=[*batch.schema.names, "t1", "t2"])
+
+    each = rows.groupBy("c").agg(F.first("ids").alias("ids"), F.min("id").alias("id"), F.sum("size").alias("size"), F.count("*").alias("times"))
+    return cut(each.mapInArrow(places, "c long, ids binary, id long, size long, times long, t1 long, t2 long"), "entries")
+
 
-    def placed(batches):
+def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    counts = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(dtype).itemsize
+    return np.frombuffer(b"".join(column.to_pylist()), dtype), counts
+
+
+def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, index_tokens: int = INDEX) -> DataFrame:
+    """(seed, c, score, rank): the k nearest entries of every seed, both (c, ids), over all shards of the index; see Index.nearest.
+
+    A task holds one shard's index; the seeds stream past it. What is shuffled are the entries once and the seeds' terms
+    once a shard.
+    """
+    shards = max(1, math.ceil(corpus.n * corpus.mean / index_tokens))
+
+    def distinct(batches):
         for batch in batches:
-            at = places(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=["id", "salt", "ids", "t1", "t2"])
+            own = [np.unique(np.frombuffer(x.as_buffer(), dtype)).tobytes() for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own, pa.binary())], names=["c", "ids"])
 
-    rows = encoded.where("n is null")
-    pairs = rows.select("size", "ids").mapInArrow(sizes, "t1 long, t2 long, pair long")
-    pairs = cut(pairs.groupBy("t1", "t2").agg(F.sum("pair").alias("pair")), "pairs")
+    def look_up(batches):
+        shard, index, keys, parts = None, None, [], []
+        for batch in batches:
+            place, kind = (batch.column(x).to_numpy() for x in ("shard", "kind"))
+            edges = np.flatnonzero(np.diff(place * 2 + kind)) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(place)]):
+                if place[lo] != shard:
+                    shard, index, keys, parts = place[lo], None, [], []
+                c, ids = batch.column("c").to_numpy()[lo:hi], batch.column("ids").slice(lo, hi - lo)
+                if kind[lo] == 0:
+                    keys.append(c)
+                    parts.append(_unpacked(ids, dtype))
+                    continue
+                if not parts:
+                    continue
+                if index is None:
+                    of = np.concatenate(keys)
+                    index = Index(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), corpus)
+                found = [index.nearest(np.frombuffer(x.as_buffer(), dtype), k + 1) for x in ids]
+                seed = np.repeat(c, [len(f) for f, _ in found])
+                near, score = of[np.concatenate([f for f, _ in found])], np.concatenate([x for _, x in found])
+                other = near != seed
+                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (seed, near, score)], names=["seed", "c", "score"])
+
+    docs = entries.where(F.length("ids") > 0).select(F.pmod("c", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "c", "ids")
+    asked = seeds.where(F.length("ids") > 0).select("c", "ids").mapInArrow(distinct, "c long, ids binary")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "c", "ids")
+    both = docs.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "c")
+    lists = both.mapInArrow(look_up, "seed long, c long, score double")
+    return lists.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "c"))).where(F.col("rank") <= k)
+
+
+def _claims(entries: DataFrame, corpus: Corpus, window: int, dtype, index_tokens: int) -> DataFrame:
+    """(c, seed, rank): the seed that each entry is packed with; see the top."""
+    full = corpus.mean + 1
+    k, share = max(10, math.ceil(LISTED * window / full)), min(1.0, corpus.n * full / window / max(entries.count(), 1))
+    left, claimed = entries.select("c", "ids"), []
+    for turn in range(ROUNDS):
+        is_seed = F.pmod(F.xxhash64(F.lit(turn), F.col("c")), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
+        seeds = left.where(is_seed)
+        lists = neighbours(left, seeds, corpus, k, dtype, index_tokens).where(~is_seed)
+        taken = lists.groupBy("c").agg(F.min(F.struct("rank", "seed")).alias("best")).select("c", "best.seed", "best.rank")
+        claimed.append(cut(taken.unionByName(seeds.select("c", F.col("c").alias("seed"), F.lit(0).alias("rank"))), "claims"))
+        left = left.join(claimed[-1], "c", "left_anti")
+        left = cut(left, "left") if turn + 1 < ROUNDS else left
+    alone = left.select("c", F.col("c").alias("seed"), F.lit(0).alias("rank"))
+    for x in claimed:
+        alone = alone.unionByName(x)
+    return alone
+
+
+def _placed(entries: DataFrame, claims: DataFrame, shard_bytes: int) -> DataFrame:
+    """(c, seed, rank, seed_id, times, at, spread): where each entry lies in the order of seeds, in bytes, and how far its copies are dealt."""
+    heads = entries.select(F.col("c").alias("seed"), F.col("id").alias("seed_id"), "t1", "t2")
+    rows = cut(claims.join(entries.select("c", "size", "times"), "c").join(heads, "seed"), "seeded")
+    pairs = cut(rows.groupBy("t1", "t2").agg(F.sum("size").alias("pair")), "pairs")
     # one row a term of the vocabulary
     tops = sorted(map(tuple, pairs.groupBy("t1").agg(F.sum("pair")).collect()))
     starts = np.cumsum([0, *(x[1] for x in tops)]).tolist()
-    tops = F.broadcast(encoded.sparkSession.createDataFrame([(t, x, n) for (t, n), x in zip(tops, starts)], "t1 long, start long, whole long"))
+    tops = F.broadcast(entries.sparkSession.createDataFrame([(t, x, n) for (t, n), x in zip(tops, starts)], "t1 long, start long, whole long"))
     order = W.partitionBy("t1").orderBy("t2").rowsBetween(W.unboundedPreceding, -1)
     hot = cut(pairs.join(tops.where(F.col("whole") > shard_bytes), "t1").select("t1", "t2", "pair", F.coalesce(F.sum("pair").over(order), F.lit(0)).alias("before")), "hot")
+    # not more than a seed for each shard_bytes of the input
+    big = cut(rows.groupBy("seed").agg(F.sum("size").alias("group")).where(F.col("group") > shard_bytes), "big")
     lo, size = F.col("start") + F.coalesce("before", F.lit(0)), F.coalesce("pair", "whole")
-    share = F.when(size > shard_bytes, F.pmod("salt", F.lit(1 << 20)) / F.lit(1 << 20)).otherwise(0.5)
-    sent = rows.select("id", "salt", "ids").mapInArrow(placed, "id long, salt long, ids binary, t1 long, t2 long")
-    return sent.join(tops, "t1").join(small(hot), ["t1", "t2"], "left").select("id", "salt", "ids", F.floor((lo + share * size) / shard_bytes).alias("shard"))
+    inside = F.pmod(F.xxhash64("seed"), F.lit(1 << 20)) / F.lit(1 << 20)  # seeds of one pair of terms stay whole
+    dealt = F.col("group").isNotNull()
+    at = lo + size * F.when(dealt, 0.0).when(size > shard_bytes, inside).otherwise(0.5)
+    out = rows.join(tops, "t1").join(small(hot), ["t1", "t2"], "left").join(small(big), "seed", "left")
+    return cut(out.select("c", "seed", "rank", "seed_id", "times", at.alias("at"), F.when(dealt, size).otherwise(0).alias("spread")), "placed")
+
+
+def _sharded(rows: DataFrame, placed: DataFrame, n: int, shard_bytes: int) -> DataFrame:
+    """(id, salt, ids, seed, rank, seed_id, at, shard) of every row. Texts of which there are many copies, a thousand at most, are joined by broadcast."""
+    hot = F.col("times") * 1000 > max(n, 1_000_000)
+    few = F.broadcast(placed.where(hot))
+    joined = rows.join(few, "c").unionByName(rows.join(few.select("c"), "c", "left_anti").join(placed.where(~hot), "c"))
+    share = F.pmod("salt", F.lit(1 << 20)) / F.lit(1 << 20)
+    return joined.select("id", "salt", "ids", "seed", "rank", "seed_id", "at", F.floor((F.col("at") + F.col("spread") * share) / shard_bytes).alias("shard"))
 
 
-def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD, index_tokens: int = INDEX) -> DataFrame:
     """One row for each piece of a document; see PIECES.
 
     Every row of docs is packed, repeated rows each for themselves and never two in one window, a null text as
     the end id alone; bytes that aren't UTF-8 are read as replacement characters; a null id stays null, and rows with one may meet. Each id lies in exactly one piece, and a
-    sequence's offsets have no gaps. sequence_id holds the shard in its upper half. A text longer than a shard is a
-    shard of its own, so a task needs some ten times the size of the longest text. An empty table gives an empty
+    sequence's offsets have no gaps. sequence_id holds the stretch in its upper half. A text longer than a stretch is a
+    stretch of its own, so a task needs some ten times the size of the longest text. An empty table gives an empty
     one; other columns of docs are left out, whatever their names.
     """
     id_, text = F.col(id_col).cast("long"), readable(text_col)
@@ -269,18 +372,21 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     salt = F.xxhash64(F.lit(5), id_, text, F.monotonically_increasing_id())  # the place tells equal rows apart
     encoded = _encoded(docs.select(id_.alias("id"), salt.alias("salt"), (F.coalesce(F.octet_length(text), F.lit(0)) + each).cast("long").alias("size"), text.alias("text")), path)
     corpus = _corpus(encoded)
+    dtype = tokenizer(path).dtype
+    rows = encoded.where("n is null").select("id", "salt", "size", "ids", F.xxhash64("ids").alias("c"))
+    entries = _entries(rows, corpus, window, dtype)
+    placed = _placed(entries, _claims(entries, corpus, window, dtype, index_tokens), shard_bytes)
 
     def fill(table: pa.Table) -> pa.Table:
-        dtype = tokenizer(path).dtype
-        table = table.sort_by([("id", "ascending"), ("salt", "ascending")])
+        table = table.sort_by([(x, "ascending") for x in ("at", "seed", "rank", "id", "salt")])
         docs = [np.append(np.frombuffer(x.as_buffer(), dtype), dtype(end_id)) for x in table.column("ids")]
-        pieces = _windows(docs, table.column("id").to_pylist(), window, corpus)
-        doc, start, length, sequence, offset, seed = (np.array(x, np.int64) for x in zip(*pieces))
+        pieces = _windows(docs, table.column("id").to_pylist(), window)
+        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces))
         base = table.column("shard")[0].as_py() << 32
         crc = [zlib.crc32(docs[d][s : s + n].astype("<u4").tobytes()) for d, s, n in zip(doc, start, length)]
         tokens = np.bincount(sequence, length).astype(np.int64)[sequence]
-        ids = table.column("id").combine_chunks()
+        ids, seeds = (table.column(x).combine_chunks().take(pa.array(doc)) for x in ("id", "seed_id"))
         padded = np.where(tokens == window, window, 1 << np.ceil(np.log2(np.maximum(tokens, 1))).astype(np.int64))
-        return pa.table([ids.take(pa.array(doc)), start, length, crc, [len(docs[d]) for d in doc], base + sequence, offset, tokens, np.minimum(padded, window), ids.take(pa.array(seed))], names=[x.split()[0] for x in PIECES.split(", ")])
+        return pa.table([ids, start, length, crc, [len(docs[d]) for d in doc], base + sequence, offset, tokens, np.minimum(padded, window), seeds], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return _sharded(encoded, corpus, window, shard_bytes, tokenizer(path).dtype).groupBy("shard").applyInArrow(fill, PIECES)
+    return _sharded(rows, placed, corpus.n, shard_bytes).groupBy("shard").applyInArrow(fill, PIECES)

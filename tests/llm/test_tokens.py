@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from lodestrata.llm import tokens
-from lodestrata.llm.packing import B, K1, Corpus, ShardIndex, _windows, pack
+from lodestrata.llm.packing import B, INDEX, K1, Corpus, Index, _corpus, _encoded, _entries, _windows, neighbours, pack
 from lodestrata.llm.token_counts import quantile_length, token_counts, truncated_total
 from lodestrata.llm.tokens import tokenizer, vocabulary_path
 
@@ -91,66 +91,80 @@ def test_neighbours_by_all_terms():
     sets = [set(d[:-1].tolist()) for d in docs]
     df = np.bincount(np.concatenate([list(x) for x in sets]), minlength=400)
     mean = sum(len(d) - 1 for d in docs) / 60
-    index = ShardIndex(docs, Corpus(df, 60, sum(len(d) - 1 for d in docs)))
+    counts = np.array([len(d) - 1 for d in docs])
+    index = Index(np.concatenate([d[:-1] for d in docs]), counts, Corpus(df, 60, counts.sum()))
     for seed in range(5):
-        unused = np.arange(60) != seed
         score = np.zeros(60)
         for j in range(60):
             for t in sets[seed] & sets[j]:
                 tf = (docs[j] == t).sum()
                 score[j] += np.log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(docs[j]) - 1) / mean))
-        want = sorted(np.flatnonzero((score > 0) & unused), key=lambda j: -score[j])
-        assert index.neighbours(seed, unused).tolist() == want
-
-
-def plain_windows(docs, names, window, df, n, mean):
-    """The windows of one shard in plain Python: BM25 by dictionaries, greedy choice by a scan."""
-    counts = [Counter(d[:-1].tolist()) for d in docs]
-    idf = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in set().union(*counts)}
+        want = sorted(np.flatnonzero(score), key=lambda j: -score[j])
+        found, got = index.nearest(np.array(sorted(sets[seed])), 60)
+        assert found.tolist() == want and np.allclose(got, score[want])
+        assert index.nearest(np.array(sorted(sets[seed])), 7)[0].tolist() == want[:7]
+    assert len(index.nearest(np.array([1]), 5)[0]) == 0
+
+
+@pytest.mark.parametrize("index_tokens", [INDEX, 400_000])
+def test_recall_over_shards(spark, index_tokens):
+    """Of the true ten nearest by all terms of all documents, nine tenths are on the lists, however many shards are asked."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    dtype = tokenizer().dtype
+    encoded = _encoded(docs.selectExpr("doc_id id", "doc_id salt", "1L size", "text"), None)
+    corpus = _corpus(encoded)
+    entries = _entries(encoded.where("n is null").selectExpr("id", "salt", "size", "ids", "xxhash64(ids) c"), corpus, 4096, dtype)
+    rows = sorted((r.c, bytes(r.ids)) for r in entries.select("c", "ids").collect())
+    texts = [np.frombuffer(x, dtype).astype(np.int64) for _, x in rows]
+    of = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    pair, tf = np.unique(of << 32 | np.concatenate(texts), return_counts=True)
+    of, term = pair >> 32, pair & 0xFFFFFFFF
+    size = np.array([len(x) for x in texts])
+    weight = np.log(1 + (corpus.n - corpus.df[term] + 0.5) / (corpus.df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[of] / corpus.mean))
+    seeds = [i for i in range(0, len(texts), len(texts) // 100) if len(texts[i])]
+    asked = entries.where(entries.c.isin([rows[i][0] for i in seeds]))
+    got: dict = {}
+    for r in neighbours(entries, asked, corpus, 10, dtype, index_tokens).collect():
+        got.setdefault(r.seed, {})[r.rank] = r.c
+    hits = 0
+    for i in seeds:
+        own = np.zeros(len(corpus.df))
+        own[texts[i]] = 1
+        score = np.bincount(of, weight * own[term], len(texts))
+        score[i] = -1
+        assert sorted(got[rows[i][0]]) == list(range(1, 11))
+        hits += len({rows[j][0] for j in np.argsort(-score)[:10]} & set(got[rows[i][0]].values()))
+    assert hits >= 0.9 * 10 * len(seeds), hits / len(seeds)
+
+
+def plain_windows(docs, names, window):
+    """The windows of one stretch in plain Python: passes over the texts in order, one copy of each that the window doesn't hold."""
     texts = [d.tobytes() for d in docs]
     turn = [sum((texts[j], names[j]) == (texts[i], names[i]) for j in range(i)) for i in range(len(docs))]
-    order = sorted(range(len(docs)), key=lambda i: (turn[i], i))
-    first = {}
-    for i in range(len(docs)):
-        first.setdefault(texts[i], len(first))
-
-    def score(a, b):
-        size = sum(counts[b].values())
-        return sum(idf[t] * counts[b][t] * (K1 + 1) / (counts[b][t] + K1 * (1 - B + B * size / mean)) for t in counts[a] if t in counts[b])
-
-    out, used, queue, held, at, sequence, offset = [], set(), [], [], None, 0, 0
-    while len(used) < len(docs):
-        open_ = [i for i in order if i not in used]
-        fresh = [i for i in open_ if texts[i] not in {texts[h] for h in held}]
-        doc = None
-        while queue and doc is None:
-            t = queue.pop(0)
-            doc = next((i for i in fresh if texts[i] == t), None)
-        if doc is None:
-            doc = min(fresh, key=lambda i: first[texts[i]], default=None)
-            doc = None if doc is None else next(i for i in fresh if texts[i] == texts[doc])
-            if doc is None:
-                t = min((first[texts[i]], texts[i]) for i in open_)[1]
-                doc = next(i for i in open_ if texts[i] == t)
-                if names[doc] is not None and any((names[h], texts[h]) == (names[doc], texts[doc]) for h in held):
-                    sequence, offset, queue, held = sequence + 1, 0, [], []
-                    continue
-            at = doc
-        used.add(doc)
-        held.append(doc)
-        start = 0
-        while start < len(docs[doc]):
-            take = min(len(docs[doc]) - start, window - offset)
-            out.append((doc, start, take, sequence, offset, at))
-            start, offset = start + take, offset + take
-            if offset == window:
-                sequence, offset, queue, at = sequence + 1, 0, [], doc
-                held = [doc] if start < len(docs[doc]) else []
-        if offset and not queue:
-            at = doc
-            left = {texts[i]: i for i in reversed(order) if i not in used}
-            scored = sorted(((-score(doc, i), first[t], t) for t, i in left.items() if score(doc, i) > 0))
-            queue = [t for _, _, t in scored]
+    waiting = {t: sorted((i for i in range(len(docs)) if texts[i] == t), key=lambda i: (turn[i], i)) for t in texts}
+    out, held, at = [], [], 0  # at: tokens laid out, padding included
+    while any(waiting.values()):
+        ready = [t for t in waiting if waiting[t]]
+        some = False
+        for t in ready + ready[:1]:
+            last = t is ready[0] and some is None
+            if not last and t in {texts[h] for h in held}:
+                some = None if t is ready[-1] and not some else some
+                continue
+            if last and names[waiting[t][0]] is not None and any((texts[h], names[h]) == (t, names[waiting[t][0]]) for h in held):
+                at, held = -(-at // window) * window, []
+                continue
+            if t is ready[0] and some:
+                continue
+            doc = waiting[t].pop(0)
+            some, start = True, 0
+            held.append(doc)
+            while start < len(docs[doc]):
+                take = min(len(docs[doc]) - start, window - at % window)
+                out.append((doc, start, take, at // window, at % window))
+                start, at = start + take, at + take
+                if at % window == 0:
+                    held = [doc] if start < len(docs[doc]) else []
     return out
 
 
@@ -162,11 +176,7 @@ def test_windows_by_plain_python(copies):
     if copies:
         again = rng.integers(0, 30, 40)
         docs, names = docs[:30] + [docs[i] for i in again], list(range(30)) + [int(i) if i % 3 else None if i % 2 else 100 + int(i) for i in again]
-    ids = np.concatenate([np.unique(d[:-1]) for d in docs])
-    df = np.bincount(ids, minlength=401)
-    tokens = sum(len(d) - 1 for d in docs)
-    want = plain_windows(docs, names, 128, df, len(docs), tokens / len(docs))
-    assert _windows(docs, names, 128, Corpus(df, len(docs), tokens)) == want
+    assert _windows(docs, names, 128) == plain_windows(docs, names, 128)
 
 
 def test_copies_never_share_a_window(spark, sf):

@@ -5,8 +5,8 @@ the entries of an inverted index in shards by hash, each with postings by term a
 As many entries as there are windows, chosen by hash, are seeds; every seed asks every shard, and the lists of
 the shards are merged to its nearest entries in the corpus. An entry on several lists goes to the seed that has it
 first; entries on none are asked again among themselves, and what no list holds then is a seed by itself.
-A shard finds a seed's candidates by its rarer terms and ranks them by all of them (see Index), so lists are
-nearly those of brute force: tests ask for nine tenths of the true ten nearest, whatever the shards' size.
+All terms of a seed are looked up in all shards, so its list is that of brute force, whatever the shards' size. The
+price is work that grows with seeds times entries: see the README for figures.
 
 Seeds lie in the order of their heaviest term that a window's worth of documents has, and within it of the second
 one; this order, each seed with its documents by rank, is cut into stretches of bounded size, which are packed
@@ -36,11 +36,9 @@ from .tokens import tokenizer
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a stretch on average, and documents at most; BM25's constants.
 SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
-#: Ids whose terms are counted at once; terms that one in COMMON texts of a shard has are kept as whole rows; ids in a shard of the index.
-RUN, COMMON, INDEX = 1 << 20, 8, 16 << 20
-#: Terms that at most this share of the documents has find candidates, of which a shard ranks so many; rounds of seeds, and
-#: windows' worth of neighbours a seed asks for.
-RARE, CANDIDATES, ROUNDS, LISTED = 0.2, 100, 2, 4
+#: Ids whose terms are counted at once; terms that one in COMMON texts of a shard has are kept as whole rows; ids in a shard of the index;
+#: seeds that are looked up at once; rounds of seeds, and windows' worth of neighbours a seed asks for.
+RUN, COMMON, INDEX, ASKED, ROUNDS, LISTED = 1 << 20, 12, 16 << 20, 64, 2, 4
 #: Stretches of the vocabulary whose counts are added up apart, each in so many groups of tasks first.
 PARTS, SALTS = 32, 64
 
@@ -92,60 +90,44 @@ class Corpus:
 
 
 class Index:
-    """BM25 over the token ids of a shard's texts: postings by term, rows for terms that many have, terms by text."""
+    """BM25 over the token ids of a shard's texts: postings by term, and for terms that many have rows that are multiplied for many seeds at once."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, corpus: Corpus):
         n = self.n = len(counts)
-        self.corpus = corpus
         runs = [(first + owner, term, tf) for first, _, owner, term, tf in terms(ids, counts)]
         owner, term, tf = (np.concatenate(x) for x in zip(*runs))
         df = np.bincount(term, minlength=len(corpus.df))
-        self.terms, self.weight = term, corpus.weights(term, tf.astype(np.float64), counts[owner])
-        self.first = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n))))
-        order = np.argsort(term, kind="stable")
-        self.postings, self.posted = owner[order], self.weight[order]
-        self.begin = np.concatenate(([0], np.cumsum(df)))
+        weight = corpus.weights(term, tf.astype(np.float64), counts[owner])
         common = np.flatnonzero(df * COMMON > n)  # at most COMMON times as many cells as postings
         self.row = np.full(len(df), -1)
         self.row[common] = np.arange(len(common))
-        self.rows = np.zeros((len(common), n))
         inside = self.row[term] >= 0
-        self.rows[self.row[term[inside]], owner[inside]] = self.weight[inside]
-        self.asked = np.zeros(len(df))
-
-    def _scores(self, own: np.ndarray) -> np.ndarray:
-        row = self.row[own]
-        at = [slice(self.begin[t], self.begin[t + 1]) for t in own[row < 0]]
-        score = self.rows[row[row >= 0]].sum(0)
-        if at:
-            score += np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)
-        return score
-
-    def nearest(self, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, scores) of the k best by BM25 over all of own, distinct terms, best first, ties in order.
-
-        They are taken from the CANDIDATES best by the terms that at most RARE of the corpus has, or by all terms
-        where those find less than k texts.
-        """
-        rare = own[self.corpus.df[own] <= RARE * self.corpus.n]
-        score = self._scores(rare)
-        found = np.flatnonzero(score)
-        if len(found) < k and len(rare) < len(own):
-            score = self._scores(own)
-            found = np.flatnonzero(score)
-        most = max(CANDIDATES, k)
-        if len(found) > most:
-            found = np.sort(found[np.argpartition(-score[found], most)[:most]])
-        if not len(found):
-            return found, score[found]
-        size = self.first[found + 1] - self.first[found]
-        begin = np.cumsum(size) - size
-        at = np.repeat(self.first[found] - begin, size) + np.arange(size.sum())
-        self.asked[own] = 1
-        exact = np.add.reduceat(self.weight[at] * self.asked[self.terms[at]], begin)
-        self.asked[own] = 0
-        best = np.argsort(-exact, kind="stable")[:k]
-        return found[best], exact[best]
+        self.rows = np.zeros((len(common), n), np.float32)
+        self.rows[self.row[term[inside]], owner[inside]] = weight[inside]
+        owner, term, weight = (x[~inside] for x in (owner, term, weight))
+        order = np.argsort(term, kind="stable")
+        self.postings, self.posted = owner[order], weight[order]
+        self.begin = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(df)))))
+
+    def nearest(self, seeds: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(texts, scores) of the k best of each seed, given by its distinct terms: by BM25 over all of them, best first, ties in order."""
+        out = []
+        for first in range(0, len(seeds), ASKED):
+            some = seeds[first : first + ASKED]
+            has = np.zeros((len(some), len(self.rows)), np.float32)
+            for asked, own in zip(has, some):
+                row = self.row[own]
+                asked[row[row >= 0]] = 1
+            for score, own in zip(has @ self.rows, some):
+                at = [slice(self.begin[t], self.begin[t + 1]) for t in own[self.row[own] < 0]]
+                if at:
+                    score = score + np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)
+                # all that are as good as the k-th, so that ties are cut in order
+                least = max(np.partition(score, self.n - k)[self.n - k], 0) if k < self.n else 0
+                found = np.flatnonzero((score >= least) & (score > 0))
+                best = found[np.argsort(-score[found], kind="stable")[:k]]
+                out.append((best, score[best].astype(np.float64)))
+        return out
 
 
 def _windows(docs: list[np.ndarray], names: list, window: int):
@@ -265,7 +247,7 @@ def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, index_tokens: int = INDEX) -> DataFrame:
-    """(seed, c, score, rank): the k nearest entries of every seed, both (c, ids), over all shards of the index; see Index.nearest.
+    """(seed, c, score, rank): the k nearest entries of every seed, both (c, ids), by BM25 over all shards of the index.
 
     A task holds one shard's index; the seeds stream past it. What is shuffled are the entries once and the seeds' terms
     once a shard.
@@ -295,7 +277,7 @@ def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dty
                 if index is None:
                     of = np.concatenate(keys)
                     index = Index(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), corpus)
-                found = [index.nearest(np.frombuffer(x.as_buffer(), dtype), k + 1) for x in ids]
+                found = index.nearest([np.frombuffer(x.as_buffer(), dtype) for x in ids], k + 1)
                 seed = np.repeat(c, [len(f) for f, _ in found])
                 near, score = of[np.concatenate([f for f, _ in found])], np.concatenate([x for _, x in found])
                 other = near != seed

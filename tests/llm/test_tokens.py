@@ -100,15 +100,16 @@ def test_neighbours_by_all_terms():
                 tf = (docs[j] == t).sum()
                 score[j] += np.log(1 + (60 - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(docs[j]) - 1) / mean))
         want = sorted(np.flatnonzero(score), key=lambda j: -score[j])
-        found, got = index.nearest(np.array(sorted(sets[seed])), 60)
+        own = np.array(sorted(sets[seed]))
+        found, got = index.nearest([own], 60)[0]
         assert found.tolist() == want and np.allclose(got, score[want])
-        assert index.nearest(np.array(sorted(sets[seed])), 7)[0].tolist() == want[:7]
-    assert len(index.nearest(np.array([1]), 5)[0]) == 0
+        (few, _), (none, _) = index.nearest([own, np.array([1])], 7)
+        assert few.tolist() == want[:7] and len(none) == 0
 
 
 @pytest.mark.parametrize("index_tokens", [INDEX, 400_000])
 def test_recall_over_shards(spark, index_tokens):
-    """Of the true ten nearest by all terms of all documents, nine tenths are on the lists, however many shards are asked."""
+    """The lists are the true ten nearest by all terms of all documents, but for ties and roundings, however many shards are asked."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     dtype = tokenizer().dtype
     encoded = _encoded(docs.selectExpr("doc_id id", "doc_id salt", "1L size", "text"), None)
@@ -134,7 +135,7 @@ def test_recall_over_shards(spark, index_tokens):
         score[i] = -1
         assert sorted(got[rows[i][0]]) == list(range(1, 11))
         hits += len({rows[j][0] for j in np.argsort(-score)[:10]} & set(got[rows[i][0]].values()))
-    assert hits >= 0.9 * 10 * len(seeds), hits / len(seeds)
+    assert hits >= 0.99 * 10 * len(seeds), hits / len(seeds)
 
 
 def plain_windows(docs, names, window):

@@ -302,7 +302,7 @@ def _claims(entries: DataFrame, corpus: Corpus, window: int, dtype, index_tokens
         lists = neighbours(left, seeds, corpus, k, dtype, index_tokens).where(~is_seed)
         taken = lists.groupBy("c").agg(F.min(F.struct("rank", "seed")).alias("best")).select("c", "best.seed", "best.rank")
         claimed.append(cut(taken.unionByName(seeds.select("c", F.col("c").alias("seed"), F.lit(0).alias("rank"))), "claims"))
-        left = left.join(claimed[-1], "c", "left_anti")
+        left = left.join(small(claimed[-1].select("c")), "c", "left_anti")
         left = cut(left, "left") if turn + 1 < ROUNDS else left
     alone = left.select("c", F.col("c").alias("seed"), F.lit(0).alias("rank"))
     for x in claimed:
@@ -335,7 +335,7 @@ def _sharded(rows: DataFrame, placed: DataFrame, n: int, shard_bytes: int) -> Da
     """(id, salt, ids, seed, rank, seed_id, at, shard) of every row. Texts of which there are many copies, a thousand at most, are joined by broadcast."""
     hot = F.col("times") * 1000 > max(n, 1_000_000)
     few = F.broadcast(placed.where(hot))
-    joined = rows.join(few, "c").unionByName(rows.join(few.select("c"), "c", "left_anti").join(placed.where(~hot), "c"))
+    joined = rows.join(few, "c").unionByName(rows.join(few.select("c"), "c", "left_anti").join(small(placed.where(~hot)), "c"))
     share = F.pmod("salt", F.lit(1 << 20)) / F.lit(1 << 20)
     return joined.select("id", "salt", "ids", "seed", "rank", "seed_id", "at", F.floor((F.col("at") + F.col("spread") * share) / shard_bytes).alias("shard"))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,21 @@ def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: a worker lives on, next to the JVM that needs the memory in later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every libc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def few_rows(batches, most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of a task in slices, so that what is made of long texts is held for few of them; memory is given back at the end."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+    give_back()
+
+
 def words(col) -> F.Column:
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(WORD), F.lit(0))
 

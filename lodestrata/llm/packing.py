@@ -30,15 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, readable, small
+from .common import cut, few_rows, give_back, readable, small
 from .tokens import tokenizer
 
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a stretch on average, and documents at most; BM25's constants.
 SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
-#: Ids whose terms are counted at once; terms that one in COMMON texts of a shard has are kept as whole rows; ids in a shard of the index;
-#: seeds that are looked up at once; rounds of seeds, and windows' worth of neighbours a seed asks for.
-RUN, COMMON, INDEX, ASKED, ROUNDS, LISTED = 1 << 20, 12, 16 << 20, 64, 2, 4
+#: Ids whose terms are counted at once; terms that one in COMMON texts of an index has are kept as whole rows, of CELLS numbers in all; ids and texts
+#: of an index; seeds that are looked up at once; rounds of seeds, and windows' worth of neighbours a seed asks for.
+RUN, COMMON, CELLS, INDEX, TEXTS, ASKED, ROUNDS, LISTED = 1 << 20, 50, 8 << 20, 4 << 20, 16_000, 64, 2, 4
+#: Ranges that entries are dealt to; token ids of the seeds in a task, an entry of a list for eight; texts that order the work; what rounding may take from a bound;
+#: rows that are broadcast.
+RANGES, BLOCK, LEADERS, SURE, BROADCAST = 6, 32 << 20, 32, 1.0001, 1_000_000
 #: Stretches of the vocabulary whose counts are added up apart, each in so many groups of tasks first.
 PARTS, SALTS = 32, 64
 
@@ -90,44 +93,106 @@ class Corpus:
 
 
 class Index:
-    """BM25 over the token ids of a shard's texts: postings by term, and for terms that many have rows that are multiplied for many seeds at once."""
+    """BM25 over the token ids of some texts: postings by term, and for terms that many have rows that are multiplied for many seeds at once."""
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, corpus: Corpus):
-        n = self.n = len(counts)
         runs = [(first + owner, term, tf) for first, _, owner, term, tf in terms(ids, counts)]
-        owner, term, tf = (np.concatenate(x) for x in zip(*runs))
+        self._fill(*(np.concatenate(x) for x in zip(*runs)), counts, corpus)
+
+    @classmethod
+    def of(cls, own: list[np.ndarray], times: list[np.ndarray], corpus: Corpus) -> Index:
+        """From each text's distinct terms and how often it has them."""
+        index, tf = cls.__new__(cls), np.concatenate(times).astype(np.int64)
+        owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+        index._fill(owner, np.concatenate(own).astype(np.int64), tf, np.bincount(owner, tf, len(own)), corpus)
+        return index
+
+    def _fill(self, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray, corpus: Corpus) -> None:
+        n = self.n = len(length)
+        weight = corpus.weights(term, tf.astype(np.float64), length[owner]).astype(np.float32)
         df = np.bincount(term, minlength=len(corpus.df))
-        weight = corpus.weights(term, tf.astype(np.float64), counts[owner])
-        common = np.flatnonzero(df * COMMON > n)  # at most COMMON times as many cells as postings
+        common = np.argsort(-df, kind="stable")[: CELLS // max(n, 1)]
+        common = common[df[common] * COMMON > n]
         self.row = np.full(len(df), -1)
         self.row[common] = np.arange(len(common))
         inside = self.row[term] >= 0
-        self.rows = np.zeros((len(common), n), np.float32)
-        self.rows[self.row[term[inside]], owner[inside]] = weight[inside]
+        self.rows = np.zeros((n, len(common)), np.float32)
+        self.rows[owner[inside], self.row[term[inside]]] = weight[inside]
         owner, term, weight = (x[~inside] for x in (owner, term, weight))
         order = np.argsort(term, kind="stable")
         self.postings, self.posted = owner[order], weight[order]
         self.begin = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=len(df)))))
 
+    def posts(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in term, text, weight) of all postings of some terms."""
+        size = self.begin[term + 1] - self.begin[term]
+        at = np.repeat(self.begin[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.repeat(np.arange(len(term)), size), self.postings[at], self.posted[at]
+
     def nearest(self, seeds: list[np.ndarray], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """(texts, scores) of the k best of each seed, given by its distinct terms: by BM25 over all of them, best first, ties in order."""
-        out = []
-        for first in range(0, len(seeds), ASKED):
-            some = seeds[first : first + ASKED]
-            has = np.zeros((len(some), len(self.rows)), np.float32)
-            for asked, own in zip(has, some):
-                row = self.row[own]
-                asked[row[row >= 0]] = 1
-            for score, own in zip(has @ self.rows, some):
-                at = [slice(self.begin[t], self.begin[t + 1]) for t in own[self.row[own] < 0]]
-                if at:
-                    score = score + np.bincount(np.concatenate([self.postings[s] for s in at]), np.concatenate([self.posted[s] for s in at]), self.n)
-                # all that are as good as the k-th, so that ties are cut in order
-                least = max(np.partition(score, self.n - k)[self.n - k], 0) if k < self.n else 0
-                found = np.flatnonzero((score >= least) & (score > 0))
-                best = found[np.argsort(-score[found], kind="stable")[:k]]
-                out.append((best, score[best].astype(np.float64)))
-        return out
+        lists = Lists(np.full(len(seeds), -1), seeds, k)
+        lists.ask(self, np.arange(self.n))
+        some = lists.score > 0
+        return [(c[x], score[x].astype(np.float64)) for c, score, x in zip(lists.c, lists.score, some)]
+
+
+class Lists:
+    """The k best texts of each seed, while indexes of different texts are asked one after another; a seed isn't on its own list.
+
+    A text that has too little weight in all terms of ASKED seeds together to get on the list of one of them isn't scored.
+    """
+
+    def __init__(self, seeds: np.ndarray, own: list[np.ndarray], k: int):
+        self.seeds, self.k = seeds, k
+        self.edge = np.concatenate(([0], np.cumsum([len(x) for x in own])))
+        self.terms = np.concatenate(own)
+        self.c, self.score = np.zeros((len(seeds), k), np.int64), np.zeros((len(seeds), k), np.float32)
+
+    def ask(self, index: Index, names: np.ndarray) -> None:
+        place = np.full(index.n, -1)
+        for first in range(0, len(self.seeds), ASKED):
+            last = min(first + ASKED, len(self.seeds))
+            term = self.terms[self.edge[first] : self.edge[last]].astype(np.int64)
+            of, row = np.repeat(np.arange(last - first), np.diff(self.edge[first : last + 1])), index.row[term]
+            inside = row >= 0
+            has = np.zeros((last - first, index.rows.shape[1]), np.float32)
+            has[of[inside], row[inside]] = 1
+            of, term = of[~inside], term[~inside]
+            _, text, weight = index.posts(np.unique(term))
+            most = index.rows @ has.max(0) + np.bincount(text, weight, index.n)
+            least = self.score[first:last, -1]
+            reach = np.flatnonzero((most > 0) & (most * SURE >= least.min()))
+            if not len(reach):
+                continue
+            score = has @ (index.rows if len(reach) == index.n else index.rows[reach]).T
+            place[reach] = np.arange(len(reach))
+            at, text, weight = index.posts(term)
+            text = place[text]
+            kept = np.flatnonzero(text >= 0)
+            np.add.at(score.reshape(-1), of[at[kept]] * len(reach) + text[kept], weight[kept])
+            place[reach] = -1
+            self._merge(first, score, names[reach], least)
+
+    def _merge(self, first: int, score: np.ndarray, names: np.ndarray, least: np.ndarray) -> None:
+        n, k = score.shape[1], self.k
+        short = np.flatnonzero(least <= 0)
+        if len(short) and n > k + 1:  # all that are as good as the k-th but for the seed itself, so that ties are cut in order
+            least = least.copy()
+            least[short] = np.partition(score[short], n - k - 1)[:, n - k - 1]
+        seed, text = np.nonzero(score >= np.maximum(least, np.finfo(np.float32).tiny)[:, None])
+        other = names[text] != self.seeds[first + seed]
+        seed, text = seed[other], text[other]
+        if not len(seed):
+            return
+        changed = np.unique(seed)
+        of = np.concatenate((np.repeat(changed, k), seed))
+        c = np.concatenate((self.c[first + changed].ravel(), names[text]))
+        new = np.concatenate((self.score[first + changed].ravel(), score[seed, text]))
+        order = np.lexsort((c, -new, of))
+        begin = np.searchsorted(of[order], changed)
+        best = order[begin[:, None] + np.arange(k)]  # each has k at least, those it had
+        self.c[first + changed], self.score[first + changed] = c[best], new[best]
 
 
 def _windows(docs: list[np.ndarray], names: list, window: int):
@@ -181,7 +246,7 @@ def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
 
     def run(batches):
         df, n, tokens = None, 0, 0
-        for batch in batches:
+        for batch in few_rows(batches):
             t = tokenizer(path)
             df = np.zeros(len(t.ends), np.int64) if df is None else df
             ids, counts = t.encode(batch.column("text"))
@@ -226,19 +291,33 @@ def _corpus(encoded: DataFrame) -> Corpus:
     return Corpus(np.concatenate([np.frombuffer(r.df, np.int64) for r in rows]), rows[0].n, rows[0].tokens) if rows else Corpus(np.zeros(1, np.int64), 0, 0)
 
 
-def _entries(rows: DataFrame, corpus: Corpus, window: int, dtype) -> DataFrame:
-    """(c, ids, id, size, times, t1, t2) of each different text: its hash, smallest id, bytes and number of all its rows, heaviest terms.
+def _heads(rows: DataFrame, corpus: Corpus, window: int, dtype) -> DataFrame:
+    """(c, salt, id, size, times, t1, t2) of each different text: its hash, one of its rows, smallest id, bytes and number of all its rows, heaviest terms.
 
     Texts of one hash of 64 bits would be one entry: they would be packed next to each other, and nothing else.
     """
 
     def places(batches):
-        for batch in batches:
+        for batch in few_rows(batches):
             at = corpus.places(*_unpacked(batch.column("ids"), dtype), window)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at[:, 0]), pa.array(at[:, 1])], names=[*batch.schema.names, "t1", "t2"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(at[:, 0]), pa.array(at[:, 1])], names=[*names, "t1", "t2"])
+
+    names = ["c", "salt", "id", "size", "times"]
+    each = cut(rows.groupBy("c").agg(F.min("salt").alias("salt"), F.min("id").alias("id"), F.sum("size").alias("size"), F.count("*").alias("times")), "texts")
+    whole = rows.select("c", "salt", "ids").join(small(each), ["c", "salt"])
+    return cut(whole.select(*names, "ids").mapInArrow(places, "c long, salt long, id long, size long, times long, t1 long, t2 long"), "heads")
+
+
+def _entries(rows: DataFrame, corpus: Corpus, window: int, dtype) -> DataFrame:
+    """(c, ids) and the other columns of _heads of each different text."""
+    return _with_ids(rows, _heads(rows, corpus, window, dtype))
 
-    each = rows.groupBy("c").agg(F.first("ids").alias("ids"), F.min("id").alias("id"), F.sum("size").alias("size"), F.count("*").alias("times"))
-    return cut(each.mapInArrow(places, "c long, ids binary, id long, size long, times long, t1 long, t2 long"), "entries")
+
+def _with_ids(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """Read from rows each time as long as heads can be broadcast; beyond that written once."""
+    n = heads.count()
+    out = rows.select("c", "salt", "ids").join(small(heads), ["c", "salt"])
+    return out if n <= BROADCAST else cut(out, "entries")
 
 
 def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -246,64 +325,126 @@ def _unpacked(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column.to_pylist()), dtype), counts
 
 
-def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, index_tokens: int = INDEX) -> DataFrame:
-    """(seed, c, score, rank): the k nearest entries of every seed, both (c, ids), by BM25 over all shards of the index.
+class Order:
+    """Texts by the leader they share most with, leaders next to ones like them, so that seeds of like terms are looked up together among texts of like terms.
 
-    A task holds one shard's index; the seeds stream past it. What is shuffled are the entries once and the seeds' terms
-    once a shard.
+    Leaders are a bounded sample; they order the work and nothing else: all texts are asked, whatever leader they have.
     """
-    shards = max(1, math.ceil(corpus.n * corpus.mean / index_tokens))
 
-    def distinct(batches):
-        for batch in batches:
-            own = [np.unique(np.frombuffer(x.as_buffer(), dtype)).tobytes() for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own, pa.binary())], names=["c", "ids"])
+    def __init__(self, leaders: list[np.ndarray], corpus: Corpus):
+        shared = np.zeros((len(leaders), len(corpus.df)), np.float32)
+        for x, own in zip(shared, leaders):
+            x[own] = corpus.idf[own]
+            x /= max(np.sqrt((x * x).sum()), 1e-9)
+        near, chain, left = shared @ shared.T, [0], set(range(1, len(leaders)))
+        while left:
+            chain.append(max(left, key=lambda i: near[chain[-1], i]))
+            left.remove(chain[-1])
+        self.shared = np.ascontiguousarray((shared * corpus.idf.astype(np.float32))[chain].T) if leaders else np.zeros((len(corpus.df), 1), np.float32)
+
+    def places(self, ids: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Each text's distinct terms, how often it has them, and its place. No text is empty."""
+        for _, n, owner, term, tf in terms(ids, counts):
+            begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            near = np.concatenate([np.add.reduceat(self.shared[term[lo:hi]], begin[i : i + 256] - lo) for i in range(0, n, 256) for lo, hi in [(begin[i], begin[i + 256] if i + 256 < n else len(term))]])
+            for lo, hi, place in zip(begin, [*begin[1:], len(term)], near.argmax(1).tolist()):
+                yield term[lo:hi], tf[lo:hi], place
+
+
+def lists(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, index_tokens: int = INDEX) -> DataFrame:
+    """(seed, c, score): of every seed the k nearest entries of each range of the entries, both (c, ids), by BM25.
+
+    The entries are dealt to at most RANGES ranges and the seeds to blocks, and a task has one block and one range. It holds its block's terms and
+    lists, as many as fit BLOCK, and the index of index_tokens token ids after another. So a seed has k rows a range,
+    however many indexes are asked; what is shuffled are the entries' distinct terms once a block and the seeds' once a range.
+    """
+    tokens = corpus.n * corpus.mean
+    ranges = max(1, min(RANGES, math.ceil(tokens / RUN)))
+    docs, asked = (x.where(F.length("ids") > 0).select("c", "ids") for x in (entries, seeds))
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
+    blocks = max(2 if ranges == RANGES else 1, math.ceil((size / np.dtype(dtype).itemsize + 8 * n * k) / BLOCK))
+    sample = F.pmod(F.xxhash64(F.lit(11), "c"), F.lit(max(1, corpus.n // (16 * LEADERS)))) == 0
+    leaders = docs.where(sample & (F.length("ids") <= 1 << 16)).limit(LEADERS).collect()
+    order = Order([np.unique(np.frombuffer(r.ids, dtype)) for r in leaders], corpus)
+
+    def bags(batches):
+        for batch in few_rows(batches):
+            if batch.num_rows:
+                own, times, place = zip(*order.places(*_unpacked(batch.column("ids"), dtype)))
+                some = [pa.array([x.astype(dtype).tobytes() for x in own], pa.binary()), pa.array([x.astype(_bytes(x)).tobytes() for x in times], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(place, pa.int32()), pa.array([len(x) for x in own], pa.int32()), *some], names=["c", "place", "n", "terms", "times"])
 
     def look_up(batches):
-        shard, index, keys, parts = None, None, [], []
+        names, own, times, held, found = [], [], [], 0, None
+
+        def ask():
+            nonlocal names, own, times, held
+            if names and found is not None:
+                found.ask(Index.of(own, times, corpus), np.array(names, np.int64))
+            names, own, times, held = [], [], [], 0
+
         for batch in batches:
-            place, kind = (batch.column(x).to_numpy() for x in ("shard", "kind"))
-            edges = np.flatnonzero(np.diff(place * 2 + kind)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(place)]):
-                if place[lo] != shard:
-                    shard, index, keys, parts = place[lo], None, [], []
-                c, ids = batch.column("c").to_numpy()[lo:hi], batch.column("ids").slice(lo, hi - lo)
-                if kind[lo] == 0:
-                    keys.append(c)
-                    parts.append(_unpacked(ids, dtype))
-                    continue
-                if not parts:
-                    continue
-                if index is None:
-                    of = np.concatenate(keys)
-                    index = Index(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]), corpus)
-                found = index.nearest([np.frombuffer(x.as_buffer(), dtype) for x in ids], k + 1)
-                seed = np.repeat(c, [len(f) for f, _ in found])
-                near, score = of[np.concatenate([f for f, _ in found])], np.concatenate([x for _, x in found])
-                other = near != seed
-                yield pa.RecordBatch.from_arrays([pa.array(x[other]) for x in (seed, near, score)], names=["seed", "c", "score"])
-
-    docs = entries.where(F.length("ids") > 0).select(F.pmod("c", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "c", "ids")
-    asked = seeds.where(F.length("ids") > 0).select("c", "ids").mapInArrow(distinct, "c long, ids binary")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "c", "ids")
-    both = docs.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "c")
-    lists = both.mapInArrow(look_up, "seed long, c long, score double")
-    return lists.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "c"))).where(F.col("rank") <= k)
-
-
-def _claims(entries: DataFrame, corpus: Corpus, window: int, dtype, index_tokens: int) -> DataFrame:
+            kind = batch.column("kind").to_numpy()
+            for row, c, mine, tf in zip(kind, batch.column("c").to_pylist(), batch.column("terms"), batch.column("times")):
+                if row and found is None:
+                    if not names:
+                        return
+                    found = Lists(np.array(names, np.int64), own, k)
+                    names, own = [], []
+                names.append(c)
+                own.append(np.frombuffer(mine.as_buffer(), dtype))
+                if row:
+                    times.append(_times(tf.as_buffer(), len(own[-1])))
+                    held += int(times[-1].sum())
+                    if held >= index_tokens or len(names) >= TEXTS:
+                        ask()
+        if found is None:
+            return
+        ask()
+        for at in range(0, len(found.seeds), TEXTS):
+            score = found.score[at : at + TEXTS]
+            seed, rank = np.nonzero(score > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.seeds[at + seed], found.c[at + seed, rank], score[seed, rank])], names=["seed", "c", "score"])
+        found = None
+        give_back()
+
+    schema = "c long, place int, n int, terms binary, times binary"
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    hashed = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "c"), F.lit(n)).cast("int")
+    rows = docs.mapInArrow(bags, schema).select(hashed(13, ranges).alias("range"), every(blocks).alias("block"), F.when(hashed(19, 16) == 0, 1).otherwise(2).alias("kind"), "*")  # a mixed lot first, so that lists have what a text must reach
+    wanted = asked.mapInArrow(bags, schema).withColumn("times", F.lit(b"")).select(every(ranges).alias("range"), hashed(17, blocks).alias("block"), F.lit(0).alias("kind"), "*")
+    both = rows.unionByName(wanted).repartitionById(blocks * ranges, F.col("block") * ranges + F.col("range"))
+    return both.sortWithinPartitions("kind", "place", "n", "c").select("kind", "c", "terms", "times").mapInArrow(look_up, "seed long, c long, score float")
+
+
+def _bytes(times: np.ndarray) -> type:
+    most = times.max()
+    return np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+
+
+def _times(x, n: int) -> np.ndarray:
+    return np.frombuffer(x, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(memoryview(x)) // n])
+
+
+def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, index_tokens: int = INDEX) -> DataFrame:
+    """(seed, c, score, rank): the k nearest entries of every seed, both (c, ids), by BM25 over all entries; see lists."""
+    found = lists(entries, seeds, corpus, k, dtype, index_tokens)
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy(F.desc("score"), "c"))).where(F.col("rank") <= k)
+
+
+def _claims(entries: DataFrame, n: int, corpus: Corpus, window: int, dtype, index_tokens: int) -> DataFrame:
     """(c, seed, rank): the seed that each entry is packed with; see the top."""
     full = corpus.mean + 1
-    k, share = max(10, math.ceil(LISTED * window / full)), min(1.0, corpus.n * full / window / max(entries.count(), 1))
+    k, share = max(10, math.ceil(LISTED * window / full)), min(1.0, corpus.n * full / window / max(n, 1))
     left, claimed = entries.select("c", "ids"), []
     for turn in range(ROUNDS):
         is_seed = F.pmod(F.xxhash64(F.lit(turn), F.col("c")), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
         seeds = left.where(is_seed)
-        lists = neighbours(left, seeds, corpus, k, dtype, index_tokens).where(~is_seed)
-        taken = lists.groupBy("c").agg(F.min(F.struct("rank", "seed")).alias("best")).select("c", "best.seed", "best.rank")
+        near = neighbours(left, seeds, corpus, k, dtype, index_tokens).where(~is_seed)
+        taken = near.groupBy("c").agg(F.min(F.struct("rank", "seed")).alias("best")).select("c", "best.seed", "best.rank")
         claimed.append(cut(taken.unionByName(seeds.select("c", F.col("c").alias("seed"), F.lit(0).alias("rank"))), "claims"))
         left = left.join(small(claimed[-1].select("c")), "c", "left_anti")
-        left = cut(left, "left") if turn + 1 < ROUNDS else left
+        left = cut(left, "left") if turn + 1 < ROUNDS and n > BROADCAST else left
     alone = left.select("c", F.col("c").alias("seed"), F.lit(0).alias("rank"))
     for x in claimed:
         alone = alone.unionByName(x)
@@ -356,8 +497,8 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     corpus = _corpus(encoded)
     dtype = tokenizer(path).dtype
     rows = encoded.where("n is null").select("id", "salt", "size", "ids", F.xxhash64("ids").alias("c"))
-    entries = _entries(rows, corpus, window, dtype)
-    placed = _placed(entries, _claims(entries, corpus, window, dtype, index_tokens), shard_bytes)
+    heads = _heads(rows, corpus, window, dtype)
+    placed = _placed(heads, _claims(_with_ids(rows, heads.select("c", "salt")), heads.count(), corpus, window, dtype, index_tokens), shard_bytes)
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([(x, "ascending") for x in ("at", "seed", "rank", "id", "salt")])

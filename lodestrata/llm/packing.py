@@ -1,12 +1,12 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
 Document counts of all terms and the mean length are taken over all documents in one pass. Different texts are
-the entries of an inverted index in shards by hash, each with postings by term and weights of the whole corpus.
-As many entries as there are windows, chosen by hash, are seeds; every seed asks every shard, and the lists of
-the shards are merged to its nearest entries in the corpus. An entry on several lists goes to the seed that has it
-first; entries on none are asked again among themselves, and what no list holds then is a seed by itself.
-All terms of a seed are looked up in all shards, so its list is that of brute force, whatever the shards' size. The
-price is work that grows with seeds times entries: see the README for figures.
+the entries of inverted indexes with postings by term and weights of the whole corpus. As many entries as there are
+windows, chosen by hash, are seeds; every seed asks every index, range of entries by range, and the ranges' lists are merged to
+its nearest entries in the corpus. An entry on several lists goes to the seed that has it first; entries on none are asked
+again among themselves, and what no list holds then is a seed by itself. Entries are left unscored only where their
+weight in all terms asked for shows that they are on no list, so a seed's list is that of brute force, however the entries
+are dealt. The price is work that grows with seeds times entries: see the README for figures.
 
 Seeds lie in the order of their heaviest term that a window's worth of documents has, and within it of the second
 one; this order, each seed with its documents by rank, is cut into stretches of bounded size, which are packed

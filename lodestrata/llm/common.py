@@ -6,7 +6,9 @@ import contextlib
 import ctypes
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,18 @@ def few_rows(batches, most: int = 1000) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
+def few_bytes(batches, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Like few_rows, by so many bytes of a column's texts, or one text."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+    give_back()
+
+
 def words(col) -> F.Column:
     return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(WORD), F.lit(0))
 

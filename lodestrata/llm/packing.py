@@ -30,18 +30,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, few_rows, give_back, readable, small
-from .tokens import tokenizer
+from .common import cut, few_bytes, few_rows, give_back, readable, small
+from .tokens import SLICE, binary, tokenizer
 
 WINDOW, END_ID = 4096, 2
 #: Bytes of text in a stretch on average, and documents at most; BM25's constants.
 SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
 #: Ids whose terms are counted at once; terms that one in COMMON texts of an index has are kept as whole rows, of CELLS numbers in all; ids and texts
-#: of an index; seeds that are looked up at once; rounds of seeds, and windows' worth of neighbours a seed asks for.
-RUN, COMMON, CELLS, INDEX, TEXTS, ASKED, ROUNDS, LISTED = 1 << 20, 50, 8 << 20, 4 << 20, 16_000, 64, 2, 4
+#: of an index; seeds that are looked up at once; rounds of seeds, and how many times its share of the entries a seed asks for.
+RUN, COMMON, CELLS, INDEX, TEXTS, ASKED, ROUNDS, LISTED = 1 << 20, 50, 8 << 20, 8 << 20, 16_000, 512, 2, 4
 #: Ranges that entries are dealt to; token ids of the seeds in a task, an entry of a list for eight; texts that order the work; what rounding may take from a bound;
 #: rows that are broadcast.
 RANGES, BLOCK, LEADERS, SURE, BROADCAST = 6, 32 << 20, 32, 1.0001, 1_000_000
+#: Entries of which one is a seed, at least: fewer seeds if a window holds more of them.
+SEEDS = 20
 #: Stretches of the vocabulary whose counts are added up apart, each in so many groups of tasks first.
 PARTS, SALTS = 32, 64
 
@@ -160,27 +162,37 @@ class Lists:
             has[of[inside], row[inside]] = 1
             of, term = of[~inside], term[~inside]
             _, text, weight = index.posts(np.unique(term))
-            most = index.rows @ has.max(0) + np.bincount(text, weight, index.n)
+            most = index.rows @ has.max(0, initial=0) + np.bincount(text, weight, index.n)
             least = self.score[first:last, -1]
             reach = np.flatnonzero((most > 0) & (most * SURE >= least.min()))
             if not len(reach):
                 continue
             score = has @ (index.rows if len(reach) == index.n else index.rows[reach]).T
             place[reach] = np.arange(len(reach))
-            at, text, weight = index.posts(term)
-            text = place[text]
-            kept = np.flatnonzero(text >= 0)
-            np.add.at(score.reshape(-1), of[at[kept]] * len(reach) + text[kept], weight[kept])
+            self._add(score, index, of, term, place)
             place[reach] = -1
             self._merge(first, score, names[reach], least)
 
+    @staticmethod
+    def _add(score: np.ndarray, index: Index, of: np.ndarray, term: np.ndarray, place: np.ndarray) -> None:
+        """The weights of terms that aren't rows, in runs of at most RUN postings or of one term."""
+        edge = np.concatenate(([0], np.cumsum(index.begin[term + 1] - index.begin[term])))
+        first = 0
+        while first < len(term):
+            last = max(first + 1, int(np.searchsorted(edge, edge[first] + RUN, "right")) - 1)
+            at, text, weight = index.posts(term[first:last])
+            text = place[text]
+            kept = np.flatnonzero(text >= 0)
+            np.add.at(score.reshape(-1), of[first:last][at[kept]] * score.shape[1] + text[kept], weight[kept])
+            first = last
+
     def _merge(self, first: int, score: np.ndarray, names: np.ndarray, least: np.ndarray) -> None:
         n, k = score.shape[1], self.k
         short = np.flatnonzero(least <= 0)
         if len(short) and n > k + 1:  # all that are as good as the k-th but for the seed itself, so that ties are cut in order
             least = least.copy()
             least[short] = np.partition(score[short], n - k - 1)[:, n - k - 1]
-        seed, text = np.nonzero(score >= np.maximum(least, np.finfo(np.float32).tiny)[:, None])
+        seed, text = np.divmod(np.flatnonzero(score >= np.maximum(least, np.finfo(np.float32).tiny)[:, None]), n)
         other = names[text] != self.seeds[first + seed]
         seed, text = seed[other], text[other]
         if not len(seed):
@@ -246,17 +258,15 @@ def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
 
     def run(batches):
         df, n, tokens = None, 0, 0
-        for batch in few_rows(batches):
+        for batch in few_bytes(batches, "text", SLICE):
             t = tokenizer(path)
             df = np.zeros(len(t.ends), np.int64) if df is None else df
             ids, counts = t.encode(batch.column("text"))
             for _, _, _, term, _ in terms(ids, counts):
                 df += np.bincount(term, minlength=len(df))
-            edge = np.cumsum(counts)
             n, tokens = n + len(counts), tokens + len(ids)
             none = pa.nulls(batch.num_rows, pa.int64())
-            packed = pa.array([ids[e - k : e].tobytes() for e, k in zip(edge, counts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "salt", "size")), packed, pa.nulls(batch.num_rows, pa.binary()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "salt", "size")), binary(ids, counts), pa.nulls(batch.num_rows, pa.binary()), none, none], names=names)
         if n:
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([n]), pa.array([tokens])], names=names)
@@ -375,7 +385,7 @@ def lists(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, i
                 yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(place, pa.int32()), pa.array([len(x) for x in own], pa.int32()), *some], names=["c", "place", "n", "terms", "times"])
 
     def look_up(batches):
-        names, own, times, held, found = [], [], [], 0, None
+        names, own, times, held, found, lot = [], [], [], 0, None, 0
 
         def ask():
             nonlocal names, own, times, held
@@ -391,6 +401,9 @@ def lists(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, i
                         return
                     found = Lists(np.array(names, np.int64), own, k)
                     names, own = [], []
+                if row != lot:
+                    ask()
+                    lot = row
                 names.append(c)
                 own.append(np.frombuffer(mine.as_buffer(), dtype))
                 if row:
@@ -434,8 +447,8 @@ def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dty
 
 def _claims(entries: DataFrame, n: int, corpus: Corpus, window: int, dtype, index_tokens: int) -> DataFrame:
     """(c, seed, rank): the seed that each entry is packed with; see the top."""
-    full = corpus.mean + 1
-    k, share = max(10, math.ceil(LISTED * window / full)), min(1.0, corpus.n * full / window / max(n, 1))
+    share = max(1 / (1 << 20), min(1 / SEEDS, corpus.n * (corpus.mean + 1) / window / max(n, 1)))
+    k = max(10, math.ceil(LISTED / share))
     left, claimed = entries.select("c", "ids"), []
     for turn in range(ROUNDS):
         is_seed = F.pmod(F.xxhash64(F.lit(turn), F.col("c")), F.lit(1 << 20)) < math.ceil(share * (1 << 20))

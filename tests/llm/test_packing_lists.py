@@ -1,9 +1,13 @@
 """Look-ups of packing: as many rows as seeds ask for, bounded memory, and the lists of brute force whatever isn't scored."""
 
+import gc
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestrata.llm import packing
+from lodestrata.llm import packing, tokens
 from lodestrata.llm.packing import B, K1, Corpus, Index, Lists
 
 
@@ -58,3 +62,34 @@ def test_what_is_not_scored_is_on_no_list(monkeypatch, asked):
         found = got.c[at][got.score[at] > 0]
         assert len(found) == len(want) and np.allclose(got.score[at][: len(want)], score[want], rtol=1e-4)
         assert i not in found and np.allclose(score[found], score[want], rtol=1e-4)
+
+
+def test_tokenizing_keeps_little_memory():
+    """A worker lives on next to the JVM, so what it remembers of words must be small."""
+    tk = tokens.WordTokenizer()
+    tk.encode(pa.array(["warm up"]))
+    rng = np.random.default_rng(7)
+    texts = pa.array([" ".join("".join(map(chr, x)) for x in rng.integers(97, 123, (500, 9))) for _ in range(120)])
+    gc.collect()
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    ids, counts = tk.encode(texts)
+    want = [tk.library.encode(texts[i].as_py(), add_special_tokens=False).ids for i in (0, 119)]
+    assert ids[: counts[0]].tolist() == want[0] and ids[-counts[-1] :].tolist() == want[1]
+    del ids, counts, want
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert kept < 60_000 * 60
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 50)
+    monkeypatch.setattr(tokens, "SLICE", 200)
+    tk = tokens.WordTokenizer()
+    texts = [" ".join(f"{w}{i % 7}{w}é x{w}日 " for w in ("ab", "cde", "fghi", "don't")) for i in range(60)] + [None, "", " "]
+    ids, counts = tk.encode(pa.array(texts))
+    edge = np.cumsum(counts)
+    for text, e, n in zip(texts, edge, counts):
+        assert ids[e - n : e].tolist() == tk.library.encode(text or "", add_special_tokens=False).ids
+    assert len(tk.known) == len(tk.coded) <= 50

@@ -1,8 +1,8 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
 Document counts of all terms and the mean length are taken over all documents in one pass. Different texts are
-the entries of inverted indexes with postings by term and weights of the whole corpus. As many entries as there are
-windows, chosen by hash, are seeds; every seed asks every index, range of entries by range, and the ranges' lists are merged to
+the entries of inverted indexes with postings by term and weights of the whole corpus. One entry in SEEDS,
+chosen by hash, is a seed, or as many as there are windows if that is fewer; every seed asks every index, range of entries by range, and the ranges' lists are merged to
 its nearest entries in the corpus. An entry on several lists goes to the seed that has it first; entries on none are asked
 again among themselves, and what no list holds then is a seed by itself. Entries are left unscored only where their
 weight in all terms asked for shows that they are on no list, so a seed's list is that of brute force, however the entries
@@ -38,12 +38,14 @@ WINDOW, END_ID = 4096, 2
 SHARD, DOCUMENTS, K1, B = 4 << 20, 50_000, 1.2, 0.75
 #: Ids whose terms are counted at once; terms that one in COMMON texts of an index has are kept as whole rows, of CELLS numbers in all; ids and texts
 #: of an index; seeds that are looked up at once; rounds of seeds, and how many times its share of the entries a seed asks for.
-RUN, COMMON, CELLS, INDEX, TEXTS, ASKED, ROUNDS, LISTED = 1 << 20, 50, 8 << 20, 8 << 20, 16_000, 512, 2, 4
+RUN, COMMON, CELLS, INDEX, TEXTS, ASKED, ROUNDS, LISTED = 1 << 20, 50, 8 << 20, 6 << 20, 16_000, 512, 2, 4
 #: Ranges that entries are dealt to; token ids of the seeds in a task, an entry of a list for eight; texts that order the work; what rounding may take from a bound;
 #: rows that are broadcast.
 RANGES, BLOCK, LEADERS, SURE, BROADCAST = 6, 32 << 20, 32, 1.0001, 1_000_000
-#: Entries of which one is a seed, at least: fewer seeds if a window holds more of them.
+#: Entries of which one is a seed in the first round, half as many in each later one; fewer seeds if a window holds more of them.
 SEEDS = 20
+#: Rows that fewer of the asked seeds have are added one by one.
+FEW = 0.01
 #: Stretches of the vocabulary whose counts are added up apart, each in so many groups of tasks first.
 PARTS, SALTS = 32, 64
 
@@ -118,8 +120,8 @@ class Index:
         self.row = np.full(len(df), -1)
         self.row[common] = np.arange(len(common))
         inside = self.row[term] >= 0
-        self.rows = np.zeros((n, len(common)), np.float32)
-        self.rows[owner[inside], self.row[term[inside]]] = weight[inside]
+        self.rows = np.zeros((len(common), n), np.float32)
+        self.rows[self.row[term[inside]], owner[inside]] = weight[inside]
         owner, term, weight = (x[~inside] for x in (owner, term, weight))
         order = np.argsort(term, kind="stable")
         self.postings, self.posted = owner[order], weight[order]
@@ -158,21 +160,35 @@ class Lists:
             term = self.terms[self.edge[first] : self.edge[last]].astype(np.int64)
             of, row = np.repeat(np.arange(last - first), np.diff(self.edge[first : last + 1])), index.row[term]
             inside = row >= 0
-            has = np.zeros((last - first, index.rows.shape[1]), np.float32)
+            has = np.zeros((last - first, len(index.rows)), np.float32)
             has[of[inside], row[inside]] = 1
             of, term = of[~inside], term[~inside]
             _, text, weight = index.posts(np.unique(term))
-            most = index.rows @ has.max(0, initial=0) + np.bincount(text, weight, index.n)
+            most = has.max(0, initial=0) @ index.rows + np.bincount(text, weight, index.n)
             least = self.score[first:last, -1]
             reach = np.flatnonzero((most > 0) & (most * SURE >= least.min()))
             if not len(reach):
                 continue
-            score = has @ (index.rows if len(reach) == index.n else index.rows[reach]).T
+            score = self._product(has, index.rows if len(reach) > 0.9 * index.n else index.rows[:, reach])
+            if score.shape[1] == index.n:
+                reach = np.arange(index.n)
             place[reach] = np.arange(len(reach))
             self._add(score, index, of, term, place)
             place[reach] = -1
             self._merge(first, score, names[reach], least)
 
+    @staticmethod
+    def _product(has: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """has @ rows: seeds of one vocabulary have few of the rows of texts of another."""
+        often = np.count_nonzero(has, 0) > FEW * len(has)
+        if often.sum() > 0.8 * len(rows):
+            return has @ rows
+        score = has[:, often] @ rows[often]
+        rare = np.flatnonzero(~often)
+        for seed, row in zip(*np.nonzero(has[:, rare])):
+            score[seed] += rows[rare[row]]
+        return score
+
     @staticmethod
     def _add(score: np.ndarray, index: Index, of: np.ndarray, term: np.ndarray, place: np.ndarray) -> None:
         """The weights of terms that aren't rows, in runs of at most RUN postings or of one term."""
@@ -188,11 +204,12 @@ class Lists:
 
     def _merge(self, first: int, score: np.ndarray, names: np.ndarray, least: np.ndarray) -> None:
         n, k = score.shape[1], self.k
-        short = np.flatnonzero(least <= 0)
-        if len(short) and n > k + 1:  # all that are as good as the k-th but for the seed itself, so that ties are cut in order
-            least = least.copy()
-            least[short] = np.partition(score[short], n - k - 1)[:, n - k - 1]
-        seed, text = np.divmod(np.flatnonzero(score >= np.maximum(least, np.finfo(np.float32).tiny)[:, None]), n)
+        least = np.maximum(least, np.finfo(np.float32).tiny)
+        at = np.flatnonzero(score >= least[:, None])
+        if len(at) > 2 * k * len(least) and n > k + 1:  # all that are as good as the k-th but for the seed itself, so that ties are cut in order
+            least = np.maximum(least, np.partition(score, n - k - 1)[:, n - k - 1])
+            at = at[score.reshape(-1)[at] >= least[at // n]]
+        seed, text = np.divmod(at, n)
         other = names[text] != self.seeds[first + seed]
         seed, text = seed[other], text[other]
         if not len(seed):
@@ -254,7 +271,7 @@ def _windows(docs: list[np.ndarray], names: list, window: int):
 
 
 def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
-    """(id, salt, size, ids) of every row, and a row (df, n, tokens) of every task with its counts."""
+    """(id, salt, size, ids, c) of every row, c being the hash of ids, and a row (df, n, tokens) of every task with its counts."""
 
     def run(batches):
         df, n, tokens = None, 0, 0
@@ -266,13 +283,14 @@ def _encoded(docs: DataFrame, path: str | None) -> DataFrame:
                 df += np.bincount(term, minlength=len(df))
             n, tokens = n + len(counts), tokens + len(ids)
             none = pa.nulls(batch.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "salt", "size")), binary(ids, counts), pa.nulls(batch.num_rows, pa.binary()), none, none], names=names)
+            yield from few_rows([pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "salt", "size")), binary(ids, counts), pa.nulls(batch.num_rows, pa.binary()), none, none], names=names)])
         if n:
             none = pa.nulls(1, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(1, pa.binary()), pa.array([df.tobytes()], pa.binary()), pa.array([n]), pa.array([tokens])], names=names)
 
     names = ["id", "salt", "size", "ids", "df", "n", "tokens"]
-    return cut(docs.mapInArrow(run, "id long, salt long, size long, ids binary, df binary, n long, tokens long"), "encoded")
+    out = docs.mapInArrow(run, "id long, salt long, size long, ids binary, df binary, n long, tokens long")
+    return cut(out.withColumn("c", F.xxhash64("ids")), "encoded")  # where ids aren't asked for, they aren't read
 
 
 def _corpus(encoded: DataFrame) -> Corpus:
@@ -372,7 +390,7 @@ def lists(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, i
     ranges = max(1, min(RANGES, math.ceil(tokens / RUN)))
     docs, asked = (x.where(F.length("ids") > 0).select("c", "ids") for x in (entries, seeds))
     n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()
-    blocks = max(2 if ranges == RANGES else 1, math.ceil((size / np.dtype(dtype).itemsize + 8 * n * k) / BLOCK))
+    blocks = max(1, math.ceil((size / np.dtype(dtype).itemsize + 8 * n * k) / BLOCK))
     sample = F.pmod(F.xxhash64(F.lit(11), "c"), F.lit(max(1, corpus.n // (16 * LEADERS)))) == 0
     leaders = docs.where(sample & (F.length("ids") <= 1 << 16)).limit(LEADERS).collect()
     order = Order([np.unique(np.frombuffer(r.ids, dtype)) for r in leaders], corpus)
@@ -414,8 +432,9 @@ def lists(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dtype, i
         if found is None:
             return
         ask()
-        for at in range(0, len(found.seeds), TEXTS):
-            score = found.score[at : at + TEXTS]
+        step = max(1, (1 << 16) // k)
+        for at in range(0, len(found.seeds), step):
+            score = found.score[at : at + step]
             seed, rank = np.nonzero(score > 0)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.seeds[at + seed], found.c[at + seed, rank], score[seed, rank])], names=["seed", "c", "score"])
         found = None
@@ -448,10 +467,11 @@ def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dty
 def _claims(entries: DataFrame, n: int, corpus: Corpus, window: int, dtype, index_tokens: int) -> DataFrame:
     """(c, seed, rank): the seed that each entry is packed with; see the top."""
     share = max(1 / (1 << 20), min(1 / SEEDS, corpus.n * (corpus.mean + 1) / window / max(n, 1)))
-    k = max(10, math.ceil(LISTED / share))
     left, claimed = entries.select("c", "ids"), []
     for turn in range(ROUNDS):
-        is_seed = F.pmod(F.xxhash64(F.lit(turn), F.col("c")), F.lit(1 << 20)) < math.ceil(share * (1 << 20))
+        part = share if turn == 0 else min(share, 1 / SEEDS / 2)
+        k = max(10, math.ceil(LISTED / part))
+        is_seed = F.pmod(F.xxhash64(F.lit(turn), F.col("c")), F.lit(1 << 20)) < math.ceil(part * (1 << 20))
         seeds = left.where(is_seed)
         near = neighbours(left, seeds, corpus, k, dtype, index_tokens).where(~is_seed)
         taken = near.groupBy("c").agg(F.min(F.struct("rank", "seed")).alias("best")).select("c", "best.seed", "best.rank")
@@ -509,7 +529,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     encoded = _encoded(docs.select(id_.alias("id"), salt.alias("salt"), (F.coalesce(F.octet_length(text), F.lit(0)) + each).cast("long").alias("size"), text.alias("text")), path)
     corpus = _corpus(encoded)
     dtype = tokenizer(path).dtype
-    rows = encoded.where("n is null").select("id", "salt", "size", "ids", F.xxhash64("ids").alias("c"))
+    rows = encoded.where("n is null").select("id", "salt", "size", "ids", "c")
     heads = _heads(rows, corpus, window, dtype)
     placed = _placed(heads, _claims(_with_ids(rows, heads.select("c", "salt")), heads.count(), corpus, window, dtype, index_tokens), shard_bytes)
 

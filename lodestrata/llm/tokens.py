@@ -28,7 +28,7 @@ _PIECES_OR_END = re.compile(rf"{PIECES.pattern}|\n")
 _PLAIN_WORD = r"^[\x21-\x7E\x{A1}-\x{17F}]*$"
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 #: Bytes of text cut into words at once; pieces remembered (about 25 bytes each); pieces in one string for the library, and such strings in one call.
-SLICE, MEMORY, TOGETHER, CALLS = 16 << 20, 1_000_000, 400, 50
+SLICE, MEMORY, TOGETHER, CALLS = 6 << 20, 1_000_000, 400, 50
 
 
 def vocabulary_path(path: str | None = None) -> str:

@@ -466,10 +466,10 @@ def neighbours(entries: DataFrame, seeds: DataFrame, corpus: Corpus, k: int, dty
 
 def _claims(entries: DataFrame, n: int, corpus: Corpus, window: int, dtype, index_tokens: int) -> DataFrame:
     """(c, seed, rank): the seed that each entry is packed with; see the top."""
-    share = max(1 / (1 << 20), min(1 / SEEDS, corpus.n * (corpus.mean + 1) / window / max(n, 1)))
+    share = max(1 / (1 << 20), min(1.0, corpus.n / max(n, 1) * min(1 / SEEDS, (corpus.mean + 1) / window)))  # of rows: few texts with many copies are all seeds
     left, claimed = entries.select("c", "ids"), []
     for turn in range(ROUNDS):
-        part = share if turn == 0 else min(share, 1 / SEEDS / 2)
+        part = share if turn == 0 else share / 2
         k = max(10, math.ceil(LISTED / part))
         is_seed = F.pmod(F.xxhash64(F.lit(turn), F.col("c")), F.lit(1 << 20)) < math.ceil(part * (1 << 20))
         seeds = left.where(is_seed)

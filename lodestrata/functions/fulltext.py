@@ -10,7 +10,9 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,13 +36,33 @@ _IRREGULAR = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "ty
 _UNCHANGED = {"sky", "news", "howe", "atlas", "cosmos", "bias", "andes", "inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
 
 
+_BEGINS = re.compile(f"{_V}[^aeiouy]").search
+_CONSONANT_Y = re.compile(r"(^|[aeiouy])y").sub
+_VOWEL = re.compile(_V).search
+_ENDS_SHORT, _IS_SHORT = re.compile(r"[^aeiouy][aeiouy][^aeiouywxY]$").search, re.compile(r"[aeiouy][^aeiouy]").fullmatch
+_PREFIXES = ("gener", "commun", "arsen")
+_DOUBLE = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+
+
+def _longest_first(*ends: str) -> tuple[str, ...]:
+    return tuple(sorted(ends, key=len, reverse=True))
+
+
+_ENDS2, _ENDS3, _ENDS4 = _longest_first(*_STEP2, "ogi", "li"), _longest_first(*_STEP3, "ative"), _longest_first(*_STEP4, "ion")
+
+
 def _region(w: str, start: int = 0) -> int:
-    m = re.compile(f"{_V}[^aeiouy]").search(w, start)
+    m = _BEGINS(w, start)
     return m.end() if m else len(w)
 
 
 def _short(w: str) -> bool:
-    return bool(re.search(r"[^aeiouy][aeiouy][^aeiouywxY]$", w) or re.fullmatch(r"[aeiouy][^aeiouy]", w))
+    return bool(_ENDS_SHORT(w) or _IS_SHORT(w))
+
+
+def _end(w: str, ends: tuple[str, ...]) -> str:
+    """The longest of ends that w has; most words have none, which one call tells."""
+    return next(e for e in ends if w.endswith(e)) if w.endswith(ends) else ""
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -50,14 +72,14 @@ def stem(word: str) -> str:
         return word
     if word in _IRREGULAR or word in _UNCHANGED:
         return _IRREGULAR.get(word, word)
-    w = re.sub(r"(^|[aeiouy])y", r"\1Y", word)
-    r1 = next((len(p) for p in ("gener", "commun", "arsen") if w.startswith(p)), None) or _region(w)
+    w = _CONSONANT_Y(r"\1Y", word) if "y" in word else word
+    r1 = next(len(p) for p in _PREFIXES if w.startswith(p)) if w.startswith(_PREFIXES) else _region(w)
     r2 = _region(w, r1)
     if w.endswith("sses"):
         w = w[:-2]
     elif w.endswith(("ied", "ies")):
         w = w[:-2] if len(w) > 4 else w[:-1]
-    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search(_V, w[:-2]):
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and _VOWEL(w[:-2]):
         w = w[:-1]
     if w.endswith(("eed", "eedly")):
         at = len(w) - (5 if w.endswith("ly") else 3)
@@ -65,42 +87,34 @@ def stem(word: str) -> str:
     else:
         for end in ("ingly", "edly", "ing", "ed"):
             if w.endswith(end):
-                if re.search(_V, w[: -len(end)]):
+                if _VOWEL(w[: -len(end)]):
                     w = w[: -len(end)]
                     if w.endswith(("at", "bl", "iz")):
                         w += "e"
-                    elif re.search(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$", w):
+                    elif w.endswith(_DOUBLE):
                         w = w[:-1]
                     elif r1 >= len(w) and _short(w):
                         w += "e"
                 break
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in "aeiouy":
         w = w[:-1] + "i"
-    for end in sorted((*_STEP2, "ogi", "li"), key=len, reverse=True):
-        if w.endswith(end):
-            at = len(w) - len(end)
-            if at >= r1:
-                if end == "ogi":
-                    w = w[:-1] if w[at - 1 : at] == "l" else w
-                elif end == "li":
-                    w = w[:-2] if w[at - 1 : at] in tuple("cdeghkmnrt") else w
-                else:
-                    w = w[:at] + _STEP2[end]
-            break
-    for end in sorted((*_STEP3, "ative"), key=len, reverse=True):
-        if w.endswith(end):
-            at = len(w) - len(end)
-            if end == "ative":
-                w = w[:at] if at >= r2 else w
-            elif at >= r1:
-                w = w[:at] + _STEP3[end]
-            break
-    for end in sorted((*_STEP4, "ion"), key=len, reverse=True):
-        if w.endswith(end):
-            at = len(w) - len(end)
-            if at >= r2 and (end != "ion" or w[at - 1 : at] in ("s", "t")):
-                w = w[:at]
-            break
+    if (end := _end(w, _ENDS2)) and (at := len(w) - len(end)) >= r1:
+        if end == "ogi":
+            w = w[:-1] if w[at - 1 : at] == "l" else w
+        elif end == "li":
+            w = w[:-2] if w[at - 1 : at] in tuple("cdeghkmnrt") else w
+        else:
+            w = w[:at] + _STEP2[end]
+    if end := _end(w, _ENDS3):
+        at = len(w) - len(end)
+        if end == "ative":
+            w = w[:at] if at >= r2 else w
+        elif at >= r1:
+            w = w[:at] + _STEP3[end]
+    if end := _end(w, _ENDS4):
+        at = len(w) - len(end)
+        if at >= r2 and (end != "ion" or w[at - 1 : at] in ("s", "t")):
+            w = w[:at]
     if w.endswith("e") and (len(w) - 1 >= r2 or (len(w) - 1 >= r1 and not _short(w[:-1]))) or w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.replace("Y", "y")
@@ -109,21 +123,63 @@ def stem(word: str) -> str:
 LEXEMES = T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 
 
-@F.pandas_udf(LEXEMES)
-def _stemmed(tokens: pd.Series) -> pd.Series:
-    def one(words):
-        found: dict[str, list[int]] = {}
-        for i, w in enumerate(words if words is not None else ()):
-            if w not in STOP:
-                found.setdefault(stem(w), []).append(i + 1)
-        return [{"lexeme": k, "positions": v} for k, v in sorted(found.items())]
+#: Words of a batch that are grouped at once; cells of a table of flags at most.
+TOGETHER, FLAGS = 1 << 20, 1 << 25
+
+
+def tokens(text: Column) -> Column:
+    """Words of a text in order: runs of letters and digits, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
+def slices(words: pa.Array, most: int = TOGETHER):
+    """(first, last) rows of stretches of about most words; a row isn't cut."""
+    edge, first = words.offsets.to_numpy(), 0
+    while first < len(words):
+        last = max(first + 1, int(np.searchsorted(edge, edge[first] + most, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def numbered(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, number of the word) of all words of a list array, and the different words."""
+    edge = words.offsets.to_numpy()
+    flat = words.values.slice(edge[0], edge[-1] - edge[0]).dictionary_encode()
+    return np.repeat(np.arange(len(words), dtype=np.int32), np.diff(edge)), flat.indices.to_numpy(zero_copy_only=False), flat.dictionary.to_pylist()
+
+
+def lexeme_entries(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(row, position, number of the lexeme) of all words but stop words, in order, and the lexemes in theirs."""
+    row, word, different = numbered(words)
+    found = [None if w in STOP else stem(w) for w in different]
+    lexemes = sorted({x for x in found if x is not None})
+    number = {x: i for i, x in enumerate(lexemes)}
+    code = np.array([number.get(x, -1) for x in found], np.int32)[word] if len(word) else np.zeros(0, np.int32)
+    edge = words.offsets.to_numpy()
+    at = np.arange(1, len(row) + 1, dtype=np.int32) - np.repeat((edge[:-1] - edge[0]).astype(np.int32), np.diff(edge))
+    keep = code >= 0
+    return row[keep], at[keep], code[keep], lexemes
+
+
+@F.arrow_udf(LEXEMES)
+def _stemmed(words: pa.Array) -> pa.Array:
+    def some(part: pa.Array) -> pa.Array:
+        row, at, code, lexemes = lexeme_entries(part)
+        key = row.astype(np.int64) * max(1, len(lexemes)) + code
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        own = order[first]
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(at[order]))
+        pairs = pa.StructArray.from_arrays([pa.array(lexemes, pa.string()).take(pa.array(code[own])), positions], names=["lexeme", "positions"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[own], np.arange(len(part) + 1)).astype(np.int32)), pairs)
 
-    return tokens.map(one)
+    parts = [some(words.slice(first, last - first)) for first, last in slices(words)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("lexeme", pa.string()), ("positions", pa.list_(pa.int32()))])))
 
 
 def analyzed(text: Column) -> Column:
-    """Lexemes of a text with their word positions; stop words have a position but no lexeme."""
-    return _stemmed(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)))
+    """Lexemes of a text with their word positions; stop words have a position but no lexeme. A task groups a stretch of its texts at a time, in Arrow's form."""
+    return _stemmed(tokens(text))
 
 
 def postings(rows: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:

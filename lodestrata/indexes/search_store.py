@@ -46,19 +46,21 @@ class SearchStore:
     def _part(self, source, index: int) -> int:
         return zlib.crc32(f"{source}:{index // PLACES}".encode()) % self.parts
 
-    def append(self, chunks: DataFrame) -> None:
+    def append(self, chunks: DataFrame, embedded: DataFrame | None = None) -> None:
         """Store new chunks (as search.search takes them); the first ones also train the vectors' cells.
 
-        A null source or index counts as an empty one. A replaced chunk is a new id, and the old one is forgotten.
+        A null source or index counts as an empty one. A replaced chunk is a new id, and the old one is forgotten. embedded
+        has the same chunks where their vectors come from a join, so that contents aren't shuffled for it: chunks has no vectors then.
         """
+        embedded = chunks if embedded is None else embedded
         placed = chunks.withColumn("part", self.part(F.coalesce(F.col("data_source_id").cast("string"), F.lit("")), F.coalesce("chunk_index", F.lit(0))))
         order = ["org_id", "part", "data_source_id", "chunk_index"]
-        placed.drop("embedding").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("org_id", "part").parquet(f"{self.path}/contents")
+        placed.drop("embedding").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").option("compression", "zstd").partitionBy("org_id", "part").parquet(f"{self.path}/contents")
         slots = placed.select("org_id", "chunk_id", "part", self.slot("chunk_id").alias("slot"))
         slots.repartition("org_id", "slot").sortWithinPartitions("slot", "chunk_id").write.mode("append").partitionBy("org_id", "slot").parquet(f"{self.path}/places")
         self.words.append(lexeme_rows(placed, keys=_KEYS))
         self.grams.append(trigram_rows(placed, keys=_KEYS))
-        vectors = placed.select("org_id", "chunk_id", "embedding", *_FILTERED)
+        vectors = embedded.select("org_id", "chunk_id", "embedding", *_FILTERED)
         if not self.cells.exists():
             self.cells.train(vectors)
         self.cells.append(vectors)

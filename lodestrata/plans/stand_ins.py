@@ -67,15 +67,21 @@ recent as (select *, input_tokens + output_tokens total_tokens,
 """
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: by doc_id within their source, in the collection of their language, with the embedding of their id."""
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks without vectors: by doc_id within their source, in the collection of their language."""
     d = read(spark, sf_dir, "documents")
-    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     kinds = ["PDF", "CSV", "SLACK", "LINEAR"]
     kind = _pick(kinds, F.col("doc_id") % 4)
     author = F.concat(F.lit("user"), (F.col("doc_id") % 7).cast("string"))
     meta = F.struct(kind.alias("type"), F.when(kind == "SLACK", F.concat(F.lit("C"), (F.col("doc_id") % 5).cast("string"))).alias("slackChannelId"), F.when((kind == "SLACK") & (F.col("doc_id") % 3 != 0), F.array(author, F.lit("bot"))).alias("slackAuthors"), F.when((kind == "SLACK") & (F.col("doc_id") % 3 == 0), author).alias("slackAuthor"), F.when(kind == "LINEAR", F.concat(F.lit("L"), (F.col("doc_id") % 9).cast("string"))).alias("linearIssueId"), F.lit(None).cast("string").alias("notionPageId"))
-    return d.join(e, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), F.lit(1).alias("org_id"), F.col("text").alias("content"), F.floor(F.col("doc_id") / 20).cast("int").alias("chunk_index"), meta.alias("metadata"), "embedding", F.col("source").alias("data_source_id"), F.col("lang").alias("collection_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_url"))
+    return d.select(F.col("doc_id").alias("chunk_id"), F.lit(1).alias("org_id"), F.col("text").alias("content"), F.floor(F.col("doc_id") / 20).cast("int").alias("chunk_index"), meta.alias("metadata"), F.col("source").alias("data_source_id"), F.col("lang").alias("collection_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source_url"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the embedding of their id."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    t = texts(spark, sf_dir)
+    return t.join(e, "chunk_id", "left").select(*t.columns[:5], "embedding", *t.columns[5:])
 
 
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

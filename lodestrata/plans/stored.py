@@ -24,7 +24,7 @@ def store(spark, sf) -> SearchStore:
     fs, done = path_of(spark, f"{at}/vectors/cells/_SUCCESS")
     held = SearchStore(spark, at, parts=16, buckets=16)
     if not fs.exists(done):
-        held.append(s.chunks(spark, sf))
+        held.append(s.texts(spark, sf), s.chunks(spark, sf))
     return held
 
 

@@ -43,6 +43,10 @@ def neighbours(spark: SparkSession, table: str, key: str = "chunk_id", preview:
 
 
 def write_lookup(df: DataFrame, path: str, ids: str = "id", tenant: str = "org_id", group_bytes: int = GROUP_BYTES) -> None:
-    """Store a table for look-ups of an id within its tenant: by tenant, sorted by id, with small row groups that have Bloom filters of their ids."""
-    out = df.repartitionByRange(tenant, ids).sortWithinPartitions(tenant, ids).write.mode("append").partitionBy(tenant)
-    out.option(f"parquet.bloom.filter.enabled#{ids}", "true").option("parquet.block.size", group_bytes).parquet(path)
+    """Store a table for look-ups of an id within its tenant: sorted by tenant and id, with small row groups that have Bloom filters of their ids.
+
+    Many small tenants share a file and its row groups, a large one has many; both ranges are known of each row group. A filter is
+    as large as its row group's ids ask for: a file a tenant with a filter of full size took a megabyte for each tenant.
+    """
+    out = df.repartitionByRange(tenant, ids).sortWithinPartitions(tenant, ids).write.mode("append")
+    out.option(f"parquet.bloom.filter.enabled#{ids}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.block.size", group_bytes).parquet(path)

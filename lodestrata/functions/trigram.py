@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fulltext
 from .scalars import once
@@ -33,33 +34,34 @@ def best_extent(query: set[str], grams: Iterable[str]) -> float:
     """Greatest |common| / |query or extent| over stretches of grams; each end grows and shrinks greedily.
 
     A stretch is kept as its distinct grams in the order of their last places, of which there are less than
-    the square of the query's, so work is in proportion to the text's length, also where it repeats itself.
+    the square of the query's, so work is in proportion to the text's length, also where it repeats itself. The best begin is
+    looked for from the end backwards, at grams of the query, until no longer stretch can reach the score.
     """
-    last: dict[str, int] = {}
-    low, best, common = -1, 0.0, 0
-    for i, g in enumerate(grams):
+    last: dict[str, None] = {}
+    best, common, n = 0.0, 0, len(query)
+    for g in grams:
         hit = g in query
-        if low < 0 and not hit:
+        if not hit and not last:
             continue
-        if last.pop(g, None) is None:
+        if g in last:
+            del last[g]
+        else:
             common += hit
-        last[g] = i  # behind all others
+        last[g] = None  # behind all others
         if not hit:
             continue
-        if low < 0:
-            low = i
-        size = len(last)
-        score, keep, c, s = common / (len(query) + size - common), (low, common), common, size
-        for old, j in last.items():
-            if j == i:
+        score, kept, c, s = -1.0, 0, 0, 0
+        for old in reversed(last):
+            s += 1
+            if old in query:
+                c += 1
+                if (longer := c / (n + s - c)) >= score:
+                    score, kept, left = longer, s, c
+            elif common / (n + s - c) < score:
                 break
-            s -= 1
-            c -= old in query
-            if (shorter := c / (len(query) + s - c)) > score:
-                score, keep = shorter, (j + 1, c)
-        for old in [x for x, j in last.items() if j < keep[0]]:
+        for old in list(islice(last, len(last) - kept)):
             del last[old]
-        low, common = keep
+        common = left
         best = max(best, score)
         if best == 1:
             break
@@ -88,6 +90,22 @@ def trigram_entries(words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]
     return row, gram, named
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _listed(words: pa.Array) -> pa.Array:
+    def some(part: pa.Array) -> pa.Array:
+        row, gram, named = trigram_entries(part)
+        order = np.argsort(row, kind="stable")
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order], np.arange(len(part) + 1)).astype(np.int32)), pa.array(named, pa.string()).take(pa.array(gram[order])))
+
+    parts = [some(words.slice(first, last - first)) for first, last in fulltext.slices(words)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.string()))
+
+
+def listed(text: Column) -> Column:
+    """trigrams() in any order, of whole tables of texts: a word's are taken once a stretch of texts."""
+    return _listed(fulltext.tokens(text))
+
+
 def distinct(keys: np.ndarray, most: int) -> np.ndarray:
     """Different keys in order; they are smaller than most."""
     if most > fulltext.FLAGS:

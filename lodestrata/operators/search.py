@@ -29,7 +29,7 @@ PAYLOAD = ("chunk_id", "content", "metadata", "chunk_index", "data_source_id", "
 
 def indexed(chunks: DataFrame, text: str = "content") -> DataFrame:
     """chunks with what search() finds stored, to be written at ingest: lexemes with positions, and distinct trigrams."""
-    return chunks.withColumns({LEXEMES: fulltext.analyzed(F.col(text)), TRIGRAMS: trigram.trigrams(F.col(text))})
+    return chunks.withColumns({LEXEMES: fulltext.analyzed(F.col(text)), TRIGRAMS: trigram.listed(F.col(text))})
 
 
 def _stored(chunks: DataFrame, column: str) -> str | None:

@@ -90,3 +90,31 @@ def test_stored_lists_have_every_row(spark, tmp_path, kind):
             assert plain(lists.lists(org, terms).select(*own.columns)) == plain(own)
             assert lists.counts(org, terms) == {r.term: r["count"] for r in own.groupBy("term").count().collect()}
         assert spark.read.parquet(f"{lists.path}/lists").count() < pairs.count() / 5
+
+
+def test_trigrams_of_stored_texts(spark):
+    rows = spark.createDataFrame([("Storm sea, storm",), (None,), ("",), ("ß𝒳 7up a",), ("?!",)], "t string")
+    got = rows.select(trigram.trigrams(F.col("t")).alias("a"), trigram.listed(F.col("t")).alias("b")).collect()
+    assert [sorted(r.a) for r in got] == [sorted(r.b) for r in got]
+
+
+def test_best_begin_is_the_first_of_the_best():
+    """Against every begin of the stretch, from the front, after each gram of the query."""
+    rng = random.Random(4)
+
+    def plain(query, grams):
+        kept, best = [], 0.0
+        for g in grams:
+            kept = [x for x in kept if x != g] + [g]
+            if g not in query:
+                continue
+            score = [len(query & set(kept[i:])) / len(query | set(kept[i:])) for i in range(len(kept))]
+            best = max(best, *score)
+            kept = kept[score.index(max(score)) :]
+        return best
+
+    for _ in range(2_000):
+        letters = "abcdefgh"[: rng.randrange(2, 9)]
+        some = lambda n: [rng.choice(letters) + rng.choice(letters) for _ in range(n)]
+        query, grams = set(some(rng.randrange(1, 9))), some(rng.randrange(60))
+        assert trigram.best_extent(query, grams) == plain(query, grams)
